@@ -15,6 +15,15 @@ from pyspark.sql import functions as F
 DATE_PATTERNS = ("yyyy-MM-dd", "dd.MM.yyyy", "MM/dd/yyyy", "yyyyMMdd")
 # A valid e-mail after normalisation: text, one @, text.
 EMAIL_SHAPE = r"^[^@]+@[^@]+$"
+# Text shapes that can possibly parse with each date pattern, in the same order.  Each is a
+# superset of what the pattern accepts (digits only in number fields, optional sign and
+# more digits in the year), so a failed shape check never hides a date.
+DATE_SHAPES = (
+    r"^[+-]?\d{4,}-\d{2}-\d{2}$",
+    r"^\d{2}\.\d{2}\.[+-]?\d{4,}$",
+    r"^\d{2}/\d{2}/[+-]?\d{4,}$",
+    r"^[+-]?\d{8,}$",
+)
 # Masking: keep the first character and everything from the last @ on.
 MASK_PATTERN = r"^(.).*(@.*)$"
 MASK_REPLACEMENT = "$1***$2"
@@ -41,9 +50,18 @@ def normalize_email(c: str | Column) -> Column:
 
 
 def parse_date_multi(c: str | Column) -> Column:
-    """Date from the first of ISO, German, US and compact text formats that parses, else NULL."""
+    """Date from the first of ISO, German, US and compact text formats that parses, else NULL.
+
+    Each pattern is only tried on text of a shape it could accept: a failed parse is costly
+    (the parser signals it with an exception), a shape test is a cheap regex match.
+    """
     text = clean_string(c)
-    return F.coalesce(*(F.to_date(F.try_to_timestamp(text, F.lit(p))) for p in DATE_PATTERNS))
+    return F.coalesce(
+        *(
+            F.when(text.rlike(shape), F.to_date(F.try_to_timestamp(text, F.lit(p))))
+            for p, shape in zip(DATE_PATTERNS, DATE_SHAPES, strict=True)
+        )
+    )
 
 
 def mask_email(c: str | Column) -> Column:

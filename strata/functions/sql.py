@@ -8,10 +8,18 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-from strata.functions.cleaning import DATE_PATTERNS, EMAIL_SHAPE, MASK_PATTERN, MASK_REPLACEMENT
+from strata.functions.cleaning import DATE_PATTERNS, DATE_SHAPES, EMAIL_SHAPE, MASK_PATTERN, MASK_REPLACEMENT
 
 _CLEAN = r"nullif(trim(regexp_replace(s, '\\s+', ' ')), '')"
-_DATES = ", ".join(f"to_date(try_to_timestamp({_CLEAN}, '{p}'))" for p in DATE_PATTERNS)
+
+def _sql_regex(rx: str) -> str:
+    return rx.replace("\\", "\\\\")
+
+
+_DATES = ", ".join(
+    f"CASE WHEN {_CLEAN} RLIKE '{_sql_regex(shape)}' THEN to_date(try_to_timestamp({_CLEAN}, '{p}')) END"
+    for p, shape in zip(DATE_PATTERNS, DATE_SHAPES, strict=True)
+)
 
 FUNCTIONS: dict[str, tuple[str, str, str, str]] = {
     # name: (parameters, return type, body, comment)

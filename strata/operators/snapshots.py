@@ -111,9 +111,12 @@ def scd2_apply_snapshot(
     o = open_.select(*[F.col(c).alias(f"o_{c}") for c in [*cols, START]], F.lit(True).alias("_o"))
     s = snapshot.select(*[F.col(c).alias(f"s_{c}") for c in cols], F.lit(True).alias("_s"))
     j = o.join(s, null_safe_eq([F.col(f"o_{k}") for k in keys], [F.col(f"s_{k}") for k in keys]), "full_outer")
+    end_type = state.schema[END].dataType
+    # the load time may be a scalar subquery: evaluate it once into a column
+    j = j.withColumn("_t", t.cast(end_type))
+    t = F.col("_t")
     has_o, has_s = F.col("_o").isNotNull(), F.col("_s").isNotNull()
     stays = has_o & has_s & _same("o_", "s_", tracked)
-    end_type = state.schema[END].dataType
     closing = F.when(
         has_o & ~stays,
         F.struct(*[F.col(f"o_{c}").alias(c) for c in cols], F.col(f"o_{START}").alias(START), t.cast(end_type).alias(END)),

@@ -63,8 +63,8 @@ def silver_from_snapshots(bronze: DataFrame, cfg: TableConfig, snapshot_ids, *,
     state = None
     for i in ids:
         snap = bronze.where(F.col(SNAPSHOT_ID) == i)
-        at = snap.select("_ingested_at").limit(1)
         view = snapshot_view(snap, cfg).df
-        t = at.first()[0]
+        # the snapshot's load time as a scalar subquery: lazy, and keeps the column's type
+        t = snap.agg(F.min("_ingested_at")).scalar()
         state = scd2_start(view, t) if state is None else scd2_apply_snapshot(state, view, cfg.keys, t, cfg.history_columns)
     return state
