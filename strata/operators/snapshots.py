@@ -139,11 +139,14 @@ def scd2_from_snapshots(
     snapshot_col: str = "_snapshot_id",
     time_col: str = "_ingested_at",
     track_history_columns: Sequence[str] | None = None,
+    loads: DataFrame | None = None,
 ) -> DataFrame:
     """SCD type 2 rebuilt at once from stacked snapshots (ids 1..N without gaps).
 
     Same result as applying the snapshots one by one with :func:`scd2_apply_snapshot`.
     A key has at most one row per snapshot, so the per-key window holds at most N rows.
+    ``loads`` (snapshot_col, time_col) lists every load; needed when a snapshot was empty,
+    otherwise taken from the rows.
     """
     keys = list(keys)
     attrs = [c for c in snapshots.columns if c not in (*keys, snapshot_col, time_col)]
@@ -161,7 +164,7 @@ def scd2_from_snapshots(
         F.max_by(F.struct(*attrs), F.col(snapshot_col)).alias("_last"),
     )
     # one row per snapshot: tiny, broadcast
-    times = snapshots.groupBy(snapshot_col).agg(F.min(time_col).alias("_t")).select(
+    times = (loads if loads is not None else snapshots).groupBy(snapshot_col).agg(F.min(time_col).alias("_t")).select(
         (F.col(snapshot_col) - 1).alias("_prev_id"), "_t"
     )
     ended = versions.join(F.broadcast(times), versions["_last_id"] == times["_prev_id"], "left")
