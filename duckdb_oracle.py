@@ -490,3 +490,15 @@ ORACLE["table_profile"] = with_(
     f"SELECT '{c}' AS column_name, rows, n{i} AS nulls, CAST(n{i} AS DOUBLE) / rows AS null_rate, max_ts FROM s"
     for i, c in enumerate(_PROF)
 )
+
+# The pipelines publish exactly what the set forms describe
+ORACLE["silver_customers"] = ORACLE["scd2_tracked_columns"]
+ORACLE["silver_orders"] = ORACLE["scd1_from_snapshots"]
+ORACLE["silver_products"] = ORACLE["scd2_from_changes"]
+ORACLE["dq_fail"] = with_(OR, ("o", orders_clean("_snapshot_id = 1", drop=False))) + " UNION ALL ".join(
+    [
+        _metric("orders", "positive_amount", "drop", "amount >= 0", "o"),
+        _metric("orders", "known_customer", "warn", "customer_id IS NOT NULL", "o"),
+        _metric("orders", "has_date", "fail", "order_date IS NOT NULL", "o"),
+    ]
+).replace("SELECT 'orders' AS table_name, ", "SELECT ").replace(" FROM o", ", true AS update_failed, false AS published FROM o")

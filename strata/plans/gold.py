@@ -59,3 +59,18 @@ def masked_view(customers: DataFrame, segment: str) -> DataFrame:
     return customers.where(F.lower("segment") == segment.lower()).select(
         "customer_id", "name", mask_email("email").alias("email"), "segment"
     )
+
+
+def materialize(df: DataFrame, path: str) -> DataFrame:
+    """Write a Gold table (replacing the previous contents) and return it read back."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def create_view(df: DataFrame, name: str, global_view: bool = False) -> str:
+    """Publish a Gold/ops query as a named view (re-evaluated on every read)."""
+    if global_view:
+        df.createOrReplaceGlobalTempView(name)
+        return f"global_temp.{name}"
+    df.createOrReplaceTempView(name)
+    return name

@@ -373,6 +373,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 
+QUERIES["silver_products"] = silver_products
+
+
+def _io_queries():
+    from strata.plans.registry_io import QUERIES_IO
+
+    return QUERIES_IO
+
+
 def wrap(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         _setup(spark)
@@ -383,5 +392,9 @@ def wrap(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return run
 
 
+def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {**QUERIES, **_io_queries()}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: wrap(v) for k, v in QUERIES.items()}
+    return {k: wrap(v) for k, v in all_queries().items()}
