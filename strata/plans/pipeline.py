@@ -37,9 +37,11 @@ class Lake:
         return "/".join([self.root, "_checkpoints", *parts])
 
 
-def load_source_table(lake: Lake, source: SourceConfig, cfg: TableConfig, data: DataFrame, ingested_at=None) -> bz.LoadResult:
-    """Full load: the whole source table becomes the next Bronze snapshot."""
-    return bz.load_snapshot(lake.spark, data, lake.bronze_path(source.name, cfg.name), cfg.name, ingested_at)
+def load_source_table(
+    lake: Lake, source: SourceConfig, cfg: TableConfig, data: DataFrame, ingested_at=None, snapshot_id: int | None = None
+) -> bz.LoadResult:
+    """Full load: the whole source table becomes the next Bronze snapshot (or snapshot ``snapshot_id``)."""
+    return bz.load_snapshot(lake.spark, data, lake.bronze_path(source.name, cfg.name), cfg.name, ingested_at, snapshot_id)
 
 
 def run_snapshot_table(lake: Lake, source: SourceConfig, cfg: TableConfig, snapshot_id: int | None = None) -> dict:

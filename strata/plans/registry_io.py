@@ -33,7 +33,7 @@ def _snapshot_pipeline(spark: SparkSession, sf: str, table: str) -> DataFrame:
     derive = model.customers_snapshots if table == "customers" else model.orders_snapshots
     for k in (1, 2, 3):
         raw = derive(spark, sf, snapshots=(k,)).drop("_snapshot_id", "_ingested_at")
-        load_source_table(lake, src, cfg, raw, model.SNAPSHOT_LOADED_AT[k])
+        load_source_table(lake, src, cfg, raw, model.SNAPSHOT_LOADED_AT[k], snapshot_id=k)
         run_snapshot_table(lake, src, cfg, snapshot_id=k)
     return read_silver(lake, src.name, cfg)
 

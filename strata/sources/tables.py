@@ -21,7 +21,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BUCKET = "_bucket"
-DEFAULT_BUCKETS = 64
+# Buckets bound the write parallelism of a full rewrite and the granularity of a partial
+# one; size them to the table (about one bucket per GB of Silver data).
+DEFAULT_BUCKETS = 256
 
 
 def bucket_of(keys: Sequence[str], buckets: int) -> Column:
@@ -90,7 +92,9 @@ class VersionedTable:
         Not visible until :meth:`commit`.
         """
         out = df if BUCKET in df.columns else self.with_bucket(df)
-        out.write.mode("overwrite").partitionBy(BUCKET).parquet(f"{self.root}/v={version}")
+        # cluster by bucket first: each bucket is written by one task, as one file, instead
+        # of every task writing a small file into every bucket
+        out.repartition(F.col(BUCKET)).write.mode("overwrite").partitionBy(BUCKET).parquet(f"{self.root}/v={version}")
         self._pending = (version, None if touched is None else set(touched))
 
     def commit(self, version: int) -> dict[int, int]:
