@@ -91,9 +91,14 @@ def scd2_apply_snapshot(
     keys: Sequence[str],
     at,
     track_history_columns: Sequence[str] | None = None,
+    co_partition: str | None = None,
 ) -> DataFrame:
     """Apply one snapshot taken at ``at`` to an SCD2 table.
 
+    ``co_partition`` names a column present on both sides that is a function of the keys
+    (the Silver bucket): both sides are hash-partitioned on it and it joins the keys in the
+    join condition, so the one shuffle also leaves the output clustered for a bucketed write.
+
     Per key (full outer join of the open versions with the snapshot):
     unchanged -> stays open (untracked columns take the snapshot's values);
     tracked change -> closed at ``at`` and a new version opened at ``at``;
@@ -101,16 +106,22 @@ def scd2_apply_snapshot(
     new key (or a key that returns after a deletion) -> opened at ``at``.
     """
     keys = list(keys)
-    attrs = _attrs(snapshot, keys)
+    attrs = [c for c in _attrs(snapshot, keys) if c != co_partition]
     tracked = list(track_history_columns) if track_history_columns else attrs
     t = as_ts(at)
     cols = [*keys, *attrs]
     open_ = state.where(F.col(END).isNull())
     closed = state.where(F.col(END).isNotNull())
+    if co_partition:
+        cols = [*cols, co_partition]
+        open_, snapshot = open_.repartition(F.col(co_partition)), snapshot.repartition(F.col(co_partition))
 
     o = open_.select(*[F.col(c).alias(f"o_{c}") for c in [*cols, START]], F.lit(True).alias("_o"))
     s = snapshot.select(*[F.col(c).alias(f"s_{c}") for c in cols], F.lit(True).alias("_s"))
-    j = o.join(s, null_safe_eq([F.col(f"o_{k}") for k in keys], [F.col(f"s_{k}") for k in keys]), "full_outer")
+    cond = null_safe_eq([F.col(f"o_{k}") for k in keys], [F.col(f"s_{k}") for k in keys])
+    if co_partition:  # never NULL: plain equality keeps the join on the existing partitioning
+        cond = (F.col(f"o_{co_partition}") == F.col(f"s_{co_partition}")) & cond
+    j = o.join(s, cond, "full_outer")
     end_type = state.schema[END].dataType
     # the load time may be a scalar subquery: evaluate it once into a column
     j = j.withColumn("_t", t.cast(end_type))

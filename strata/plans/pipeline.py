@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from strata.config import SourceConfig, TableConfig
 from strata.operators.snapshots import scd2_apply_snapshot, scd2_start
 from strata.plans.silver import snapshot_view
+from strata.session import sql_conf
 from strata.sources import bronze as bz
 from strata.sources.tables import BUCKET, DEFAULT_BUCKETS, VersionedTable
 from strata.streaming.ingest import apply_changes_stream, ingest_files
@@ -55,16 +56,26 @@ def run_snapshot_table(lake: Lake, source: SourceConfig, cfg: TableConfig, snaps
     sid = snapshot_id if snapshot_id is not None else int(snap.agg(F.max(bz.SNAPSHOT_ID)).first()[0])
     silver = lake.silver(source.name, cfg)
     checked = snapshot_view(snap, cfg, observe=True)
+    clustered = False
     if cfg.scd_type == 1:
         rows = checked.df
     else:
         at = snap.agg(F.min(bz.INGESTED_AT)).scalar()
         if silver.exists():
-            state = silver.read().drop(BUCKET)
-            rows = scd2_apply_snapshot(state, checked.df, cfg.keys, at, cfg.history_columns)
+            # open versions and the snapshot meet co-partitioned on the Silver bucket: the join's
+            # shuffle is also the write's clustering; closed history streams through from its files
+            state = silver.read()
+            rows = scd2_apply_snapshot(state, silver.with_bucket(checked.df), cfg.keys, at, cfg.history_columns, co_partition=BUCKET)
+            clustered = True
         else:
             rows = scd2_start(checked.df, at)
-    silver.write(rows, sid)
+    if clustered:
+        # the bucket alone (a function of the unique keys, so evenly filled) is enough to
+        # co-partition the join; let Spark use it instead of re-shuffling on all join keys
+        with sql_conf(lake.spark, spark__sql__requireAllClusterKeysForCoPartition="false"):
+            silver.write(rows, sid, clustered=True)
+    else:
+        silver.write(rows, sid)
     checked.raise_on_fail()
     manifest = silver.commit(sid)
     return {"table": cfg.name, "version": sid, "buckets": len(manifest), "rules": checked.metrics()}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 
@@ -60,3 +61,20 @@ def scratch_path(spark: SparkSession, *parts: str) -> str:
     """A path below the shared checkpoint folder, for tables a job writes for itself."""
     base = checkpoint_dir(spark).rstrip("/")
     return "/".join([base, "strata", *parts])
+
+
+@contextlib.contextmanager
+def sql_conf(spark: SparkSession, **settings: str):
+    """Set SQL settings for the actions run inside the block, then restore them."""
+    keys = {k.replace("__", "."): v for k, v in settings.items()}
+    before = {k: spark.conf.get(k, None) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)

@@ -86,15 +86,19 @@ class VersionedTable:
     def with_bucket(self, df: DataFrame) -> DataFrame:
         return df.withColumn(BUCKET, bucket_of(self.keys, self.buckets))
 
-    def write(self, df: DataFrame, version: int, touched: Iterable[int] | None = None) -> None:
+    def write(self, df: DataFrame, version: int, touched: Iterable[int] | None = None, clustered: bool = False) -> None:
         """Write the rows of the touched buckets (all buckets when ``touched`` is None) as ``version``.
 
+        Rows are clustered by bucket first, so each bucket is written by one task as one file
+        instead of every task writing a small file into every bucket.  ``clustered`` says the
+        caller's plan already holds each bucket in few tasks (e.g. a join co-partitioned on the
+        bucket, or rows read back from bucket folders), which saves that shuffle.
         Not visible until :meth:`commit`.
         """
         out = df if BUCKET in df.columns else self.with_bucket(df)
-        # cluster by bucket first: each bucket is written by one task, as one file, instead
-        # of every task writing a small file into every bucket
-        out.repartition(F.col(BUCKET)).write.mode("overwrite").partitionBy(BUCKET).parquet(f"{self.root}/v={version}")
+        if not clustered:
+            out = out.repartition(F.col(BUCKET))
+        out.write.mode("overwrite").partitionBy(BUCKET).parquet(f"{self.root}/v={version}")
         self._pending = (version, None if touched is None else set(touched))
 
     def commit(self, version: int) -> dict[int, int]:
