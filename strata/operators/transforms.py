@@ -28,3 +28,14 @@ def apply_transforms(df: DataFrame, cfg: TableConfig | Sequence[dict[str, str]],
 
 def drop_if_present(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.drop(*[c for c in cols if c in df.columns])
+
+
+def cleaned_key(cfg: TableConfig, key: str):
+    """The key column as Silver will hold it: the configured transforms of that column, in order."""
+    from pyspark.sql import functions as F
+
+    col = F.col(key)
+    for step in cfg.transforms:
+        if step["column"] == key:
+            col = transform(step["fn"], col, table=cfg.name, column=key)
+    return col

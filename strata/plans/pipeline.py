@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from strata.config import SourceConfig, TableConfig
 from strata.operators.snapshots import scd2_apply_snapshot, scd2_start
+from strata.operators.transforms import cleaned_key
 from strata.plans.silver import snapshot_view
 from strata.session import sql_conf
 from strata.sources import bronze as bz
@@ -93,7 +94,9 @@ def run_files_table(lake: Lake, source: SourceConfig, cfg: TableConfig, location
         cfg.pattern,
         bronze_path,
         lake.checkpoint(source.name, cfg.name, "bronze"),
-        keys=cfg.keys,
+        # bucket by the key as Silver holds it (after cleaning): all raw spellings of one
+        # key land in one bucket, so rebuilding a bucket sees the key's whole history
+        keys=[cleaned_key(cfg, k) for k in cfg.keys],
         buckets=lake.buckets,
     )
     batches = apply_changes_stream(

@@ -26,9 +26,10 @@ BUCKET = "_bucket"
 DEFAULT_BUCKETS = 256
 
 
-def bucket_of(keys: Sequence[str], buckets: int) -> Column:
-    """Stable bucket of a key: ``pmod(xxhash64(keys), buckets)``."""
-    return F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(buckets)).cast("int")
+def bucket_of(keys: Sequence[str | Column], buckets: int) -> Column:
+    """Stable bucket of a key: ``pmod(xxhash64(keys), buckets)`` (names or key expressions)."""
+    cols = [F.col(k) if isinstance(k, str) else k for k in keys]
+    return F.pmod(F.xxhash64(*cols), F.lit(buckets)).cast("int")
 
 
 class VersionedTable:

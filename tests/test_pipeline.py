@@ -138,3 +138,22 @@ def test_jdbc_partitioned_read(spark):
     got = read_table(spark, url, "NUMS", partition_column="ID", num_partitions=4)
     assert got.rdd.getNumPartitions() == 4
     assert got.count() == 1000 and got.where("GRP = 3").count() == 143
+
+
+def test_files_pipeline_raw_key_spellings_share_history(spark, tmp_root):
+    """Raw keys that clean to the same key (' P-6 ' and 'P-6') must rebuild together."""
+    src = SourceConfig.from_dict(CRM_FILES)
+    cfg = src.table("products")
+    landing = os.path.join(tmp_root, "landing")
+    os.makedirs(landing)
+    lake = Lake(spark, os.path.join(tmp_root, "lake"), buckets=16)
+    codes = [f"P-{i}" for i in range(12)]
+    _write_csv(landing, "products_1_a.csv", [(f" {c}  ", "Thing", "Cat", "1.00", "2026-01-01") for c in codes], dt.datetime(2026, 10, 1, 8))
+    run_files_table(lake, src, cfg, landing)
+    _write_csv(landing, "products_2_b.csv", [(c, "Thing", "Cat", "2.00", "2026-01-02") for c in codes], dt.datetime(2026, 10, 2, 8))
+    run_files_table(lake, src, cfg, landing)
+    got = read_silver(lake, "crm_files", cfg).collect()
+    per = {}
+    for r in got:
+        per.setdefault(r.product_code, []).append((r.price, r[END] is None))
+    assert {k: sorted(v) for k, v in per.items()} == {c: [("1.00", False), ("2.00", True)] for c in codes}
