@@ -70,6 +70,7 @@ def scd1_from_changes(
     sequence_by: str,
     except_columns: Sequence[str] = (),
     apply_as_deletes: str | Column | None = None,
+    cluster_by: str | None = None,
 ) -> DataFrame:
     """Latest row per key by sequence (SCD type 1).
 
@@ -77,6 +78,7 @@ def scd1_from_changes(
     sequence are broken by the row values, so the result does not depend on arrival order.
     With ``apply_as_deletes`` a key whose latest change matches the predicate is removed.
     """
+    keys = [*keys, cluster_by] if cluster_by else list(keys)
     cols = _cols(changes, except_columns)
     rest = [c for c in cols if c not in keys and c != sequence_by]
     fields = [F.col(sequence_by).alias("_seq")]
@@ -115,10 +117,14 @@ def _version_aggs(sequence_by: str, payload: list[str], nseq: Column, nchg: Colu
     ]
 
 
-def _plain_versions(rows: DataFrame, keys: list[str], seq: str, payload: list[str], tracked: list[str]) -> DataFrame:
-    # One hash shuffle on the keys serves the dedupe, the ordered scan and the version
-    # aggregate: all three only need the rows of a key together (keys here are not hot).
-    by_key = dedupe_key_seq(rows.repartition(*keys), keys, seq)
+def _plain_versions(
+    rows: DataFrame, keys: list[str], seq: str, payload: list[str], tracked: list[str], part: list[str] | None, clustered: bool
+) -> DataFrame:
+    # One hash shuffle serves the dedupe, the ordered scan and the version aggregate: all
+    # three only need the rows of a key together (keys here are not hot).  ``part`` may be a
+    # column derived from the keys (the Silver bucket), whose partitioning then also serves
+    # the bucketed write; ``clustered`` means the input is already partitioned that way.
+    by_key = dedupe_key_seq(rows if clustered else rows.repartition(*(part or keys)), keys, seq)
     scanned = _scan_flags(by_key, keys, seq, tracked)
     return scanned.groupBy(*keys, F.col("_lver").alias("_ver")).agg(
         *_version_aggs(seq, payload, F.col("_nseq"), F.col("_nchg"))
@@ -126,11 +132,11 @@ def _plain_versions(rows: DataFrame, keys: list[str], seq: str, payload: list[st
 
 
 def _hot_versions(tagged: DataFrame, keys: list[str], seq: str, payload: list[str], tracked: list[str]) -> DataFrame:
-    rows = dedupe_key_seq(tagged, keys, seq, extra_group=["_bucket"])
-    part = [*keys, "_bucket"]
+    rows = dedupe_key_seq(tagged, keys, seq, extra_group=["_seqb"])
+    part = [*keys, "_seqb"]
     scanned = _scan_flags(rows, part, seq, tracked)
     # Summary: one row per (key, bucket); bounded by total_rows / bucket_rows.
-    wb = Window.partitionBy(*keys).orderBy("_bucket")
+    wb = Window.partitionBy(*keys).orderBy("_seqb")
     summary = scanned.groupBy(*part).agg(
         F.min_by("_trk", F.col(seq)).alias("_ftrk"),
         F.max_by("_trk", F.col(seq)).alias("_ltrk"),
@@ -145,9 +151,9 @@ def _hot_versions(tagged: DataFrame, keys: list[str], seq: str, payload: list[st
         .withColumn("_off", F.col("_cum") - F.col("_nl") - F.lit(1))
         .withColumn("_bseq", F.lead("_fseq").over(wb))
         .withColumn("_bnchg", F.lead("_bchg").over(wb))
-        .select(*[F.col(k).alias(f"_sk{i}") for i, k in enumerate(keys)], F.col("_bucket").alias("_sb"), "_off", "_bseq", "_bnchg")
+        .select(*[F.col(k).alias(f"_sk{i}") for i, k in enumerate(keys)], F.col("_seqb").alias("_sb"), "_off", "_bseq", "_bnchg")
     )
-    cond = null_safe_eq([F.col(k) for k in keys] + [F.col("_bucket")], [F.col(f"_sk{i}") for i in range(len(keys))] + [F.col("_sb")])
+    cond = null_safe_eq([F.col(k) for k in keys] + [F.col("_seqb")], [F.col(f"_sk{i}") for i in range(len(keys))] + [F.col("_sb")])
     joined = scanned.join(F.broadcast(summary), cond, "left")
     # a bucket's first row: its flag is _bchg (already in _off); _lver counts it as 1
     ver = F.col("_off") + F.col("_lver")
@@ -171,6 +177,8 @@ def scd2_from_changes(
     *,
     hot_key_rows: int | None = HOT_KEY_ROWS,
     bucket_rows: int = BUCKET_ROWS,
+    cluster_by: str | None = None,
+    clustered: bool = False,
 ) -> DataFrame:
     """SCD type 2 from an ordered change stream.
 
@@ -180,8 +188,12 @@ def scd2_from_changes(
     the value of the version's last row.  Rows with equal (keys, sequence) are de-duplicated
     first.  Result: the input columns (minus ``except_columns``) plus ``__START_AT``/``__END_AT``;
     the sequence column holds the version's last sequence value.
+
+    ``cluster_by`` names a column that is a function of the keys (the Silver bucket): it is
+    carried through, and the single shuffle partitions on it (``clustered``: the input
+    already is), so the result can be written bucketed without another shuffle.
     """
-    keys = list(keys)
+    keys = [*keys, cluster_by] if cluster_by else list(keys)
     cols = _cols(changes, except_columns)
     attrs = [c for c in cols if c not in keys and c != sequence_by]
     tracked = list(track_history_columns) if track_history_columns else attrs
@@ -207,16 +219,17 @@ def scd2_from_changes(
                 (F.ceil(F.col("_n") / F.lit(bucket_rows)) - 1).alias("_maxb"),
             )
 
+    part = [cluster_by] if cluster_by else None
     if hot is None:
-        versions = _plain_versions(base, keys, sequence_by, payload, tracked)
+        versions = _plain_versions(base, keys, sequence_by, payload, tracked, part, clustered)
     else:
         cond = null_safe_eq([F.col(k) for k in keys], [F.col(f"_hk{i}") for i in range(len(keys))])
         tagged = base.join(F.broadcast(hot), cond, "left")
         bucket = F.least(F.floor((num - F.col("_lo")) / F.col("_width")), F.col("_maxb")).cast("long")
         is_hot = F.col("_width").isNotNull()
         plain_in = tagged.where(~is_hot).select(*cols)
-        hot_in = tagged.where(is_hot).withColumn("_bucket", bucket).select(*cols, "_bucket")
-        versions = _plain_versions(plain_in, keys, sequence_by, payload, tracked).unionByName(
+        hot_in = tagged.where(is_hot).withColumn("_seqb", bucket).select(*cols, "_seqb")
+        versions = _plain_versions(plain_in, keys, sequence_by, payload, tracked, part, clustered).unionByName(
             _hot_versions(hot_in, keys, sequence_by, payload, tracked)
         )
 

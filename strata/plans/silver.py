@@ -33,19 +33,30 @@ def snapshots_view(bronze: DataFrame, cfg: TableConfig, observe: bool = False) -
     return check(apply_transforms(df, cfg), cfg, observe=observe)
 
 
-def changes_view(bronze_rows: DataFrame, cfg: TableConfig, observe: bool = False) -> CheckedFrame:
-    """Change rows: exact (key, sequence) duplicates removed on the raw key, then cleaned and checked."""
+def changes_view(bronze_rows: DataFrame, cfg: TableConfig, observe: bool = False, cluster_by: str | None = None) -> CheckedFrame:
+    """Change rows: exact (key, sequence) duplicates removed on the raw key, then cleaned and checked.
+
+    With ``cluster_by`` (a column derived from the cleaned key, e.g. the Silver bucket) the
+    rows are hash-partitioned on it once, and that partitioning serves this dedupe and the
+    SCD step after it (see :func:`scd_from_changes` with ``clustered=True``).
+    """
     seq = cfg.sequence_by or DEFAULT_SEQUENCE
-    deduped = dedupe_key_seq(bronze_rows, list(cfg.keys), seq)
+    if cluster_by:
+        rows = bronze_rows.repartition(F.col(cluster_by))
+        deduped = dedupe_key_seq(rows, list(cfg.keys), seq, extra_group=[cluster_by])
+    else:
+        deduped = dedupe_key_seq(bronze_rows, list(cfg.keys), seq)
     return check(apply_transforms(deduped, cfg), cfg, observe=observe)
 
 
-def scd_from_changes(changes: DataFrame, cfg: TableConfig, **kw) -> DataFrame:
+def scd_from_changes(changes: DataFrame, cfg: TableConfig, cluster_by: str | None = None, clustered: bool = False, **kw) -> DataFrame:
     """SCD1 or SCD2 from cleaned change rows (duplicates after cleaning resolved again)."""
     seq = cfg.sequence_by or DEFAULT_SEQUENCE
     if cfg.scd_type == 1:
-        return scd1_from_changes(changes, cfg.keys, seq, STREAM_EXCEPT, cfg.apply_as_deletes)
-    return scd2_from_changes(changes, cfg.keys, seq, cfg.history_columns, STREAM_EXCEPT, **kw)
+        return scd1_from_changes(changes, cfg.keys, seq, STREAM_EXCEPT, cfg.apply_as_deletes, cluster_by=cluster_by)
+    return scd2_from_changes(
+        changes, cfg.keys, seq, cfg.history_columns, STREAM_EXCEPT, cluster_by=cluster_by, clustered=clustered, **kw
+    )
 
 
 def silver_from_snapshots(bronze: DataFrame, cfg: TableConfig, snapshot_ids, *, incremental: bool = True) -> DataFrame:

@@ -93,9 +93,12 @@ def apply_changes_stream(
             bad = {k: v["failed"] for k, v in m.items() if v["action"] == "fail" and v["failed"]}
             if bad:
                 raise ExpectationFailed(cfg.name, bad)
-        history = spark.read.parquet(bronze_path).where(F.col(BUCKET).isin(touched)).drop(BUCKET)
-        rows = scd_from_changes(changes_view(history, cfg).df, cfg)
-        silver.write(rows, batch_id, touched)
+        # Bronze is partitioned by the cleaned-key bucket: read only the touched buckets, and
+        # let one shuffle on the bucket serve the dedupe, the SCD scan and the bucketed write
+        history = spark.read.parquet(bronze_path).where(F.col(BUCKET).isin(touched))
+        view = changes_view(history, cfg, cluster_by=BUCKET).df
+        rows = scd_from_changes(view, cfg, cluster_by=BUCKET, clustered=True)
+        silver.write(rows, batch_id, touched, clustered=True)
         silver.commit(batch_id)
 
     q = stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
