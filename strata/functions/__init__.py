@@ -6,6 +6,7 @@ from strata.functions.cleaning import (
     normalize_email,
     parse_date_multi,
     transform,
+    with_function,
 )
 from strata.functions.report import normalize_report
 from strata.functions.sql import register_functions
@@ -20,4 +21,5 @@ __all__ = [
     "parse_date_multi",
     "register_functions",
     "transform",
+    "with_function",
 ]

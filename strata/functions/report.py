@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -13,10 +13,11 @@ def normalize_report(df: DataFrame, column: str, fn, name: str | None = None) ->
     ``unchanged`` when the result, read as text, equals the input.  Columns:
     function, rows, null_in, nulled, changed, unchanged.
     """
-    src = F.col(column)
-    out: Column = fn(src)
-    same = out.cast("string").eqNullSafe(src)
-    return df.select(src.alias("_in"), out.alias("_out"), same.alias("_same")).agg(
+    from strata.functions.cleaning import with_function
+
+    staged = with_function(df.select(F.col(column).alias("_in")), "_out", fn, "_in")
+    same = F.col("_out").cast("string").eqNullSafe(F.col("_in"))
+    return staged.select("_in", "_out", same.alias("_same")).agg(
         F.lit(name or getattr(fn, "__name__", "fn")).alias("function"),
         F.count(F.lit(1)).alias("rows"),
         F.count_if(F.col("_in").isNull()).alias("null_in"),

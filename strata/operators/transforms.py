@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 
 from strata.config import TableConfig
-from strata.functions.cleaning import transform
+from strata.functions.cleaning import lookup, transform, with_function
 
 #: Lineage columns added on ingestion.  Dropped before snapshots are compared (they change on
 #: every load); on the change-stream path only the file path and load time are dropped.
@@ -22,7 +22,7 @@ def apply_transforms(df: DataFrame, cfg: TableConfig | Sequence[dict[str, str]],
         col = step["column"]
         if col not in df.columns:
             raise KeyError(f"{name}: transform {step['fn']} targets missing column {col}")
-        df = df.withColumns({col: transform(step["fn"], col, table=name, column=col)})
+        df = with_function(df, col, lookup(step["fn"], table=name, column=col))
     return df
 
 

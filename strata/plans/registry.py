@@ -18,6 +18,7 @@ from strata.functions.cleaning import (
     mask_email,
     normalize_email,
     parse_date_multi,
+    with_function,
 )
 from strata.functions.report import normalize_report
 from strata.functions.sql import register_functions
@@ -93,13 +94,13 @@ def q_clean_string(spark, sf):
 
 
 def q_normalize_email(spark, sf):
-    c = _customers_snapshot(spark, sf, 1)
-    return c.select("customer_id", normalize_email("email").alias("email"))
+    c = _customers_snapshot(spark, sf, 1).select("customer_id", "email")
+    return with_function(c, "email", normalize_email)
 
 
 def q_parse_date_multi(spark, sf):
-    o = model.orders_snapshots(spark, sf, snapshots=(1,))
-    return o.select("order_id", parse_date_multi("order_date").alias("order_date"))
+    o = model.orders_snapshots(spark, sf, snapshots=(1,)).select("order_id", "order_date")
+    return with_function(o, "order_date", parse_date_multi)
 
 
 def q_mask_email(spark, sf):
@@ -108,8 +109,8 @@ def q_mask_email(spark, sf):
 
 
 def q_lower_clean(spark, sf):
-    o = model.orders_snapshots(spark, sf, snapshots=(1,))
-    return o.select("order_id", lower_clean("status").alias("status"))
+    o = model.orders_snapshots(spark, sf, snapshots=(1,)).select("order_id", "status")
+    return with_function(o, "status", lower_clean)
 
 
 def q_normalize_report(spark, sf):
