@@ -275,8 +275,9 @@ def q_scd2_late_arrival(spark, sf):
     from strata.session import checkpoint_dir
 
     cfg = products_cfg()
-    rows = _products_clean_changes(spark, sf)
     checkpoint_dir(spark)
+    # the cleaned change rows, stored once (as Bronze would hold them); batches read from it
+    rows = _products_clean_changes(spark, sf).checkpoint()
     log, state = None, None
     for arrived in sorted(model.FILE_ARRIVED_AT.values()):
         batch = rows.where(F.col("_ingested_at") == F.lit(arrived).cast("timestamp_ntz"))
