@@ -157,3 +157,31 @@ def test_files_pipeline_raw_key_spellings_share_history(spark, tmp_root):
     for r in got:
         per.setdefault(r.product_code, []).append((r.price, r[END] is None))
     assert {k: sorted(v) for k, v in per.items()} == {c: [("1.00", False), ("2.00", True)] for c in codes}
+
+
+def test_stream_fail_rule_keeps_previous_version(spark, tmp_root):
+    base = SourceConfig.from_dict(CRM_FILES)
+    t = base.table("products")
+    cfg = TableConfig(
+        name=t.name,
+        keys=t.keys,
+        scd_type=2,
+        sequence_by=t.sequence_by,
+        track_history_columns=t.track_history_columns,
+        transforms=t.transforms,
+        expectations={**t.expectations, "price_sane": {"expr": "try_cast(price AS DECIMAL(12,2)) < 5000", "action": "fail"}},
+        pattern=t.pattern,
+    )
+    src = SourceConfig(name=base.name, type=base.type, format="csv", options=base.options, tables=(cfg,))
+    landing = os.path.join(tmp_root, "landing")
+    os.makedirs(landing)
+    lake = Lake(spark, os.path.join(tmp_root, "lake"), buckets=4)
+    _write_csv(landing, "products_1.csv", FILE2, dt.datetime(2026, 10, 1, 8))
+    run_files_table(lake, src, cfg, landing)
+    silver = lake.silver("crm_files", cfg)
+    before = silver.current_version()
+    _write_csv(landing, "products_2.csv", [("P-100", "Laptop", "Hardware", "99999.00", "2026-10-02")], dt.datetime(2026, 10, 2, 8))
+    with pytest.raises(Exception, match="price_sane"):
+        run_files_table(lake, src, cfg, landing)
+    assert silver.current_version() == before
+    assert sorted(r.price for r in read_silver(lake, "crm_files", cfg).collect()) == ["1199.00", "79.00"]
