@@ -502,3 +502,23 @@ ORACLE["dq_fail"] = with_(OR, ("o", orders_clean("_snapshot_id = 1", drop=False)
         _metric("orders", "has_date", "fail", "order_date IS NOT NULL", "o"),
     ]
 ).replace("SELECT 'orders' AS table_name, ", "SELECT ").replace(" FROM o", ", true AS update_failed, false AS published FROM o")
+
+# files through the stream: the exports carry the model's modification times, so the
+# stream's Silver is the change-log SCD2
+ORACLE["file_stream_ingest"] = ORACLE["scd2_from_changes"]
+ORACLE["file_formats_read"] = with_(PR) + (
+    "SELECT f.format, product_code, product_name, category, price, valid_from FROM products_raw "
+    "CROSS JOIN (VALUES ('csv'), ('json'), ('parquet')) f(format)"
+)
+ORACLE["multi_table_full_load"] = with_(CR, OR) + (
+    "SELECT 'customers' AS table_name, 1 AS _snapshot_id, count(*) AS rows FROM customers_raw WHERE _snapshot_id = 1 "
+    "UNION ALL SELECT 'orders' AS table_name, 1 AS _snapshot_id, count(*) AS rows FROM orders_raw WHERE _snapshot_id = 1"
+)
+ORACLE["metadata_health"] = with_(CR, OR, PR) + (
+    "SELECT 'salesdb' AS source, 'customers' AS \"table\", 'full' AS load_type, CAST(2 AS BIGINT) AS scd_type, ['customer_id'] AS keys, "
+    "(SELECT count(*) FROM customers_raw WHERE _snapshot_id = 3) AS latest_rows, CAST(3 AS BIGINT) AS loads "
+    "UNION ALL SELECT 'salesdb', 'orders', 'full', CAST(1 AS BIGINT), ['order_id'], "
+    "(SELECT count(*) FROM orders_raw WHERE _snapshot_id = 3), CAST(3 AS BIGINT) "
+    "UNION ALL SELECT 'crm_files', 'products', 'files', CAST(2 AS BIGINT), ['product_code'], "
+    "(SELECT count(*) FROM products_raw), CAST(1 AS BIGINT)"
+)

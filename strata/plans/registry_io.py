@@ -6,6 +6,7 @@ Each call works in a fresh folder below the shared checkpoint folder
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,24 +48,32 @@ def q_silver_orders(spark, sf):
     return _snapshot_pipeline(spark, sf, "orders")
 
 
+CSV_OUT = {"header": "true", "delimiter": ";", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+
+
 def _write_landing(spark: SparkSession, sf: str, landing: str) -> None:
     """The product change rows as ';'-separated CSV exports named ``products_<n>_<part>.csv``.
 
-    Each export is written by Spark into a staging folder; its part files are then moved
-    into the landing folder under export names (file-system renames, no data through the driver).
+    Each export is written by Spark into a staging folder (values kept verbatim, padding
+    included); its part files are then moved into the landing folder under export names and
+    given the export's modification time, as the exporting system would (file-system
+    operations on a handful of files; no data passes through the driver).
     """
     rows = model.products_changes(spark, sf)
     cols = ["product_code", "product_name", "category", "price", "valid_from"]
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for f in sorted(model.FILE_ARRIVED_AT):
+    for f in sorted(model.FILE_ARRIVED_AT, key=lambda k: model.FILE_ARRIVED_AT[k]):
         staging = f"{landing}/_staging/{f}"
         part = rows.where(F.col("_file_path") == f"products_f{f}.csv").select(*cols)
-        part.write.option("header", "true").option("delimiter", ";").csv(staging)
+        part.write.options(**CSV_OUT).csv(staging)
         src = jvm.org.apache.hadoop.fs.Path(staging)
         fs = src.getFileSystem(conf)
+        mtime = int(dt.datetime.fromisoformat(model.FILE_MODIFIED_AT[f]).replace(tzinfo=dt.timezone.utc).timestamp() * 1000)
         for i, st in enumerate(s for s in fs.listStatus(src) if s.getPath().getName().endswith(".csv")):
-            fs.rename(st.getPath(), jvm.org.apache.hadoop.fs.Path(f"{landing}/products_{f}_{i:05d}.csv"))
+            target = jvm.org.apache.hadoop.fs.Path(f"{landing}/products_{f}_{i:05d}.csv")
+            fs.rename(st.getPath(), target)
+            fs.setTimes(target, mtime, -1)
 
 
 def q_file_stream_ingest(spark, sf):
@@ -75,7 +84,10 @@ def q_file_stream_ingest(spark, sf):
     landing = f"{lake.root}/landing"
     _write_landing(spark, sf, landing)
     run_files_table(lake, src, cfg, landing)
-    return read_silver(lake, src.name, cfg)
+    out = read_silver(lake, src.name, cfg)
+    # file times are zoned timestamps; shown as wall-clock UTC like the other tables
+    ntz = ["_file_modification_time", "__START_AT", "__END_AT"]
+    return out.select(*[F.col(c).cast("timestamp_ntz").alias(c) if c in ntz else F.col(c) for c in out.columns])
 
 
 def q_file_formats_read(spark, sf):
@@ -85,7 +97,7 @@ def q_file_formats_read(spark, sf):
     out = None
     for fmt, opts in (("csv", {"header": "true", "delimiter": ";"}), ("json", {}), ("parquet", {})):
         path = f"{lake.root}/{fmt}"
-        rows.write.format(fmt).options(**opts).save(path)
+        rows.write.format(fmt).options(**(CSV_OUT if fmt == "csv" else opts)).save(path)
         got = read_files(spark, path, fmt, opts, pattern=f"*.{fmt}", with_lineage=False).select(
             F.lit(fmt).alias("format"), *[F.col(c).cast("string") for c in rows.columns]
         )
