@@ -129,3 +129,34 @@ def cursor_increment(source: DataFrame, target: DataFrame | None, cursor: str) -
         return source
     mark = target.agg(F.max(cursor)).first()[0]
     return source if mark is None else source.where(F.col(cursor) > F.lit(mark))
+
+
+def register_table(
+    spark: SparkSession,
+    name: str,
+    path: str,
+    comment: str | None = None,
+    properties: dict[str, str] | None = None,
+    fmt: str = "parquet",
+) -> str:
+    """Name a path-based table in the catalog, with a comment and table properties.
+
+    E.g. a Bronze table tagged with its load type and change-feed flag.  The data stays where
+    it is; the catalog entry only points at it (schema and partitions read from the files).
+    Registering again after a load picks up the new snapshot partitions.
+    """
+
+    def q(v: str) -> str:
+        return v.replace("\\", "\\\\").replace("'", "\\'")
+
+    ddl = f"CREATE TABLE IF NOT EXISTS {name} USING {fmt} LOCATION '{q(path)}'"
+    if comment:
+        ddl += f" COMMENT '{q(comment)}'"
+    spark.sql(ddl)
+    if properties:
+        props = ", ".join(f"'{q(k)}' = '{q(v)}'" for k, v in properties.items())
+        spark.sql(f"ALTER TABLE {name} SET TBLPROPERTIES ({props})")
+    if any(c.isPartition for c in spark.catalog.listColumns(name)):
+        # partitioned tables list their partitions in the catalog: pick up the loaded snapshots
+        spark.sql(f"ALTER TABLE {name} RECOVER PARTITIONS")
+    return name

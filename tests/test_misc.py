@@ -66,3 +66,14 @@ def test_bronze_snapshot_ids_and_retry(spark, tmp_root):
     assert bz.read_current(spark, path).count() == 4
     assert bz.read_as_of(spark, path, snapshot_id=1).count() == 10
     assert bz.cursor_increment(df, df.where("k < 6"), "k").count() == 4
+
+
+def test_register_table_with_comment_and_properties(spark, tmp_root):
+    path = f"{tmp_root}/bronze_t"
+    bz.load_snapshot(spark, spark.range(7).withColumnRenamed("id", "k"), path, "t", "2026-01-01 00:00:00", 1)
+    name = bz.register_table(spark, "strata_bronze_t", path, "Bronze full load of t", {"strata.load_type": "full", "strata.change_feed": "true"})
+    assert spark.table(name).count() == 7
+    props = {r.key: r.value for r in spark.sql(f"SHOW TBLPROPERTIES {name}").collect()}
+    assert props["strata.load_type"] == "full" and props["strata.change_feed"] == "true"
+    desc = {r.col_name: r.data_type for r in spark.sql(f"DESCRIBE TABLE EXTENDED {name}").collect()}
+    assert desc.get("Comment") == "Bronze full load of t"
