@@ -53,7 +53,7 @@ CRM_FILES = {
     "source": {
         "name": "crm_files",
         "type": "files",
-        "ingestion_mode": "autoloader",
+        "ingestion_mode": "file_stream",
         "format": "csv",
         "location": "products/",
         "options": {"header": "true", "delimiter": ";"},
