@@ -119,7 +119,7 @@ def q_multi_table_full_load(spark, sf):
     src = SourceConfig.from_dict(SALESDB)
     lake = _lake(spark, "multi")
     derive = {"customers": model.customers_snapshots, "orders": model.orders_snapshots}
-    full = [t["name"] for t in bz.full_load_tables(spark, SALESDB["tables"])]
+    full = [t["name"] for t in bz.full_load_tables(SALESDB["tables"])]
     jobs = [
         (name, (lambda d=derive[name]: d(spark, sf, snapshots=(1,)).drop("_snapshot_id", "_ingested_at")), lake.bronze_path(src.name, name))
         for name in full

@@ -93,7 +93,7 @@ def read_as_of(spark: SparkSession, path: str, snapshot_id: int | None = None, t
     return b.where(F.col(SNAPSHOT_ID) == wanted.scalar())
 
 
-def full_load_tables(spark: SparkSession, tables: Sequence[dict]) -> list[dict]:
+def full_load_tables(tables: Sequence[dict]) -> list[dict]:
     """Which tables take the full load (``load.type`` defaults to full for databases)."""
     return [t for t in tables if t.get("load", {}).get("type", "full") == "full"]
 

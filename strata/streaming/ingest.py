@@ -12,12 +12,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strata.config import TableConfig
-from strata.operators.quality import ExpectationFailed, apply_drop, expectation_metrics
+from strata.operators.quality import ExpectationFailed, expectation_metrics
 from strata.operators.transforms import apply_transforms
 from strata.plans.silver import changes_view, scd_from_changes
 from strata.sources.files import header_schema, lineage
@@ -31,7 +31,7 @@ def file_stream(
     options: Mapping[str, str],
     pattern: str,
     schema: T.StructType,
-    keys=None,
+    keys: list[str | Column] | None = None,
     buckets: int | None = None,
 ) -> DataFrame:
     opts = {k: v for k, v in options.items() if k != "schemaHints"}
@@ -106,4 +106,4 @@ def apply_changes_stream(
     return metrics
 
 
-__all__ = ["apply_changes_stream", "apply_drop", "file_stream", "ingest_files"]
+__all__ = ["apply_changes_stream", "file_stream", "ingest_files"]

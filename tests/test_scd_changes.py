@@ -134,3 +134,22 @@ def test_dedupe_and_unique_check(spark):
     df = spark.createDataFrame([(1, 1, "b"), (1, 1, "a"), (1, 2, "c"), (None, 1, "x"), (None, 1, "x")], "k int, s int, v string")
     assert _rows(dedupe_key_seq(df, ["k"], "s"), ["k", "s", "v"]) == [(None, 1, "x"), (1, 1, "a"), (1, 2, "c")]
     assert _rows(unique_key_check(df, ["k"], "s"), ["k", "s", "n"]) == [(None, 1, 2), (1, 1, 2)]
+
+
+def test_hot_key_third_of_rows_matches_plain_path(spark):
+    """One key owns a third of 300k changes: bucketed scan == single ordered scan."""
+    n = 300_000
+    ids = spark.range(n)
+    hot = F.col("id") % 3 == 0
+    log = ids.select(
+        F.when(hot, F.lit(-1)).otherwise(F.col("id") % 5000).alias("k"),
+        F.col("id").alias("s"),
+        # long runs of equal values so versions span bucket boundaries
+        (F.floor(F.col("id") / 7000) % 4).cast("int").alias("a"),
+        (F.col("id") % 11).cast("int").alias("u"),
+    )
+    plain = scd2_from_changes(log, ["k"], "s", ["a"], hot_key_rows=None)
+    bucketed = scd2_from_changes(log, ["k"], "s", ["a"], hot_key_rows=50_000, bucket_rows=20_000)
+    assert "_seqb" in bucketed._jdf.queryExecution().optimizedPlan().toString()  # hot path taken
+    assert plain.exceptAll(bucketed).count() == 0 and bucketed.exceptAll(plain).count() == 0
+    assert bucketed.where("k = -1").count() == plain.where("k = -1").count() > 1
