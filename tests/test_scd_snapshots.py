@@ -113,3 +113,22 @@ def test_key_returns_after_deletion(spark):
     snaps = [[{"k": 1, "a": "x", "b": 1, "u": 0}], [], [{"k": 1, "a": "x", "b": 1, "u": 0}]]
     got = _rows(_apply_all(spark, snaps, None), ["k", START, END])
     assert got == [(1, TIMES[0], TIMES[1]), (1, TIMES[2], None)]
+
+
+def test_row_turning_invalid_is_treated_as_deleted(spark):
+    """Rules run before the SCD step: an order whose amount turns negative leaves Silver."""
+    cfg = table_config("salesdb", "orders")
+    schema = "_snapshot_id int, _ingested_at timestamp_ntz, order_id int, customer_id int, order_date string, amount int, status string, is_deleted boolean"
+    rows = [
+        (1, TIMES[0], 1, 7, "2026-02-01", 10, " open", False),
+        (1, TIMES[0], 2, 7, "01.02.2026", 20, "shipped", False),
+        (2, TIMES[1], 1, 7, "2026-02-01", -10, "shipped", False),
+        (2, TIMES[1], 2, 7, "01.02.2026", 20, "shipped", True),
+    ]
+    bronze = spark.createDataFrame(rows, schema)
+    got = silver_from_snapshots(bronze, cfg, [1, 2]).collect()
+    assert [(r.order_id, r.is_deleted, r.status) for r in got] == [(2, True, "shipped")]
+    # SCD2 view of the same: order 1's version is closed at the second load
+    cfg2 = cfg.__class__(name="orders", keys=cfg.keys, scd_type=2, transforms=cfg.transforms, expectations=cfg.expectations)
+    hist = {r.order_id: (r[START], r[END]) for r in silver_from_snapshots(bronze, cfg2, [1, 2]).where("order_id = 1").collect()}
+    assert hist == {1: (TIMES[0], TIMES[1])}
