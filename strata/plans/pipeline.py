@@ -107,3 +107,38 @@ def run_files_table(lake: Lake, source: SourceConfig, cfg: TableConfig, location
 
 def read_silver(lake: Lake, source: str, cfg: TableConfig, version: int | None = None) -> DataFrame:
     return lake.silver(source, cfg).read(version).drop(BUCKET)
+
+
+def run_source(lake: Lake, source: SourceConfig, inputs: dict[str, DataFrame] | None = None, location: str | None = None, ingested_at=None) -> list[dict]:
+    """Run every configured table of a source (the per-table loop of the metadata).
+
+    Database sources: each full-load table's DataFrame in ``inputs`` (e.g. a JDBC read)
+    becomes the next Bronze snapshot, then Silver is brought up to it.  File sources: new
+    files under ``location`` are ingested and applied.
+    """
+    results = []
+    for cfg in source.tables:
+        if source.type == "files":
+            results.append(run_files_table(lake, source, cfg, location))
+            continue
+        if cfg.load_type != "full":
+            raise ValueError(f"{cfg.name}: load type {cfg.load_type} needs an explicit cursor run (sources.bronze.cursor_increment)")
+        load_source_table(lake, source, cfg, inputs[cfg.name], ingested_at)
+        results.append(run_snapshot_table(lake, source, cfg))
+    return results
+
+
+def refresh_sales_gold(lake: Lake, salesdb: SourceConfig, crm: SourceConfig, gold_root: str | None = None) -> dict[str, str]:
+    """Gold for the sales domain from the published Silver tables.
+
+    ``revenue_by_customer_month`` is materialized (replaced); ``product_price_history`` is a
+    view over Silver products, re-evaluated on every read.
+    """
+    from strata.plans import gold
+
+    root = gold_root or f"{lake.root}/gold/sales"
+    orders = read_silver(lake, salesdb.name, salesdb.table("orders"))
+    customers = read_silver(lake, salesdb.name, salesdb.table("customers"))
+    gold.materialize(gold.revenue_by_customer_month(orders, customers), f"{root}/revenue_by_customer_month")
+    view = gold.create_view(gold.price_history(read_silver(lake, crm.name, crm.table("products"))), "product_price_history")
+    return {"revenue_by_customer_month": f"{root}/revenue_by_customer_month", "product_price_history": view}

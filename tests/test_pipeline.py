@@ -185,3 +185,25 @@ def test_stream_fail_rule_keeps_previous_version(spark, tmp_root):
         run_files_table(lake, src, cfg, landing)
     assert silver.current_version() == before
     assert sorted(r.price for r in read_silver(lake, "crm_files", cfg).collect()) == ["1199.00", "79.00"]
+
+
+def test_run_sources_and_gold(spark, tmp_root):
+    from strata.plans.pipeline import refresh_sales_gold, run_source
+
+    sales, crm = SourceConfig.from_dict(SALESDB), SourceConfig.from_dict(CRM_FILES)
+    lake = Lake(spark, os.path.join(tmp_root, "lake"), buckets=4)
+    customers = spark.createDataFrame(R1, CUST)
+    orders = spark.createDataFrame(
+        [(1, 1, "2026-02-01", 10, " open", False), (2, 2, "02/03/2026", 5, "cancelled", False), (3, 1, "20260215", 7, "SHIPPED", False)],
+        "order_id int, customer_id int, order_date string, amount int, status string, is_deleted boolean",
+    )
+    res = run_source(lake, sales, {"customers": customers, "orders": orders}, ingested_at="2026-01-01 06:00:00")
+    assert [r["table"] for r in res] == ["customers", "orders"]
+    landing = os.path.join(tmp_root, "landing")
+    os.makedirs(landing)
+    _write_csv(landing, "products_1.csv", FILE1, dt.datetime(2026, 10, 1, 8))
+    run_source(lake, crm, location=landing)
+    out = refresh_sales_gold(lake, sales, crm)
+    rev = spark.read.parquet(out["revenue_by_customer_month"]).collect()
+    assert sorted((r.customer_id, str(r.month), r.orders, int(r.revenue)) for r in rev) == [(1, "2026-02-01", 2, 17)]
+    assert spark.table(out["product_price_history"]).where("is_current").count() == 5
