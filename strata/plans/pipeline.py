@@ -50,12 +50,17 @@ def run_snapshot_table(lake: Lake, source: SourceConfig, cfg: TableConfig, snaps
     """Bring Silver up to one Bronze snapshot (default: the newest) and publish it.
 
     Rule counters are observed during the Silver write; a violated ``fail`` rule raises
-    before the commit, so readers keep seeing the previous version.
+    before the commit, so readers keep seeing the previous version.  Snapshots apply in id
+    order; re-running an id at or below the published version is a no-op.
     """
     path = lake.bronze_path(source.name, cfg.name)
     snap = bz.read_as_of(lake.spark, path, snapshot_id) if snapshot_id is not None else bz.read_current(lake.spark, path)
     sid = snapshot_id if snapshot_id is not None else int(snap.agg(F.max(bz.SNAPSHOT_ID)).first()[0])
     silver = lake.silver(source.name, cfg)
+    current = silver.current_version()
+    if current is not None and sid <= current:
+        # already applied (a retried run): published versions are immutable, nothing to do
+        return {"table": cfg.name, "version": current, "skipped": True, "rules": {}}
     checked = snapshot_view(snap, cfg, observe=True)
     clustered = False
     if cfg.scd_type == 1:

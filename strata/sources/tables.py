@@ -74,6 +74,10 @@ class VersionedTable:
     def exists(self) -> bool:
         return self.current_version() is not None
 
+    def is_committed(self, version: int) -> bool:
+        fs, p = self._fs(f"{self.root}/_commits/{version}.json")
+        return bool(fs.exists(p))
+
     def read(self, version: int | None = None, buckets: Iterable[int] | None = None) -> DataFrame:
         """The table as of a committed version (default newest), optionally only some buckets."""
         man = self.manifest(version)
@@ -96,6 +100,8 @@ class VersionedTable:
         bucket, or rows read back from bucket folders), which saves that shuffle.
         Not visible until :meth:`commit`.
         """
+        if self.is_committed(version):
+            raise ValueError(f"{self.root}: version {version} is already published and immutable")
         out = df if BUCKET in df.columns else self.with_bucket(df)
         if not clustered:
             out = out.repartition(F.col(BUCKET))

@@ -83,6 +83,8 @@ def apply_changes_stream(
     metrics: list[dict] = []
 
     def apply(batch: DataFrame, batch_id: int) -> None:
+        if silver.is_committed(batch_id):  # batch re-run after its version was published
+            return
         touched = [r[0] for r in batch.select(BUCKET).distinct().collect()]  # at most `buckets` values
         if not touched:
             return

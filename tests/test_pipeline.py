@@ -41,6 +41,11 @@ def test_snapshot_pipeline_two_rounds(spark, tmp_root):
     assert bz.read_as_of(spark, path, timestamp="2026-01-01 12:00:00").count() == 20
     assert bz.read_current(spark, path).count() == 20
     assert lake.silver("salesdb", cfg).read(1).count() == 20
+    # a retried run of a published snapshot is a no-op; published versions are immutable
+    assert run_snapshot_table(lake, src, cfg, snapshot_id=2)["skipped"]
+    with pytest.raises(ValueError, match="immutable"):
+        lake.silver("salesdb", cfg).write(spark.createDataFrame(R1, CUST), 2)
+    assert len(read_silver(lake, "salesdb", cfg).collect()) == 24
 
 
 def test_fail_rule_publishes_nothing(spark, tmp_root):
