@@ -108,11 +108,16 @@ def _scan_flags(rows: DataFrame, part: list[str], sequence_by: str, tracked: lis
     )
 
 
+def _order(c: str) -> Column:
+    # a NULL sequence sorts first, as in the ordered scan (min/max_by alone would skip it)
+    return F.struct(F.col(c))
+
+
 def _version_aggs(sequence_by: str, payload: list[str], nseq: Column, nchg: Column) -> list[Column]:
     return [
-        F.min(sequence_by).alias(START),
+        F.min_by(F.col(sequence_by), _order(sequence_by)).alias(START),
         F.max(F.when(nchg == 1, nseq)).alias(END),
-        F.max_by(F.struct(*payload), F.col(sequence_by)).alias("_last"),
+        F.max_by(F.struct(*payload), _order(sequence_by)).alias("_last"),
         F.max(sequence_by).alias("_mseq"),
     ]
 
@@ -138,8 +143,8 @@ def _hot_versions(tagged: DataFrame, keys: list[str], seq: str, payload: list[st
     # Summary: one row per (key, bucket); bounded by total_rows / bucket_rows.
     wb = Window.partitionBy(*keys).orderBy("_seqb")
     summary = scanned.groupBy(*part).agg(
-        F.min_by("_trk", F.col(seq)).alias("_ftrk"),
-        F.max_by("_trk", F.col(seq)).alias("_ltrk"),
+        F.min_by("_trk", _order(seq)).alias("_ftrk"),
+        F.max_by("_trk", _order(seq)).alias("_ltrk"),
         F.min(seq).alias("_fseq"),
         (F.sum("_chg") - F.lit(1)).alias("_nl"),  # changes after the bucket's first row
     )
@@ -161,9 +166,9 @@ def _hot_versions(tagged: DataFrame, keys: list[str], seq: str, payload: list[st
     nchg = F.coalesce(F.col("_nchg"), F.col("_bnchg"))
     parts = joined.groupBy(*part, ver.alias("_ver")).agg(*_version_aggs(seq, payload, nseq, nchg))
     return parts.groupBy(*keys, "_ver").agg(
-        F.min(START).alias(START),
+        F.min_by(START, _order(START)).alias(START),
         F.max(END).alias(END),
-        F.max_by("_last", F.col("_mseq")).alias("_last"),
+        F.max_by("_last", _order("_mseq")).alias("_last"),
         F.max("_mseq").alias("_mseq"),
     )
 
@@ -225,7 +230,8 @@ def scd2_from_changes(
     else:
         cond = null_safe_eq([F.col(k) for k in keys], [F.col(f"_hk{i}") for i in range(len(keys))])
         tagged = base.join(F.broadcast(hot), cond, "left")
-        bucket = F.least(F.floor((num - F.col("_lo")) / F.col("_width")), F.col("_maxb")).cast("long")
+        # NULL sequences sort first, as in the single ordered scan: they go to the first bucket
+        bucket = F.when(num.isNull(), F.lit(0)).otherwise(F.least(F.floor((num - F.col("_lo")) / F.col("_width")), F.col("_maxb"))).cast("long")
         is_hot = F.col("_width").isNotNull()
         plain_in = tagged.where(~is_hot).select(*cols)
         hot_in = tagged.where(is_hot).withColumn("_seqb", bucket).select(*cols, "_seqb")
