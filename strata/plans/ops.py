@@ -77,6 +77,6 @@ def table_profile(df: DataFrame, columns: Sequence[str], ts_col: str) -> DataFra
         "column_name",
         F.col("_rows").alias("rows"),
         "nulls",
-        (F.col("nulls").cast("double") / F.col("_rows")).alias("null_rate"),
+        F.try_divide(F.col("nulls").cast("double"), F.col("_rows")).alias("null_rate"),
         F.col("_max_ts").alias("max_ts"),
     )

@@ -123,12 +123,14 @@ def load_many(
 def cursor_increment(source: DataFrame, target: DataFrame | None, cursor: str) -> DataFrame:
     """Rows of ``source`` whose cursor is past the newest cursor already in ``target``.
 
-    The high-water mark is one aggregate over the target's cursor column (a single value).
+    The high-water mark is a scalar subquery over the target's cursor column (one value,
+    same type as the column).  An empty target takes everything; a NULL cursor is only
+    taken by the first load.
     """
     if target is None:
         return source
-    mark = target.agg(F.max(cursor)).first()[0]
-    return source if mark is None else source.where(F.col(cursor) > F.lit(mark))
+    mark = target.agg(F.max(cursor)).scalar()
+    return source.where(F.when(mark.isNull(), F.lit(True)).otherwise(F.col(cursor) > mark))
 
 
 def register_table(
