@@ -38,7 +38,8 @@ def file_stream(
     df = spark.readStream.format(fmt).options(**opts).option("pathGlobFilter", pattern).schema(schema).load(location)
     df = lineage(df)
     if keys and buckets:
-        df = df.withColumn(BUCKET, bucket_of(keys, buckets))
+        # clustered by bucket: each micro-batch writes one file per bucket, not one per task and bucket
+        df = df.withColumn(BUCKET, bucket_of(keys, buckets)).repartition(F.col(BUCKET))
     return df
 
 
