@@ -522,3 +522,4 @@ ORACLE["metadata_health"] = with_(CR, OR, PR) + (
     "UNION ALL SELECT 'crm_files', 'products', 'files', CAST(2 AS BIGINT), ['product_code'], "
     "(SELECT count(*) FROM products_raw), CAST(1 AS BIGINT)"
 )
+ORACLE["incremental_cursor_pipeline"] = ORACLE["incremental_cursor_load"]

@@ -169,6 +169,20 @@ def q_dq_fail(spark, sf):
     return metrics.select("*", F.lit(failed).alias("update_failed"), F.lit(published).alias("published"))
 
 
+def q_incremental_cursor_pipeline(spark, sf):
+    """X1 through the pipeline: three cursor loads of the order source into Bronze/Silver."""
+    from strata.plans.pipeline import run_cursor_table
+
+    base = SALESDB["tables"][1]
+    cfg = TableConfig.from_dict({**base, "load": {"type": "incremental", "cursor_column": "updated_at"}})
+    src = SourceConfig(name="salesdb", type="sqlserver", tables=(cfg,))
+    lake = _lake(spark, "cursor")
+    for k in (1, 2, 3):
+        raw = model.orders_snapshots(spark, sf, snapshots=(k,)).drop("_snapshot_id", "_ingested_at")
+        run_cursor_table(lake, src, cfg, raw, model.SNAPSHOT_LOADED_AT[k])
+    return read_silver(lake, src.name, cfg)
+
+
 QUERIES_IO = {
     "silver_customers": q_silver_customers,
     "silver_orders": q_silver_orders,
@@ -178,4 +192,5 @@ QUERIES_IO = {
     "multi_table_full_load": q_multi_table_full_load,
     "metadata_health": q_metadata_health,
     "dq_fail": q_dq_fail,
+    "incremental_cursor_pipeline": q_incremental_cursor_pipeline,
 }

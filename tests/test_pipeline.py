@@ -212,3 +212,32 @@ def test_run_sources_and_gold(spark, tmp_root):
     rev = spark.read.parquet(out["revenue_by_customer_month"]).collect()
     assert sorted((r.customer_id, str(r.month), r.orders, int(r.revenue)) for r in rev) == [(1, "2026-02-01", 2, 17)]
     assert spark.table(out["product_price_history"]).where("is_current").count() == 5
+
+
+def test_incremental_cursor_pipeline(spark, tmp_root):
+    from strata.plans.pipeline import run_source
+
+    orders_t = {
+        "name": "orders",
+        "load": {"type": "incremental", "cursor_column": "updated_at"},
+        "keys": ["order_id"],
+        "silver": {
+            "scd_type": 1,
+            "transforms": [{"column": "status", "fn": "clean_string"}],
+            "expectations": {"positive_amount": {"expr": "amount >= 0", "action": "drop"}},
+        },
+    }
+    src = SourceConfig.from_dict({"source": {"name": "erp", "type": "sqlserver"}, "tables": [orders_t]})
+    lake = Lake(spark, os.path.join(tmp_root, "lake"), buckets=4)
+    schema = "order_id int, amount int, status string, updated_at timestamp_ntz"
+    t = [dt.datetime(2026, 1, d) for d in (1, 2, 3)]
+    day1 = [(1, 10, " open", t[0]), (2, 20, "open", t[0])]
+    day2 = day1 + [(3, 30, "open", t[1])]
+    day3 = [(1, 11, "shipped ", t[2]), (2, 20, "open", t[0]), (3, 30, "open", t[1])]
+    rows_loaded = []
+    for d, rows in enumerate((day1, day2, day3), start=1):
+        res = run_source(lake, src, {"orders": spark.createDataFrame(rows, schema)}, ingested_at=f"2026-01-0{d} 06:00:00")
+        rows_loaded.append(res[0]["rows"])
+    assert rows_loaded == [2, 1, 1]  # only rows past the high-water mark
+    got = sorted((r.order_id, r.amount, r.status) for r in read_silver(lake, "erp", src.table("orders")).collect())
+    assert got == [(1, 11, "shipped"), (2, 20, "open"), (3, 30, "open")]
