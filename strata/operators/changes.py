@@ -2,7 +2,8 @@
 
 A change stream is append-only rows carrying the key columns and a sequence column that
 orders the changes of one key.  Everything here is lazily planned DataFrame work; the only
-eager step is the small hot-key survey in :func:`scd2_from_changes`.
+eager steps are the small hot-key survey in :func:`scd2_from_changes` and, when hot keys
+exist, a checkpoint of their per-bucket runs.
 
 Skew: one key may own a large share of all rows.  Aggregations here (dedupe, SCD1) combine
 map-side before the shuffle, so a hot key costs one row per task.  The ordered SCD2 scan is
@@ -19,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata.operators.keys import END, START, null_safe_eq, seq_number
+from strata.session import checkpoint_dir
 
 HOT_KEY_ROWS = 2_000_000
 BUCKET_ROWS = 1_000_000
@@ -140,13 +142,29 @@ def _hot_versions(tagged: DataFrame, keys: list[str], seq: str, payload: list[st
     rows = dedupe_key_seq(tagged, keys, seq, extra_group=["_seqb"])
     part = [*keys, "_seqb"]
     scanned = _scan_flags(rows, part, seq, tracked)
+    # Runs of equal tracked values inside each bucket ("parts"); the bucket's last run has no
+    # in-bucket successor.  Both the summary and the stitching read the parts; they are
+    # checkpointed (shared checkpoint folder) so the dedupe, the two shuffles and the ordered
+    # scan of the hot rows run once -- column pruning would otherwise give the two readers
+    # different plans and Spark would compute everything twice.  Parts are usually far
+    # fewer than rows (one per run of equal values).
+    checkpoint_dir(tagged.sparkSession)
+    parts = (
+        scanned.groupBy(*part, "_lver")
+        .agg(
+            *_version_aggs(seq, payload, F.col("_nseq"), F.col("_nchg")),
+            F.max_by("_trk", _order(seq)).alias("_trk"),
+            F.max(F.col("_nseq").isNull()).alias("_blast"),
+        )
+        .checkpoint()
+    )
     # Summary: one row per (key, bucket); bounded by total_rows / bucket_rows.
     wb = Window.partitionBy(*keys).orderBy("_seqb")
-    summary = scanned.groupBy(*part).agg(
-        F.min_by("_trk", _order(seq)).alias("_ftrk"),
-        F.max_by("_trk", _order(seq)).alias("_ltrk"),
-        F.min(seq).alias("_fseq"),
-        (F.sum("_chg") - F.lit(1)).alias("_nl"),  # changes after the bucket's first row
+    summary = parts.groupBy(*part).agg(
+        F.min_by("_trk", F.col("_lver")).alias("_ftrk"),
+        F.max_by("_trk", F.col("_lver")).alias("_ltrk"),
+        F.min_by(START, F.col("_lver")).alias("_fseq"),
+        (F.max("_lver") - F.lit(1)).alias("_nl"),  # changes after the bucket's first run
     )
     first_bucket = F.lag(F.lit(1)).over(wb).isNull()
     bchg = F.when(first_bucket, F.lit(1)).when(F.col("_ftrk").eqNullSafe(F.lag("_ltrk").over(wb)), 0).otherwise(1)
@@ -159,15 +177,15 @@ def _hot_versions(tagged: DataFrame, keys: list[str], seq: str, payload: list[st
         .select(*[F.col(k).alias(f"_sk{i}") for i, k in enumerate(keys)], F.col("_seqb").alias("_sb"), "_off", "_bseq", "_bnchg")
     )
     cond = null_safe_eq([F.col(k) for k in keys] + [F.col("_seqb")], [F.col(f"_sk{i}") for i in range(len(keys))] + [F.col("_sb")])
-    joined = scanned.join(F.broadcast(summary), cond, "left")
-    # a bucket's first row: its flag is _bchg (already in _off); _lver counts it as 1
+    joined = parts.join(F.broadcast(summary), cond, "left")
+    # global version = offset of the bucket + run number (a bucket whose first run continues
+    # the previous bucket's last version has that folded into _off); the bucket's last run
+    # ends where the next bucket starts, if that bucket opens a new version
     ver = F.col("_off") + F.col("_lver")
-    nseq = F.coalesce(F.col("_nseq"), F.col("_bseq"))
-    nchg = F.coalesce(F.col("_nchg"), F.col("_bnchg"))
-    parts = joined.groupBy(*part, ver.alias("_ver")).agg(*_version_aggs(seq, payload, nseq, nchg))
-    return parts.groupBy(*keys, "_ver").agg(
+    end = F.coalesce(F.col(END), F.when(F.col("_blast") & (F.col("_bnchg") == 1), F.col("_bseq")))
+    return joined.groupBy(*keys, ver.alias("_ver")).agg(
         F.min_by(START, _order(START)).alias(START),
-        F.max(END).alias(END),
+        F.max(end).alias(END),
         F.max_by("_last", _order("_mseq")).alias("_last"),
         F.max("_mseq").alias("_mseq"),
     )
