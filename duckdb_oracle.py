@@ -523,3 +523,7 @@ ORACLE["metadata_health"] = with_(CR, OR, PR) + (
     "(SELECT count(*) FROM products_raw), CAST(1 AS BIGINT)"
 )
 ORACLE["incremental_cursor_pipeline"] = ORACLE["incremental_cursor_load"]
+ORACLE["file_lineage_columns"] = with_(PR) + (
+    "SELECT product_code, CAST(regexp_extract(_file_path, 'products_f(\\d+)\\.csv', 1) AS INTEGER) AS export_no, "
+    "_file_modification_time, true AS has_load_time FROM products_raw"
+)

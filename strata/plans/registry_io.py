@@ -106,12 +106,21 @@ def q_file_formats_read(spark, sf):
 
 
 def q_file_lineage_columns(spark, sf):
-    """File path, file modification time and load time of every row read."""
+    """Every row read with its file, the file's modification time and the load time.
+
+    The export number is taken from the file name (absolute paths differ per run); the load
+    time is only checked to be present.
+    """
     lake = _lake(spark, "lineage")
     landing = f"{lake.root}/landing"
     _write_landing(spark, sf, landing)
     df = read_files(spark, landing, "csv", {"header": "true", "delimiter": ";"}, pattern="products_*.csv")
-    return df.select("product_code", "_file_path", "_file_modification_time", "_ingested_at")
+    return df.select(
+        "product_code",
+        F.regexp_extract("_file_path", r"products_(\d+)_\d+\.csv$", 1).cast("int").alias("export_no"),
+        F.col("_file_modification_time").cast("timestamp_ntz").alias("_file_modification_time"),
+        F.col("_ingested_at").isNotNull().alias("has_load_time"),
+    )
 
 
 def q_multi_table_full_load(spark, sf):
