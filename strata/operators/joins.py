@@ -28,18 +28,30 @@ def validity_join(
     start_col: str,
     end_col: str,
     how: str = "inner",
+    day_buckets: bool = True,
 ) -> DataFrame:
     """Join each fact to the range of the same key that contains its timestamp.
 
-    Planned as an equi-join on ``on`` with the interval as residual condition.  The range
-    side is small per key (a price list); Spark broadcasts it when its size estimate is
-    under the broadcast threshold and shuffles both sides otherwise, and AQE splits hot
-    keys of the fact side.
+    Planned as an equi-join with the exact interval test as residual condition.  With
+    ``day_buckets`` the time axis is bucketed first: each range is exploded into the days it
+    covers (open ranges up to the last fact day, a scalar subquery) and the equi-join runs on
+    (keys, day).  A key with a long history then meets only the ranges of a fact's day, and
+    a hot key's facts spread over many join partitions instead of one.  Spark broadcasts
+    the range side when its size estimate is under the threshold and shuffles otherwise.
     """
-    f, r = facts.alias("f"), ranges.alias("r")
+    fk, rk = list(on), list(on)
+    f, r = facts, ranges
+    if day_buckets:
+        last_day = facts.agg(F.max(F.to_date(ts_col))).scalar()
+        first, stop = F.to_date(start_col), F.coalesce(F.to_date(end_col), last_day)
+        days = F.when(first <= stop, F.sequence(first, stop)).otherwise(F.array().cast("array<date>"))
+        r = ranges.withColumn("_day", F.explode(days))
+        f = facts.withColumn("_day", F.to_date(ts_col))
+        fk, rk = [*fk, "_day"], [*rk, "_day"]
+    f, r = f.alias("f"), r.alias("r")
     cond = None
-    for k in on:
-        c = F.col(f"f.{k}") == F.col(f"r.{k}")
+    for a, b in zip(fk, rk, strict=True):
+        c = F.col(f"f.{a}") == F.col(f"r.{b}")
         cond = c if cond is None else cond & c
     cond = cond & in_validity(F.col(f"f.{ts_col}"), F.col(f"r.{start_col}"), F.col(f"r.{end_col}"))
     return f.join(r, cond, how)

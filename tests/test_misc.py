@@ -77,3 +77,28 @@ def test_register_table_with_comment_and_properties(spark, tmp_root):
     assert props["strata.load_type"] == "full" and props["strata.change_feed"] == "true"
     desc = {r.col_name: r.data_type for r in spark.sql(f"DESCRIBE TABLE EXTENDED {name}").collect()}
     assert desc.get("Comment") == "Bronze full load of t"
+
+
+def test_validity_join_day_buckets_match_plain(spark):
+    import datetime as dt
+
+    from strata.operators.joins import validity_join
+
+    t0 = dt.datetime(2026, 1, 1)
+    ranges = []
+    for key in ("A", "B"):
+        starts = [t0 + dt.timedelta(hours=7 * i) for i in range(60)]
+        for i, st in enumerate(starts):
+            end = starts[i + 1] if i + 1 < len(starts) else None  # last range open
+            ranges.append((key, i, st, end))
+    rng = spark.createDataFrame(ranges, "k string, rid int, rs timestamp_ntz, re timestamp_ntz")
+    rnd = random.Random(2)
+    facts = [(j, rnd.choice("ABC"), t0 + dt.timedelta(minutes=rnd.randint(-60, 60 * 24 * 30))) for j in range(800)]
+    facts += [(900, "A", t0 + dt.timedelta(hours=7)), (901, "B", t0 + dt.timedelta(hours=7 * 59))]  # on boundaries
+    fct = spark.createDataFrame(facts, "fid int, k string, ts timestamp_ntz")
+    for how in ("inner", "left"):
+        plain = validity_join(fct, rng, ["k"], "ts", "rs", "re", how, day_buckets=False).select("f.fid", "r.rid")
+        bucketed = validity_join(fct, rng, ["k"], "ts", "rs", "re", how, day_buckets=True).select("f.fid", "r.rid")
+        assert sorted(map(tuple, plain.collect()), key=str) == sorted(map(tuple, bucketed.collect()), key=str)
+    got = {r.fid: r.rid for r in validity_join(fct, rng, ["k"], "ts", "rs", "re").select("f.fid", "r.rid").collect()}
+    assert got[900] == 1 and got[901] == 59
