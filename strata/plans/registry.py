@@ -25,11 +25,13 @@ from strata.functions.sql import register_functions
 from strata.operators.changes import dedupe_key_seq, key_collision_report, scd1_from_changes, scd2_from_changes, unique_key_check
 from strata.operators.joins import current_versions
 from strata.operators.quality import apply_drop, expectation_metrics
-from strata.operators.snapshots import change_feed, latest_snapshot, snapshot_diff
+from strata.operators.snapshots import change_feed, latest_snapshot, scd2_apply_snapshot, scd2_start, snapshot_diff
 from strata.operators.transforms import apply_transforms
 from strata.plans import gold, ops, silver
 from strata.plans.catalog import table_config
+from strata.session import checkpoint_dir
 from strata.sources import model
+from strata.streaming.cdc import apply_changes_batch
 
 AS_OF = "2024-01-31"
 PROJECT_ENV = (model.PROJECT, "dev")
@@ -215,8 +217,6 @@ def q_scd2_from_snapshots(spark, sf):
     cfg = customers_cfg()
     b = model.customers_snapshots(spark, sf)
     state = None
-    from strata.operators.snapshots import scd2_apply_snapshot, scd2_start
-
     for k in (1, 2, 3):
         view = silver.snapshot_view(b.where(F.col("_snapshot_id") == k), cfg).df
         at = model.SNAPSHOT_LOADED_AT[k]
