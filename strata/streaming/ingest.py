@@ -86,16 +86,22 @@ def apply_changes_stream(
     def apply(batch: DataFrame, batch_id: int) -> None:
         if silver.is_committed(batch_id):  # batch re-run after its version was published
             return
-        touched = [r[0] for r in batch.select(BUCKET).distinct().collect()]  # at most `buckets` values
-        if not touched:
-            return
-        cleaned = apply_transforms(batch.drop(BUCKET), cfg)
-        if cfg.expectations:
-            m = {r["rule"]: r.asDict() for r in expectation_metrics(cleaned, cfg).collect()}
-            metrics.append({"batch_id": batch_id, "rules": m})
-            bad = {k: v["failed"] for k, v in m.items() if v["action"] == "fail" and v["failed"]}
-            if bad:
-                raise ExpectationFailed(cfg.name, bad)
+        # read twice below (touched buckets, rule counters): keep the batch's rows for this
+        # call; lost blocks are simply recomputed from the batch's files
+        batch.persist()
+        try:
+            touched = [r[0] for r in batch.select(BUCKET).distinct().collect()]  # at most `buckets` values
+            if not touched:
+                return
+            if cfg.expectations:
+                cleaned = apply_transforms(batch.drop(BUCKET), cfg)
+                m = {r["rule"]: r.asDict() for r in expectation_metrics(cleaned, cfg).collect()}
+                metrics.append({"batch_id": batch_id, "rules": m})
+                bad = {k: v["failed"] for k, v in m.items() if v["action"] == "fail" and v["failed"]}
+                if bad:
+                    raise ExpectationFailed(cfg.name, bad)
+        finally:
+            batch.unpersist()
         # Bronze is partitioned by the cleaned-key bucket: read only the touched buckets, and
         # let one shuffle on the bucket serve the dedupe, the SCD scan and the bucketed write
         history = spark.read.parquet(bronze_path).where(F.col(BUCKET).isin(touched))
