@@ -67,3 +67,30 @@ def test_top_products_uses_bounded_top_k(spark):
 
 def test_entry_is_registered():
     assert "revenue_by_customer_month" in entry.queries()
+
+
+def test_change_batch_rebuild_is_one_shuffle(spark, tmp_root):
+    """Bronze rows of the touched buckets -> raw dedupe -> clean -> SCD2 -> bucketed write: one Exchange."""
+    from strata.plans.catalog import table_config
+    from strata.plans.silver import changes_view, scd_from_changes
+    from strata.sources.tables import BUCKET
+
+    cfg = table_config("crm_files", "products")
+    rows = spark.range(500).select(
+        F.concat(F.lit(" P-"), (F.col("id") % 40).cast("string")).alias("product_code"),
+        F.lit("n").alias("product_name"),
+        F.lit("c").alias("category"),
+        (F.col("id") % 3).cast("string").alias("price"),
+        F.lit("2026-01-01").alias("valid_from"),
+        F.lit("f.csv").alias("_file_path"),
+        F.timestamp_add("SECOND", F.col("id").cast("int"), F.lit("2026-01-01 00:00:00").cast("timestamp_ntz")).alias("_file_modification_time"),
+        F.lit("2026-01-02 00:00:00").cast("timestamp_ntz").alias("_ingested_at"),
+        (F.col("id") % 40 % 8).cast("int").alias(BUCKET),
+    )
+    rows.write.partitionBy(BUCKET).parquet(tmp_root + "/bronze")
+    history = spark.read.parquet(tmp_root + "/bronze").where(F.col(BUCKET).isin(1, 2, 3))
+    out = scd_from_changes(changes_view(history, cfg, cluster_by=BUCKET).df, cfg, cluster_by=BUCKET, clustered=True)
+    plan = _plan(out)
+    assert _shuffles(plan) == 1 and "hashpartitioning(_bucket" in plan
+    scan = [line for line in plan.split("\n") if "FileScan" in line][0]
+    assert re.search(r"PartitionFilters: \[[^\]]*_bucket", scan), scan  # only the touched buckets are read
