@@ -241,3 +241,20 @@ def test_incremental_cursor_pipeline(spark, tmp_root):
     assert rows_loaded == [2, 1, 1]  # only rows past the high-water mark
     got = sorted((r.order_id, r.amount, r.status) for r in read_silver(lake, "erp", src.table("orders")).collect())
     assert got == [(1, 11, "shipped"), (2, 20, "open"), (3, 30, "open")]
+
+
+def test_files_pipeline_scd1(spark, tmp_root):
+    base = SourceConfig.from_dict(CRM_FILES)
+    t = base.table("products")
+    cfg = TableConfig(name=t.name, keys=t.keys, scd_type=1, sequence_by=t.sequence_by, transforms=t.transforms,
+                      expectations=t.expectations, pattern=t.pattern)
+    src = SourceConfig(name=base.name, type=base.type, format="csv", options=base.options, tables=(cfg,))
+    landing = os.path.join(tmp_root, "landing")
+    os.makedirs(landing)
+    lake = Lake(spark, os.path.join(tmp_root, "lake"), buckets=4)
+    _write_csv(landing, "products_1.csv", FILE1, dt.datetime(2026, 10, 1, 8))
+    run_files_table(lake, src, cfg, landing)
+    _write_csv(landing, "products_2.csv", FILE2, dt.datetime(2026, 10, 8, 8))
+    run_files_table(lake, src, cfg, landing)
+    got = sorted((r.product_code, r.price) for r in read_silver(lake, "crm_files", cfg).collect())
+    assert got == [("P-100", "1199.00"), ("P-101", "349.90"), ("P-102", None), ("P-200", "99.00"), ("P-201", "29.99"), ("P-300", "79.00")]
