@@ -29,12 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import slices, vocabulary_path
+from strata.llm.common import slices, vocabulary_path, word_groups
 
 WORD_BPE = "word_bpe_49k.json"
-#: Distinct words, and bytes of text, that are encoded together (memory bounds; results are the same).
+#: Distinct words, and characters of text, that are encoded together (memory bounds; results are the same).
 GROUP_WORDS = 200_000
-GROUP_BYTES = 16 << 20
+GROUP_CHARS = 16 << 20
 #: Table states a worker remembers before it starts afresh.
 CACHE_STATES = 400_000
 _NEVER = 1 << 40
@@ -180,14 +180,6 @@ class MergeAutomaton:
         return t[by_word].astype(np.uint32), np.bincount(w, minlength=len(lengths))
 
 
-class _Numbers(dict):
-    """Numbers words in the order in which they are first asked for."""
-
-    def __missing__(self, word: str) -> int:
-        n = self[word] = len(self)
-        return n
-
-
 class WordBpe:
     """Encodes and decodes whole texts with a ``word_bpe`` file, as the tokenizers library does."""
 
@@ -236,27 +228,19 @@ class WordBpe:
 
     def encode_groups(self, texts: list[str | None]) -> Iterator[list[bytes]]:
         """Ids of whole texts, in order, as little-endian unsigned 32-bit integers; a group of texts at a time."""
-        numbers, group, size = _Numbers(), [], 0
-        for text in texts:
-            words = self.split(text) if text else []
-            group.append(np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)))
-            size += len(text or "")
-            if len(numbers) >= GROUP_WORDS or size >= GROUP_BYTES:
-                yield self._join(numbers, group)
-                numbers, group, size = _Numbers(), [], 0
-        if group:
-            yield self._join(numbers, group)
-
-    def _join(self, numbers: _Numbers, group: list[np.ndarray]) -> list[bytes]:
-        if not numbers:
+        for words, group in word_groups(texts, lambda t: self.split(t) if t else [], GROUP_WORDS, GROUP_CHARS):
+            yield self._join(words, group)
+
+    def _join(self, words: list[str], group: list[np.ndarray]) -> list[bytes]:
+        if not words:
             return [b""] * len(group)
-        ids, counts = self._encode_words(list(numbers))
+        ids, counts = self._encode_words(words)
         starts = np.cumsum(counts) - counts
         out = []
-        for words in group:
-            n = counts[words]
+        for text in group:
+            n = counts[text]
             ends = np.cumsum(n)
-            place = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts[words] - (ends - n), n)
+            place = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts[text] - (ends - n), n)
             out.append(ids[place].astype("<u4", copy=False).tobytes())
         return out
 

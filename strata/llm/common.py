@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from strata.session import scratch_path
@@ -53,3 +55,54 @@ def vocabulary_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
+
+
+# Letters below U+0250 once A-Z and the like are lower-cased (fixed values); others go by their category.
+_LOW_LETTERS = re.compile("[a-zªµºß-öø-ɏ]+")
+_HIGH = re.compile("[^\\x00-ɏ]")
+_ANY_LETTERS = regex.compile(r"\p{L}+")
+#: Distinct words, and characters of text, that a task works on together.
+GROUP_WORDS = 60_000
+GROUP_CHARS = 8 << 20
+
+
+def letter_words(text: str | None) -> list[str]:
+    """The runs of letters of a text, in lower case."""
+    if not text:
+        return []
+    low = text.lower()
+    return _ANY_LETTERS.findall(low) if _HIGH.search(low) else _LOW_LETTERS.findall(low)
+
+
+class _Numbers(dict):
+    """Numbers words in the order in which they are first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        return n
+
+
+def word_groups(
+    texts: Iterable[str | None], split: Callable[[str | None], list[str]] = letter_words, words: int = GROUP_WORDS, chars: int = GROUP_CHARS
+) -> Iterator[tuple[list[str], list[np.ndarray]]]:
+    """Whole texts in groups: a group's distinct words, and each text as numbers of these words.
+
+    What depends on a word alone is then worked out once for the group.
+    """
+    numbers, group, size = _Numbers(), [], 0
+    for text in texts:
+        found = split(text)
+        group.append(np.fromiter(map(numbers.__getitem__, found), np.int32, len(found)))
+        size += len(text or "")
+        if len(numbers) >= words or size >= chars:
+            yield list(numbers), group
+            numbers, group, size = _Numbers(), [], 0
+    if group:
+        yield list(numbers), group
+
+
+def code_points(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words end to end with a 10 after each, as code points; each word's start and length."""
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    flat = np.frombuffer("".join([w + "\n" for w in words]).encode("utf-32-le", "surrogatepass"), "<u4")
+    return flat, np.cumsum(lengths + 1) - lengths - 1, lengths

@@ -10,6 +10,14 @@ def _read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
+def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strata.llm.langid import held_out, learn, predict
+
+    docs = _read(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    languages, model = learn(docs.where(~held_out()))
+    return predict(docs.select("doc_id", held_out().alias("held_out"), "text"), languages, model).drop("text")
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strata.llm.line_dedup import line_dedup
 
@@ -19,6 +27,17 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strata.llm.langid import held_out
+    from strata.llm.toxicity import score, train
+
+    docs = _read(spark, sf_dir, "documents", "doc_id", "text")
+    labels = _read(spark, sf_dir, "labels", "doc_id", "toxic")
+    model, curve = train(docs.where(~held_out()).join(labels, "doc_id"))
+    scored = score(docs.withColumn("held_out", held_out()), model, curve)
+    return scored.select("doc_id", "held_out", F.col("__score").alias("score"), F.col("__predicted").alias("predicted"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strata.llm.exact_dedup import exact_dedup
 
@@ -41,7 +60,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op3_line_dedup, op7_exact_dedup, op8_packing, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_langid, op3_line_dedup, op6_toxicity, op7_exact_dedup, op8_packing, op10_bpe)}
 
 ORACLE_SQL: dict[str, str] = {
     "op3_line_dedup": r"""
