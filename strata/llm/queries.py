@@ -27,6 +27,13 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strata.llm.ann import search
+
+    rows = _read(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    return search(rows, rows.where(F.col("vec_id") % 20 == 0))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strata.llm.langid import held_out
     from strata.llm.toxicity import score, train
@@ -60,7 +67,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_langid, op3_line_dedup, op6_toxicity, op7_exact_dedup, op8_packing, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_langid, op3_line_dedup, op5_ann, op6_toxicity, op7_exact_dedup, op8_packing, op10_bpe)}
 
 ORACLE_SQL: dict[str, str] = {
     "op3_line_dedup": r"""
