@@ -27,6 +27,13 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strata.llm.wrapper import extract
+
+    found = extract(_read(spark, sf_dir, "pages", "page_id", "url", "html"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strata.llm.ann import search
 
@@ -67,7 +74,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_langid, op3_line_dedup, op5_ann, op6_toxicity, op7_exact_dedup, op8_packing, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_langid, op3_line_dedup, op4_wrapper, op5_ann, op6_toxicity, op7_exact_dedup, op8_packing, op10_bpe)}
 
 ORACLE_SQL: dict[str, str] = {
     "op3_line_dedup": r"""
