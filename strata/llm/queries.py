@@ -18,6 +18,12 @@ def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs.select("doc_id", held_out().alias("held_out"), "text"), languages, model).drop("text")
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strata.llm.warc_zip import round_trip
+
+    return round_trip(_read(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strata.llm.line_dedup import line_dedup
 
@@ -74,7 +80,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_langid, op3_line_dedup, op4_wrapper, op5_ann, op6_toxicity, op7_exact_dedup, op8_packing, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_langid, op2_warc, op3_line_dedup, op4_wrapper, op5_ann, op6_toxicity, op7_exact_dedup, op8_packing, op10_bpe)}
 
 ORACLE_SQL: dict[str, str] = {
     "op3_line_dedup": r"""
