@@ -71,6 +71,12 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strata.llm.near_dedup import near_dedup
+
+    return near_dedup(_read(spark, sf_dir, "documents", "doc_id", "text"), size=2)
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strata.llm.bpe import encode_decode
 
@@ -80,7 +86,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_langid, op2_warc, op3_line_dedup, op4_wrapper, op5_ann, op6_toxicity, op7_exact_dedup, op8_packing, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_langid, op2_warc, op3_line_dedup, op4_wrapper, op5_ann, op6_toxicity, op7_exact_dedup, op8_packing, op9_near_dedup, op10_bpe)}
 
 ORACLE_SQL: dict[str, str] = {
     "op3_line_dedup": r"""
