@@ -61,6 +61,7 @@ class MergeAutomaton:
         self.cut: dict[int, int] = {}
         self.left: dict[int, tuple[int, int]] = {}  # token -> (first part, gadget)
         self.right: dict[int, tuple[int, int]] = {}
+        self._spines: dict[int, tuple[list, list]] = {-1: ([], [])}
         spelled: dict[int, tuple[int, ...]] = {}
         for byte, char in enumerate(byte_symbols()):
             if char in vocab:
@@ -84,12 +85,13 @@ class MergeAutomaton:
                     self.token_at.append(-1)
                 node = nxt
             self.token_at[node] = token
-        self._spines: dict[int, tuple[list, list]] = {-1: ([], [])}
         self._reset()
 
     def _gadget(self, k: int, a: int, b: int, c: int, spelled: dict) -> None:
         if c in spelled:
             raise ValueError(f"merge {k} makes a token that an earlier one made")
+        if a not in spelled or b not in spelled or not self.follows(a, b):
+            return  # earlier gadgets left no path through this pair: the merge never happens
         self.cut[a * self.size + b] = k
         self.left[c], self.right[c] = (a, k), (b, k)
         spelled[c] = spelled[a] + spelled[b]

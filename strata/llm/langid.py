@@ -168,10 +168,10 @@ def learn(rows: DataFrame, vocabulary: str = VOCABULARY, shared_weight: float =
 
 
 def predict(rows: DataFrame, languages: list[str], model: np.ndarray, text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
-    """``rows`` with ``lang_pred`` and ``score``, the posterior of that language (equal priors).
+    """``rows`` with ``__lang`` and ``__confidence``, the posterior of that language (equal priors).
 
-    A null text, or one without a letter, is ``und`` with score 0, and so are all texts if no
-    language was learned.  A tie goes to the language whose name comes first.
+    A null text, or one without a letter, is ``und`` with confidence 0, and so are all texts if
+    no language was learned.  A tie goes to the language whose name comes first.
     """
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
@@ -194,11 +194,10 @@ def predict(rows: DataFrame, languages: list[str], model: np.ndarray, text_col:
                         names.append(languages[best])
                         scores.append(float(1 / np.exp(sums - sums[best]).sum()))
                 rest = [c for c in batch.schema.names if c != "__text"]
-                yield pa.record_batch([*(batch.column(c) for c in rest), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*rest, "lang_pred", "score"])
+                yield pa.record_batch([*(batch.column(c) for c in rest), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*rest, "__lang", "__confidence"])
 
-    kept = [f for f in rows.schema if f.name not in ("lang_pred", "score")]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "lang_pred string, score double"])
-    return rows.select(*(F.col(f"`{f.name}`") for f in kept), F.col(text_col).cast("string").alias("__text")).mapInArrow(run, schema)
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), "__lang string, __confidence double"])
+    return rows.select("*", F.col(text_col).cast("string").alias("__text")).mapInArrow(run, schema)
 
 
 def held_out(id_col: str = "doc_id") -> Column:

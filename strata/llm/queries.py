@@ -15,7 +15,8 @@ def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = _read(spark, sf_dir, "documents", "doc_id", "text", "lang")
     languages, model = learn(docs.where(~held_out()))
-    return predict(docs.select("doc_id", held_out().alias("held_out"), "text"), languages, model).drop("text")
+    told = predict(docs.select("doc_id", held_out().alias("held_out"), "text"), languages, model)
+    return told.select("doc_id", "held_out", F.col("__lang").alias("lang_pred"), F.col("__confidence").alias("score"))
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
