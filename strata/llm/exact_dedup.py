@@ -112,33 +112,32 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([batch.column("lead"), pa.array(out, pa.int64())], names=["lead", "class"])
 
 
-def buckets(records: DataFrame, limit: int = TABLE_BYTES) -> DataFrame:
-    """``lead, bucket`` of content records: split by digest bits until a bucket's texts fit ``limit``.
+def bucketed(rows: DataFrame, first: int, splits: list[DataFrame]) -> DataFrame:
+    """``rows`` with the bucket of their digest: one of ``first``, and further bits in each bucket that ``splits`` names."""
+    out = rows.withColumn("bucket", F.pmod(F.xxhash64("digest"), F.lit(first)).cast("string"))
+    for level, large in enumerate(splits, 1):
+        bits = F.pmod(F.xxhash64(F.lit(level), "digest"), F.lit(FANOUT)).cast("string")
+        split = F.when(F.col("split"), F.concat_ws(".", "bucket", bits)).otherwise(F.col("bucket"))
+        out = out.join(large.withColumn("split", F.lit(True)), "bucket", "left").withColumn("bucket", split).drop("split")
+    return out
+
 
-    Only sizes move here.  A bucket of one digest is never split.  Each round ends with a
-    count of oversized buckets; all but the first see only what they hold.
+def split_buckets(records: DataFrame, limit: int = TABLE_BYTES) -> tuple[int, list[DataFrame]]:
+    """How content records are dealt to buckets whose different texts fit ``limit``; see :func:`bucketed`.
+
+    Only digests and sizes are read.  A bucket of one digest is never split.  The names of the
+    oversized buckets, if there are any, are a table of their own for each round.
     """
-    spark = records.sparkSession
     total = records.agg(F.sum("size")).first()[0] or 0
-    first = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // max(1, limit // 2)))
-    todo = records.select("lead", "digest", "size", F.pmod(F.xxhash64("digest"), F.lit(first)).cast("string").alias("bucket"))
-    done, level = [], 0
+    first = max(int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // max(1, limit // 2)))
+    splits: list[DataFrame] = []
     while True:
-        texts = todo.groupBy("bucket", "digest").agg(F.max("size").alias("size"))
+        texts = bucketed(records.select("digest", "size"), first, splits).groupBy("bucket", "digest").agg(F.max("size").alias("size"))
         large = texts.groupBy("bucket").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
-        large = large.where((F.col("size") > limit) & (F.col("n") > 1)).select("bucket")
+        large = stage(large.where((F.col("size") > limit) & (F.col("n") > 1)).select("bucket"), "grace")
         if large.isEmpty():
-            done.append(todo)
-            break
-        level += 1
-        large = stage(large, "grace-large")
-        done.append(todo.join(large, "bucket", "left_anti"))
-        bits = F.pmod(F.xxhash64(F.lit(level), "digest"), F.lit(FANOUT)).cast("string")
-        todo = stage(todo.join(large, "bucket").withColumn("bucket", F.concat_ws(".", "bucket", bits)).select("lead", "digest", "size", "bucket"), "grace")
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out.select("lead", "bucket")
+            return first, splits
+        splits.append(large)
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = TABLE_BYTES) -> DataFrame:
@@ -153,8 +152,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = stage(rows.mapInArrow(_records, _RECORD), "exact")
     records = rows.where(F.col("text").isNotNull())
-    placed = buckets(records.select("lead", "digest", "size"), limit)
-    texts = records.select("lead", "digest", "text").join(placed, "lead")
+    texts = bucketed(records.select("lead", "digest", "text"), *split_buckets(records, limit))
     dealt = texts.repartition("bucket").sortWithinPartitions("bucket", "digest")
     classes = stage(dealt.select("bucket", "digest", "text", "lead").mapInArrow(_classes, "lead long, class long"), "classes")
     own = rows.select("row", "lead", "doc_id", "digest").join(classes, "lead")
