@@ -177,7 +177,8 @@ def drop_lines(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     keyed = docs.withColumns({"__text": text, "__hash": F.xxhash64(text), "__doc": F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID))})
     found = bitmaps.select(F.col("doc").alias("__doc"), F.col("text_hash").alias("__hash"), F.col("keep").alias("__keep"))
-    rows = keyed.join(found, ["__doc", "__hash"], "left").select(*docs.columns, "__text", "__keep")
+    # sort-merge at any size: no size decides the plan, and the skew join can split it
+    rows = keyed.join(found.hint("merge"), ["__doc", "__hash"], "left").select(*docs.columns, "__text", "__keep")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "__kept string, __n_lines long, __n_dropped long"])
     return rows.mapInArrow(_apply, schema)
 
