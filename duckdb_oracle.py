@@ -301,12 +301,12 @@ def _feed(kind: str, src: str) -> str:
 ORACLE: dict[str, str] = {}
 
 ORACLE["clean_string"] = f"SELECT doc_id, {CLEAN('text')} AS text_clean FROM documents"
-ORACLE["normalize_email"] = with_(CR) + f"SELECT customer_id, {EMAIL('email')} AS email FROM customers_raw WHERE _snapshot_id = 1"
-ORACLE["parse_date_multi"] = with_(OR) + f"SELECT order_id, {PARSE('order_date')} AS order_date FROM orders_raw WHERE _snapshot_id = 1"
-ORACLE["mask_email"] = with_(CR) + f"SELECT customer_id, {MASK(EMAIL('email'))} AS masked FROM customers_raw WHERE _snapshot_id = 2"
-ORACLE["lower_clean"] = with_(OR) + f"SELECT order_id, lower({CLEAN('status')}) AS status FROM orders_raw WHERE _snapshot_id = 1"
+ORACLE["normalize_email"] = with_(CR) + f"SELECT customer_id, {EMAIL('email')} AS email FROM customers_raw"
+ORACLE["parse_date_multi"] = with_(OR) + f"SELECT order_id, {PARSE('order_date')} AS order_date FROM orders_raw"
+ORACLE["mask_email"] = with_(CR) + f"SELECT customer_id, {MASK(EMAIL('email'))} AS masked FROM customers_raw"
+ORACLE["lower_clean"] = with_(OR) + f"SELECT order_id, lower({CLEAN('status')}) AS status FROM orders_raw"
 ORACLE["normalize_report"] = with_(
-    CR, OR, ("c1", "SELECT * FROM customers_raw WHERE _snapshot_id = 1"), ("o1", "SELECT * FROM orders_raw WHERE _snapshot_id = 1")
+    CR, OR, ("c1", "SELECT * FROM customers_raw"), ("o1", "SELECT * FROM orders_raw")
 ) + " UNION ALL ".join(
     [
         _report("clean_string:documents", "documents", "text", CLEAN("text")),
@@ -315,18 +315,18 @@ ORACLE["normalize_report"] = with_(
         _report("parse_date_multi:orders", "o1", "order_date", PARSE("order_date")),
     ]
 )
-ORACLE["apply_transforms"] = with_(CR, ("c", customers_clean("_snapshot_id = 1", drop=False))) + f"SELECT {CUST_COLS} FROM c"
+ORACLE["apply_transforms"] = with_(CR, ("c", customers_clean(drop=False))) + f"SELECT {CUST_COLS} FROM c"
 ORACLE["udf_sql_surface"] = with_(CR) + (
     f"SELECT customer_id, {CLEAN('name')} AS name, {EMAIL('email')} AS email, {MASK(EMAIL('email'))} AS masked, "
-    f"lower({CLEAN('segment')}) AS segment FROM customers_raw WHERE _snapshot_id = 2"
+    f"lower({CLEAN('segment')}) AS segment FROM customers_raw"
 )
 ORACLE["udf_sql_dates"] = with_(OR) + (
-    f"SELECT order_id, {PARSE('order_date')} AS order_date, {CLEAN('status')} AS status FROM orders_raw WHERE _snapshot_id = 1"
+    f"SELECT order_id, {PARSE('order_date')} AS order_date, {CLEAN('status')} AS status FROM orders_raw"
 )
 ORACLE["param_sql"] = with_(OR, ("o", orders_clean("_snapshot_id = 3"))) + "SELECT status, count(*) AS orders FROM o GROUP BY status"
-ORACLE["dq_drop"] = with_(OR, ("o", orders_clean("_snapshot_id = 1"))) + f"SELECT {ORDER_COLS} FROM o"
+ORACLE["dq_drop"] = with_(OR, ("o", orders_clean())) + f"SELECT {ORDER_COLS} FROM o"
 ORACLE["dq_metrics"] = with_(
-    CR, OR, ("o", orders_clean("_snapshot_id = 1", drop=False)), ("c", customers_clean("_snapshot_id = 1", drop=False))
+    CR, OR, ("o", orders_clean(drop=False)), ("c", customers_clean(drop=False))
 ) + " UNION ALL ".join(
     [
         _metric("orders", "positive_amount", "drop", "amount >= 0", "o"),
@@ -390,7 +390,7 @@ ORACLE["scd1_from_changes"] = with_(*products_clean_sql()) + (
     "category DESC NULLS LAST, price DESC NULLS LAST, valid_from DESC NULLS LAST) AS rn FROM pc) WHERE rn = 1"
 )
 _O_OTHERS = "customer_id, order_date, amount, status, is_deleted"
-ORACLE["scd1_soft_delete"] = with_(
+_ORDER_CHANGES = (
     OR,
     (
         "d",
@@ -403,23 +403,46 @@ ORACLE["scd1_soft_delete"] = with_(
         "c",
         f"SELECT order_id, customer_id, {PARSE('order_date')} AS order_date, amount, {CLEAN('status')} AS status, is_deleted, updated_at FROM d",
     ),
-) + (
+)
+ORACLE["scd1_soft_delete"] = with_(*_ORDER_CHANGES) + (
     f"SELECT {ORDER_COLS} FROM (SELECT *, row_number() OVER (PARTITION BY order_id ORDER BY updated_at DESC, "
     "coalesce(is_deleted, false) DESC, customer_id DESC NULLS LAST, order_date DESC NULLS LAST, amount DESC NULLS LAST, "
     "status DESC NULLS LAST) AS rn FROM c) WHERE rn = 1 AND NOT coalesce(is_deleted, false)"
 )
+_O_TRACKED = "customer_id, order_date, amount, status, is_deleted"
+ORACLE["scd2_soft_delete"] = with_(
+    *_ORDER_CHANGES,
+    (
+        "f",
+        "SELECT *, CASE WHEN row_number() OVER w = 1 OR "
+        + " OR ".join(f"{c} IS DISTINCT FROM lag({c}) OVER w" for c in _O_TRACKED.split(", "))
+        + " THEN 1 ELSE 0 END AS chg FROM c WINDOW w AS (PARTITION BY order_id ORDER BY updated_at)",
+    ),
+    ("v", "SELECT *, sum(chg) OVER (PARTITION BY order_id ORDER BY updated_at) AS ver FROM f"),
+    (
+        "g",
+        "SELECT order_id, ver, min(updated_at) AS __START_AT, max(updated_at) AS updated_at, "
+        + ", ".join(f"any_value({c}) AS {c}" for c in _O_TRACKED.split(", "))
+        + " FROM v GROUP BY order_id, ver",
+    ),
+    ("e", "SELECT *, lead(__START_AT) OVER (PARTITION BY order_id ORDER BY ver) AS __END_AT FROM g"),
+) + f"SELECT {ORDER_COLS}, __START_AT, __END_AT FROM e WHERE NOT is_deleted"
 ORACLE["scd2_from_changes"] = products_scd2_sql() + "SELECT * FROM scd"
 ORACLE["scd2_late_arrival"] = ORACLE["scd2_from_changes"]
 ORACLE["incremental_cursor_load"] = with_(
     OR,
     ("l1", "SELECT * FROM orders_raw WHERE _snapshot_id = 1"),
-    ("l2", "SELECT * FROM orders_raw WHERE _snapshot_id = 2 AND updated_at > (SELECT max(updated_at) FROM l1)"),
     (
-        "l3",
-        "SELECT * FROM orders_raw WHERE _snapshot_id = 3 AND updated_at > "
-        "(SELECT max(updated_at) FROM (SELECT updated_at FROM l1 UNION ALL SELECT updated_at FROM l2))",
+        "l2",
+        "SELECT * EXCLUDE (_snapshot_id, _ingested_at) FROM l1 UNION ALL (SELECT * EXCLUDE (_snapshot_id, _ingested_at) FROM orders_raw "
+        "WHERE _snapshot_id = 2 AND (updated_at IS NULL OR updated_at >= (SELECT max(updated_at) FROM l1)) "
+        "EXCEPT SELECT * EXCLUDE (_snapshot_id, _ingested_at) FROM l1)",
+    ),
+    (
+        "l",
+        "SELECT * FROM l2 UNION ALL (SELECT * EXCLUDE (_snapshot_id, _ingested_at) FROM orders_raw "
+        "WHERE _snapshot_id = 3 AND (updated_at IS NULL OR updated_at >= (SELECT max(updated_at) FROM l2)) EXCEPT SELECT * FROM l2)",
     ),
-    ("l", "SELECT * FROM l1 UNION ALL SELECT * FROM l2 UNION ALL SELECT * FROM l3"),
     (
         "c",
         f"SELECT order_id, customer_id, {PARSE('order_date')} AS order_date, amount, {CLEAN('status')} AS status, "
@@ -484,7 +507,7 @@ ORACLE["table_profile"] = with_(
         "s",
         "SELECT count(*) AS rows, max(updated_at) AS max_ts, "
         + ", ".join(f"count(*) FILTER (WHERE {c} IS NULL) AS n{i}" for i, c in enumerate(_PROF))
-        + " FROM customers_raw WHERE _snapshot_id = 1",
+        + " FROM customers_raw",
     ),
 ) + " UNION ALL ".join(
     f"SELECT '{c}' AS column_name, rows, n{i} AS nulls, CAST(n{i} AS DOUBLE) / rows AS null_rate, max_ts FROM s"
@@ -527,3 +550,21 @@ ORACLE["file_lineage_columns"] = with_(PR) + (
     "SELECT product_code, CAST(regexp_extract(_file_path, 'products_f(\\d+)\\.csv', 1) AS INTEGER) AS export_no, "
     "_file_modification_time, true AS has_load_time FROM products_raw"
 )
+_EMPTY_AT = f"TIMESTAMP '{LD[2]}'"
+ORACLE["empty_snapshot_scd1"] = with_(OR, ("a", orders_clean("_snapshot_id = 1")), ("b", orders_clean("_snapshot_id = 3"))) + (
+    "SELECT 1 AS version, count(*) AS rows FROM a UNION ALL SELECT 2, 0 UNION ALL SELECT 3, count(*) FROM b"
+)
+ORACLE["empty_snapshot_scd2"] = with_(CR, ("a", customers_clean("_snapshot_id = 1")), ("b", customers_clean("_snapshot_id = 3"))) + (
+    f"SELECT {CUST_COLS}, TIMESTAMP '{LD[1]}' AS __START_AT, {_EMPTY_AT} AS __END_AT FROM a "
+    f"UNION ALL SELECT {CUST_COLS}, TIMESTAMP '{LD[3]}', NULL FROM b"
+)
+ORACLE["duplicate_key_snapshot"] = with_(CR, ("a", customers_clean("_snapshot_id <= 2"))) + (
+    "SELECT customer_id, count(*) AS n, true AS refused, false AS published FROM a GROUP BY 1 HAVING count(*) > 1"
+)
+ORACLE["gold_materialized"] = ORACLE["revenue_by_customer_month"]
+ORACLE["gold_persistent_view"] = ORACLE["price_history"]
+ORACLE["table_properties"] = with_(CR) + (
+    "SELECT _snapshot_id, count(*) AS rows, 'raw customers' AS comment, 'change_feed=true, load_type=full' AS properties "
+    "FROM customers_raw GROUP BY 1"
+)
+ORACLE["udf_versions"] = with_(CR) + f"SELECT lower({CLEAN('segment')}) AS segment, count(*) AS rows, true AS versioned FROM customers_raw GROUP BY 1"

@@ -8,8 +8,8 @@ exist, a checkpoint of their per-bucket runs.
 Skew: one key may own a large share of all rows.  Aggregations here (dedupe, SCD1) combine
 map-side before the shuffle, so a hot key costs one row per task.  The ordered SCD2 scan is
 the exception: it needs each key's rows in sequence order.  Keys above ``hot_key_rows`` are
-therefore cut into sequence buckets of about ``bucket_rows`` rows, scanned in parallel, and
-stitched together through a per-bucket summary (a prefix sum over buckets).
+therefore cut by rank into sequence buckets of about ``bucket_rows`` rows, scanned in parallel,
+and stitched together through a per-bucket summary (a prefix sum over buckets).
 """
 
 from __future__ import annotations
@@ -18,18 +18,32 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from strata.operators.keys import END, START, null_safe_eq, seq_number
+from strata.operators.keys import END, START, comparable, has_map, null_safe_eq
 from strata.session import checkpoint_dir
 
 HOT_KEY_ROWS = 2_000_000
 BUCKET_ROWS = 1_000_000
+CUT_SAMPLE = 4096
+DELETED = "_deleted"
 
 
 def _cols(df: DataFrame, except_columns: Sequence[str]) -> list[str]:
     return [c for c in df.columns if c not in set(except_columns)]
 
 
+def _order_by_values(df: DataFrame, cols: Sequence[str]) -> Column:
+    return F.struct(*[comparable(df.schema[c].dataType, F.col(c)).alias(f"_o{i}") for i, c in enumerate(cols)])
+
+
+def _least(df: DataFrame, cols: Sequence[str]) -> Column:
+    """The row whose values come first; maps have no order, so they are ordered by their text."""
+    if any(has_map(df.schema[c].dataType) for c in cols):
+        return F.min_by(F.struct(*cols), _order_by_values(df, cols))
+    return F.min(F.struct(*cols))
+
+
 def dedupe_key_seq(df: DataFrame, keys: Sequence[str], sequence_by: str, extra_group: Sequence[str] = ()) -> DataFrame:
     """One row per (keys, sequence); among copies the smallest row wins (deterministic).
 
@@ -39,7 +53,7 @@ def dedupe_key_seq(df: DataFrame, keys: Sequence[str], sequence_by: str, extra_g
     rest = [c for c in df.columns if c not in group]
     if not rest:
         return df.select(*group).distinct()
-    picked = df.groupBy(*group).agg(F.min(F.struct(*rest)).alias("_r"))
+    picked = df.groupBy(*group).agg(_least(df, rest).alias("_r"))
     return picked.select(*[c if c in group else F.col("_r")[c].alias(c) for c in df.columns])
 
 
@@ -88,7 +102,11 @@ def scd1_from_changes(
         pred = F.expr(apply_as_deletes) if isinstance(apply_as_deletes, str) else apply_as_deletes
         fields.append(F.coalesce(pred, F.lit(False)).alias("_del"))
     fields += [F.col(c) for c in rest]
-    latest = changes.groupBy(*keys).agg(F.max(F.struct(*fields)).alias("_r"))
+    if any(has_map(changes.schema[c].dataType) for c in rest):
+        order = F.struct(F.col(sequence_by).alias("_s"), _order_by_values(changes, rest).alias("_v"))
+        latest = changes.groupBy(*keys).agg(F.max_by(F.struct(*fields), order).alias("_r"))
+    else:
+        latest = changes.groupBy(*keys).agg(F.max(F.struct(*fields)).alias("_r"))
     if apply_as_deletes is not None:
         latest = latest.where(~F.col("_r._del"))
     out = [F.col(c) if c in keys else (F.col("_r._seq") if c == sequence_by else F.col("_r")[c]).alias(c) for c in cols]
@@ -98,7 +116,7 @@ def scd1_from_changes(
 def _scan_flags(rows: DataFrame, part: list[str], sequence_by: str, tracked: list[str]) -> DataFrame:
     """Per partition ``part`` in sequence order: change flag, local version, next row's flag/seq."""
     w = Window.partitionBy(*part).orderBy(sequence_by)
-    trk = F.struct(*tracked)
+    trk = F.struct(*[comparable(rows.schema[c].dataType, F.col(c)).alias(c) for c in tracked])
     first = F.lag(F.lit(1)).over(w).isNull()
     flagged = rows.withColumn("_trk", trk).withColumn(
         "_chg", F.when(first, F.lit(1)).when(trk.eqNullSafe(F.lag(trk).over(w)), F.lit(0)).otherwise(F.lit(1))
@@ -177,7 +195,7 @@ def _hot_versions(tagged: DataFrame, keys: list[str], seq: str, payload: list[st
         .select(*[F.col(k).alias(f"_sk{i}") for i, k in enumerate(keys)], F.col("_seqb").alias("_sb"), "_off", "_bseq", "_bnchg")
     )
     cond = null_safe_eq([F.col(k) for k in keys] + [F.col("_seqb")], [F.col(f"_sk{i}") for i in range(len(keys))] + [F.col("_sb")])
-    joined = parts.join(F.broadcast(summary), cond, "left")
+    joined = parts.join(summary, cond, "left")
     # global version = offset of the bucket + run number (a bucket whose first run continues
     # the previous bucket's last version has that folded into _off); the bucket's last run
     # ends where the next bucket starts, if that bucket opens a new version
@@ -198,6 +216,7 @@ def scd2_from_changes(
     track_history_columns: Sequence[str] | None = None,
     except_columns: Sequence[str] = (),
     *,
+    apply_as_deletes: str | Column | None = None,
     hot_key_rows: int | None = HOT_KEY_ROWS,
     bucket_rows: int = BUCKET_ROWS,
     cluster_by: str | None = None,
@@ -209,7 +228,8 @@ def scd2_from_changes(
     (NULL-safe) from the row before; ``__START_AT`` is the version's first sequence value,
     ``__END_AT`` the next version's start (NULL for the open one).  Untracked columns take
     the value of the version's last row.  Rows with equal (keys, sequence) are de-duplicated
-    first.  Result: the input columns (minus ``except_columns``) plus ``__START_AT``/``__END_AT``;
+    first.  A change for which ``apply_as_deletes`` holds closes its key's version at its
+    sequence and is no version itself.  Result: the input columns (minus ``except_columns``) plus ``__START_AT``/``__END_AT``;
     the sequence column holds the version's last sequence value.
 
     ``cluster_by`` names a column that is a function of the keys (the Silver bucket): it is
@@ -222,40 +242,57 @@ def scd2_from_changes(
     tracked = list(track_history_columns) if track_history_columns else attrs
     payload = [*attrs, sequence_by]
     base = changes.select(*cols)
-
-    hot = None
-    seq_dtype = base.schema[sequence_by].dataType
-    num = seq_number(seq_dtype, F.col(sequence_by))
-    if hot_key_rows is not None and num is not None:
-        stats = (
-            base.groupBy(*keys)
-            .agg(F.count(F.lit(1)).alias("_n"), F.min(num).alias("_lo"), F.max(num).alias("_hi"))
-            .where(F.col("_n") > hot_key_rows)
-        )
-        # bounded: at most total_rows / hot_key_rows keys
-        hot_rows = stats.collect()
-        if hot_rows:
-            hot = changes.sparkSession.createDataFrame(hot_rows, stats.schema).select(
-                *[F.col(k).alias(f"_hk{i}") for i, k in enumerate(keys)],
-                "_lo",
-                ((F.col("_hi") - F.col("_lo") + 1) / F.ceil(F.col("_n") / F.lit(bucket_rows))).alias("_width"),
-                (F.ceil(F.col("_n") / F.lit(bucket_rows)) - 1).alias("_maxb"),
-            )
+    if apply_as_deletes is not None:
+        # being deleted is one more tracked state; versions in that state are left out at the end
+        pred = F.expr(apply_as_deletes) if isinstance(apply_as_deletes, str) else apply_as_deletes
+        base = changes.select(*cols, F.coalesce(pred, F.lit(False)).alias(DELETED))
+        tracked, payload = [*tracked, DELETED], [*payload, DELETED]
 
     part = [cluster_by] if cluster_by else None
+    hot = None if hot_key_rows is None else _hot_keys(base, keys, sequence_by, hot_key_rows, bucket_rows)
     if hot is None:
         versions = _plain_versions(base, keys, sequence_by, payload, tracked, part, clustered)
     else:
         cond = null_safe_eq([F.col(k) for k in keys], [F.col(f"_hk{i}") for i in range(len(keys))])
-        tagged = base.join(F.broadcast(hot), cond, "left")
-        # NULL sequences sort first, as in the single ordered scan: they go to the first bucket
-        bucket = F.when(num.isNull(), F.lit(0)).otherwise(F.least(F.floor((num - F.col("_lo")) / F.col("_width")), F.col("_maxb"))).cast("long")
-        is_hot = F.col("_width").isNotNull()
-        plain_in = tagged.where(~is_hot).select(*cols)
-        hot_in = tagged.where(is_hot).withColumn("_seqb", bucket).select(*cols, "_seqb")
+        tagged = base.join(hot, cond, "left")
+        is_hot = F.col("_cuts").isNotNull()
+        # the bucket is the number of cut points at or below the row; NULL sequences sort first
+        seq = F.col(sequence_by)
+        bucket = F.coalesce(F.size(F.filter("_cuts", lambda c: c <= seq)), F.lit(0)).cast("long")
+        plain_in = tagged.where(~is_hot).select(*base.columns)
+        hot_in = tagged.where(is_hot).withColumn("_seqb", F.when(seq.isNull(), F.lit(0)).otherwise(bucket)).select(*base.columns, "_seqb")
         versions = _plain_versions(plain_in, keys, sequence_by, payload, tracked, part, clustered).unionByName(
             _hot_versions(hot_in, keys, sequence_by, payload, tracked)
         )
-
+    if apply_as_deletes is not None:
+        versions = versions.where(~F.col(f"_last.{DELETED}"))
     out = [F.col(c) if c in keys else F.col("_last")[c].alias(c) for c in cols]
     return versions.select(*out, START, END)
+
+
+def _hot_keys(base: DataFrame, keys: list[str], seq: str, hot_key_rows: int, bucket_rows: int) -> DataFrame | None:
+    """Keys of more than ``hot_key_rows`` rows with cut points of about ``bucket_rows`` rows each; None if there are none.
+
+    Cut points are taken by rank, from those sequence values whose hash falls into a part of
+    the hash space that leaves about ``CUT_SAMPLE`` of them: any type that has an order will do,
+    and one far-off value moves no cut.  The table is written to the shared checkpoint folder
+    (at most total rows / ``hot_key_rows`` of them, so it need not be small); it stays on the
+    executors, and the join that uses it is planned by its size.
+    """
+    checkpoint_dir(base.sparkSession)
+    counted = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_key_rows)
+    counted = counted.select(*[F.col(k).alias(f"_hk{i}") for i, k in enumerate(keys)], "_n").checkpoint()
+    if counted.isEmpty():
+        return None
+    cond = null_safe_eq([F.col(k) for k in keys], [F.col(f"_hk{i}") for i in range(len(keys))])
+    taken = F.pmod(F.xxhash64(seq), F.greatest(F.lit(1), F.floor(F.col("_n") / CUT_SAMPLE))) == 0
+    sample = base.join(counted, cond).where(F.col(seq).isNotNull() & taken)
+    cut = sample.groupBy(*[f"_hk{i}" for i in range(len(keys))], "_n").agg(F.array_sort(F.collect_set(seq)).alias("_s"))
+    parts = F.greatest(F.lit(1), F.ceil(F.col("_n") / bucket_rows)).cast("int")
+    place = lambda i: (i * F.size("_s") / parts).cast("int")
+    cuts = F.when(parts > 1, F.transform(F.sequence(F.lit(1), parts - 1), lambda i: F.get("_s", place(i))))
+    return counted.join(
+        cut.select(*[F.col(f"_hk{i}").alias(f"_ck{i}") for i in range(len(keys))], F.array_distinct(cuts).alias("_found")),
+        null_safe_eq([F.col(f"_hk{i}") for i in range(len(keys))], [F.col(f"_ck{i}") for i in range(len(keys))]),
+        "left",
+    ).select(*[f"_hk{i}" for i in range(len(keys))], F.coalesce("_found", F.array().cast(T.ArrayType(base.schema[seq].dataType))).alias("_cuts"))

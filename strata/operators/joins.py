@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from strata.operators.keys import END
 
 
+SPANS = 8
+
+
 def current_versions(scd2: DataFrame) -> DataFrame:
     """Open versions of an SCD2 table (``__END_AT IS NULL``): at most one per key."""
     return scd2.where(F.col(END).isNull())
@@ -29,29 +32,30 @@ def validity_join(
     end_col: str,
     how: str = "inner",
     day_buckets: bool = True,
+    span_days: int = 30,
 ) -> DataFrame:
     """Join each fact to the range of the same key that contains its timestamp.
 
-    Planned as an equi-join with the exact interval test as residual condition.  With
-    ``day_buckets`` the time axis is bucketed first: each range is exploded into the days it
-    covers (open ranges up to the last fact day, a scalar subquery) and the equi-join runs on
-    (keys, day).  A key with a long history then meets only the ranges of a fact's day, and
-    a hot key's facts spread over many join partitions instead of one.  Spark broadcasts
-    the range side when its size estimate is under the threshold and shuffles otherwise.
+    Planned as an equi-join with the exact interval test as residual condition.  Outer joins,
+    and ``day_buckets=False``, join on the key alone.  Else time is cut
+    into spans of ``span_days``.  A range of up to ``SPANS`` spans is listed under each of them, and
+    any longer or open one under the key alone, whatever its length; a fact looks under its
+    span and under the key alone.  So a long history of short ranges is met in the fact's span
+    only, a hot key's facts spread over its spans, no range is listed more than a few
+    times, and the facts are read once.  Spark broadcasts the range side when its size
+    is under the threshold and shuffles otherwise.
     """
-    fk, rk = list(on), list(on)
-    f, r = facts, ranges
-    if day_buckets:
-        last_day = facts.agg(F.max(F.to_date(ts_col))).scalar()
-        first, stop = F.to_date(start_col), F.coalesce(F.to_date(end_col), last_day)
-        days = F.when(first <= stop, F.sequence(first, stop)).otherwise(F.array().cast("array<date>"))
-        r = ranges.withColumn("_day", F.explode(days))
-        f = facts.withColumn("_day", F.to_date(ts_col))
-        fk, rk = [*fk, "_day"], [*rk, "_day"]
+    f, r, spanned = facts, ranges, day_buckets and how == "inner"
+    if spanned:
+        span = lambda c: F.floor(F.unix_date(F.to_date(c)) / span_days).cast("int")
+        first, last = span(start_col), span(end_col)
+        short = F.col(end_col).isNotNull() & (last - first < SPANS)
+        listed = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+        r = ranges.withColumn("_span", F.explode(F.when(short, listed).otherwise(F.array(F.lit(None).cast("int")))))
+        f = facts.withColumn("_span", F.explode(F.array(span(ts_col), F.lit(None).cast("int"))))
     f, r = f.alias("f"), r.alias("r")
-    cond = None
-    for a, b in zip(fk, rk, strict=True):
-        c = F.col(f"f.{a}") == F.col(f"r.{b}")
-        cond = c if cond is None else cond & c
+    cond = F.col("f._span").eqNullSafe(F.col("r._span")) if spanned else F.lit(True)
+    for k in on:
+        cond = cond & (F.col(f"f.{k}") == F.col(f"r.{k}"))
     cond = cond & in_validity(F.col(f"f.{ts_col}"), F.col(f"r.{start_col}"), F.col(f"r.{end_col}"))
     return f.join(r, cond, how)

@@ -18,22 +18,20 @@ def null_safe_eq(left: Sequence[Column], right: Sequence[Column]) -> Column:
     return reduce(lambda a, b: a & b, [lc.eqNullSafe(rc) for lc, rc in zip(left, right, strict=True)])
 
 
-def seq_number(dtype: T.DataType, c: Column) -> Column | None:
-    """A number that orders like ``c`` (used to cut a key's sequence range into buckets).
-
-    None when the type has no numeric order (e.g. strings); such keys are not bucketed.
-    """
-    if isinstance(dtype, T.TimestampType):
-        return F.unix_micros(c).cast("double")
-    if isinstance(dtype, T.TimestampNTZType):
-        # wall-clock arithmetic, no zone: monotone in c
-        epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-        return F.timestamp_diff("MICROSECOND", epoch, c).cast("double")
-    if isinstance(dtype, T.DateType):
-        return F.unix_date(c).cast("double")
-    if isinstance(dtype, T.NumericType):
-        return c.cast("double")
-    return None
+def has_map(dtype: T.DataType) -> bool:
+    """Whether values of the type hold maps, which Spark neither compares nor orders."""
+    if isinstance(dtype, T.ArrayType):
+        return has_map(dtype.elementType)
+    if isinstance(dtype, T.StructType):
+        return any(has_map(f.dataType) for f in dtype.fields)
+    return isinstance(dtype, T.MapType)
+
+
+def comparable(dtype: T.DataType, c: Column) -> Column:
+    """``c``, or its entries as sorted text where it holds maps, so that it can be compared."""
+    if isinstance(dtype, T.MapType):
+        return F.to_json(F.array_sort(F.transform(F.map_entries(c), lambda e: F.to_json(F.struct(e))))) if not has_map(dtype.valueType) else F.to_json(c)
+    return F.to_json(c) if has_map(dtype) else c
 
 
 def as_ts(value) -> Column:

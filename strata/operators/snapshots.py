@@ -2,8 +2,8 @@
 
 A snapshot holds each key at most once, so the key joins here cannot be skewed by a hot
 key; NULL is treated as a key value (null-safe joins).  Each load is one full outer join
-of the open versions with the new snapshot -- closed history is never touched, which keeps
-the cost of a load proportional to the current state, not to the history.
+of the open versions with the new snapshot; given the open versions alone, it yields them and
+what the load closes, so the cost of a load follows the current state, not the history.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strata.operators.keys import END, START, as_ts, null_safe_eq
+from strata.operators.keys import END, START, as_ts, comparable, null_safe_eq
 
 
 def _attrs(df: DataFrame, keys: Sequence[str]) -> list[str]:
@@ -152,33 +152,34 @@ def scd2_from_snapshots(
     track_history_columns: Sequence[str] | None = None,
     loads: DataFrame | None = None,
 ) -> DataFrame:
-    """SCD type 2 rebuilt at once from stacked snapshots (ids 1..N without gaps).
+    """SCD type 2 rebuilt at once from stacked snapshots.
 
     Same result as applying the snapshots one by one with :func:`scd2_apply_snapshot`.
     A key has at most one row per snapshot, so the per-key window holds at most N rows.
-    ``loads`` (snapshot_col, time_col) lists every load; needed when a snapshot was empty,
-    otherwise taken from the rows.
+    ``loads`` (snapshot_col, time_col: the load log) lists every load, one row each; ids may
+    have gaps.  Without it they are taken from the rows, and an empty snapshot is not seen.
     """
     keys = list(keys)
     attrs = [c for c in snapshots.columns if c not in (*keys, snapshot_col, time_col)]
     tracked = list(track_history_columns) if track_history_columns else attrs
-    w = Window.partitionBy(*keys).orderBy(snapshot_col)
-    trk = F.struct(*tracked)
-    prev_id = F.lag(snapshot_col).over(w)
-    chg = F.when(prev_id.isNull() | (F.col(snapshot_col) - prev_id > 1), 1).when(trk.eqNullSafe(F.lag(trk).over(w)), 0).otherwise(1)
-    flagged = snapshots.withColumn("_chg", chg).withColumn(
+    # one row per load, numbered in order: as small as the load log
+    times = (loads if loads is not None else snapshots).groupBy(snapshot_col).agg(F.min(time_col).alias("_at"))
+    times = times.select(F.col(snapshot_col).alias("_load"), "_at", F.row_number().over(Window.orderBy(snapshot_col)).alias("_no"))
+    numbered = snapshots.join(F.broadcast(times.select("_load", "_no")), F.col(snapshot_col) == F.col("_load"))
+    w = Window.partitionBy(*keys).orderBy("_no")
+    trk = F.struct(*[comparable(snapshots.schema[c].dataType, F.col(c)).alias(c) for c in tracked])
+    prev = F.lag("_no").over(w)
+    chg = F.when(prev.isNull() | (F.col("_no") - prev > 1), 1).when(trk.eqNullSafe(F.lag(trk).over(w)), 0).otherwise(1)
+    flagged = numbered.withColumn("_chg", chg).withColumn(
         "_ver", F.sum("_chg").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     )
     versions = flagged.groupBy(*keys, "_ver").agg(
         F.min(time_col).alias(START),
-        F.max(snapshot_col).alias("_last_id"),
-        F.max_by(F.struct(*attrs), F.col(snapshot_col)).alias("_last"),
+        F.max("_no").alias("_last_no"),
+        F.max_by(F.struct(*attrs), F.col("_no")).alias("_last"),
     )
-    # one row per snapshot: tiny, broadcast
-    times = (loads if loads is not None else snapshots).groupBy(snapshot_col).agg(F.min(time_col).alias("_t")).select(
-        (F.col(snapshot_col) - 1).alias("_prev_id"), "_t"
-    )
-    ended = versions.join(F.broadcast(times), versions["_last_id"] == times["_prev_id"], "left")
+    following = times.select((F.col("_no") - 1).alias("_prev_no"), F.col("_at").alias("_t"))
+    ended = versions.join(F.broadcast(following), F.col("_last_no") == F.col("_prev_no"), "left")
     return ended.select(*keys, *[F.col("_last")[c].alias(c) for c in attrs], START, F.col("_t").alias(END))
 
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from strata.config import TableConfig
+from strata.config import Step, TableConfig
 from strata.functions.cleaning import lookup, transform, with_function
 
 #: Lineage columns added on ingestion.  Dropped before snapshots are compared (they change on
@@ -14,15 +15,14 @@ from strata.functions.cleaning import lookup, transform, with_function
 TECH_COLUMNS = ("_ingested_at", "_file_path", "_file_modification_time")
 
 
-def apply_transforms(df: DataFrame, cfg: TableConfig | Sequence[dict[str, str]], table: str | None = None) -> DataFrame:
+def apply_transforms(df: DataFrame, cfg: TableConfig | Sequence[Step], table: str | None = None) -> DataFrame:
     """Replace columns in place, step by step in config order (a later step may reuse a column)."""
-    steps = cfg.transforms if isinstance(cfg, TableConfig) else tuple(cfg)
+    steps = cfg.steps if isinstance(cfg, TableConfig) else tuple(cfg)
     name = table or (cfg.name if isinstance(cfg, TableConfig) else "table")
     for step in steps:
-        col = step["column"]
-        if col not in df.columns:
-            raise KeyError(f"{name}: transform {step['fn']} targets missing column {col}")
-        df = with_function(df, col, lookup(step["fn"], table=name, column=col))
+        if step.column not in df.columns:
+            raise KeyError(f"{name}: transform {step.fn} targets missing column {step.column}")
+        df = with_function(df, step.column, lookup(step.fn, table=name, column=step.column))
     return df
 
 
@@ -32,10 +32,8 @@ def drop_if_present(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def cleaned_key(cfg: TableConfig, key: str):
     """The key column as Silver will hold it: the configured transforms of that column, in order."""
-    from pyspark.sql import functions as F
-
     col = F.col(key)
-    for step in cfg.transforms:
-        if step["column"] == key:
-            col = transform(step["fn"], col, table=cfg.name, column=key)
+    for step in cfg.steps:
+        if step.column == key:
+            col = transform(step.fn, col, table=cfg.name, column=key)
     return col

@@ -5,7 +5,7 @@ The pipelines are generic; these dicts are the configuration they run with.
 
 from __future__ import annotations
 
-from strata.config import SourceConfig
+from strata.config import SourceConfig, read_source
 
 # --- fixed values: table configuration of the sales domain ----------------------------------
 SALESDB = {
@@ -85,7 +85,7 @@ CRM_FILES = {
 
 
 def sources() -> list[SourceConfig]:
-    return [SourceConfig.from_dict(SALESDB), SourceConfig.from_dict(CRM_FILES)]
+    return [read_source(SALESDB), read_source(CRM_FILES)]
 
 
 def table_config(source: str, table: str):

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strata.functions.cleaning import mask_email
 from strata.operators.joins import current_versions
 from strata.operators.keys import END, START
+from strata.sources import files_store as store
 
 
 def revenue_by_customer_month(orders: DataFrame, customers_scd2: DataFrame) -> DataFrame:
@@ -66,15 +68,45 @@ def masked_view(customers: DataFrame, segment: str) -> DataFrame:
 
 
 def materialize(df: DataFrame, path: str) -> DataFrame:
-    """Write a Gold table (replacing the previous contents) and return it read back."""
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    """Replace a Gold table as a whole and return it read back.
+
+    The rows go to a folder of their own; readers follow the newest entry of ``_commits``, so
+    they see the old table or the new one and never a mixture.
+    """
+    spark = df.sparkSession
+    version = max(store.entries(spark, f"{path}/_commits"), default=0) + 1
+    df.write.mode("overwrite").parquet(f"{path}/ver-{version}")
+    store.write_entry(spark, f"{path}/_commits/{version}.json", {"version": version, "schema": df.schema.jsonValue()})
+    return read_materialized(spark, path)
+
+
+def read_materialized(spark: SparkSession, path: str) -> DataFrame:
+    """The newest finished version of a Gold table."""
+    log = store.entries(spark, f"{path}/_commits")
+    if not log:
+        raise FileNotFoundError(f"{path}: no Gold table")
+    version, entry = max(log.items())
+    return spark.read.schema(T.StructType.fromJson(entry["schema"])).parquet(f"{path}/ver-{version}")
 
 
 def create_view(df: DataFrame, name: str, global_view: bool = False) -> str:
-    """Publish a Gold/ops query as a named view (re-evaluated on every read)."""
+    """Publish a Gold/ops query as a named view of the session (re-evaluated on every read)."""
     if global_view:
         df.createOrReplaceGlobalTempView(name)
         return f"global_temp.{name}"
     df.createOrReplaceTempView(name)
     return name
+
+
+def create_persistent_view(spark: SparkSession, name: str, query: str, **names: str) -> str:
+    """Publish SQL text as a view in the catalog; ``{name}`` in the text is replaced by a quoted table name."""
+    quoted = {k: ".".join(f"`{part}`" for part in v.split(".")) for k, v in names.items()}
+    spark.sql(f"CREATE OR REPLACE VIEW {name} AS {query.format(**quoted)}")
+    return name
+
+
+#: The price history as SQL text, for a view in the catalog; see :func:`price_history`.
+PRICE_HISTORY = f"""
+    SELECT product_code, product_name, category, try_cast(price AS DECIMAL(12,2)) AS price,
+           {START} AS valid_since, {END} AS valid_until, {END} IS NULL AS is_current
+    FROM {{products}}"""

@@ -26,9 +26,10 @@ def cost_by_day(usage: DataFrame, list_prices: DataFrame, project: str, env: str
     )
 
 
-def job_runs_recent(runs: DataFrame, jobs: DataFrame, as_of: str, days: int = 7) -> DataFrame:
-    """Runs started in the ``days`` before ``as_of`` (a date parameter, so results repeat)."""
-    since = F.date_sub(F.lit(as_of).cast("date"), days)
+def job_runs_recent(runs: DataFrame, jobs: DataFrame, as_of: str | None = None, days: int = 7) -> DataFrame:
+    """Runs started in the ``days`` before ``as_of`` (default: today; a given date makes results repeat)."""
+    day = F.current_date() if as_of is None else F.lit(as_of).cast("date")
+    since = F.date_sub(day, days)
     r = runs.where(F.col("period_start_time") >= since)
     j = r.join(jobs, ["workspace_id", "job_id"])
     return j.select(

@@ -14,9 +14,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.config import SourceConfig, TableConfig
-from strata.operators.snapshots import scd2_apply_snapshot, scd2_start
+from strata.operators.changes import assert_unique
+from strata.operators.keys import END
 from strata.operators.quality import ExpectationFailed, expectation_metrics
+from strata.operators.snapshots import scd2_apply_snapshot, scd2_start
 from strata.operators.transforms import apply_transforms, cleaned_key
+from strata.plans import gold
 from strata.plans.silver import changes_view, scd_from_changes, snapshot_view
 from strata.session import sql_conf
 from strata.sources import bronze as bz
@@ -50,42 +53,37 @@ def load_source_table(
 def run_snapshot_table(lake: Lake, source: SourceConfig, cfg: TableConfig, snapshot_id: int | None = None) -> dict:
     """Bring Silver up to one Bronze snapshot (default: the newest) and publish it.
 
-    Rule counters are observed during the Silver write; a violated ``fail`` rule raises
-    before the commit, so readers keep seeing the previous version.  Snapshots apply in id
-    order; re-running an id at or below the published version is a no-op.
+    The load's time comes from the load log, so an empty snapshot ends all open versions like
+    any other.  A key that the cleaned snapshot holds twice is refused.  Rule counters are
+    observed during the Silver write; a violated ``fail`` rule raises before the commit, so
+    readers keep seeing the previous version.  Snapshots apply in id order; re-running an id at
+    or below the published version is a no-op.
     """
     path = lake.bronze_path(source.name, cfg.name)
-    snap = bz.read_as_of(lake.spark, path, snapshot_id) if snapshot_id is not None else bz.read_current(lake.spark, path)
-    sid = snapshot_id if snapshot_id is not None else int(snap.agg(F.max(bz.SNAPSHOT_ID)).first()[0])
+    sid = snapshot_id if snapshot_id is not None else bz.newest(lake.spark, path)
     silver = lake.silver(source.name, cfg)
     current = silver.current_version()
     if current is not None and sid <= current:
         # already applied (a retried run): published versions are immutable, nothing to do
         return {"table": cfg.name, "version": current, "skipped": True, "rules": {}}
+    snap, at = bz.read_as_of(lake.spark, path, sid), bz.loads(lake.spark, path)[sid]["at"]
+    assert_unique(snapshot_view(snap, cfg).df, cfg.keys, table=cfg.name)
     checked = snapshot_view(snap, cfg, observe=True)
-    clustered = False
     if cfg.scd_type == 1:
-        rows = checked.df
+        silver.write(checked.df, sid)
+    elif current is None:
+        silver.write(scd2_start(checked.df, at), sid, touched=(), closed=F.col(END).isNotNull())
     else:
-        at = snap.agg(F.min(bz.INGESTED_AT)).scalar()
-        if silver.exists():
-            # open versions and the snapshot meet co-partitioned on the Silver bucket: the join's
-            # shuffle is also the write's clustering; closed history streams through from its files
-            state = silver.read()
-            rows = scd2_apply_snapshot(state, silver.with_bucket(checked.df), cfg.keys, at, cfg.history_columns, co_partition=BUCKET)
-            clustered = True
-        else:
-            rows = scd2_start(checked.df, at)
-    if clustered:
-        # the bucket alone (a function of the unique keys, so evenly filled) is enough to
+        # open versions and the snapshot meet co-partitioned on the Silver bucket: the join's
+        # shuffle is also the write's clustering.  Closed history is neither read nor written.
+        # The bucket alone (a function of the unique keys, so evenly filled) is enough to
         # co-partition the join; let Spark use it instead of re-shuffling on all join keys
         with sql_conf(lake.spark, spark__sql__requireAllClusterKeysForCoPartition="false"):
-            silver.write(rows, sid, clustered=True)
-    else:
-        silver.write(rows, sid)
+            rows = scd2_apply_snapshot(silver.read(closed=False), silver.with_bucket(checked.df), cfg.keys, at, cfg.history, co_partition=BUCKET)
+            silver.write(rows, sid, touched=range(lake.buckets), clustered=True, closed=F.col(END).isNotNull())
     checked.raise_on_fail()
     manifest = silver.commit(sid)
-    return {"table": cfg.name, "version": sid, "buckets": len(manifest), "rules": checked.metrics()}
+    return {"table": cfg.name, "version": sid, "buckets": len(manifest["rows"]), "rules": checked.metrics()}
 
 
 def run_files_table(lake: Lake, source: SourceConfig, cfg: TableConfig, location: str | None = None) -> dict:
@@ -127,7 +125,7 @@ def run_source(lake: Lake, source: SourceConfig, inputs: dict[str, DataFrame] |
         if source.type == "files":
             results.append(run_files_table(lake, source, cfg, location))
             continue
-        if cfg.load_type == "incremental":
+        if cfg.load == "incremental":
             results.append(run_cursor_table(lake, source, cfg, inputs[cfg.name], ingested_at))
             continue
         load_source_table(lake, source, cfg, inputs[cfg.name], ingested_at)
@@ -141,8 +139,6 @@ def refresh_sales_gold(lake: Lake, salesdb: SourceConfig, crm: SourceConfig, gol
     ``revenue_by_customer_month`` is materialized (replaced); ``product_price_history`` is a
     view over Silver products, re-evaluated on every read.
     """
-    from strata.plans import gold
-
     root = gold_root or f"{lake.root}/gold/sales"
     orders = read_silver(lake, salesdb.name, salesdb.table("orders"))
     customers = read_silver(lake, salesdb.name, salesdb.table("customers"))
@@ -152,38 +148,37 @@ def refresh_sales_gold(lake: Lake, salesdb: SourceConfig, crm: SourceConfig, gol
 
 
 def run_cursor_table(lake: Lake, source: SourceConfig, cfg: TableConfig, data: DataFrame, ingested_at=None) -> dict:
-    """Incremental load by cursor column: append rows past the Bronze high-water mark, then
-    rebuild the Silver buckets those rows touch (the cursor is the change sequence).
+    """Incremental load by cursor column: take what Bronze does not hold yet, then rebuild the
+    Silver buckets it touches (the cursor is the change sequence).
 
-    Rule counters are taken on the increment (``fail`` aborts before anything is written);
-    the touched buckets are rebuilt from the whole Bronze history of their keys, so an
-    update arriving in a later load lands in its key's history like any change row.
+    The increment is written, its rules are checked, and only then is it entered in the load
+    log: what a ``fail`` rule rejects was never loaded, and the next run looks at it afresh.
+    Silver takes in every finished load above its version, so a run that ended between the two
+    is made up for by the next one.
     """
-    if not cfg.cursor_column:
-        raise ValueError(f"{cfg.name}: an incremental load needs cursor_column")
-    spark = lake.spark
-    scfg = replace(cfg, sequence_by=cfg.sequence_by or cfg.cursor_column)
-    path = lake.bronze_path(source.name, cfg.name)
-    existing = spark.read.parquet(path) if _has_data(spark, path) else None
-    load = bz.load_snapshot(spark, bz.cursor_increment(data, existing, cfg.cursor_column), path, cfg.name, ingested_at)
-    increment = bz.read_as_of(spark, path, load.snapshot_id).drop(bz.SNAPSHOT_ID)
+    if not cfg.cursor:
+        raise ValueError(f"{cfg.name}: an incremental load needs a cursor column")
+    spark, path = lake.spark, lake.bronze_path(source.name, cfg.name)
+    scfg = replace(cfg, sequence_by=cfg.sequence_by or cfg.cursor)
+    bucket = bucket_of([cleaned_key(cfg, k) for k in cfg.keys], lake.buckets)
+    log = bz.loads(spark, path)
+    load = max(log, default=0) + 1
+    entry = bz.stage_load(spark, bz.cursor_increment(data, bz.read_loads(spark, path) if log else None, cfg.cursor), path, load, ingested_at, bucket)
     rules = {}
-    if cfg.expectations:
-        rules = {r["rule"]: r.asDict() for r in expectation_metrics(apply_transforms(increment, cfg), cfg).collect()}
+    if cfg.rules:
+        staged = bz.read_staged(spark, path, load, entry)
+        rules = {r["rule"]: r.asDict() for r in expectation_metrics(apply_transforms(staged, cfg), cfg).collect()}
         bad = {k: v["failed"] for k, v in rules.items() if v["action"] == "fail" and v["failed"]}
         if bad:
             raise ExpectationFailed(cfg.name, bad)
-    bucket = bucket_of([cleaned_key(cfg, k) for k in cfg.keys], lake.buckets)
-    touched = [r[0] for r in increment.select(bucket).distinct().collect()]  # at most `buckets` values
+    bz.finish_load(spark, path, load, entry)
     silver = lake.silver(source.name, cfg)
+    pending = [i for i in [*log, load] if i > (silver.current_version() or 0)]
+    touched = [r[0] for r in bz.read_loads(spark, path, pending).select(BUCKET).distinct().collect()]  # at most `buckets` values
     if touched:
-        history = spark.read.parquet(path).drop(bz.SNAPSHOT_ID).where(bucket.isin(touched))
-        silver.write(scd_from_changes(changes_view(history, scfg).df, scfg), load.snapshot_id, touched)
-        silver.commit(load.snapshot_id)
-    return {"table": cfg.name, "version": silver.current_version(), "rows": load.rows, "rules": rules}
-
-
-def _has_data(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p))
+        # Bronze has a folder for each bucket too: only the touched ones are read
+        history = bz.read_loads(spark, path).where(F.col(BUCKET).isin(touched)).drop(bz.SNAPSHOT_ID)
+        view = changes_view(history, scfg, cluster_by=BUCKET).df
+        silver.write(scd_from_changes(view, scfg, cluster_by=BUCKET), load, touched)
+        silver.commit(load)
+    return {"table": cfg.name, "version": silver.current_version(), "rows": entry["rows"], "rules": rules}

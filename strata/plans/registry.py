@@ -25,17 +25,15 @@ from strata.functions.sql import register_functions
 from strata.operators.changes import dedupe_key_seq, key_collision_report, scd1_from_changes, scd2_from_changes, unique_key_check
 from strata.operators.joins import current_versions
 from strata.operators.quality import apply_drop, expectation_metrics
-from strata.operators.snapshots import change_feed, latest_snapshot, scd2_apply_snapshot, scd2_start, snapshot_diff
+from strata.operators.snapshots import change_feed, scd2_apply_snapshot, scd2_start, snapshot_diff
 from strata.operators.transforms import apply_transforms
 from strata.plans import gold, ops, silver
 from strata.plans.catalog import table_config
-from strata.session import checkpoint_dir
 from strata.sources import model
-from strata.streaming.cdc import apply_changes_batch
+from strata.sources.bronze import cursor_increment
 
 AS_OF = "2024-01-31"
 PROJECT_ENV = (model.PROJECT, "dev")
-SNAPSHOT_AS_OF = "2026-01-02 12:00:00"
 CUSTOMER_COLS = ["customer_id", "name", "email", "city", "segment", "updated_at"]
 ORDER_COLS = ["order_id", "customer_id", "order_date", "amount", "status", "is_deleted", "updated_at"]
 
@@ -57,6 +55,12 @@ def products_cfg():
     return table_config("crm_files", "products")
 
 
+def load_log(spark: SparkSession) -> DataFrame:
+    """The derived snapshots' load log: id and time, one row each."""
+    rows = ", ".join(f"({k}, timestamp_ntz '{t}')" for k, t in model.SNAPSHOT_LOADED_AT.items())
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS t(_snapshot_id, _ingested_at)")
+
+
 def _customers_snapshot(spark, sf, k: int) -> DataFrame:
     return model.customers_snapshots(spark, sf, snapshots=(k,))
 
@@ -65,10 +69,6 @@ def _clean_customers(spark, sf, k: int) -> DataFrame:
     return silver.snapshot_view(_customers_snapshot(spark, sf, k), customers_cfg()).df
 
 
-def _clean_orders(spark, sf, k: int) -> DataFrame:
-    return silver.snapshot_view(model.orders_snapshots(spark, sf, snapshots=(k,)), orders_cfg()).df
-
-
 def _products_clean_changes(spark, sf) -> DataFrame:
     return silver.changes_view(model.products_changes(spark, sf), products_cfg()).df
 
@@ -76,11 +76,12 @@ def _products_clean_changes(spark, sf) -> DataFrame:
 def silver_customers(spark, sf) -> DataFrame:
     # Rebuilding from all snapshots at once: the set form scans the snapshots once and
     # shuffles once (window per key); the load-by-load form is what the pipeline runs.
-    return silver.silver_from_snapshots(model.customers_snapshots(spark, sf), customers_cfg(), (1, 2, 3), incremental=False)
+    return silver.silver_from_snapshots(model.customers_snapshots(spark, sf), customers_cfg(), (1, 2, 3), incremental=False, loads=load_log(spark))
 
 
 def silver_orders(spark, sf) -> DataFrame:
-    return silver.silver_from_snapshots(model.orders_snapshots(spark, sf), orders_cfg(), (1, 2, 3))
+    # SCD1 needs the newest snapshot alone: derive no other
+    return silver.silver_from_snapshots(model.orders_snapshots(spark, sf, snapshots=(3,)), orders_cfg(), (3,))
 
 
 def silver_products(spark, sf) -> DataFrame:
@@ -96,30 +97,30 @@ def q_clean_string(spark, sf):
 
 
 def q_normalize_email(spark, sf):
-    c = _customers_snapshot(spark, sf, 1).select("customer_id", "email")
+    c = model.customers_snapshots(spark, sf).select("customer_id", "email")
     return with_function(c, "email", normalize_email)
 
 
 def q_parse_date_multi(spark, sf):
-    o = model.orders_snapshots(spark, sf, snapshots=(1,)).select("order_id", "order_date")
+    o = model.orders_snapshots(spark, sf).select("order_id", "order_date")
     return with_function(o, "order_date", parse_date_multi)
 
 
 def q_mask_email(spark, sf):
-    c = _customers_snapshot(spark, sf, 2)
+    c = model.customers_snapshots(spark, sf)
     return c.select("customer_id", mask_email(normalize_email("email")).alias("masked"))
 
 
 def q_lower_clean(spark, sf):
-    o = model.orders_snapshots(spark, sf, snapshots=(1,)).select("order_id", "status")
+    o = model.orders_snapshots(spark, sf).select("order_id", "status")
     return with_function(o, "status", lower_clean)
 
 
 def q_normalize_report(spark, sf):
     docs = model.table(spark, sf, "documents")
     conv = model.table(spark, sf, "conversations")
-    cust = _customers_snapshot(spark, sf, 1)
-    orders = model.orders_snapshots(spark, sf, snapshots=(1,))
+    cust = model.customers_snapshots(spark, sf)
+    orders = model.orders_snapshots(spark, sf)
     return (
         normalize_report(docs, "text", clean_string, "clean_string:documents")
         .unionByName(normalize_report(conv, "text", clean_string, "clean_string:conversations"))
@@ -129,12 +130,12 @@ def q_normalize_report(spark, sf):
 
 
 def q_apply_transforms(spark, sf):
-    return apply_transforms(_customers_snapshot(spark, sf, 1), customers_cfg()).select(*CUSTOMER_COLS)
+    return apply_transforms(model.customers_snapshots(spark, sf), customers_cfg()).select(*CUSTOMER_COLS)
 
 
 def q_udf_sql_surface(spark, sf):
     register_functions(spark)
-    _customers_snapshot(spark, sf, 2).createOrReplaceTempView("strata_customers_raw")
+    model.customers_snapshots(spark, sf).createOrReplaceTempView("strata_customers_raw")
     return spark.sql(
         "SELECT customer_id, clean_string(name) AS name, normalize_email(email) AS email, "
         "mask_email(normalize_email(email)) AS masked, lower_clean(segment) AS segment "
@@ -144,7 +145,7 @@ def q_udf_sql_surface(spark, sf):
 
 def q_udf_sql_dates(spark, sf):
     register_functions(spark)
-    model.orders_snapshots(spark, sf, snapshots=(1,)).createOrReplaceTempView("strata_orders_raw")
+    model.orders_snapshots(spark, sf).createOrReplaceTempView("strata_orders_raw")
     return spark.sql(
         "SELECT order_id, parse_date_multi(order_date) AS order_date, clean_string(status) AS status FROM strata_orders_raw"
     )
@@ -163,14 +164,14 @@ def q_param_sql(spark, sf):
 
 def q_dq_drop(spark, sf):
     cfg = orders_cfg()
-    cleaned = apply_transforms(model.orders_snapshots(spark, sf, snapshots=(1,)), cfg)
-    return apply_drop(cleaned, cfg.expectations).select(*ORDER_COLS)
+    cleaned = apply_transforms(model.orders_snapshots(spark, sf), cfg)
+    return apply_drop(cleaned, cfg).select(*ORDER_COLS)
 
 
 def q_dq_metrics(spark, sf):
     o_cfg, c_cfg = orders_cfg(), customers_cfg()
-    o = apply_transforms(model.orders_snapshots(spark, sf, snapshots=(1,)), o_cfg)
-    c = apply_transforms(_customers_snapshot(spark, sf, 1), c_cfg)
+    o = apply_transforms(model.orders_snapshots(spark, sf), o_cfg)
+    c = apply_transforms(model.customers_snapshots(spark, sf), c_cfg)
     return (
         expectation_metrics(o, o_cfg)
         .select(F.lit("orders").alias("table_name"), "*")
@@ -178,27 +179,7 @@ def q_dq_metrics(spark, sf):
     )
 
 
-# ---- bronze / snapshots ---------------------------------------------------------------------
-
-
-def q_bronze_snapshot_load(spark, sf):
-    return model.customers_snapshots(spark, sf)
-
-
-def q_bronze_current_snapshot(spark, sf):
-    return latest_snapshot(model.customers_snapshots(spark, sf))
-
-
-def q_snapshot_as_of(spark, sf):
-    b = model.customers_snapshots(spark, sf)
-    wanted = b.where(F.col("_ingested_at") <= F.lit(SNAPSHOT_AS_OF).cast("timestamp_ntz")).agg(F.max("_snapshot_id"))
-    return b.where(F.col("_snapshot_id") == wanted.scalar())
-
-
-def q_load_audit(spark, sf):
-    c = model.customers_snapshots(spark, sf).groupBy("_snapshot_id").agg(F.count(F.lit(1)).alias("rows"))
-    o = model.orders_snapshots(spark, sf).groupBy("_snapshot_id").agg(F.count(F.lit(1)).alias("rows"))
-    return c.select(F.lit("customers").alias("table_name"), "*").unionByName(o.select(F.lit("orders").alias("table_name"), "*"))
+# ---- snapshots ------------------------------------------------------------------------------
 
 
 def q_snapshot_diff(spark, sf):
@@ -265,31 +246,16 @@ def q_scd1_soft_delete(spark, sf):
     return scd1_from_changes(_orders_change_stream(spark, sf), ["order_id"], "updated_at", apply_as_deletes="is_deleted")
 
 
-def q_scd2_from_changes(spark, sf):
-    return silver_products(spark, sf)
-
-
-def q_scd2_late_arrival(spark, sf):
-    from strata.streaming.cdc import apply_changes_batch
+def q_scd2_soft_delete(spark, sf):
+    """A change marked as a delete closes its key's version and is no version itself."""
+    return scd2_from_changes(_orders_change_stream(spark, sf), ["order_id"], "updated_at", apply_as_deletes="is_deleted")
 
-    from strata.session import checkpoint_dir
 
-    cfg = products_cfg()
-    checkpoint_dir(spark)
-    # the cleaned change rows, stored once (as Bronze would hold them); batches read from it
-    rows = _products_clean_changes(spark, sf).checkpoint()
-    log, state = None, None
-    for arrived in sorted(model.FILE_ARRIVED_AT.values()):
-        batch = rows.where(F.col("_ingested_at") == F.lit(arrived).cast("timestamp_ntz"))
-        log, state = apply_changes_batch(log, state, batch, cfg)
-        # each batch builds on the stored result of the previous one, as the stream does
-        state = state.checkpoint()
-    return state
+def q_scd2_from_changes(spark, sf):
+    return silver_products(spark, sf)
 
 
 def q_incremental_cursor_load(spark, sf):
-    from strata.sources.bronze import cursor_increment
-
     cfg = orders_cfg()
     snaps = model.orders_snapshots(spark, sf).drop("_ingested_at")
     loaded = None
@@ -298,7 +264,7 @@ def q_incremental_cursor_load(spark, sf):
         inc = cursor_increment(src, loaded, "updated_at")
         loaded = inc if loaded is None else loaded.unionByName(inc)
     cleaned = apply_transforms(loaded, cfg)
-    return scd1_from_changes(apply_drop(cleaned, cfg.expectations), cfg.keys, "updated_at")
+    return scd1_from_changes(apply_drop(cleaned, cfg), cfg.keys, "updated_at")
 
 
 # ---- gold / ops -----------------------------------------------------------------------------
@@ -337,7 +303,7 @@ def q_ops_failures_by_day(spark, sf):
 
 
 def q_table_profile(spark, sf):
-    return ops.table_profile(_customers_snapshot(spark, sf, 1), ["name", "email", "city", "segment"], "updated_at")
+    return ops.table_profile(model.customers_snapshots(spark, sf), ["name", "email", "city", "segment"], "updated_at")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -353,10 +319,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "param_sql": q_param_sql,
     "dq_drop": q_dq_drop,
     "dq_metrics": q_dq_metrics,
-    "bronze_snapshot_load": q_bronze_snapshot_load,
-    "bronze_current_snapshot": q_bronze_current_snapshot,
-    "snapshot_as_of": q_snapshot_as_of,
-    "load_audit": q_load_audit,
     "snapshot_diff": q_snapshot_diff,
     "change_feed": q_change_feed,
     "scd1_from_snapshots": q_scd1_from_snapshots,
@@ -369,7 +331,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "scd1_from_changes": q_scd1_from_changes,
     "scd1_soft_delete": q_scd1_soft_delete,
     "scd2_from_changes": q_scd2_from_changes,
-    "scd2_late_arrival": q_scd2_late_arrival,
+    "scd2_soft_delete": q_scd2_soft_delete,
     "incremental_cursor_load": q_incremental_cursor_load,
     "revenue_by_customer_month": q_revenue_by_customer_month,
     "price_history": q_price_history,

@@ -36,16 +36,12 @@ def snapshots_view(bronze: DataFrame, cfg: TableConfig, observe: bool = False) -
 def changes_view(bronze_rows: DataFrame, cfg: TableConfig, observe: bool = False, cluster_by: str | None = None) -> CheckedFrame:
     """Change rows: exact (key, sequence) duplicates removed on the raw key, then cleaned and checked.
 
-    With ``cluster_by`` (a column derived from the cleaned key, e.g. the Silver bucket) the
-    rows are hash-partitioned on it once, and that partitioning serves this dedupe and the
-    SCD step after it (see :func:`scd_from_changes` with ``clustered=True``).
+    ``cluster_by`` (a column derived from the cleaned key, e.g. the Silver bucket) is carried
+    through.  Copies are combined where they lie before the shuffle, and the shuffle deals rows
+    by key and sequence, so neither copies nor a long history of one key meet in one task here.
     """
     seq = cfg.sequence_by or DEFAULT_SEQUENCE
-    if cluster_by:
-        rows = bronze_rows.repartition(F.col(cluster_by))
-        deduped = dedupe_key_seq(rows, list(cfg.keys), seq, extra_group=[cluster_by])
-    else:
-        deduped = dedupe_key_seq(bronze_rows, list(cfg.keys), seq)
+    deduped = dedupe_key_seq(bronze_rows, list(cfg.keys), seq, extra_group=[cluster_by] if cluster_by else ())
     return check(apply_transforms(deduped, cfg), cfg, observe=observe)
 
 
@@ -53,29 +49,32 @@ def scd_from_changes(changes: DataFrame, cfg: TableConfig, cluster_by: str | Non
     """SCD1 or SCD2 from cleaned change rows (duplicates after cleaning resolved again)."""
     seq = cfg.sequence_by or DEFAULT_SEQUENCE
     if cfg.scd_type == 1:
-        return scd1_from_changes(changes, cfg.keys, seq, STREAM_EXCEPT, cfg.apply_as_deletes, cluster_by=cluster_by)
+        return scd1_from_changes(changes, cfg.keys, seq, STREAM_EXCEPT, cfg.deletes, cluster_by=cluster_by)
     return scd2_from_changes(
-        changes, cfg.keys, seq, cfg.history_columns, STREAM_EXCEPT, cluster_by=cluster_by, clustered=clustered, **kw
+        changes, cfg.keys, seq, cfg.history, STREAM_EXCEPT, apply_as_deletes=cfg.deletes, cluster_by=cluster_by, clustered=clustered, **kw
     )
 
 
-def silver_from_snapshots(bronze: DataFrame, cfg: TableConfig, snapshot_ids, *, incremental: bool = True) -> DataFrame:
+def silver_from_snapshots(
+    bronze: DataFrame, cfg: TableConfig, snapshot_ids, *, incremental: bool = True, loads: DataFrame | None = None
+) -> DataFrame:
     """Silver after loading the given snapshots of a stacked Bronze table.
 
     SCD1: the newest cleaned snapshot.  SCD2: applied load by load (``incremental``) or
-    rebuilt at once from all snapshots; both give the same table.
+    rebuilt at once from all snapshots; both give the same table.  ``loads``: the load log (id
+    and time); with it the rebuild does not look for load times in the rows.
     """
     ids = sorted(snapshot_ids)
     if cfg.scd_type == 1:
         return snapshot_view(bronze.where(F.col(SNAPSHOT_ID) == ids[-1]), cfg).df
     if not incremental:
         stacked = snapshots_view(bronze.where(F.col(SNAPSHOT_ID).isin(ids)), cfg).df
-        return scd2_from_snapshots(stacked, cfg.keys, SNAPSHOT_ID, "_ingested_at", cfg.history_columns)
+        return scd2_from_snapshots(stacked, cfg.keys, SNAPSHOT_ID, "_ingested_at", cfg.history, loads)
     state = None
     for i in ids:
         snap = bronze.where(F.col(SNAPSHOT_ID) == i)
         view = snapshot_view(snap, cfg).df
         # the snapshot's load time as a scalar subquery: lazy, and keeps the column's type
         t = snap.agg(F.min("_ingested_at")).scalar()
-        state = scd2_start(view, t) if state is None else scd2_apply_snapshot(state, view, cfg.keys, t, cfg.history_columns)
+        state = scd2_start(view, t) if state is None else scd2_apply_snapshot(state, view, cfg.keys, t, cfg.history)
     return state

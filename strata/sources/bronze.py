@@ -1,33 +1,33 @@
-"""Bronze: full-load snapshots kept side by side, read back current or as of a time.
+"""Bronze: loads of a source table kept side by side, read back newest or as of a time.
 
-Layout: ``<root>/<source>/<table>/_snapshot_id=<n>/part-*.parquet``.  Each load appends one
-partition (dynamic partition overwrite makes a retried load idempotent); time travel and
-"current" are partition filters, so Spark prunes to the one snapshot it needs.
+Layout: ``<root>/<source>/<table>/_snapshot_id=<n>/part-*.parquet``, and a log entry for each
+finished load, ``_loads/<n>.json`` (id, load time, rows, schema).  What has no entry is not
+there: a load that dies or is rejected is written over by the next one.  An empty load has an
+entry and no files.  Reads go by the log to the one folder they need; no data is scanned to
+find an id.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import json
 from collections.abc import Callable, Iterable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from strata.operators.keys import comparable, null_safe_eq
+from strata.sources import files_store as store
+from strata.sources.tables import BUCKET
 
 SNAPSHOT_ID = "_snapshot_id"
 INGESTED_AT = "_ingested_at"
 
 
-def with_load_columns(df: DataFrame, ingested_at, snapshot_id: int | None = None) -> DataFrame:
-    """All source columns plus the load time (and the snapshot id)."""
-    t = ingested_at if not isinstance(ingested_at, (str, dt.datetime)) else F.lit(str(ingested_at)).cast("timestamp_ntz")
-    cols = [F.col("*"), t.alias(INGESTED_AT)]
-    if snapshot_id is not None:
-        cols.append(F.lit(snapshot_id).alias(SNAPSHOT_ID))
-    return df.select(*cols)
-
-
 @dataclass
 class LoadResult:
     table: str
@@ -36,61 +36,109 @@ class LoadResult:
     path: str
 
 
+def with_load_columns(df: DataFrame, ingested_at) -> DataFrame:
+    """All source columns plus the load time."""
+    return df.select(F.col("*"), F.lit(str(ingested_at)).cast("timestamp_ntz").alias(INGESTED_AT))
+
+
+def loads(spark: SparkSession, path: str) -> dict[int, dict]:
+    """The log: finished loads by id (``at``, ``rows``, ``schema``)."""
+    return store.entries(spark, f"{path}/_loads")
+
+
 def next_snapshot_id(spark: SparkSession, path: str) -> int:
-    """One more than the newest snapshot id under ``path`` (1 for a new table).
+    """One more than the newest finished load's id (1 for a new table)."""
+    return max(loads(spark, path), default=0) + 1
+
+
+def stage_load(spark: SparkSession, source: DataFrame, path: str, snapshot_id: int, ingested_at=None, bucket: Column | None = None) -> dict:
+    """Writes a load's rows without finishing it; gives the log entry for :func:`finish_load`.
 
-    Reads only the partition directory names (file listing), no data.
+    Rows without a load time get one.  With ``bucket`` the rows are dealt to bucket folders;
+    the dealing may split a bucket that is too large for one task.
     """
-    try:
-        ids = spark.read.parquet(path).select(SNAPSHOT_ID).distinct().agg(F.max(SNAPSHOT_ID)).first()[0]
-    except Exception:  # no table yet
-        return 1
-    return int(ids or 0) + 1
+    at = str(ingested_at) if ingested_at is not None else dt.datetime.now(dt.timezone.utc).replace(tzinfo=None).isoformat(sep=" ")
+    out = source if INGESTED_AT in source.columns else with_load_columns(source, at)
+    folder, schema = f"{path}/{SNAPSHOT_ID}={snapshot_id}", out.schema
+    if bucket is None:
+        out.write.mode("overwrite").parquet(folder)
+    else:
+        out.withColumn(BUCKET, bucket).hint("rebalance", BUCKET).write.mode("overwrite").partitionBy(BUCKET).parquet(folder)
+    # the files' footers have the count: no second pass over the rows
+    rows = spark.read.schema(schema).parquet(folder).count()
+    return {"at": at, "rows": rows, "schema": schema.jsonValue(), "bucketed": bucket is not None}
 
 
-def load_snapshot(
-    spark: SparkSession,
-    source: DataFrame,
-    path: str,
-    table: str,
-    ingested_at=None,
-    snapshot_id: int | None = None,
-) -> LoadResult:
-    """Write ``source`` as the next snapshot of a Bronze table; count rows during the write.
+def read_staged(spark: SparkSession, path: str, snapshot_id: int, entry: dict) -> DataFrame:
+    """The rows of a load that may not be finished yet."""
+    fields = [*T.StructType.fromJson(entry["schema"]).fields, T.StructField(SNAPSHOT_ID, T.IntegerType())]
+    if entry.get("bucketed"):
+        fields.append(T.StructField(BUCKET, T.IntegerType()))
+    if not entry["rows"]:
+        return spark.createDataFrame([], T.StructType(fields))
+    return spark.read.schema(T.StructType(fields)).option("basePath", path).parquet(f"{path}/{SNAPSHOT_ID}={snapshot_id}")
 
-    The row count is an observation on the write itself (no second scan).  A retry with the
-    same ``snapshot_id`` replaces just that partition.
-    """
-    from pyspark.sql import Observation
 
+def finish_load(spark: SparkSession, path: str, snapshot_id: int, entry: dict) -> None:
+    store.write_entry(spark, f"{path}/_loads/{snapshot_id}.json", entry)
+
+
+def load_snapshot(
+    spark: SparkSession, source: DataFrame, path: str, table: str, ingested_at=None, snapshot_id: int | None = None
+) -> LoadResult:
+    """Write ``source`` as the next load of a Bronze table; naming a finished load's id replaces that load."""
     sid = snapshot_id if snapshot_id is not None else next_snapshot_id(spark, path)
-    at = ingested_at if ingested_at is not None else F.current_timestamp().cast("timestamp_ntz")
-    obs = Observation(f"load_{table}_{sid}")
-    out = with_load_columns(source, at, sid).observe(obs, F.count(F.lit(1)).alias("rows"))
-    (
-        out.write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(SNAPSHOT_ID)
-        .parquet(path)
-    )
-    return LoadResult(table, sid, int(obs.get["rows"]), path)
+    store.remove_entry(spark, f"{path}/_loads/{sid}.json")  # while it is written, the load is not there
+    entry = stage_load(spark, source, path, sid, ingested_at)
+    finish_load(spark, path, sid, entry)
+    return LoadResult(table, sid, int(entry["rows"]), path)
+
+
+def read_loads(spark: SparkSession, path: str, ids: Iterable[int] | None = None) -> DataFrame:
+    """Rows of the finished loads ``ids`` (default all), with ``_snapshot_id``; columns by name."""
+    log = loads(spark, path)
+    wanted = sorted(log) if ids is None else sorted(ids)
+    if missing := [i for i in wanted if i not in log]:
+        raise FileNotFoundError(f"{path}: no finished load {missing}")
+    # loads of one schema are one scan
+    by_schema: dict[str, list[int]] = {}
+    for i in wanted:
+        by_schema.setdefault(json.dumps([log[i]["schema"], bool(log[i]["rows"])]), []).append(i)
+    parts = []
+    for same in by_schema.values():
+        first = read_staged(spark, path, same[0], log[same[0]])
+        if len(same) > 1 and log[same[0]]["rows"]:
+            first = spark.read.schema(first.schema).option("basePath", path).parquet(*[f"{path}/{SNAPSHOT_ID}={i}" for i in same])
+        parts.append(first)
+    if not parts:
+        raise FileNotFoundError(f"{path}: no finished load")
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def newest(spark: SparkSession, path: str, timestamp=None) -> int:
+    """Id of the newest load, or of the newest at or before ``timestamp``."""
+    log = loads(spark, path)
+    at = None if timestamp is None else dt.datetime.fromisoformat(str(timestamp))
+    found = [i for i, e in log.items() if at is None or dt.datetime.fromisoformat(e["at"]) <= at]
+    if not found:
+        raise FileNotFoundError(f"{path}: no finished load" + (f" at or before {timestamp}" if at else ""))
+    return max(found)
 
 
 def read_current(spark: SparkSession, path: str) -> DataFrame:
-    """Newest snapshot: the max id is a scalar subquery on the partition column (pruned scan)."""
-    b = spark.read.parquet(path)
-    newest = b.agg(F.max(SNAPSHOT_ID))
-    return b.where(F.col(SNAPSHOT_ID) == newest.scalar())
+    """The newest load, empty if it was empty."""
+    return read_loads(spark, path, [newest(spark, path)])
 
 
 def read_as_of(spark: SparkSession, path: str, snapshot_id: int | None = None, timestamp=None) -> DataFrame:
-    """An earlier snapshot by id, or the newest one loaded at or before ``timestamp``."""
-    b = spark.read.parquet(path)
-    if snapshot_id is not None:
-        return b.where(F.col(SNAPSHOT_ID) == snapshot_id)
-    t = F.lit(str(timestamp)).cast("timestamp_ntz")
-    wanted = b.where(F.col(INGESTED_AT) <= t).agg(F.max(SNAPSHOT_ID))
-    return b.where(F.col(SNAPSHOT_ID) == wanted.scalar())
+    """An earlier load by id, or the newest one at or before ``timestamp``."""
+    return read_loads(spark, path, [snapshot_id if snapshot_id is not None else newest(spark, path, timestamp)])
+
+
+def load_audit(spark: SparkSession, path: str, table: str) -> DataFrame:
+    """The log as rows: table, load id, rows."""
+    rows = [(table, i, int(e["rows"])) for i, e in loads(spark, path).items()]
+    return spark.createDataFrame(rows, f"table_name string, {SNAPSHOT_ID} int, rows bigint")
 
 
 def full_load_tables(tables: Sequence[dict]) -> list[dict]:
@@ -121,16 +169,22 @@ def load_many(
 
 
 def cursor_increment(source: DataFrame, target: DataFrame | None, cursor: str) -> DataFrame:
-    """Rows of ``source`` whose cursor is past the newest cursor already in ``target``.
+    """Rows of ``source`` that ``target`` does not hold yet, from the newest cursor on.
 
-    The high-water mark is a scalar subquery over the target's cursor column (one value,
-    same type as the column).  An empty target takes everything; a NULL cursor is only
-    taken by the first load.
+    The high-water mark is a scalar subquery over the target's cursor column.  Rows at the
+    mark itself, and rows without a cursor, may have come after the last load: they are
+    taken unless the target holds the very same row.  Only such rows are compared.
     """
     if target is None:
         return source
     mark = target.agg(F.max(cursor)).scalar()
-    return source.where(F.when(mark.isNull(), F.lit(True)).otherwise(F.col(cursor) > mark))
+    later = source.where(F.col(cursor).isNotNull() & (mark.isNull() | (F.col(cursor) > mark)))
+    edge = lambda df: df.where((F.col(cursor) == mark) | F.col(cursor).isNull())
+    ours, theirs = edge(source), edge(target.select(*source.columns))
+    left = [comparable(ours.schema[c].dataType, ours[c]) for c in source.columns]
+    known = theirs.select(*[comparable(theirs.schema[c].dataType, theirs[c]).alias(f"_t{i}") for i, c in enumerate(source.columns)]).distinct()
+    new = ours.join(known, null_safe_eq(left, [known[f"_t{i}"] for i in range(len(left))]), "left_anti")
+    return later.unionByName(new)
 
 
 def register_table(

@@ -8,6 +8,7 @@ returned DataFrame are pushed into those queries by the JDBC source.
 from __future__ import annotations
 
 from collections.abc import Mapping
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,7 +49,8 @@ def read_table(
             r = (
                 r.option("partitionColumn", partition_column)
                 .option("lowerBound", str(lower))
-                .option("upperBound", str(int(upper) + 1))
+                # dates and times go as text; only a number can be moved past the last value
+                .option("upperBound", str(upper + 1 if isinstance(upper, (int, Decimal)) else upper))
                 .option("numPartitions", str(num_partitions))
             )
     return r.load()

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strata.config import SourceConfig
+from strata.config import read_source
 
 SOURCES_SCHEMA = "source string, type string, ingestion_mode string, config_json string, git_sha string, deployed_at timestamp"
 TABLES_SCHEMA = (
@@ -22,8 +22,8 @@ def mirror(spark: SparkSession, raw: Sequence[dict], git_sha: str = "unknown", d
     now = deployed_at or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
     srcs, tabs = [], []
     for m in raw:
-        s = SourceConfig.from_dict(m)
-        srcs.append((s.name, s.type, s.ingestion_mode, json.dumps(m["source"], sort_keys=True), git_sha, now))
+        s = read_source(m)
+        srcs.append((s.name, s.type, s.mode, json.dumps(m["source"], sort_keys=True), git_sha, now))
         for t_raw, t in zip(m.get("tables", []), s.tables, strict=True):
             load_type = t_raw.get("load", {}).get("type", "full" if s.type == "sqlserver" else "files")
             tabs.append((s.name, t.name, load_type, list(t.keys), t.scd_type, json.dumps(t_raw, sort_keys=True), git_sha, now))

@@ -1,28 +1,31 @@
-"""Silver tables published atomically in versions, partitioned by key bucket.
+"""Silver tables published in versions, with open rows in key buckets and closed history apart.
 
 Layout::
 
-    <root>/v=<n>/_bucket=<b>/part-*.parquet   rows of bucket b as written by version n
-    <root>/_commits/<n>.json                  manifest: bucket -> version holding it
+    <root>/ver-<n>/_area=open/_bucket=<b>/part-*.parquet     rows of bucket b as version n wrote them
+    <root>/ver-<n>/_area=closed/_bucket=<b>/part-*.parquet   rows that version n closed for good
+    <root>/_commits/<n>.json                                 manifest
 
-A write goes to a fresh ``v=<n>`` directory; readers only follow committed manifests, so a
-failed or rejected write (a ``fail`` expectation) publishes nothing.  A change batch
-rewrites only the buckets its keys fall into; the manifest carries the other buckets over
-from the previous version, so the cost of a batch follows the change set, not the table.
-Retrying a version id overwrites its directory and then commits (idempotent per batch id).
+A manifest says which version holds each bucket and which versions' closed rows count, how
+many buckets there are and by which keys, the schema, and how far each stream has come.  A
+version exists once its manifest does; a write that fails, or that a ``fail`` rule rejects,
+publishes nothing.  A change batch rewrites the buckets it touches and a snapshot load the
+open rows; closed history is carried over by name and not read or written again.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-BUCKET = "_bucket"
+from strata.sources import files_store as store
+
+BUCKET, AREA = "_bucket", "_area"
 # Buckets bound the write parallelism of a full rewrite and the granularity of a partial
-# one; size them to the table (about one bucket per GB of Silver data).
+# one; size them to the table (about one bucket per GB of open rows).
 DEFAULT_BUCKETS = 256
 
 
@@ -33,101 +36,130 @@ def bucket_of(keys: Sequence[str | Column], buckets: int) -> Column:
 
 
 class VersionedTable:
+    """One writer at a time is assumed; a second one fails at its commit."""
+
     def __init__(self, spark: SparkSession, root: str, keys: Sequence[str], buckets: int = DEFAULT_BUCKETS):
         self.spark = spark
         self.root = root.rstrip("/")
         self.keys = list(keys)
         self.buckets = buckets
-
-    # -- file system (Hadoop FileSystem API: works on local, HDFS and object stores) --------
-    def _fs(self, path: str):
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
-
-    def _list(self, path: str) -> list[str]:
-        fs, p = self._fs(path)
-        if not fs.exists(p):
-            return []
-        return [s.getPath().getName() for s in fs.listStatus(p)]
+        now = self.manifest()
+        if now and (now["buckets"], now["keys"]) != (self.buckets, self.keys):
+            raise ValueError(
+                f"{self.root}: the table has {now['buckets']} buckets by {now['keys']}, not {self.buckets} by {self.keys}; "
+                "open it with these, or change them with rebucket()"
+            )
 
     # -- versions ---------------------------------------------------------------------------
     def versions(self) -> list[int]:
-        return sorted(int(n[:-5]) for n in self._list(f"{self.root}/_commits") if n.endswith(".json"))
+        return list(store.entries(self.spark, f"{self.root}/_commits"))
 
     def current_version(self) -> int | None:
-        v = self.versions()
-        return v[-1] if v else None
+        numbers = sorted((int(n[:-5]) for n in store.names(self.spark, f"{self.root}/_commits") if n.endswith(".json")), reverse=True)
+        return next((n for n in numbers if self.is_committed(n)), None)
 
-    def manifest(self, version: int | None = None) -> dict[int, int]:
+    def manifest(self, version: int | None = None) -> dict | None:
         version = self.current_version() if version is None else version
-        if version is None:
-            return {}
-        fs, p = self._fs(f"{self.root}/_commits/{version}.json")
-        stream = fs.open(p)
-        try:
-            text = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        finally:
-            stream.close()
-        return {int(k): int(v) for k, v in json.loads(text)["buckets"].items()}
+        return None if version is None else store.read_entry(self.spark, f"{self.root}/_commits/{version}.json")
 
     def exists(self) -> bool:
         return self.current_version() is not None
 
     def is_committed(self, version: int) -> bool:
-        fs, p = self._fs(f"{self.root}/_commits/{version}.json")
-        return bool(fs.exists(p))
+        return store.read_entry(self.spark, f"{self.root}/_commits/{version}.json") is not None
+
+    def stream_position(self, stream: str) -> int:
+        """The last batch of a stream that is in the published table (-1: none)."""
+        return ((self.manifest() or {}).get("streams") or {}).get(stream, -1)
 
-    def read(self, version: int | None = None, buckets: Iterable[int] | None = None) -> DataFrame:
-        """The table as of a committed version (default newest), optionally only some buckets."""
+    # -- reading ----------------------------------------------------------------------------
+    def read(self, version: int | None = None, buckets: Iterable[int] | None = None, closed: bool = True) -> DataFrame:
+        """The table as of a published version (default newest); only some buckets, or without closed history, if asked."""
         man = self.manifest(version)
+        if man is None:
+            raise FileNotFoundError(f"{self.root}: no version {'is published' if version is None else version}")
+        schema = T.StructType.fromJson(man["schema"])
         wanted = set(buckets) if buckets is not None else None
-        paths = [f"{self.root}/v={v}/{BUCKET}={b}" for b, v in sorted(man.items()) if wanted is None or b in wanted]
-        if not paths:
-            raise FileNotFoundError(f"{self.root}: no committed rows")
-        df = self.spark.read.option("basePath", self.root).parquet(*paths)
-        return df.drop("v")
+        by_version: dict[int, list[str]] = {}
+        for b, v in sorted((int(b), v) for b, v in man["rows"].items()):
+            if wanted is None or b in wanted:
+                by_version.setdefault(v, []).append(f"{self.root}/ver-{v}/{AREA}=open/{BUCKET}={b}")
+        for v in man["closed"] if closed else ():
+            held = sorted(self._buckets(f"{self.root}/ver-{v}/{AREA}=closed"))
+            by_version.setdefault(v, []).extend(f"{self.root}/ver-{v}/{AREA}=closed/{BUCKET}={b}" for b in held if wanted is None or b in wanted)
+        whole = T.StructType([*schema.fields, T.StructField(AREA, T.StringType()), T.StructField(BUCKET, T.IntegerType())])
+        parts = [
+            self.spark.read.schema(whole).option("basePath", f"{self.root}/ver-{v}").parquet(*paths).drop(AREA) for v, paths in by_version.items() if paths
+        ]
+        if not parts:
+            return self.spark.createDataFrame([], T.StructType([*schema.fields, T.StructField(BUCKET, T.IntegerType())]))
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
 
     def with_bucket(self, df: DataFrame) -> DataFrame:
         return df.withColumn(BUCKET, bucket_of(self.keys, self.buckets))
 
-    def write(self, df: DataFrame, version: int, touched: Iterable[int] | None = None, clustered: bool = False) -> None:
-        """Write the rows of the touched buckets (all buckets when ``touched`` is None) as ``version``.
+    # -- writing ----------------------------------------------------------------------------
+    def write(
+        self, df: DataFrame, version: int, touched: Iterable[int] | None = None, clustered: bool = False, closed: Column | None = None
+    ) -> None:
+        """Write ``df`` as ``version``: all buckets, or those ``touched``.  Not visible until :meth:`commit`.
 
-        Rows are clustered by bucket first, so each bucket is written by one task as one file
-        instead of every task writing a small file into every bucket.  ``clustered`` says the
-        caller's plan already holds each bucket in few tasks (e.g. a join co-partitioned on the
-        bucket, or rows read back from bucket folders), which saves that shuffle.
-        Not visible until :meth:`commit`.
+        Rows are clustered by bucket first, so each bucket is one file and not one of every
+        task; ``clustered`` says that the plan already does so.  With ``closed`` (a
+        predicate), the rows are open ones and such as this version closes: these go to its
+        closed history, and the history of earlier versions stays as it is.
         """
         if self.is_committed(version):
             raise ValueError(f"{self.root}: version {version} is already published and immutable")
+        if AREA in df.columns:
+            raise ValueError(f"{self.root}: a column may not be named {AREA}")
         out = df if BUCKET in df.columns else self.with_bucket(df)
         if not clustered:
-            out = out.repartition(F.col(BUCKET))
-        out.write.mode("overwrite").partitionBy(BUCKET).parquet(f"{self.root}/v={version}")
-        self._pending = (version, None if touched is None else set(touched))
-
-    def commit(self, version: int) -> dict[int, int]:
-        """Publish ``version``: touched buckets point to it, the others keep their old version."""
-        pv, touched = getattr(self, "_pending", (version, None))
-        if pv != version:
-            touched = None
-        written = {
-            int(n.split("=", 1)[1]) for n in self._list(f"{self.root}/v={version}") if n.startswith(f"{BUCKET}=")
+            out = out.hint("rebalance", BUCKET)  # by bucket, but a bucket too large for one task is split
+        area = F.lit("open") if closed is None else F.when(closed, F.lit("closed")).otherwise(F.lit("open"))
+        out.withColumn(AREA, area).write.mode("overwrite").partitionBy(AREA, BUCKET).parquet(f"{self.root}/ver-{version}")
+        plain = T.StructType([f for f in out.schema if f.name != BUCKET])
+        self._pending = (version, None if touched is None else set(touched), plain, closed is not None)
+
+    def commit(self, version: int, stream: str | None = None, batch: int | None = None) -> dict:
+        """Publish what :meth:`write` wrote; buckets it did not touch stay where they were."""
+        if getattr(self, "_pending", (None,))[0] != version:
+            raise ValueError(f"{self.root}: version {version} was not written by this writer")
+        _, touched, schema, split = self._pending
+        before = self.manifest() or {"rows": {}, "closed": [], "streams": {}}
+        folder = f"{self.root}/ver-{version}"
+        # a whole rewrite holds its history itself; else that of earlier versions still counts
+        closed = list(before["closed"]) if split or touched is not None else []
+        if split and store.exists(self.spark, f"{folder}/{AREA}=closed"):
+            closed.append(version)
+        written = self._buckets(f"{folder}/{AREA}=open")
+        rows = {} if touched is None else {b: v for b, v in before["rows"].items() if int(b) not in touched}
+        rows |= {str(b): version for b in written}
+        streams = dict(before["streams"]) | ({stream: batch} if stream is not None else {})
+        man = {
+            "version": version,
+            "buckets": self.buckets,
+            "keys": self.keys,
+            "schema": schema.jsonValue(),
+            "rows": rows,
+            "closed": closed,
+            "streams": streams,
         }
-        prev = {b: v for b, v in self.manifest().items() if v != version} if self.exists() else {}
-        if touched is None:
-            man = {b: version for b in written}
-        else:
-            man = {b: v for b, v in prev.items() if b not in touched}
-            man.update({b: version for b in written})
-        fs, p = self._fs(f"{self.root}/_commits/{version}.json")
-        if fs.exists(p):  # already committed (retried batch)
-            return self.manifest(version)
-        tmp_fs, tmp = self._fs(f"{self.root}/_commits/.{version}.json.tmp")
-        stream = tmp_fs.create(tmp, True)
-        stream.write(json.dumps({"version": version, "buckets": man}).encode())
-        stream.close()
-        fs.rename(tmp, p)
+        store.write_entry(self.spark, f"{self.root}/_commits/{version}.json", man)
         return man
+
+    def _buckets(self, folder: str) -> set[int]:
+        return {int(n.split("=", 1)[1]) for n in store.names(self.spark, folder) if n.startswith(f"{BUCKET}=")}
+
+    def rebucket(self, buckets: int) -> VersionedTable:
+        """The table rewritten with another number of buckets, as its next version."""
+        rows = self.read().drop(BUCKET)
+        version = (self.current_version() or 0) + 1
+        new = object.__new__(VersionedTable)
+        new.spark, new.root, new.keys, new.buckets = self.spark, self.root, self.keys, buckets
+        new.write(rows, version)
+        new.commit(version)
+        return new

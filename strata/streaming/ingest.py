@@ -1,46 +1,45 @@
 """Incremental file ingestion and change application with Structured Streaming.
 
-Files -> Bronze: a file-source stream (each file taken once, tracked in the checkpoint)
-appends raw rows plus lineage columns to a Parquet table partitioned by key bucket.
-Bronze -> Silver: a stream over Bronze whose ``foreachBatch`` rebuilds only the key buckets
-the batch touched, from their whole stored history, and publishes them as a new table
-version keyed by the batch id (a retried batch rewrites the same version).
+Files -> Bronze: a stream over the landing folder's file names (each taken once, tracked in the
+checkpoint); each batch of new files is read by header and becomes one load of a Bronze table,
+bucketed by cleaned key and entered in its load log with the stream and batch it came from.
+Bronze -> Silver: a stream over Bronze whose ``foreachBatch`` rebuilds only the key buckets the
+batch touched, from their stored history, and publishes them as the table's next version.  The
+manifest keeps the stream's last batch, so a batch that is run again changes nothing, and a
+stream that starts afresh with a new checkpoint is a stream of its own.
 Both run as triggered ``availableNow`` runs.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from strata.config import TableConfig
 from strata.operators.quality import ExpectationFailed, expectation_metrics
 from strata.operators.transforms import apply_transforms
 from strata.plans.silver import changes_view, scd_from_changes
-from strata.sources.files import header_schema, lineage
+from strata.sources import bronze as bz
+from strata.sources import files_store as store
+from strata.sources.files import read_files
 from strata.sources.tables import BUCKET, VersionedTable, bucket_of
 
 
-def file_stream(
-    spark: SparkSession,
-    location: str,
-    fmt: str,
-    options: Mapping[str, str],
-    pattern: str,
-    schema: T.StructType,
-    keys: list[str | Column] | None = None,
-    buckets: int | None = None,
-) -> DataFrame:
-    opts = {k: v for k, v in options.items() if k != "schemaHints"}
-    df = spark.readStream.format(fmt).options(**opts).option("pathGlobFilter", pattern).schema(schema).load(location)
-    df = lineage(df)
-    if keys and buckets:
-        # clustered by bucket: each micro-batch writes one file per bucket, not one per task and bucket
-        df = df.withColumn(BUCKET, bucket_of(keys, buckets)).repartition(F.col(BUCKET))
-    return df
+#: The binary file source's columns; only names are taken, so no content is read.
+FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
+
+
+def stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that a stream keeps in its checkpoint."""
+    fs, p = store._fs(spark, f"{checkpoint}/metadata")
+    stream = fs.open(p)
+    try:
+        return json.loads(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))["id"]
+    finally:
+        stream.close()
 
 
 def ingest_files(
@@ -51,19 +50,35 @@ def ingest_files(
     pattern: str,
     bronze_path: str,
     checkpoint: str,
-    keys=None,
-    buckets: int | None = None,
-    schema: T.StructType | None = None,
+    keys: list[str | Column],
+    buckets: int,
 ) -> int:
-    """Append every not-yet-seen file to Bronze; returns the number of rows appended."""
-    schema = schema or header_schema(spark, location, fmt, options, pattern)
-    df = file_stream(spark, location, fmt, options, pattern, schema, keys, buckets)
-    writer = df.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True)
-    if keys and buckets:
-        writer = writer.partitionBy(BUCKET)
-    q = writer.start(bronze_path)
+    """Append every not-yet-seen file to Bronze; returns the number of rows appended.
+
+    A landing folder without files is no fault: there is nothing to append yet.
+    """
+    if not store.exists(spark, location):
+        return 0
+    files = spark.readStream.format("binaryFile").schema(FILE_SCHEMA).option("pathGlobFilter", pattern).load(location).select("path")
+    rows = 0
+
+    def take(batch: DataFrame, batch_id: int) -> None:
+        nonlocal rows
+        origin = [stream_id(spark, checkpoint), batch_id]
+        log = bz.loads(spark, bronze_path)
+        if any(e.get("origin") == origin for e in log.values()):  # run again after its load was finished
+            return
+        paths = [r.path for r in batch.collect()]  # names of this batch's files only
+        if not paths:
+            return
+        load = max(log, default=0) + 1
+        entry = bz.stage_load(spark, read_files(spark, None, fmt, options, paths=paths), bronze_path, load, bucket=bucket_of(keys, buckets))
+        bz.finish_load(spark, bronze_path, load, entry | {"origin": origin})
+        rows += entry["rows"]
+
+    q = files.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
-    return sum(int(p.get("numInputRows", 0)) for p in q.recentProgress)
+    return rows
 
 
 def apply_changes_stream(
@@ -75,26 +90,30 @@ def apply_changes_stream(
 ) -> list[dict]:
     """Run the Bronze -> Silver change flow until caught up; returns per-batch rule metrics.
 
-    Per batch: rule counters on the batch's cleaned rows (``fail`` aborts before anything
-    is written), then the touched buckets are rebuilt from Bronze (partition-pruned to those
-    buckets) and committed as version ``batch_id``.
+    Per batch: rule counters on the batch's cleaned rows (``fail`` aborts before anything is
+    written), then the touched buckets are rebuilt from Bronze (pruned to those buckets, and
+    to loads up to the batch's) and published.  Without any load yet there is nothing to do.
     """
-    schema = spark.read.parquet(bronze_path).schema
-    stream = spark.readStream.schema(schema).parquet(bronze_path)
+    log = bz.loads(spark, bronze_path)
+    if not log:
+        return []
+    stream = spark.readStream.schema(bz.read_loads(spark, bronze_path).schema).parquet(bronze_path)
     metrics: list[dict] = []
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        if silver.is_committed(batch_id):  # batch re-run after its version was published
+        me = stream_id(spark, checkpoint)
+        if silver.stream_position(me) >= batch_id:  # run again after its version was published
             return
+        finished = sorted(bz.loads(spark, bronze_path))
         # read twice below (touched buckets, rule counters): keep the batch's rows for this
         # call; lost blocks are simply recomputed from the batch's files
-        batch.persist()
+        batch = batch.where(F.col(bz.SNAPSHOT_ID).isin(finished)).persist()
         try:
-            touched = [r[0] for r in batch.select(BUCKET).distinct().collect()]  # at most `buckets` values
-            if not touched:
+            seen = batch.groupBy(BUCKET).agg(F.max(bz.SNAPSHOT_ID).alias("load")).collect()  # at most `buckets` rows
+            if not seen:
                 return
-            if cfg.expectations:
-                cleaned = apply_transforms(batch.drop(BUCKET), cfg)
+            if cfg.rules:
+                cleaned = apply_transforms(batch.drop(BUCKET, bz.SNAPSHOT_ID), cfg)
                 m = {r["rule"]: r.asDict() for r in expectation_metrics(cleaned, cfg).collect()}
                 metrics.append({"batch_id": batch_id, "rules": m})
                 bad = {k: v["failed"] for k, v in m.items() if v["action"] == "fail" and v["failed"]}
@@ -102,17 +121,17 @@ def apply_changes_stream(
                     raise ExpectationFailed(cfg.name, bad)
         finally:
             batch.unpersist()
-        # Bronze is partitioned by the cleaned-key bucket: read only the touched buckets, and
-        # let one shuffle on the bucket serve the dedupe, the SCD scan and the bucketed write
-        history = spark.read.parquet(bronze_path).where(F.col(BUCKET).isin(touched))
-        view = changes_view(history, cfg, cluster_by=BUCKET).df
-        rows = scd_from_changes(view, cfg, cluster_by=BUCKET, clustered=True)
-        silver.write(rows, batch_id, touched, clustered=True)
-        silver.commit(batch_id)
+        touched, last = [r[BUCKET] for r in seen], max(r["load"] for r in seen)
+        history = bz.read_loads(spark, bronze_path, [i for i in finished if i <= last]).drop(bz.SNAPSHOT_ID)
+        view = changes_view(history.where(F.col(BUCKET).isin(touched)), cfg, cluster_by=BUCKET).df
+        rows = scd_from_changes(view, cfg, cluster_by=BUCKET)
+        version = (silver.current_version() or 0) + 1
+        silver.write(rows, version, touched)
+        silver.commit(version, me, batch_id)
 
     q = stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
     return metrics
 
 
-__all__ = ["apply_changes_stream", "file_stream", "ingest_files"]
+__all__ = ["apply_changes_stream", "ingest_files"]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from strata.functions import clean_string, lower_clean, mask_email, normalize_email, parse_date_multi, register_functions
 from strata.functions.cleaning import REGISTRY, transform
 
+# fixed values: the published cases, which both forms must give as they are
 CLEAN = [("  Anna   Müller ", "Anna Müller"), ("", None), ("   ", None), (None, None), ("a\tb", "a b")]
 EMAIL = [
     (" ANNA@Example.COM ", "anna@example.com"),
@@ -24,7 +25,7 @@ DATES = [
     ("kein datum", None),
     (None, None),
 ]
-# Column-variant behaviour pinned beyond the published cases
+# (end of the fixed values) Column-variant behaviour pinned beyond the published cases
 EXTRA_EMAIL = [("a@", None), ("a@b@c", None), ("x @ y", "x@y")]
 EXTRA_DATES = [
     ("1.2.2026", None),

@@ -2,11 +2,13 @@
 
 import datetime as dt
 import os
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
-from strata.config import SourceConfig, TableConfig
+from rows import PRODUCTS_1, PRODUCTS_2, customers
+from strata.config import Rule, SourceConfig, read_source
 from strata.operators.keys import END, START
 from strata.operators.quality import ExpectationFailed
 from strata.plans.catalog import CRM_FILES, SALESDB
@@ -16,17 +18,11 @@ from strata.sources.files import read_files
 from strata.sources.jdbc import read_table
 
 CUST = "customer_id int, name string, email string, city string, segment string"
-R1 = [(i, f"Name  {i}", f" C{i}@Example.com ", "Berlin", "Retail") for i in range(1, 21)]
-R2 = [r for r in R1 if r[0] not in (2, 5, 7, 20)] + [
-    (2, "Name  2", " C2@Example.com ", "Dresden", "Retail"),
-    (5, "Name  5", " C5@Example.com ", "Dresden", "Retail"),
-    (7, "Name  7", "neu.adresse7@example.com", "Berlin", "Enterprise"),
-    (21, "Zoe   Neumann", "ZOE.NEUMANN@EXAMPLE.COM", "Bonn", "B2B"),
-]
+R1, R2 = customers("Client  {}", " Mail{}@Post.test ")
 
 
 def test_snapshot_pipeline_two_rounds(spark, tmp_root):
-    src = SourceConfig.from_dict(SALESDB)
+    src = read_source(SALESDB)
     cfg = src.table("customers")
     lake = Lake(spark, tmp_root, buckets=4)
     for i, rows in enumerate((R1, R2), start=1):
@@ -49,14 +45,9 @@ def test_snapshot_pipeline_two_rounds(spark, tmp_root):
 
 
 def test_fail_rule_publishes_nothing(spark, tmp_root):
-    src = SourceConfig.from_dict(SALESDB)
+    src = read_source(SALESDB)
     base = src.table("orders")
-    cfg = TableConfig(
-        name="orders",
-        keys=base.keys,
-        transforms=base.transforms,
-        expectations={**base.expectations, "small": {"expr": "amount < 100", "action": "fail"}},
-    )
+    cfg = base.with_rules(Rule("small", "amount < 100", "fail"))
     lake = Lake(spark, tmp_root, buckets=4)
     schema = "order_id int, customer_id int, order_date string, amount int, status string, is_deleted boolean"
     ok = spark.createDataFrame([(1, 1, "2026-02-01", 5, " open", False)], schema)
@@ -81,19 +72,12 @@ def _write_csv(folder, name, rows, when):
     os.utime(path, (ts, ts))
 
 
-FILE1 = [
-    ("P-100", "Laptop  Pro 14", "Hardware", "1299.00", "2026-01-01"),
-    ("P-101", ' Monitor 27" ', "hardware", "349.90", "01.02.2026"),
-    ("P-102", "Docking Station", "Hardware", "", "03/01/2026"),
-    ("P-200", "Office Lizenz", "Software", "99.00", "2026-01-15"),
-    ("P-201", "  Antivirus", " Software ", "29.99", "20260201"),
-    ("P-201", "  Antivirus", " Software ", "29.99", "20260201"),
-]
-FILE2 = [("P-100", "Laptop Pro 14", "Hardware", "1199.00", "2026-10-01"), ("P-300", "Headset", "Accessories", "79.00", "08.10.2026")]
+FILE1 = [tuple(v or "" for v in r) for r in PRODUCTS_1]
+FILE2 = PRODUCTS_2
 
 
 def test_files_pipeline_with_late_file(spark, tmp_root):
-    src = SourceConfig.from_dict(CRM_FILES)
+    src = read_source(CRM_FILES)
     cfg = src.table("products")
     landing = os.path.join(tmp_root, "landing")
     os.makedirs(landing)
@@ -108,21 +92,21 @@ def test_files_pipeline_with_late_file(spark, tmp_root):
     got = read_silver(lake, "crm_files", cfg)
     rows = sorted((r.product_code, r.price, r[END] is None) for r in got.collect())
     assert rows == [
-        ("P-100", "1199.00", True),
-        ("P-100", "1299.00", False),
-        ("P-101", "349.90", True),
-        ("P-102", None, True),
-        ("P-200", "99.00", True),
-        ("P-201", "29.99", True),
-        ("P-300", "79.00", True),
+        ("K-07", "398.00", True),
+        ("K-07", "412.50", False),
+        ("K-08", "18.75", True),
+        ("K-09", None, True),
+        ("M-01", "7.20", True),
+        ("M-02", "3.10", True),
+        ("T-55", "64.00", True),
     ]
     again = run_files_table(lake, src, cfg, landing)  # nothing new: no rows, no batch
     assert again["bronze_rows"] == 0 and again["batches"] == []
     # a late file: older modification time than file 2, arriving last -> lands in the middle
-    _write_csv(landing, "products_0_late.csv", [("P-100", "Laptop Pro 14", "Hardware", "1249.00", "2026-05-01")], dt.datetime(2026, 10, 5, 8))
+    _write_csv(landing, "products_0_late.csv", [("K-07", "Garden Chair XL", "Outdoor", "405.25", "2026-05-01")], dt.datetime(2026, 10, 5, 8))
     run_files_table(lake, src, cfg, landing)
-    p100 = sorted((r[START], r.price) for r in read_silver(lake, "crm_files", cfg).where("product_code = 'P-100'").collect())
-    assert [p for _, p in p100] == ["1299.00", "1249.00", "1199.00"]
+    p100 = sorted((r[START], r.price) for r in read_silver(lake, "crm_files", cfg).where("product_code = 'K-07'").collect())
+    assert [p for _, p in p100] == ["412.50", "405.25", "398.00"]
 
 
 def test_read_files_formats_and_lineage(spark, tmp_root):
@@ -147,7 +131,7 @@ def test_jdbc_partitioned_read(spark):
 
 def test_files_pipeline_raw_key_spellings_share_history(spark, tmp_root):
     """Raw keys that clean to the same key (' P-6 ' and 'P-6') must rebuild together."""
-    src = SourceConfig.from_dict(CRM_FILES)
+    src = read_source(CRM_FILES)
     cfg = src.table("products")
     landing = os.path.join(tmp_root, "landing")
     os.makedirs(landing)
@@ -165,18 +149,9 @@ def test_files_pipeline_raw_key_spellings_share_history(spark, tmp_root):
 
 
 def test_stream_fail_rule_keeps_previous_version(spark, tmp_root):
-    base = SourceConfig.from_dict(CRM_FILES)
+    base = read_source(CRM_FILES)
     t = base.table("products")
-    cfg = TableConfig(
-        name=t.name,
-        keys=t.keys,
-        scd_type=2,
-        sequence_by=t.sequence_by,
-        track_history_columns=t.track_history_columns,
-        transforms=t.transforms,
-        expectations={**t.expectations, "price_sane": {"expr": "try_cast(price AS DECIMAL(12,2)) < 5000", "action": "fail"}},
-        pattern=t.pattern,
-    )
+    cfg = t.with_rules(Rule("price_sane", "try_cast(price AS DECIMAL(12,2)) < 5000", "fail"))
     src = SourceConfig(name=base.name, type=base.type, format="csv", options=base.options, tables=(cfg,))
     landing = os.path.join(tmp_root, "landing")
     os.makedirs(landing)
@@ -185,17 +160,18 @@ def test_stream_fail_rule_keeps_previous_version(spark, tmp_root):
     run_files_table(lake, src, cfg, landing)
     silver = lake.silver("crm_files", cfg)
     before = silver.current_version()
-    _write_csv(landing, "products_2.csv", [("P-100", "Laptop", "Hardware", "99999.00", "2026-10-02")], dt.datetime(2026, 10, 2, 8))
+    _write_csv(landing, "products_2.csv", [("K-07", "Laptop", "Outdoor", "99999.00", "2026-10-02")], dt.datetime(2026, 10, 2, 8))
     with pytest.raises(Exception, match="price_sane"):
         run_files_table(lake, src, cfg, landing)
     assert silver.current_version() == before
-    assert sorted(r.price for r in read_silver(lake, "crm_files", cfg).collect()) == ["1199.00", "79.00"]
+    assert sorted(r.price for r in read_silver(lake, "crm_files", cfg).collect()) == ["398.00", "64.00"]
 
 
 def test_run_sources_and_gold(spark, tmp_root):
+    from strata.plans.gold import read_materialized
     from strata.plans.pipeline import refresh_sales_gold, run_source
 
-    sales, crm = SourceConfig.from_dict(SALESDB), SourceConfig.from_dict(CRM_FILES)
+    sales, crm = read_source(SALESDB), read_source(CRM_FILES)
     lake = Lake(spark, os.path.join(tmp_root, "lake"), buckets=4)
     customers = spark.createDataFrame(R1, CUST)
     orders = spark.createDataFrame(
@@ -209,7 +185,7 @@ def test_run_sources_and_gold(spark, tmp_root):
     _write_csv(landing, "products_1.csv", FILE1, dt.datetime(2026, 10, 1, 8))
     run_source(lake, crm, location=landing)
     out = refresh_sales_gold(lake, sales, crm)
-    rev = spark.read.parquet(out["revenue_by_customer_month"]).collect()
+    rev = read_materialized(spark, out["revenue_by_customer_month"]).collect()
     assert sorted((r.customer_id, str(r.month), r.orders, int(r.revenue)) for r in rev) == [(1, "2026-02-01", 2, 17)]
     assert spark.table(out["product_price_history"]).where("is_current").count() == 5
 
@@ -227,7 +203,7 @@ def test_incremental_cursor_pipeline(spark, tmp_root):
             "expectations": {"positive_amount": {"expr": "amount >= 0", "action": "drop"}},
         },
     }
-    src = SourceConfig.from_dict({"source": {"name": "erp", "type": "sqlserver"}, "tables": [orders_t]})
+    src = read_source({"source": {"name": "erp", "type": "sqlserver"}, "tables": [orders_t]})
     lake = Lake(spark, os.path.join(tmp_root, "lake"), buckets=4)
     schema = "order_id int, amount int, status string, updated_at timestamp_ntz"
     t = [dt.datetime(2026, 1, d) for d in (1, 2, 3)]
@@ -244,10 +220,9 @@ def test_incremental_cursor_pipeline(spark, tmp_root):
 
 
 def test_files_pipeline_scd1(spark, tmp_root):
-    base = SourceConfig.from_dict(CRM_FILES)
+    base = read_source(CRM_FILES)
     t = base.table("products")
-    cfg = TableConfig(name=t.name, keys=t.keys, scd_type=1, sequence_by=t.sequence_by, transforms=t.transforms,
-                      expectations=t.expectations, pattern=t.pattern)
+    cfg = replace(t, scd_type=1, history=None)
     src = SourceConfig(name=base.name, type=base.type, format="csv", options=base.options, tables=(cfg,))
     landing = os.path.join(tmp_root, "landing")
     os.makedirs(landing)
@@ -257,4 +232,4 @@ def test_files_pipeline_scd1(spark, tmp_root):
     _write_csv(landing, "products_2.csv", FILE2, dt.datetime(2026, 10, 8, 8))
     run_files_table(lake, src, cfg, landing)
     got = sorted((r.product_code, r.price) for r in read_silver(lake, "crm_files", cfg).collect())
-    assert got == [("P-100", "1199.00"), ("P-101", "349.90"), ("P-102", None), ("P-200", "99.00"), ("P-201", "29.99"), ("P-300", "79.00")]
+    assert got == [("K-07", "398.00"), ("K-08", "18.75"), ("K-09", None), ("M-01", "7.20"), ("M-02", "3.10"), ("T-55", "64.00")]

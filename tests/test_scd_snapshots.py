@@ -2,11 +2,13 @@
 
 import datetime as dt
 import random
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
 from brute import _key, scd2_snapshots
+from rows import customers
 from strata.operators.keys import END, START
 from strata.operators.snapshots import change_feed, scd2_apply_snapshot, scd2_from_snapshots, scd2_start, snapshot_diff
 from strata.plans.catalog import table_config
@@ -58,16 +60,7 @@ def test_incremental_set_form_and_brute_force_agree(spark, seed, tracked):
     assert _rows(scd2_from_snapshots(stacked, ["k"], track_history_columns=tracked, loads=loads), cols) == want
 
 
-def _customers(rows):
-    return [(i, n, e, c, s) for i, n, e, c, s in rows]
-
-
-ROUND1 = [(i, f"Name {i}", f"c{i}@example.com", "Berlin", "Retail") for i in range(1, 21)]
-ROUND2 = (
-    [r for r in ROUND1 if r[0] not in (2, 5, 7, 20)]
-    + [(2, "Name 2", "c2@example.com", "Dresden", "Retail"), (5, "Name 5", "c5@example.com", "Dresden", "Retail")]
-    + [(7, "Name 7", "neu.adresse7@example.com", "Berlin", "Enterprise"), (21, "Zoe   Neumann", "ZOE.NEUMANN@EXAMPLE.COM", "Bonn", "B2B")]
-)
+ROUND1, ROUND2 = customers()
 
 
 def test_golden_customer_rounds(spark):
@@ -85,12 +78,12 @@ def test_golden_customer_rounds(spark):
     got = r2.collect()
     assert (len(got), sum(1 for r in got if r[END] is None)) == (24, 20)
     closed = sorted(r["customer_id"] for r in got if r[END] is not None)
-    assert closed == [2, 5, 7, 20]
+    assert closed == [4, 9, 13, 16]
     assert _rows(r2, ["customer_id", "name", "email", START, END]) == _rows(
         silver_from_snapshots(bronze, cfg, [1, 2], incremental=False), ["customer_id", "name", "email", START, END]
     )
-    z = [r for r in got if r["customer_id"] == 21][0]
-    assert (z["name"], z["email"]) == ("Zoe Neumann", "zoe.neumann@example.com")
+    z = [r for r in got if r["customer_id"] == 33][0]
+    assert (z["name"], z["email"]) == ("Ida Holm", "ida.holm@post.test")
 
 
 def test_untracked_change_updates_open_version(spark):
@@ -129,6 +122,6 @@ def test_row_turning_invalid_is_treated_as_deleted(spark):
     got = silver_from_snapshots(bronze, cfg, [1, 2]).collect()
     assert [(r.order_id, r.is_deleted, r.status) for r in got] == [(2, True, "shipped")]
     # SCD2 view of the same: order 1's version is closed at the second load
-    cfg2 = cfg.__class__(name="orders", keys=cfg.keys, scd_type=2, transforms=cfg.transforms, expectations=cfg.expectations)
+    cfg2 = replace(cfg, scd_type=2)
     hist = {r.order_id: (r[START], r[END]) for r in silver_from_snapshots(bronze, cfg2, [1, 2]).where("order_id = 1").collect()}
     assert hist == {1: (TIMES[0], TIMES[1])}
