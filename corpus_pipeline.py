@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.llm import langid, line_dedup, near_dedup, packing, toxicity
-from strata.llm.common import stage
+from strata.llm.common import column, stage
 
 #: A language is rejected if its posterior is not this many times what chance gives it.
 OVER_CHANCE = 1.2
@@ -24,22 +24,22 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     languages, model = langid.learn(docs.where(~langid.held_out()).select("text", "lang"))
     told = langid.predict(docs, languages, model)
     sure = F.col("__confidence") * len(languages) >= min(OVER_CHANCE, len(languages))
-    return told.where((F.col("__lang") != langid.UNKNOWN) & sure).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return told.where((F.col("__lang") != langid.UNKNOWN) & sure).select(*map(column, docs.columns))
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the toxicity models predict to be toxic."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
-    labelled = docs.where(~langid.held_out()).select("doc_id", "text").join(labels, "doc_id")
+    labelled = docs.where(~langid.held_out()).select("doc_id", "text").join(labels.hint("merge"), "doc_id")
     told = toxicity.score(docs, *toxicity.train(labelled))
-    return told.where("__predicted = 0").select(*(F.col(f"`{c}`") for c in docs.columns))
+    return told.where("__predicted = 0").select(*map(column, docs.columns))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops lines that many documents share from all but one; all documents stay, with their lengths put right."""
     done = line_dedup.line_dedup(docs)
     new = {"text": F.col("__kept"), "n_chars": F.length("__kept").cast("long")}
-    return done.select(*(new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns))
+    return done.select(*(new.get(c, column(c)).alias(c) for c in docs.columns))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,7 +10,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from strata.session import scratch_path
 
@@ -50,6 +51,24 @@ def slices(batch: pa.RecordBatch, column: str, budget: int = SLICE_BYTES) -> Ite
         start = end
 
 
+def column(name: str) -> Column:
+    """The column of this very name, whatever is in it."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def map_beside(rows: DataFrame, given: dict[str, Column], run: Callable, added: dict[str, str]) -> DataFrame:
+    """``rows`` with columns that ``run`` (for ``mapInArrow``) adds.
+
+    ``run`` gets all columns and the ``given`` ones, and yields all but these with the ``added``
+    ones (name -> type) at the end.  Columns go by position meanwhile, so any name will do.
+    """
+    names = [f"c{i}" for i in range(len(rows.columns))]
+    plain = rows.select("*", *(c.alias(n) for n, c in given.items())).toDF(*names, *given)
+    types = [f"{n} {f.dataType.simpleString()}" for n, f in zip(names, rows.schema, strict=True)]
+    out = plain.mapInArrow(run, ", ".join([*types, *(f"{n} {t}" for n, t in added.items())]))
+    return out.toDF(*rows.columns, *added)
+
+
 def vocabulary_path(name: str) -> str:
     """Where the public vocabulary file ``name`` lies on this machine (installed on every executor)."""
     import public_tokenizers

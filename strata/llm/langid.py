@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import code_points, letter_words, slices, vocabulary_path, word_groups
+from strata.llm.common import code_points, column, letter_words, map_beside, slices, vocabulary_path, word_groups
 
 VOCABULARY = "piece_bpe_32k.model"
 UNKNOWN = "und"
@@ -158,9 +158,9 @@ def learn(rows: DataFrame, vocabulary: str = VOCABULARY, shared_weight: float =
         yield pa.record_batch({"piece": p.astype(np.int32), "lang": k.astype(np.int32), "n": total[p, k]})
 
     counted = rows.where("lang IS NOT NULL AND text IS NOT NULL").select("text", "lang").mapInArrow(run, "piece int, lang int, n double")
-    found = counted.groupBy("piece", "lang").agg(F.sum("n").alias("n")).toPandas()
+    found = counted.groupBy("piece", "lang").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros((pieces(vocabulary_path(vocabulary)).count, len(languages)))
-    counts[found["piece"], found["lang"]] = found["n"]
+    counts[found["piece"].to_numpy(), found["lang"].to_numpy()] = found["n"].to_numpy()
     shared = counts.sum(axis=1) + 0.5
     shared /= shared.sum()
     model = (counts + shared_weight * shared[:, None]) / (counts.sum(axis=0) + shared_weight)
@@ -196,8 +196,7 @@ def predict(rows: DataFrame, languages: list[str], model: np.ndarray, text_col:
                 rest = [c for c in batch.schema.names if c != "__text"]
                 yield pa.record_batch([*(batch.column(c) for c in rest), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*rest, "__lang", "__confidence"])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), "__lang string, __confidence double"])
-    return rows.select("*", F.col(text_col).cast("string").alias("__text")).mapInArrow(run, schema)
+    return map_beside(rows, {"__text": column(text_col).cast("string")}, run, {"__lang": "string", "__confidence": "double"})
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import slices, stage
+from strata.llm.common import column, map_beside, slices, stage
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -164,8 +164,8 @@ def kept_text(text: str, keep: bytes | None) -> tuple[str, int, int]:
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in slices(whole, "__text"):
-            done = [kept_text(t, k) for t, k in zip(batch.column("__text").to_pylist(), batch.column("__keep").to_pylist(), strict=True)]
-            rest = [c for c in batch.schema.names if c not in ("__text", "__keep")]
+            done = [kept_text(t, k) for t, k in zip(batch.column("__text").to_pylist(), batch.column(batch.num_columns - 2).to_pylist(), strict=True)]
+            rest = batch.schema.names[:-1]
             yield pa.record_batch(
                 [*(batch.column(c) for c in rest), pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.int64()), pa.array([d[2] for d in done], pa.int64())],
                 names=[*rest, "__kept", "__n_lines", "__n_dropped"],
@@ -174,13 +174,13 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def drop_lines(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with its columns, and ``__kept`` (text), ``__n_lines``, ``__n_dropped``; names of its own don't clash."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    keyed = docs.withColumns({"__text": text, "__hash": F.xxhash64(text), "__doc": F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID))})
+    text = F.coalesce(column(text_col).cast("string"), F.lit(""))
+    keyed = docs.select("*", F.coalesce(column(id_col).cast("long"), F.lit(_NO_ID)).alias("__doc"), F.xxhash64(text).alias("__hash"))
     found = bitmaps.select(F.col("doc").alias("__doc"), F.col("text_hash").alias("__hash"), F.col("keep").alias("__keep"))
     # sort-merge at any size: no size decides the plan, and the skew join can split it
-    rows = keyed.join(found.hint("merge"), ["__doc", "__hash"], "left").select(*docs.columns, "__text", "__keep")
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "__kept string, __n_lines long, __n_dropped long"])
-    return rows.mapInArrow(_apply, schema)
+    rows = keyed.join(found.hint("merge"), ["__doc", "__hash"], "left").select(*map(column, docs.columns), "__keep")
+    added = {"__kept": "string", "__n_lines": "long", "__n_dropped": "long"}
+    return map_beside(rows, {"__text": text}, _apply, added).drop("__keep")
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
