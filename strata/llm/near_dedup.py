@@ -281,18 +281,23 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     best = best_of("a", "b").unionByName(best_of("b", "a")).groupBy("v").agg(F.max(F.struct("agree", "o")).alias("m"))
     chosen = stage(best.select(F.least("v", "m.o").alias("a"), F.greatest("v", "m.o").alias("b")).distinct(), "chosen")
     links = _confirmed(rows, vertices, chosen, size, percent)
-    joined = components(links)
+    joined = stage(components(links), "components")
     of = lambda v, c: joined.select(F.col("vertex").alias(v), F.col("component").alias(c))
     left = pairs.join(chosen, ["a", "b"], "left_anti").join(of("a", "ca"), "a", "left").join(of("b", "cb"), "b", "left")
-    left = stage(left.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"), "left")
+    apart = F.coalesce("ca", "a") != F.coalesce("cb", "b")
+    left = stage(left.where(apart).select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")), "left")
+    named = vertices.select("digest", "vertex", "least").join(joined, "vertex", "left").withColumn("component", F.coalesce("component", "vertex"))
     if not left.isEmpty():
         more = _confirmed(rows, vertices, left, size, percent)
         if not more.isEmpty():
-            joined = components(links.unionByName(more))
-    joined = stage(joined, "components")
-    named = vertices.select("digest", "vertex", "least").join(joined, "vertex", "left").withColumn("component", F.coalesce("component", "vertex"))
-    names = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_digest = stage(named.join(names, "component").select("digest", "component_id"), "names")
+            # these links join components, so only components are looked at again
+            wider = components(left.join(more, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+            wider = wider.select(F.col("vertex").alias("component"), F.col("component").alias("wider"))
+            named = named.join(wider, "component", "left").withColumn("component", F.coalesce("wider", "component")).drop("wider")
+    named = stage(named, "named")
+    # written first, so that the skew join can split the classes of a large component
+    names = stage(named.groupBy("component").agg(F.min("least").alias("component_id")), "names")
+    by_digest = stage(named.join(names.hint("merge"), "component").select("digest", "component_id"), "names")
     own = F.when(F.col("doc") != _NO_ID, F.col("doc"))
     out = signed.select("doc", "n", "digest").join(by_digest.hint("merge"), "digest", "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(own)
