@@ -21,11 +21,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strata.llm.common import code_points, slices, stage, word_groups
+from strata.llm.common import code_points, column, map_beside, slices, stage, word_groups
 
 ORDER = 6
 SYMBOL_BITS = 10
@@ -129,9 +130,9 @@ def learn(rows: DataFrame, discount: float = DISCOUNT, bits: int = TABLE_BITS) -
     ).select("x.*")
     by_key = found.groupBy("kind", "key").agg(F.first("gap").alias("gap"), F.sum("n").alias("n"))
     hashed = by_key.mapInArrow(_to_slots(bits), "kind int, slot int, gap double, n double")
-    table = hashed.groupBy("kind", "slot").agg((F.sum(F.col("gap") * F.col("n")) / F.sum("n")).cast("float").alias("gap")).toPandas()
-    out = np.full((2, 1 << bits), np.nan, np.float32)
-    out[table["kind"], table["slot"]] = table["gap"]
+    table = hashed.groupBy("kind", "slot").agg((F.sum(F.col("gap") * F.col("n")) / F.sum("n")).cast("float").alias("gap")).toArrow()
+    out = np.full((2, 1 << bits), np.nan, np.float16)
+    out[table["kind"].to_numpy(), table["slot"].to_numpy()] = table["gap"].to_numpy()
     return out
 
 
@@ -144,9 +145,9 @@ def _to_slots(bits: int):
     return run
 
 
-def evidence(rows: DataFrame, model: np.ndarray, text_col: str = "text", bits: int = TABLE_BITS) -> DataFrame:
+def evidence(rows: DataFrame, model: np.ndarray | Broadcast, text_col: str = "text", bits: int = TABLE_BITS) -> DataFrame:
     """``rows`` with ``__evidence``: see the module's text; 0 without letters, else up to some 8."""
-    shared = rows.sparkSession.sparkContext.broadcast(model)
+    shared = model if isinstance(model, Broadcast) else rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of_gram, of_context = shared.value
@@ -156,7 +157,7 @@ def evidence(rows: DataFrame, model: np.ndarray, text_col: str = "text", bits: i
                 for words, group in word_groups(batch.column("__text").to_pylist()):
                     if words:
                         keys, owner = grams(words)
-                        gap = of_gram[slots(keys, bits)]
+                        gap = of_gram[slots(keys, bits)].astype(np.float32)
                         new = np.isnan(gap)
                         gap[new] = np.nan_to_num(of_context[slots(keys[new] >> SYMBOL_BITS, bits)], nan=0.0)
                         excess = np.maximum(np.bincount(owner, gap, len(words)) - MARGIN, 0.0)
@@ -164,8 +165,7 @@ def evidence(rows: DataFrame, model: np.ndarray, text_col: str = "text", bits: i
                 rest = [c for c in batch.schema.names if c != "__text"]
                 yield pa.record_batch([*(batch.column(c) for c in rest), pa.array(out, pa.float64())], names=[*rest, "__evidence"])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), "__evidence double"])
-    return rows.select("*", F.col(text_col).cast("string").alias("__text")).mapInArrow(run, schema)
+    return map_beside(rows, {"__text": column(text_col).cast("string")}, run, {"__evidence": "double"})
 
 
 def fit_curve(x: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray) -> tuple[float, float]:
@@ -183,18 +183,18 @@ def fit_curve(x: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray) -> tuple[f
     return float(at[0]), float(at[1])
 
 
-def train(labelled: DataFrame, bits: int = TABLE_BITS) -> tuple[np.ndarray, tuple[float, float]]:
-    """The model and the curve from all rows of ``doc_id, text, toxic``: an eighth of them, by hash of the id, fits the curve."""
+def train(labelled: DataFrame, bits: int = TABLE_BITS) -> tuple[Broadcast, tuple[float, float]]:
+    """The model, sent to the executors once, and the curve from all rows of ``doc_id, text, toxic``: an eighth of them, by hash of the id, fits the curve."""
     rows = labelled.where("text IS NOT NULL AND toxic IN (0, 1)")
     apart = F.pmod(F.xxhash64("doc_id"), F.lit(8)) == 0
-    model = learn(rows.where(~apart), bits=bits)
+    model = labelled.sparkSession.sparkContext.broadcast(learn(rows.where(~apart), bits=bits))
     scored = evidence(rows.where(apart).select("text", "toxic"), model, bits=bits)
     binned = F.least(F.greatest(F.floor(F.col("__evidence") * (BINS / 8)), F.lit(0)), F.lit(BINS - 1)).cast("int")
-    found = scored.groupBy(binned.alias("bin")).agg(F.avg("__evidence").alias("x"), F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("ordinary")).orderBy("bin").toPandas()
-    return model, fit_curve(*(found[c].to_numpy(float) for c in ("x", "toxic", "ordinary")))
+    found = scored.groupBy(binned.alias("bin")).agg(F.avg("__evidence").alias("x"), F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("ordinary")).orderBy("bin").toArrow()
+    return model, fit_curve(*(found[c].to_numpy().astype(float) for c in ("x", "toxic", "ordinary")))
 
 
-def score(docs: DataFrame, model: np.ndarray, curve: tuple[float, float], text_col: str = "text", bits: int = TABLE_BITS, threshold: float = THRESHOLD) -> DataFrame:
+def score(docs: DataFrame, model: np.ndarray | Broadcast, curve: tuple[float, float], text_col: str = "text", bits: int = TABLE_BITS, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with ``__score`` (0 to 1) and ``__predicted`` (1 from ``threshold`` up).
 
     A null or empty text, or one without letters, has no evidence and gets the curve's value
