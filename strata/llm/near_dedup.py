@@ -7,10 +7,15 @@
    to the region: where more than ``REGION`` vertices share a prefix, candidates must share a
    longer one; on the way down to the end of the order the next neighbours are always taken.
    A candidate passes on if set sizes and a sketch of two bits a component don't rule out the
-   threshold (5 standard deviations below what the threshold gives).
+   threshold (more than 4.5 standard deviations below what the threshold gives).
 3. Links are confirmed on full sets: first each vertex's best candidate; then, of the others, all
    whose ends are not in one component by then, so no candidate that could matter is left out.
-4. Components of the confirmed links; their classes' documents follow.
+4. Crowded regions, where prefixes of ``CROWDED`` components are shared by more than ``REGION``
+   vertices, may hide a vertex's one link behind many that are almost as near.  Their vertices
+   are sorted again by themselves, and each looks at the next ``WINDOW`` on both sides for vertices of
+   other components; the most alike of these in each order are confirmed.  This goes on as
+   long as it joins components.
+5. Components of the confirmed links; their classes' documents follow.
 
 A pair at the threshold shares the first ``d`` components of an order with probability
 ``0.8**d``; with 32 orders it is missed with probability ``(1 - 0.8**d)**32``: 5e-8 at depth 4,
@@ -36,10 +41,14 @@ HASHES = 128
 TREES = 32
 DEPTH = 20
 #: Vertices that may share a prefix before candidates must share more; neighbours that are always taken.
-REGION = 16
-NEIGHBOURS = 2
+REGION = 12
+NEIGHBOURS = 1
+#: Crowded regions: the shared depth, how far their vertices look, and how many finds of an order are confirmed.
+CROWDED, CROWDED_TREES = 4, 8
+WINDOW = 256
+FINDS = 8
 #: Sketch components (of ``HASHES``) that must agree: 0.85 are expected to at the threshold.
-AGREE = 87
+AGREE = 90
 FILTER_BITS = 22
 _NO_ID = -(1 << 63)
 
@@ -114,6 +123,7 @@ def _plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             head = np.frombuffer(b"".join(batch.column("head").to_pylist()), np.uint8).reshape(n, HASHES)
             keys = np.ascontiguousarray(head[:, _ORDERS].transpose(1, 0, 2)).reshape(TREES * n, DEPTH)
             again = np.tile(np.arange(n), TREES)
+            rest = [c for c in ("component", "members") if c in batch.schema.names]
             yield pa.record_batch(
                 {
                     "tree": np.repeat(np.arange(TREES, dtype=np.int32), n),
@@ -121,18 +131,31 @@ def _plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     "vertex": batch.column("vertex").take(again),
                     "n": batch.column("n").take(again),
                     "sketch": batch.column("sketch").take(again),
+                    **{c: batch.column(c).take(again) for c in rest},
                 }
             )
 
 
+def shared_prefix(tree: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """How many components each place shares with the next one; -1 at the end of a tree."""
+    differs = key[1:] != key[:-1]
+    prefix = np.where(differs.any(axis=1), differs.argmax(axis=1), DEPTH)
+    prefix[tree[1:] != tree[:-1]] = -1
+    return prefix
+
+
+def crowded(tree: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Places whose prefix of ``CROWDED`` components more than ``REGION`` share."""
+    run = np.concatenate([[0], np.cumsum(shared_prefix(tree, key) < CROWDED)])
+    return np.bincount(run)[run] > REGION
+
+
 def neighbours(tree: np.ndarray, key: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """Candidate pairs of places in a sorted order; see the module's text, 2."""
     n = len(tree)
     if n < 2:
         return []
-    differs = key[1:] != key[:-1]
-    prefix = np.where(differs.any(axis=1), differs.argmax(axis=1), DEPTH)
-    prefix[tree[1:] != tree[:-1]] = -1
+    prefix = shared_prefix(tree, key)
     common, at = prefix.copy(), []  # at[s]: the common prefix of i and i + s + 1
     for s in range(1, REGION + 1):
         at.append(common)
@@ -162,11 +185,69 @@ def agreement(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return HASHES - np.bitwise_count(d).sum(axis=1, dtype=np.int64)
 
 
+def _rows(table: pa.Table) -> tuple[np.ndarray, ...]:
+    tree, vertex, size = (table[c].to_numpy() for c in ("tree", "vertex", "n"))
+    key = np.frombuffer(b"".join(table["key"].to_pylist()), np.uint8).reshape(-1, DEPTH)
+    return tree, key, vertex, size, np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint64).reshape(len(vertex), -1)
+
+
+def _chunked(found, rows_at_once: int, overlap: int):
+    """``found`` over a sorted stream, some rows at a time; the last rows of each meet the next."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows_at_once):
+                held.append(batch.slice(at, rows_at_once))
+                rows += held[-1].num_rows
+                if rows >= rows_at_once + overlap:
+                    table = pa.Table.from_batches(held).combine_chunks()
+                    yield found(table)
+                    held, rows = table.slice(table.num_rows - overlap).to_batches(), overlap
+        if rows:
+            yield found(pa.Table.from_batches(held).combine_chunks())
+
+    return run
+
+
+def _elsewhere(percent: int):
+    """Of each vertex in a crowded region, the most alike ones of other components in its window.
+
+    A pair is found from the side of the smaller component.
+    """
+
+    def found(table: pa.Table) -> pa.RecordBatch:
+        tree, key, vertex, size, sketches = _rows(table)
+        component, members = table["component"].to_numpy(), table["members"].to_numpy()
+        from_, to, agree = [], [], []
+        for s in range(1, min(WINDOW + 1, len(vertex))):
+            i = np.flatnonzero((tree[s:] == tree[:-s]) & (component[s:] != component[:-s]))
+            j = i + s
+            possible = 100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j])
+            i, j = i[possible], j[possible]
+            same = agreement(sketches[i], sketches[j])
+            i, j, same = i[same >= AGREE], j[same >= AGREE], same[same >= AGREE]
+            swap = (members[j] < members[i]) | ((members[j] == members[i]) & (component[j] > component[i]))
+            from_.append(np.where(swap, j, i))
+            to.append(np.where(swap, i, j))
+            agree.append(same)
+        f, t, g = (np.concatenate([np.empty(0, np.int64), *x]) for x in (from_, to, agree))
+        order = np.lexsort((-g, f))
+        f, t = f[order], t[order]
+        heads = np.r_[True, f[1:] != f[:-1]] if len(f) else np.empty(0, bool)
+        nth = np.arange(len(f)) - np.maximum.accumulate(np.where(heads, np.arange(len(f)), 0)) if len(f) else f
+        f, t = vertex[f[nth < FINDS]], vertex[t[nth < FINDS]]
+        pair = np.unique(np.stack([np.minimum(f, t), np.maximum(f, t)], axis=1), axis=0)
+        return pa.record_batch({"a": pair[:, 0], "b": pair[:, 1]})
+
+    return _chunked(found, 1 << 14, WINDOW)
+
+
 def _pairs(percent: int):
+    """Candidate pairs of a sorted range; a vertex in a crowded region is paired with itself too."""
+
     def found(table: pa.Table) -> pa.RecordBatch:
-        tree, vertex, size = (table[c].to_numpy() for c in ("tree", "vertex", "n"))
-        key = np.frombuffer(b"".join(table["key"].to_pylist()), np.uint8).reshape(-1, DEPTH)
-        sketches = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint64).reshape(len(vertex), -1)
+        tree, key, vertex, size, sketches = _rows(table)
         a, b, agree = [], [], []
         for i, j in neighbours(tree, key):
             possible = 100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j])
@@ -177,23 +258,12 @@ def _pairs(percent: int):
             b.append(np.maximum(vertex[i[close]], vertex[j[close]]))
             agree.append(same[close])
         a, b, agree = (np.concatenate([x, *y]) for x, y in zip((vertex[:0], vertex[:0], size[:0]), (a, b, agree), strict=True))
+        dense = np.unique(vertex[crowded(tree, key) & (tree < CROWDED_TREES)])  # what is crowded is so in most orders
+        a, b, agree = np.concatenate([a, dense]), np.concatenate([b, dense]), np.concatenate([agree, np.full(len(dense), HASHES)])
         pair, first = np.unique(np.stack([a, b], axis=1), axis=0, return_index=True)
         return pa.record_batch({"a": pair[:, 0], "b": pair[:, 1], "agree": agree[first].astype(np.int32)})
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, rows = [], 0
-        for batch in batches:
-            held.append(batch)
-            rows += batch.num_rows
-            if rows >= 1 << 18:
-                table = pa.Table.from_batches(held).combine_chunks()
-                yield found(table)
-                held = table.slice(table.num_rows - REGION).to_batches()  # so that the next rows meet the last ones
-                rows = REGION
-        if rows:
-            yield found(pa.Table.from_batches(held).combine_chunks())
-
-    return run
+    return _chunked(found, 1 << 18, REGION)
 
 
 def _confirm(percent: int):
@@ -276,7 +346,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     order = ["tree", "key", "vertex"]
     forest = planted.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     near = forest.mapInArrow(_pairs(percent), "a long, b long, agree int")
-    pairs = stage(near.groupBy("a", "b").agg(F.max("agree").alias("agree")), "pairs")
+    near = stage(near.groupBy("a", "b").agg(F.max("agree").alias("agree")), "pairs")
+    pairs, dense = near.where("a <> b"), near.where("a = b").select(F.col("a").alias("vertex"))
     best_of = lambda v, o: pairs.groupBy(F.col(v).alias("v")).agg(F.max(F.struct("agree", F.col(o).alias("o"))).alias("m")).select("v", "m.agree", "m.o")
     best = best_of("a", "b").unionByName(best_of("b", "a")).groupBy("v").agg(F.max(F.struct("agree", "o")).alias("m"))
     chosen = stage(best.select(F.least("v", "m.o").alias("a"), F.greatest("v", "m.o").alias("b")).distinct(), "chosen")
@@ -294,7 +365,24 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             wider = components(left.join(more, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b")))
             wider = wider.select(F.col("vertex").alias("component"), F.col("component").alias("wider"))
             named = named.join(wider, "component", "left").withColumn("component", F.coalesce("wider", "component")).drop("wider")
-    named = stage(named, "named")
+    named, tested = stage(named, "named"), pairs.select("a", "b")
+    while not dense.isEmpty():
+        members = named.groupBy("component").agg(F.count("*").alias("members"))
+        placed = named.join(dense, "vertex", "left_semi").join(members, "component").select("vertex", "component", "members")
+        again = vertices.select("vertex", "n", "head", "sketch").join(placed, "vertex")
+        again = again.mapInArrow(_plant, "tree int, key binary, vertex long, n long, sketch binary, component long, members long")
+        ranges = again.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+        apart = stage(ranges.mapInArrow(_elsewhere(percent), "a long, b long").distinct().join(tested, ["a", "b"], "left_anti"), "apart")
+        if apart.isEmpty():
+            break
+        more = _confirmed(rows, vertices, apart, size, percent)
+        if more.isEmpty():
+            break
+        in_ = lambda v, c: named.select(F.col("vertex").alias(v), F.col("component").alias(c))
+        wider = components(more.join(in_("a", "ca"), "a").join(in_("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+        wider = wider.select(F.col("vertex").alias("component"), F.col("component").alias("wider"))
+        named = stage(named.join(wider, "component", "left").withColumn("component", F.coalesce("wider", "component")).drop("wider"), "named")
+        tested = tested.unionByName(apart)
     # written first, so that the skew join can split the classes of a large component
     names = stage(named.groupBy("component").agg(F.min("least").alias("component_id")), "names")
     by_digest = stage(named.join(names.hint("merge"), "component").select("digest", "component_id"), "names")
