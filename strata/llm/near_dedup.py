@@ -11,15 +11,17 @@
 3. Links are confirmed on full sets: first each vertex's best candidate; then, of the others, all
    whose ends are not in one component by then, so no candidate that could matter is left out.
 4. Crowded regions, where prefixes of ``CROWDED`` components are shared by more than ``REGION``
-   vertices, may hide a vertex's one link behind many that are almost as near.  Their vertices
-   are sorted again by themselves, and each looks at the next ``WINDOW`` on both sides for vertices of
-   other components; the most alike of these in each order are confirmed.  This goes on as
-   long as it joins components.
+   vertices, hide a vertex's one link behind many that are almost as near.  Regions that share a
+   vertex make one crowd; in a crowd all pairs of different components are settled by the exact
+   sizes of their sets' intersections, in blocks of bounded size that are dealt pair by pair.
 5. Components of the confirmed links; their classes' documents follow.
 
 A pair at the threshold shares the first ``d`` components of an order with probability
-``0.8**d``; with 32 orders it is missed with probability ``(1 - 0.8**d)**32``: 5e-8 at depth 4,
-3e-6 at depth 5.  Pairs that are more alike, or linked by way of others, are safer still.
+``0.8**d``; with 32 orders it shares none of the first 4 with probability ``(1 - 0.8**4)**32``, 5e-8,
+however large its regions are.  (A region of ``REGION`` or fewer that the end of a sorted range cuts
+counts in one order less: 8e-8.)  Pairs that are more alike, or linked by way of others, are safer still.
+A crowd's work grows with the square of its vertices; what it sends and gives does with
+their number times that of its blocks, and with its components.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata.llm.common import slices, stage, word_groups
-from strata.llm.components import components
+from strata.llm.components import _stars, components
 
 SHINGLE = 5
 PERCENT = 80
@@ -43,10 +45,11 @@ DEPTH = 20
 #: Vertices that may share a prefix before candidates must share more; neighbours that are always taken.
 REGION = 12
 NEIGHBOURS = 1
-#: Crowded regions: the shared depth, how far their vertices look, and how many finds of an order are confirmed.
-CROWDED, CROWDED_TREES = 4, 8
-WINDOW = 256
-FINDS = 8
+#: Crowded regions: the shared depth; a block's vertices, and bytes of its sets.
+CROWDED = 4
+BLOCK, BLOCK_BYTES = 512, 16 << 20
+#: Shingles whose intersections are counted at once.
+SLAB = 4096
 #: Sketch components (of ``HASHES``) that must agree: 0.85 are expected to at the threshold.
 AGREE = 90
 FILTER_BITS = 22
@@ -123,7 +126,7 @@ def _plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             head = np.frombuffer(b"".join(batch.column("head").to_pylist()), np.uint8).reshape(n, HASHES)
             keys = np.ascontiguousarray(head[:, _ORDERS].transpose(1, 0, 2)).reshape(TREES * n, DEPTH)
             again = np.tile(np.arange(n), TREES)
-            rest = [c for c in ("component", "members") if c in batch.schema.names]
+            rest = [c for c in ("component",) if c in batch.schema.names]
             yield pa.record_batch(
                 {
                     "tree": np.repeat(np.arange(TREES, dtype=np.int32), n),
@@ -144,12 +147,6 @@ def shared_prefix(tree: np.ndarray, key: np.ndarray) -> np.ndarray:
     return prefix
 
 
-def crowded(tree: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """Places whose prefix of ``CROWDED`` components more than ``REGION`` share."""
-    run = np.concatenate([[0], np.cumsum(shared_prefix(tree, key) < CROWDED)])
-    return np.bincount(run)[run] > REGION
-
-
 def neighbours(tree: np.ndarray, key: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """Candidate pairs of places in a sorted order; see the module's text, 2."""
     n = len(tree)
@@ -210,41 +207,88 @@ def _chunked(found, rows_at_once: int, overlap: int):
     return run
 
 
-def _elsewhere(percent: int):
-    """Of each vertex in a crowded region, the most alike ones of other components in its window.
+def overlaps(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Exact sizes of the intersections of all sets in ``x`` with all in ``y``."""
+    out = np.zeros((len(x), len(y)))
+    (cx, ox), (cy, oy) = ((np.concatenate(z), np.repeat(np.arange(len(z)), [len(v) for v in z])) for z in (x, y))
+    both = np.intersect1d(cx, cy)
+    if not len(both):
+        return out
+
+    def numbered(c, o):
+        at = np.minimum(np.searchsorted(both, c), len(both) - 1)
+        known = both[at] == c
+        at, o = at[known], o[known]
+        order = np.argsort(at, kind="stable")
+        return at[order], o[order], np.bincount(at, minlength=len(both))
+
+    (px, ox, nx), (py, oy, ny) = numbered(cx, ox), numbered(cy, oy)
+    common = nx * ny * 512 >= len(x) * len(y)  # shingles of many sets: by a matrix product; others: pair by pair
+    of = np.cumsum(common) - 1
+    for at in range(0, int(common.sum()), SLAB):
+        width = min(SLAB, int(common.sum()) - at)
+        parts = []
+        for p, o, n in ((px, ox, len(x)), (py, oy, len(y))):
+            here = common[p] & (of[p] >= at) & (of[p] < at + width)
+            part = np.zeros((n, width), np.float32)
+            part[o[here], of[p[here]] - at] = 1
+            parts.append(part)
+        out += parts[0] @ parts[1].T
+    rare = ~common[px]
+    px, ox = px[rare], ox[rare]
+    starts, times = (np.cumsum(ny) - ny)[px], ny[px]
+    ends, at = np.cumsum(times), 0
+    while at < len(px):
+        done = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, done + (1 << 22), "right")))
+        n = times[at:to]
+        step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        places = np.repeat(ox[at:to] * len(y), n) + oy[np.repeat(starts[at:to], n) + step]
+        out += np.bincount(places, minlength=out.size).reshape(out.shape)
+        at = to
+    return out
 
-    A pair is found from the side of the smaller component.
-    """
 
-    def found(table: pa.Table) -> pa.RecordBatch:
-        tree, key, vertex, size, sketches = _rows(table)
-        component, members = table["component"].to_numpy(), table["members"].to_numpy()
-        from_, to, agree = [], [], []
-        for s in range(1, min(WINDOW + 1, len(vertex))):
-            i = np.flatnonzero((tree[s:] == tree[:-s]) & (component[s:] != component[:-s]))
-            j = i + s
-            possible = 100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j])
-            i, j = i[possible], j[possible]
-            same = agreement(sketches[i], sketches[j])
-            i, j, same = i[same >= AGREE], j[same >= AGREE], same[same >= AGREE]
-            swap = (members[j] < members[i]) | ((members[j] == members[i]) & (component[j] > component[i]))
-            from_.append(np.where(swap, j, i))
-            to.append(np.where(swap, i, j))
-            agree.append(same)
-        f, t, g = (np.concatenate([np.empty(0, np.int64), *x]) for x in (from_, to, agree))
-        order = np.lexsort((-g, f))
-        f, t = f[order], t[order]
-        heads = np.r_[True, f[1:] != f[:-1]] if len(f) else np.empty(0, bool)
-        nth = np.arange(len(f)) - np.maximum.accumulate(np.where(heads, np.arange(len(f)), 0)) if len(f) else f
-        f, t = vertex[f[nth < FINDS]], vertex[t[nth < FINDS]]
-        pair = np.unique(np.stack([np.minimum(f, t), np.maximum(f, t)], axis=1), axis=0)
-        return pa.record_batch({"a": pair[:, 0], "b": pair[:, 1]})
-
-    return _chunked(found, 1 << 14, WINDOW)
+def _settle(percent: int):
+    """Components that links of two blocks of a crowd join: stars (a, b)."""
+
+    def run(table: pa.Table) -> pa.Table:
+        blocks = table["block"].to_numpy()
+        x, y = (table.filter(pa.array(blocks == table[c][0].as_py())) for c in ("i", "j"))
+        sets, names = zip(*(([np.frombuffer(v, np.uint64) for v in z["shingles"].to_pylist()], z["component"].to_numpy()) for z in (x, y)), strict=True)
+        links = np.empty((0, 2), np.int64)
+        if x.num_rows and y.num_rows and len(np.unique(np.concatenate(names))) > 1:
+            both = overlaps(*sets)
+            union = np.add.outer(*(np.array([len(v) for v in z], np.float64) for z in sets)) - both
+            i, j = np.nonzero((100 * both >= percent * union) & (names[0][:, None] != names[1][None, :]))
+            a, b = names[0][i], names[1][j]
+            links = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+        return pa.Table.from_batches(list(_stars(iter([pa.record_batch({"a": links[:, 0], "b": links[:, 1]})]))))
+
+    return run
+
+
+def _crowds(vertices: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Pairs ``a, b`` of components that links within crowds join; ``vertices`` have ``component``, too."""
+    planted = vertices.select("vertex", "n", "head", "sketch", "component").mapInArrow(_plant, "tree int, key binary, vertex long, n long, sketch binary, component long")
+    placed = planted.select("tree", F.substring("key", 1, CROWDED).alias("prefix"), "vertex", "component")
+    regions = placed.groupBy("tree", "prefix").agg(F.count("*").alias("size"), F.min("vertex").alias("first"), F.min("component").alias("low"), F.max("component").alias("high"))
+    regions = regions.where((F.col("size") > REGION) & (F.col("low") != F.col("high"))).select("tree", "prefix", "first")
+    shared = placed.join(regions.hint("merge"), ["tree", "prefix"]).select(F.col("vertex").alias("a"), F.col("first").alias("b"))
+    # a vertex's regions meet in one task, so that a task's stars are few
+    crowd = stage(components(shared.repartition("a")).select("vertex", F.col("component").alias("crowd")), "crowds")
+    members = vertices.select("vertex", "n", "component").join(crowd.hint("merge"), "vertex")
+    blocks = F.ceil(F.greatest(F.count("*") / F.lit(BLOCK), F.sum("n") * 8 / F.lit(BLOCK_BYTES)))
+    crowds = members.groupBy("crowd").agg(blocks.cast("long").alias("blocks"))
+    own = F.pmod(F.xxhash64("vertex", F.lit(1)), F.col("blocks"))
+    dealt = members.join(crowds.hint("merge"), "crowd").select("crowd", "vertex", "component", own.alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("crowd", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "vertex", "component")
+    sets = _sets_of(docs, vertices, crowd.select("vertex"), size)
+    return dealt.join(sets.hint("merge"), "vertex").drop("vertex").groupBy("crowd", "i", "j").applyInArrow(_settle(percent), "a long, b long")
 
 
 def _pairs(percent: int):
-    """Candidate pairs of a sorted range; a vertex in a crowded region is paired with itself too."""
+    """Candidate pairs of a sorted range."""
 
     def found(table: pa.Table) -> pa.RecordBatch:
         tree, key, vertex, size, sketches = _rows(table)
@@ -258,8 +302,6 @@ def _pairs(percent: int):
             b.append(np.maximum(vertex[i[close]], vertex[j[close]]))
             agree.append(same[close])
         a, b, agree = (np.concatenate([x, *y]) for x, y in zip((vertex[:0], vertex[:0], size[:0]), (a, b, agree), strict=True))
-        dense = np.unique(vertex[crowded(tree, key) & (tree < CROWDED_TREES)])  # what is crowded is so in most orders
-        a, b, agree = np.concatenate([a, dense]), np.concatenate([b, dense]), np.concatenate([agree, np.full(len(dense), HASHES)])
         pair, first = np.unique(np.stack([a, b], axis=1), axis=0, return_index=True)
         return pa.record_batch({"a": pair[:, 0], "b": pair[:, 1], "agree": agree[first].astype(np.int32)})
 
@@ -346,8 +388,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     order = ["tree", "key", "vertex"]
     forest = planted.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     near = forest.mapInArrow(_pairs(percent), "a long, b long, agree int")
-    near = stage(near.groupBy("a", "b").agg(F.max("agree").alias("agree")), "pairs")
-    pairs, dense = near.where("a <> b"), near.where("a = b").select(F.col("a").alias("vertex"))
+    pairs = stage(near.groupBy("a", "b").agg(F.max("agree").alias("agree")), "pairs")
     best_of = lambda v, o: pairs.groupBy(F.col(v).alias("v")).agg(F.max(F.struct("agree", F.col(o).alias("o"))).alias("m")).select("v", "m.agree", "m.o")
     best = best_of("a", "b").unionByName(best_of("b", "a")).groupBy("v").agg(F.max(F.struct("agree", "o")).alias("m"))
     chosen = stage(best.select(F.least("v", "m.o").alias("a"), F.greatest("v", "m.o").alias("b")).distinct(), "chosen")
@@ -365,24 +406,13 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             wider = components(left.join(more, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b")))
             wider = wider.select(F.col("vertex").alias("component"), F.col("component").alias("wider"))
             named = named.join(wider, "component", "left").withColumn("component", F.coalesce("wider", "component")).drop("wider")
-    named, tested = stage(named, "named"), pairs.select("a", "b")
-    while not dense.isEmpty():
-        members = named.groupBy("component").agg(F.count("*").alias("members"))
-        placed = named.join(dense, "vertex", "left_semi").join(members, "component").select("vertex", "component", "members")
-        again = vertices.select("vertex", "n", "head", "sketch").join(placed, "vertex")
-        again = again.mapInArrow(_plant, "tree int, key binary, vertex long, n long, sketch binary, component long, members long")
-        ranges = again.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-        apart = stage(ranges.mapInArrow(_elsewhere(percent), "a long, b long").distinct().join(tested, ["a", "b"], "left_anti"), "apart")
-        if apart.isEmpty():
-            break
-        more = _confirmed(rows, vertices, apart, size, percent)
-        if more.isEmpty():
-            break
-        in_ = lambda v, c: named.select(F.col("vertex").alias(v), F.col("component").alias(c))
-        wider = components(more.join(in_("a", "ca"), "a").join(in_("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    named = stage(named, "named")
+    met = vertices.select("vertex", "digest", "doc", "n", "head", "sketch").join(named.select("vertex", "component"), "vertex")
+    joins = stage(_crowds(met, rows, size, percent), "joins")
+    if not joins.isEmpty():
+        wider = components(joins)
         wider = wider.select(F.col("vertex").alias("component"), F.col("component").alias("wider"))
         named = stage(named.join(wider, "component", "left").withColumn("component", F.coalesce("wider", "component")).drop("wider"), "named")
-        tested = tested.unionByName(apart)
     # written first, so that the skew join can split the classes of a large component
     names = stage(named.groupBy("component").agg(F.min("least").alias("component_id")), "names")
     by_digest = stage(named.join(names.hint("merge"), "component").select("digest", "component_id"), "names")

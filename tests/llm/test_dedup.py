@@ -189,3 +189,30 @@ def test_components(spark, edges):
 
 def test_long_texts_are_read_whole():
     assert next(nd.shingle_sets([LONG], 2)).size < next(nd.shingle_sets([LONG + " a b c"], 2)).size
+
+
+def test_overlaps_are_exact(monkeypatch):
+    monkeypatch.setattr(nd, "SLAB", 7)
+    r = np.random.default_rng(5)
+    sets = [np.unique(np.r_[r.choice(60, 30), r.choice(10**6, 40)]).astype(np.uint64) for _ in range(90)]
+    got = nd.overlaps(sets[:50], sets[50:])
+    assert got.tolist() == [[len(np.intersect1d(x, y)) for y in sets[50:]] for x in sets[:50]]
+    assert nd.overlaps(sets[:1], [np.array([1 << 60], np.uint64)]).tolist() == [[0]]
+
+
+def test_near_one_link_hidden_in_a_crowd(docs_of, monkeypatch):
+    """Pairs just above the threshold among a thousand just below it, over many blocks."""
+    monkeypatch.setattr(nd, "BLOCK", 100)
+    r = random.Random(6)
+    base = [f"w{k}" for k in range(200)]
+    fresh = (f"x{k}" for k in range(10**6))
+    rows = []
+    for i in range(1200):
+        text = list(base)
+        for k in r.sample(range(200), 15 if i % 3 else 12):
+            text[k] = next(fresh)
+        rows.append((i, " ".join(text)))
+    got = nd.near_dedup(docs_of(rows), size=1).collect()
+    want = brute_near(rows, 1)
+    assert 20 < len({c for _, _, c in want}) < 1200
+    assert Counter((x.doc_id, x.n_shingles, x.component_id) for x in got) == want
