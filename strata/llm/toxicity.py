@@ -11,8 +11,10 @@ evidence (on a log scale) into a score.
 
 For a six-gram seen in neither class the difference is that of the back-off weights of its
 context, whatever the letter, and 0 if the context is new too.  So the model is two tables of
-differences, for six-grams and for contexts.  For scoring they are hashed to ``2**bits`` slots
-each, the size of the broadcast at any corpus size.
+differences, for six-grams and for contexts, keyed by the whole gram at any corpus size.  For
+scoring, the grams of the texts' distinct words meet them by shuffle, each word once; texts then meet
+the words whose gap is above the margin.  A filter of fixed size keeps most other words from
+that shuffle; the join decides.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -32,6 +34,7 @@ ORDER = 6
 SYMBOL_BITS = 10
 DISCOUNT = 0.75
 TABLE_BITS = 22
+FILTER_BITS = 22
 THRESHOLD = 0.3
 #: A word's gap counts above this.
 MARGIN = 2.0
@@ -86,12 +89,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     )
 
 
-def learn(rows: DataFrame, discount: float = DISCOUNT, bits: int = TABLE_BITS) -> np.ndarray:
-    """Differences of log-likelihoods, for slots of six-grams and of contexts, from all rows of ``text, toxic`` (0 or 1).
-
-    Counts, continuation counts and both models are worked out by Spark; the driver gets one
-    number for each slot that is used.
-    """
+def gaps(rows: DataFrame, discount: float = DISCOUNT) -> DataFrame:
+    """``kind, key, gap, n``: differences of log-likelihoods of all six-grams (kind 0) and contexts (1), from all rows of ``text, toxic`` (0 or 1)."""
     counted = rows.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(_count, "gram long, toxic long, ordinary long")
     top = stage(counted.groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")), "grams")
     mask = lambda k: F.lit((1 << (SYMBOL_BITS * k)) - 1)
@@ -128,8 +127,12 @@ def learn(rows: DataFrame, discount: float = DISCOUNT, bits: int = TABLE_BITS) -
             )
         ).alias("x")
     ).select("x.*")
-    by_key = found.groupBy("kind", "key").agg(F.first("gap").alias("gap"), F.sum("n").alias("n"))
-    hashed = by_key.mapInArrow(_to_slots(bits), "kind int, slot int, gap double, n double")
+    return found.groupBy("kind", "key").agg(F.first("gap").alias("gap"), F.sum("n").alias("n"))
+
+
+def learn(rows: DataFrame, discount: float = DISCOUNT, bits: int = TABLE_BITS) -> np.ndarray:
+    """The gaps of small tables as an array, by slots, to look at; scoring does not use it."""
+    hashed = gaps(rows, discount).mapInArrow(_to_slots(bits), "kind int, slot int, gap double, n double")
     table = hashed.groupBy("kind", "slot").agg((F.sum(F.col("gap") * F.col("n")) / F.sum("n")).cast("float").alias("gap")).toArrow()
     out = np.full((2, 1 << bits), np.nan, np.float16)
     out[table["kind"].to_numpy(), table["slot"].to_numpy()] = table["gap"].to_numpy()
@@ -145,27 +148,80 @@ def _to_slots(bits: int):
     return run
 
 
-def evidence(rows: DataFrame, model: np.ndarray | Broadcast, text_col: str = "text", bits: int = TABLE_BITS) -> DataFrame:
+def _word(word: str) -> bytes:
+    return xxhash.xxh3_128_digest(word.encode("utf-8", "surrogatepass"))
+
+
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for batch in slices(whole, "text"):
+            for words, _ in word_groups(batch.column("text").to_pylist()):
+                yield pa.record_batch({"word": pa.array(words, pa.string())})
+
+
+def _grams_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for batch in slices(whole, "word"):
+            words = batch.column("word").to_pylist()
+            keys, owner = grams(words)
+            yield pa.record_batch({"word": pa.array([_word(w) for w in words], pa.binary()).take(pa.array(owner)), "gram": keys, "context": keys >> SYMBOL_BITS})
+
+
+def excesses(rows: DataFrame, model: DataFrame) -> DataFrame:
+    """``word, excess`` of the distinct words of ``text`` whose gap is above the margin."""
+    words = rows.mapInArrow(_words, "word string").distinct()
+    own = words.mapInArrow(_grams_of, "word binary, gram long, context long")
+    of = lambda kind, key, gap: model.where(F.col("kind") == kind).select(F.col("key").alias(key), F.col("gap").alias(gap)).hint("merge")
+    met = own.join(of(0, "gram", "own"), "gram", "left").join(of(1, "context", "back"), "context", "left")
+    summed = met.groupBy("word").agg((F.sum(F.coalesce("own", "back", F.lit(0.0))) - MARGIN).alias("excess"))
+    return stage(summed.where("excess > 0"), "excesses")
+
+
+def evidence(rows: DataFrame, model: DataFrame, text_col: str = "text") -> DataFrame:
     """``rows`` with ``__evidence``: see the module's text; 0 without letters, else up to some 8."""
-    shared = model if isinstance(model, Broadcast) else rows.sparkSession.sparkContext.broadcast(model)
+    text = column(text_col).cast("string")
+    texts = rows.select(text.alias("text")).where("text IS NOT NULL")
+    found = excesses(texts, model)
+    slot = F.conv(F.hex(F.substring("word", 1, 4)), 16, 10).cast("long").bitwiseAND((1 << FILTER_BITS) - 1)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for places in batch.column("slots").to_pylist():
+                bits = np.zeros(4096, bool)
+                bits[np.array(places, np.int64) % 4096] = True
+                out.append(np.packbits(bits).tobytes())
+            yield pa.record_batch({"part": batch.column("part"), "bits": pa.array(out, pa.binary())})
+
+    parts = found.select(slot.alias("slot")).groupBy(F.floor(F.col("slot") / 4096).alias("part")).agg(F.collect_set("slot").alias("slots"))
+    known = np.zeros(1 << FILTER_BITS, bool)
+    for part, packed in parts.mapInArrow(pack, "part long, bits binary").collect():  # 1024 rows of 512 bytes at most
+        known[part * 4096 : part * 4096 + 4096] = np.unpackbits(np.frombuffer(packed, np.uint8)).astype(bool)
+    shared = rows.sparkSession.sparkContext.broadcast(np.packbits(known))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of_gram, of_context = shared.value
+        bits = np.unpackbits(shared.value)
         for whole in batches:
-            for batch in slices(whole, "__text"):
-                out = []
-                for words, group in word_groups(batch.column("__text").to_pylist()):
-                    if words:
-                        keys, owner = grams(words)
-                        gap = of_gram[slots(keys, bits)].astype(np.float32)
-                        new = np.isnan(gap)
-                        gap[new] = np.nan_to_num(of_context[slots(keys[new] >> SYMBOL_BITS, bits)], nan=0.0)
-                        excess = np.maximum(np.bincount(owner, gap, len(words)) - MARGIN, 0.0)
-                    out += [float(np.log1p(excess[t].sum() / (len(t) + PRIOR_WORDS) / FLOOR)) if len(t) else 0.0 for t in group]
-                rest = [c for c in batch.schema.names if c != "__text"]
-                yield pa.record_batch([*(batch.column(c) for c in rest), pa.array(out, pa.float64())], names=[*rest, "__evidence"])
-
-    return map_beside(rows, {"__text": column(text_col).cast("string")}, run, {"__evidence": "double"})
+            for batch in slices(whole, "text"):
+                names, at = batch.column("digest").to_pylist(), 0
+                for words, group in word_groups(batch.column("text").to_pylist()):
+                    digests = [_word(w) for w in words]
+                    may = np.fromiter((bits[int.from_bytes(d[:4], "big") & ((1 << FILTER_BITS) - 1)] for d in digests), bool, len(digests))
+                    out = []
+                    for name, t in zip(names[at : at + len(group)], group, strict=True):
+                        numbers, times = np.unique(t[may[t]], return_counts=True)
+                        out += [(name, digests[w], n, len(t)) for w, n in zip(numbers.tolist(), times.tolist(), strict=True)]
+                    at += len(group)
+                    if out:
+                        d, w, n, total = zip(*out, strict=True)
+                        yield pa.record_batch({"digest": pa.array(d, pa.string()), "word": pa.array(w, pa.binary()), "n": pa.array(n, pa.int64()), "total": pa.array(total, pa.int64())})
+
+    held = texts.select("text", F.sha2(F.col("text").cast("binary"), 256).alias("digest")).mapInArrow(run, "digest string, word binary, n long, total long")
+    once = held.groupBy("digest", "word").agg(F.first("n").alias("n"), F.first("total").alias("total"))  # copies of a text count once
+    summed = once.join(found.hint("merge"), "word").groupBy("digest").agg(F.sum(F.col("excess") * F.col("n")).alias("excess"), F.first("total").alias("total"))
+    told = stage(summed.select(F.col("digest").alias("__digest"), F.log1p(F.col("excess") / (F.col("total") + PRIOR_WORDS) / FLOOR).alias("__told")), "evidence")
+    met = rows.withColumn("__digest", F.sha2(text.cast("binary"), 256)).join(told.hint("merge"), "__digest", "left")
+    return met.select(*(column(c) for c in rows.columns), F.coalesce("__told", F.lit(0.0)).alias("__evidence"))
 
 
 def fit_curve(x: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray) -> tuple[float, float]:
@@ -183,18 +239,18 @@ def fit_curve(x: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray) -> tuple[f
     return float(at[0]), float(at[1])
 
 
-def train(labelled: DataFrame, bits: int = TABLE_BITS) -> tuple[Broadcast, tuple[float, float]]:
-    """The model, sent to the executors once, and the curve from all rows of ``doc_id, text, toxic``: an eighth of them, by hash of the id, fits the curve."""
+def train(labelled: DataFrame) -> tuple[DataFrame, tuple[float, float]]:
+    """The model, a written table, and the curve from all rows of ``doc_id, text, toxic``: an eighth of them, by hash of the id, fits the curve."""
     rows = labelled.where("text IS NOT NULL AND toxic IN (0, 1)")
     apart = F.pmod(F.xxhash64("doc_id"), F.lit(8)) == 0
-    model = labelled.sparkSession.sparkContext.broadcast(learn(rows.where(~apart), bits=bits))
-    scored = evidence(rows.where(apart).select("text", "toxic"), model, bits=bits)
+    model = stage(gaps(rows.where(~apart)), "gaps")
+    scored = evidence(rows.where(apart).select("text", "toxic"), model)
     binned = F.least(F.greatest(F.floor(F.col("__evidence") * (BINS / 8)), F.lit(0)), F.lit(BINS - 1)).cast("int")
     found = scored.groupBy(binned.alias("bin")).agg(F.avg("__evidence").alias("x"), F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("ordinary")).orderBy("bin").toArrow()
     return model, fit_curve(*(found[c].to_numpy().astype(float) for c in ("x", "toxic", "ordinary")))
 
 
-def score(docs: DataFrame, model: np.ndarray | Broadcast, curve: tuple[float, float], text_col: str = "text", bits: int = TABLE_BITS, threshold: float = THRESHOLD) -> DataFrame:
+def score(docs: DataFrame, model: DataFrame, curve: tuple[float, float], text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with ``__score`` (0 to 1) and ``__predicted`` (1 from ``threshold`` up).
 
     A null or empty text, or one without letters, has no evidence and gets the curve's value
@@ -203,5 +259,5 @@ def score(docs: DataFrame, model: np.ndarray | Broadcast, curve: tuple[float, fl
     """
     slope, intercept = curve
     z = F.least(F.greatest(F.lit(slope) * F.col("__evidence") + F.lit(intercept), F.lit(-30.0)), F.lit(30.0))
-    scored = evidence(docs, model, text_col, bits).withColumn("__score", 1 / (1 + F.exp(-z))).drop("__evidence")
+    scored = evidence(docs, model, text_col).withColumn("__score", 1 / (1 + F.exp(-z))).drop("__evidence")
     return scored.withColumn("__predicted", (F.col("__score") >= threshold).cast("int"))

@@ -148,3 +148,27 @@ def test_toxicity_odd(spark, odd, empty):
     assert toxicity.score(empty, model, curve).collect() == []
     model, curve = toxicity.train(labelled.limit(0))
     assert toxicity.score(odd, model, curve).count() == len(ODD)
+
+
+def test_toxicity_words_keep_their_own_gaps(spark, monkeypatch):
+    """Ordinary grams, however many, take no toxic gram's gap; the words' filter may be full."""
+    monkeypatch.setattr(toxicity, "FILTER_BITS", 12)
+    r = np.random.default_rng(8)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    ordinary = [("".join(r.choice(letters, 12)), 0) for _ in range(3000)]
+    rows = spark.createDataFrame([*ordinary, *[("zzidiotzz", 1)] * 5, *[("zzidiomzz", 0)] * 5], "text string, toxic int")
+    model = toxicity.gaps(rows).cache()
+    by_key = {(x.kind, x.key): x.gap for x in model.collect()}
+    texts = ["zzidiotzz and a zzidiotzz", "zzidiomzz", ordinary[0][0], "qqidiotqq", "", None]
+
+    def excess(word):
+        keys, _ = toxicity.grams([word])
+        gap = sum(by_key.get((0, int(k)), by_key.get((1, int(k) >> toxicity.SYMBOL_BITS), 0.0)) for k in keys)
+        return max(gap - toxicity.MARGIN, 0.0)
+
+    got = {x.text: x["__evidence"] for x in toxicity.evidence(spark.createDataFrame([(t,) for t in texts * 2], "text string"), model).collect()}
+    for t in texts:
+        words = (t or "").split()
+        want = math.log1p(sum(map(excess, words)) / (len(words) + toxicity.PRIOR_WORDS) / toxicity.FLOOR)
+        assert got[t] == pytest.approx(want), t
+    assert got[texts[0]] > 0
