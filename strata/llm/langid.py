@@ -22,8 +22,10 @@ from strata.llm.common import code_points, column, letter_words, map_beside, sli
 
 VOCABULARY = "piece_bpe_32k.model"
 UNKNOWN = "und"
-#: Longer words are cut (all parts count), so that probabilities stay in range.
+#: Longer words are cut (all parts count), so that learning's uniform probabilities stay in range.
 LONGEST = 48
+#: Words whose probability is below this in a language are summed in logarithms.
+LEAST = 1e-290
 #: Weight, in pieces, of all languages' shared distribution in each language's.
 SHARED_WEIGHT = 200.0
 
@@ -107,6 +109,34 @@ def forward(model: np.ndarray, lattice: tuple) -> np.ndarray:
     return total
 
 
+def log_forward(model: np.ndarray, lattice: tuple) -> np.ndarray:
+    """Logarithms of ``forward``'s sums, at any scale."""
+    starts, ends, parts = lattice
+    total, logs = np.full((int(ends[-1]) + 1 if len(ends) else 0, model.shape[1]), -np.inf), np.log(model)
+    total[starts] = 0.0
+    for a, b, p in parts:
+        if len(b):
+            heads = np.flatnonzero(np.r_[True, b[1:] != b[:-1]])
+            values = total[a] + logs[p]
+            top = np.maximum.reduceat(values, heads, axis=0)
+            values -= np.repeat(top, np.diff(np.r_[heads, len(b)]), axis=0)
+            total[b[heads]] = top + np.log(np.add.reduceat(np.exp(values), heads, axis=0))
+    return total
+
+
+def word_logs(trie: Pieces, model: np.ndarray, words: list[str]) -> np.ndarray:
+    """Log-probabilities, words by languages; a sum that is large enough has lost no path that matters."""
+    lattice = trie.lattice(words)
+    found = forward(model, lattice)[lattice[1]]
+    low = np.flatnonzero((found < LEAST).any(axis=1))
+    with np.errstate(divide="ignore"):
+        logs = np.log(found)
+    if len(low):
+        again = trie.lattice([words[i] for i in low])
+        logs[low] = log_forward(model, again)[again[1]]
+    return logs
+
+
 def expected(prior: np.ndarray, lattice: tuple, weights: np.ndarray, count: int) -> np.ndarray:
     """Expected piece counts by language of words with ``weights`` (words by languages) under one model."""
     starts, ends, parts = lattice
@@ -182,8 +212,7 @@ def predict(rows: DataFrame, languages: list[str], model: np.ndarray, text_col:
                 names, scores = [], []
                 for words, group in word_groups(batch.column("__text").to_pylist(), split_words):
                     if words and languages:
-                        lattice = trie.lattice(words)
-                        logs = np.log(forward(model, lattice)[lattice[1]])
+                        logs = word_logs(trie, model, words)
                     for text in group:
                         if not len(text) or not languages:
                             names.append(UNKNOWN)

@@ -172,3 +172,23 @@ def test_toxicity_words_keep_their_own_gaps(spark, monkeypatch):
         want = math.log1p(sum(map(excess, words)) / (len(words) + toxicity.PRIOR_WORDS) / toxicity.FLOOR)
         assert got[t] == pytest.approx(want), t
     assert got[texts[0]] > 0
+
+
+def test_langid_runs_of_unknown_letters(spark):
+    """Letters that a large corpus never taught make no language impossible; the other words decide."""
+    trie = langid.pieces(vocabulary_path(langid.VOCABULARY))
+    train = spark.createDataFrame([("the house is there and they see it", "en"), ("das haus ist dort und sie sehen es", "de")], "text string, lang string")
+    languages, model = langid.learn(train)
+    model = model.copy()
+    model[-1] = 1e-16  # as after 1e9 pieces
+    run = "ꓐ" * 47
+    assert trie.single[ord(run[0])] == trie.count - 1
+    words = ["there", run, "ab" + run[:40], "house"]
+    logs = langid.word_logs(trie, model, words)
+    assert logs[1] == pytest.approx(47 * np.log(1e-16))
+    assert logs[2] == pytest.approx(40 * np.log(1e-16) + langid.word_logs(trie, model, ["ab"])[0])
+    assert logs == pytest.approx(langid.log_forward(model, trie.lattice(words))[trie.lattice(words)[1]])
+    rows = spark.createDataFrame([(f"they see the house {run}",), (run,)], "text string")
+    first, second = langid.predict(rows, languages, model).collect()
+    assert first["__lang"] == "en" and 0.5 < first["__confidence"] <= 1
+    assert second["__confidence"] == pytest.approx(0.5)
