@@ -13,8 +13,9 @@ For a six-gram seen in neither class the difference is that of the back-off weig
 context, whatever the letter, and 0 if the context is new too.  So the model is two tables of
 differences, for six-grams and for contexts, keyed by the whole gram at any corpus size.  For
 scoring, the grams of the texts' distinct words meet them by shuffle, each word once; texts then meet
-the words whose gap is above the margin.  A filter of fixed size keeps most other words from
-that shuffle; the join decides.
+the words whose gap is above the margin.  Two broadcasts of fixed size, upper bounds of gaps by
+``2**BOUND_BITS`` slots and excesses of words by ``2**FILTER_BITS``, keep most other words from being shuffled; they never
+lose a word that counts.  Words that share a slot of the second are told apart by a join.
 """
 
 from __future__ import annotations
@@ -34,7 +35,8 @@ ORDER = 6
 SYMBOL_BITS = 10
 DISCOUNT = 0.75
 TABLE_BITS = 22
-FILTER_BITS = 22
+BOUND_BITS = 21
+FILTER_BITS = 21
 THRESHOLD = 0.3
 #: A word's gap counts above this.
 MARGIN = 2.0
@@ -152,11 +154,42 @@ def _word(word: str) -> bytes:
     return xxhash.xxh3_128_digest(word.encode("utf-8", "surrogatepass"))
 
 
-def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for batch in slices(whole, "text"):
-            for words, _ in word_groups(batch.column("text").to_pylist()):
-                yield pa.record_batch({"word": pa.array(words, pa.string())})
+def bounds(model: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """By slot, for six-grams and for contexts: the one key there (-1: none, -2: several), and the largest gap (rounded up)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.record_batch({"kind": b.column("kind"), "slot": slots(b.column("key").to_numpy(), bits).astype(np.int32), "key": b.column("key"), "gap": b.column("gap")})
+
+    hashed = model.select("kind", "key", "gap").mapInArrow(run, "kind int, slot int, key long, gap double")
+    one = F.when(F.min("key") == F.max("key"), F.min("key")).otherwise(-2).alias("key")
+    table = hashed.groupBy("kind", "slot").agg(one, F.max("gap").cast("float").alias("gap")).toArrow()
+    only, most = np.full((2, 1 << bits), -1, np.int64), np.zeros((2, 1 << bits), np.float16)
+    at = table["kind"].to_numpy(), table["slot"].to_numpy()
+    only[at] = table["key"].to_numpy()
+    most[at] = np.nextafter(table["gap"].to_numpy().astype(np.float16), np.float16(np.inf))
+    return only, most
+
+
+def _words(shared, bits: int):
+    """Words whose gap may be above the margin; where a slot has several keys, the largest that may hold counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only, most = shared.value
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                for words, _ in word_groups(batch.column("text").to_pylist()):
+                    if words:
+                        keys, owner = grams(words)
+                        contexts = keys >> SYMBOL_BITS
+                        g, c = slots(keys, bits), slots(contexts, bits)
+                        own, back = most[0][g], most[1][c]
+                        back = np.where(only[1][c] == contexts, back, np.where(only[1][c] == -2, np.maximum(back, 0), 0))  # unknown contexts: 0
+                        gap = np.where(only[0][g] == keys, own, np.where(only[0][g] == -2, np.maximum(own, back), back))
+                        may = np.bincount(owner, gap.astype(np.float64), len(words)) > MARGIN - 0.01
+                        yield pa.record_batch({"word": pa.array(words, pa.string()).filter(pa.array(may))})
+
+    return run
 
 
 def _grams_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,7 +202,8 @@ def _grams_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def excesses(rows: DataFrame, model: DataFrame) -> DataFrame:
     """``word, excess`` of the distinct words of ``text`` whose gap is above the margin."""
-    words = rows.mapInArrow(_words, "word string").distinct()
+    shared = rows.sparkSession.sparkContext.broadcast(bounds(model, BOUND_BITS))
+    words = rows.mapInArrow(_words(shared, BOUND_BITS), "word string").distinct()
     own = words.mapInArrow(_grams_of, "word binary, gram long, context long")
     of = lambda kind, key, gap: model.where(F.col("kind") == kind).select(F.col("key").alias(key), F.col("gap").alias(gap)).hint("merge")
     met = own.join(of(0, "gram", "own"), "gram", "left").join(of(1, "context", "back"), "context", "left")
@@ -178,50 +212,66 @@ def excesses(rows: DataFrame, model: DataFrame) -> DataFrame:
 
 
 def evidence(rows: DataFrame, model: DataFrame, text_col: str = "text") -> DataFrame:
-    """``rows`` with ``__evidence``: see the module's text; 0 without letters, else up to some 8."""
+    """``rows`` with ``__evidence``: see the module's text; 0 without letters, else up to some 8.
+
+    A word alone in its slot has its excess there, in a broadcast; the others, if any, meet theirs by shuffle.
+    """
     text = column(text_col).cast("string")
     texts = rows.select(text.alias("text")).where("text IS NOT NULL")
-    found = excesses(texts, model)
-    slot = F.conv(F.hex(F.substring("word", 1, 4)), 16, 10).cast("long").bitwiseAND((1 << FILTER_BITS) - 1)
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for places in batch.column("slots").to_pylist():
-                bits = np.zeros(4096, bool)
-                bits[np.array(places, np.int64) % 4096] = True
-                out.append(np.packbits(bits).tobytes())
-            yield pa.record_batch({"part": batch.column("part"), "bits": pa.array(out, pa.binary())})
-
-    parts = found.select(slot.alias("slot")).groupBy(F.floor(F.col("slot") / 4096).alias("part")).agg(F.collect_set("slot").alias("slots"))
-    known = np.zeros(1 << FILTER_BITS, bool)
-    for part, packed in parts.mapInArrow(pack, "part long, bits binary").collect():  # 1024 rows of 512 bytes at most
-        known[part * 4096 : part * 4096 + 4096] = np.unpackbits(np.frombuffer(packed, np.uint8)).astype(bool)
-    shared = rows.sparkSession.sparkContext.broadcast(np.packbits(known))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(shared.value)
+    found, mask = excesses(texts, model), (1 << FILTER_BITS) - 1
+    slot = F.conv(F.hex(F.substring("word", 1, 4)), 16, 10).cast("long").bitwiseAND(mask)
+    held = found.groupBy(slot.alias("slot")).agg(F.count("*").alias("n"), F.first("word").alias("word"), F.first("excess").alias("excess")).orderBy("slot").toArrow()
+    several = held["n"].to_numpy() > 1
+    table = (held["slot"].to_numpy(), several, np.frombuffer(b"".join(held["word"].to_pylist()), "V16"), held["excess"].to_numpy())
+    shared = rows.sparkSession.sparkContext.broadcast(table)
+
+    def known(words: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """Digests, excesses of words that are alone in their slots, and which words share one."""
+        places, many, names, excess = shared.value
+        digests = [_word(w) for w in words]
+        if not len(places) or not words:
+            return digests, np.zeros(len(words)), np.zeros(len(words), bool)
+        wanted = np.fromiter((int.from_bytes(d[:4], "big") & mask for d in digests), np.int64, len(digests))
+        at = np.minimum(np.searchsorted(places, wanted), len(places) - 1)
+        here = places[at] == wanted
+        same = here & ~many[at] & (names[at] == np.frombuffer(b"".join(digests), "V16"))
+        return digests, np.where(same, excess[at], 0.0), here & many[at]
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "__text"):
+                sums, sizes = [], []
+                for words, group in word_groups(batch.column("__text").to_pylist()):
+                    _, excess, _ = known(words)
+                    sums += [float(excess[t].sum()) for t in group]
+                    sizes += [len(t) for t in group]
+                rest = [c for c in batch.schema.names if c != "__text"]
+                yield pa.record_batch([*(batch.column(c) for c in rest), pa.array(sums, pa.float64()), pa.array(sizes, pa.int64())], names=[*rest, "__sum", "__size"])
+
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text"):
                 names, at = batch.column("digest").to_pylist(), 0
                 for words, group in word_groups(batch.column("text").to_pylist()):
-                    digests = [_word(w) for w in words]
-                    may = np.fromiter((bits[int.from_bytes(d[:4], "big") & ((1 << FILTER_BITS) - 1)] for d in digests), bool, len(digests))
+                    digests, _, may = known(words)
                     out = []
                     for name, t in zip(names[at : at + len(group)], group, strict=True):
                         numbers, times = np.unique(t[may[t]], return_counts=True)
-                        out += [(name, digests[w], n, len(t)) for w, n in zip(numbers.tolist(), times.tolist(), strict=True)]
+                        out += [(name, digests[w], n) for w, n in zip(numbers.tolist(), times.tolist(), strict=True)]
                     at += len(group)
                     if out:
-                        d, w, n, total = zip(*out, strict=True)
-                        yield pa.record_batch({"digest": pa.array(d, pa.string()), "word": pa.array(w, pa.binary()), "n": pa.array(n, pa.int64()), "total": pa.array(total, pa.int64())})
+                        d, w, n = zip(*out, strict=True)
+                        yield pa.record_batch({"digest": pa.array(d, pa.binary()), "word": pa.array(w, pa.binary()), "n": pa.array(n, pa.int64())})
 
-    held = texts.select("text", F.sha2(F.col("text").cast("binary"), 256).alias("digest")).mapInArrow(run, "digest string, word binary, n long, total long")
-    once = held.groupBy("digest", "word").agg(F.first("n").alias("n"), F.first("total").alias("total"))  # copies of a text count once
-    summed = once.join(found.hint("merge"), "word").groupBy("digest").agg(F.sum(F.col("excess") * F.col("n")).alias("excess"), F.first("total").alias("total"))
-    told = stage(summed.select(F.col("digest").alias("__digest"), F.log1p(F.col("excess") / (F.col("total") + PRIOR_WORDS) / FLOOR).alias("__told")), "evidence")
-    met = rows.withColumn("__digest", F.sha2(text.cast("binary"), 256)).join(told.hint("merge"), "__digest", "left")
-    return met.select(*(column(c) for c in rows.columns), F.coalesce("__told", F.lit(0.0)).alias("__evidence"))
+    name = lambda c: F.unhex(F.sha2(c.cast("binary"), 256))
+    met = map_beside(rows, {"__text": text}, add, {"__sum": "double", "__size": "long"})
+    if several.any():
+        more = texts.select("text", name(F.col("text")).alias("digest")).mapInArrow(others, "digest binary, word binary, n long")
+        once = more.groupBy("digest", "word").agg(F.first("n").alias("n"))  # copies of a text count once
+        told = once.join(found.hint("merge"), "word").groupBy(F.col("digest").alias("__digest")).agg(F.sum(F.col("excess") * F.col("n")).alias("__more"))
+        met = met.withColumn("__digest", name(text)).join(told.hint("merge"), "__digest", "left").withColumn("__sum", F.col("__sum") + F.coalesce("__more", F.lit(0.0)))
+    value = F.log1p(F.col("__sum") / (F.col("__size") + PRIOR_WORDS) / FLOOR)
+    return met.select(*(column(c) for c in rows.columns), value.alias("__evidence"))
 
 
 def fit_curve(x: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray) -> tuple[float, float]:
@@ -243,7 +293,7 @@ def train(labelled: DataFrame) -> tuple[DataFrame, tuple[float, float]]:
     """The model, a written table, and the curve from all rows of ``doc_id, text, toxic``: an eighth of them, by hash of the id, fits the curve."""
     rows = labelled.where("text IS NOT NULL AND toxic IN (0, 1)")
     apart = F.pmod(F.xxhash64("doc_id"), F.lit(8)) == 0
-    model = stage(gaps(rows.where(~apart)), "gaps")
+    model = stage(gaps(rows.where(~apart)).drop("n"), "gaps")
     scored = evidence(rows.where(apart).select("text", "toxic"), model)
     binned = F.least(F.greatest(F.floor(F.col("__evidence") * (BINS / 8)), F.lit(0)), F.lit(BINS - 1)).cast("int")
     found = scored.groupBy(binned.alias("bin")).agg(F.avg("__evidence").alias("x"), F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("ordinary")).orderBy("bin").toArrow()

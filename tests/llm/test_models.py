@@ -150,9 +150,11 @@ def test_toxicity_odd(spark, odd, empty):
     assert toxicity.score(odd, model, curve).count() == len(ODD)
 
 
-def test_toxicity_words_keep_their_own_gaps(spark, monkeypatch):
-    """Ordinary grams, however many, take no toxic gram's gap; the words' filter may be full."""
-    monkeypatch.setattr(toxicity, "FILTER_BITS", 12)
+@pytest.mark.parametrize("bits", [0, 21])
+def test_toxicity_words_keep_their_own_gaps(spark, monkeypatch, bits):
+    """Ordinary grams, however many, take no toxic gram's gap."""
+    monkeypatch.setattr(toxicity, "FILTER_BITS", bits)
+    monkeypatch.setattr(toxicity, "BOUND_BITS", 8)
     r = np.random.default_rng(8)
     letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
     ordinary = [("".join(r.choice(letters, 12)), 0) for _ in range(3000)]
