@@ -99,6 +99,23 @@ class Hasher:
         return out
 
 
+    def ranks(self, x: np.ndarray, cells: np.ndarray) -> np.ndarray:
+        """How many cells of each table lie nearer to the query ``x`` than those in ``cells`` (a row of cells by table for each)."""
+        unit, axes = self._sphere(x[None], True), 2 * self.width
+        out = np.empty(cells.shape, np.int64)
+        for t in range(self.tables):
+            turned = [self._turned(unit, t, h)[0] for h in range(self.hashes)]
+            near = np.zeros(len(cells))
+            for h, c in enumerate(turned):  # a cell's number has its first axis in front
+                near += c[cells[:, t] // axes ** (self.hashes - 1 - h) % axes]
+            head, last = np.zeros(1), np.sort(turned[-1])
+            for c in turned[:-1]:
+                head = (head[:, None] + c[None, :]).ravel()
+            for i, least in enumerate(near):
+                out[i, t] = len(head) * axes - np.searchsorted(last, least + 1e-12 - head, "right").sum()
+        return out
+
+
 def _vectors(column) -> np.ndarray:
     raw = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return np.frombuffer(b"".join(raw.to_pylist()), "<f8").reshape(len(raw), -1)
@@ -123,19 +140,32 @@ def usable(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding
 
 
 def _best(points: pa.Table, queries: pa.Table, k: int) -> list[tuple[int, int, float]]:
-    """The ``k`` best of the points for each query (none below its bound), by exact measure, then id."""
-    ids, q_ids = points["vec_id"].to_numpy(), queries["query_id"].to_numpy()
-    x, q, bound = _vectors(points["v"]), _vectors(queries["q"]), queries["bound"].to_numpy()
+    """The ``k`` best of the points for each query (none below its bound), by exact measure, then id.
+
+    Points that share an id count once, with the best of their measures.
+    """
+    order = np.argsort(points["vec_id"].to_numpy(), kind="stable")
+    ids, q_ids = points["vec_id"].to_numpy()[order], queries["query_id"].to_numpy()
+    x, q, bound = _vectors(points["v"])[order], _vectors(queries["q"]), queries["bound"].to_numpy()
+    starts = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+    ends = np.append(starts[1:], len(ids))
+    names, repeated = ids[starts], len(starts) < len(ids)
     out = []
     for a in range(0, len(q), 256):
         rough = q[a : a + 256] @ x.T
-        rough[q_ids[a : a + 256, None] == ids[None, :]] = -np.inf
+        if repeated:
+            rough = np.maximum.reduceat(rough, starts, axis=1)
+        rough[q_ids[a : a + 256, None] == names[None, :]] = -np.inf
         for i, row in enumerate(rough):
             least = bound[a + i] if len(row) <= k else max(bound[a + i], -np.partition(-row, k - 1)[k - 1])
             near = np.flatnonzero(row >= least - 1e-9 * (1 + abs(least)) if np.isfinite(least) else row > -np.inf)
-            exact = np.einsum("ij,j->i", x[near], q[a + i])
-            order = np.lexsort((ids[near], -exact))[:k]
-            out += [(int(q_ids[a + i]), int(n), float(s)) for n, s in zip(ids[near][order], exact[order], strict=True)]
+            counts = ends[near] - starts[near]
+            firsts = np.cumsum(counts) - counts
+            copies = np.repeat(starts[near] - firsts, counts) + np.arange(counts.sum())
+            exact = np.einsum("ij,j->i", x[copies], q[a + i])
+            exact = np.maximum.reduceat(exact, firsts) if len(near) else exact
+            best = np.lexsort((names[near], -exact))[:k]
+            out += [(int(q_ids[a + i]), int(n), float(s)) for n, s in zip(names[near][best], exact[best], strict=True)]
     return out
 
 
@@ -189,18 +219,17 @@ def needed_probes(points: DataFrame, hasher: Hasher, sample: list[tuple[int, byt
     if not wanted:
         return 1
     found = {r["vec_id"]: r["v"] for r in points.join(F.broadcast(points.sparkSession.createDataFrame([(v,) for v in wanted], "vec_id long")), "vec_id", "left_semi").collect()}
-    cell_of = dict(zip(found, hasher.cells(np.frombuffer(b"".join(found.values()), "<f8").reshape(len(found), -1)), strict=True))
-    order = hasher.probes(np.frombuffer(b"".join(q[1] for q in sample), "<f8").reshape(len(sample), -1), 1 << 14)
+    vectors = lambda rows: np.frombuffer(b"".join(rows), "<f8").reshape(len(rows), -1)
+    cell_of = dict(zip(found, hasher.cells(vectors(list(found.values()))), strict=True))
     ranks = []
-    for (query, _), cells in zip(sample, order, strict=True):
-        for v in answers.get(query, []):
-            hits = [np.flatnonzero(cells[t] == cell_of[v][t]) for t in range(hasher.tables)]
-            ranks.append(min((int(h[0]) for h in hits if len(h)), default=cells.shape[1] - 1))
+    for query, v in sample:
+        near = [cell_of[i] for i in answers.get(query, [])]
+        ranks += hasher.ranks(vectors([v])[0], np.array(near)).min(axis=1).tolist() if near else []
     ranks.sort()
     return ranks[min(len(ranks) - 1, math.ceil(target * len(ranks)) - 1)] + 1
 
 
-def search(rows: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", tables: int = TABLES, target: float = TARGET) -> DataFrame:
+def search(rows: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", tables: int = TABLES, target: float = TARGET, hashes: int | None = None) -> DataFrame:
     """``query_id, rank, vec_id, score``: each query's ``k`` nearest found by inner product, nearest first.
 
     Candidates are all rows but those with the query's own id; ties go to the smaller id.
@@ -229,7 +258,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_
     if not sample:
         return empty
     axes = 2 << max(0, (dim - 1).bit_length())
-    hashes = max(1, int(math.log(max(total / CELL, 1)) / math.log(axes)))
+    hashes = hashes or max(1, int(math.log(max(total / CELL, 1)) / math.log(axes)))
     hasher = Hasher(dim, most, least < most * (1 - 1e-4), tables, hashes)
     probes = needed_probes(points, hasher, sample, k, target)
 
@@ -241,9 +270,10 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_
                 yield pa.record_batch({"table": np.tile(np.arange(hasher.tables, dtype=np.int32), batch.num_rows), "cell": cells.ravel(), "vec_id": batch.column("vec_id").take(again), "v": batch.column("v").take(again)})
 
     def pose(batches):
+        few = max(1, min(512, (1 << 22) // (probes * min(probes, axes))))  # queries whose cells are ranked at once
         for whole in batches:
-            for a in range(0, whole.num_rows, 512):
-                batch = whole.slice(a, 512)
+            for a in range(0, whole.num_rows, few):
+                batch = whole.slice(a, few)
                 cells = hasher.probes(_vectors(batch.column("v")), probes)
                 n, t, p = cells.shape
                 again = np.repeat(np.arange(n), t * p)

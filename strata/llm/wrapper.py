@@ -1,15 +1,20 @@
 """Main text of pages by wrapper induction.
 
-Pages of a host are aligned one after another with the host's wrapper, a tree of slots, by
-simple tree matching (the largest order-keeping matching of equal labels, children of matched
-parents only; repeated siblings of one label are one slot).  A slot remembers how much text and
-link text its pages have there and the texts it holds on a large part of them.  Texts that stay the
-same while pages differ are template; the slot that holds most of what varies is the content.
-
-Tasks build partial wrappers, which are matched and merged the same way, first by host and
-salt and then by host, so a host with a third of all pages is induced in pieces.  A page's text is
-what lies in its content and is neither template nor in a part that is named as a menu, header,
-footer, sidebar, notice, advert, form or comments.
+Each host has a pivot, a page of median length, whose tree of blocks is the host's wrapper
+(siblings of one label are one slot).  Every page's tree is aligned with it by simple tree
+matching: the heaviest order-keeping matching of equal labels, children of matched parents only.
+What has no match hangs below its nearest matched block, by its labels, so pages share such slots too.
+
+Spark counts each line of text by host and slot over all pages.  A line on most of a host's
+pages, and on some that differ, is template.  All other text varies; each slot of the wrapper
+gets the varying characters below it (links aside), and the content is the deepest slot
+that holds over half of them.  Names come second: of the slots that hold over half, an article
+or main element is taken first, and a part that is named as a menu, form, comments and so
+on is left out if varying text remains elsewhere, and else is taken for what it holds.  Pages without
+a wrapper, or that have nothing at its content, are read by their own markup in the same way.
+
+Nothing depends on how pages are dealt: the pivot is chosen by length and hash, counts are exact,
+and a wrapper is as large as one page.
 """
 
 from __future__ import annotations
@@ -19,11 +24,12 @@ import html
 import pickle
 import re
 import zlib
+from bisect import bisect_left
+from collections import defaultdict
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,12 +48,14 @@ NAMES = set(
     " breadcrumb breadcrumbs pagination pager footer masthead topbar cookie cookies consent gdpr notice notices alert alerts newsletter subscribe subscription signup login modal popup paywall"
     " comment comments commentlist respond disqus replies share sharing social".split()
 )
+#: Words that say nothing of their own beside one of NAMES in a class such as "comment-list".
+PLAIN = set(
+    "area bar block body bottom box button buttons card cell col column component container content element float fixed footer global grid group head header holder id inner item items left"
+    " link links list main mini mobile module outer page panel post posts primary right row section secondary site slot small sticky sub text title top unit wrap wrapper article area".split()
+)
 ROLES = set("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 
-SLOTS = 400  # a wrapper's slots; the rarest go when there are more
-TEXTS = 8  # texts a slot counts at once; a text on more than a ninth of its pages is never lost
-TEMPLATE_PART, TEMPLATE_PAGES, TEMPLATE_CHARS = 0.6, 3, 400
-SALTS = 64
+TEMPLATE_PART, TEMPLATE_PAGES = 0.6, 3
 DEPTH = 100  # blocks nested deeper count as part of the one at this depth
 HOSTS = 2000
 
@@ -59,6 +67,12 @@ _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in RAW}
 _WORDS = re.compile("[a-z]+")
 
 
+def names_part(word: str) -> bool:
+    """Whether a class or id says that its part is no article: one of NAMES, alone or beside plain words only."""
+    words = _WORDS.findall(word)
+    return not NAMES.isdisjoint(words) and all(w in NAMES or w in PLAIN for w in words)
+
+
 class Node:
     """A block element: its label, and text runs and blocks in page order."""
 
@@ -69,10 +83,10 @@ class Node:
         self.label, self.named = tag, tag in NOT_ARTICLE
         if attributes:
             for m in _ATTRIBUTE.finditer(attributes):
-                words = _WORDS.findall((m[2] or m[3] or m[4] or "").lower())
-                self.label += f" {m[1].lower()}={'-'.join(words)}"
+                value = (m[2] or m[3] or m[4] or "").lower()
+                self.label += f" {m[1].lower()}={'-'.join(_WORDS.findall(value))}"
                 if tag not in ("html", "body", "article", "main"):
-                    self.named = self.named or not (ROLES if m[1].lower() == "role" else NAMES).isdisjoint(words)
+                    self.named = self.named or (not ROLES.isdisjoint(value.split()) if m[1].lower() == "role" else any(map(names_part, value.split())))
 
     def blocks(self) -> list[Node]:
         return [i for i in self.items if type(i) is Node]
@@ -165,221 +179,231 @@ def parse(page: str) -> Node:
     return root
 
 
-def own_texts(node: Node) -> Iterator[tuple[str, int]]:
-    """A block's own runs of text with white space put right, and their characters in links."""
-    for item in node.items:
-        if type(item) is list:
-            line = " ".join("".join(item[0]).split())
-            if line:
-                yield line, item[1]
-
-
-def key(line: str) -> bytes:
-    return hashlib.blake2b(line.encode("utf-8", "surrogatepass"), digest_size=8).digest()
-
-
-class Slot:
-    """A wrapper's node."""
-
-    __slots__ = ("label", "pages", "chars", "links", "texts", "slots")
-
-    def __init__(self, label: str):
-        self.label, self.pages, self.chars, self.links = label, 0, 0, 0
-        self.texts: dict[bytes, tuple[int, frozenset]] = {}  # text -> pages, some digests of different pages
-        self.slots: list[Slot] = []
+def text_of(item: list) -> str:
+    return " ".join("".join(item[0]).split())
 
-    def __getstate__(self):
-        return (self.label, self.pages, self.chars, self.links, self.texts, self.slots)
 
-    def __setstate__(self, state):
-        self.label, self.pages, self.chars, self.links, self.texts, self.slots = state
-
-    def count(self, texts: dict[bytes, tuple[int, frozenset]]) -> None:
-        """Counts of frequent texts, by the method of Misra and Gries (mergeable)."""
-        own = self.texts
-        for k, (n, pages) in texts.items():
-            have = own.get(k)
-            own[k] = (n, pages) if have is None else (have[0] + n, frozenset(sorted(have[1] | pages)[:TEMPLATE_PAGES]))
-        if len(own) > TEXTS:
-            least = sorted((n for n, _ in own.values()), reverse=True)[TEXTS]
-            self.texts = {k: (n - least, p) for k, (n, p) in own.items() if n > least}
-
-
-def grouped(nodes: list[Node]) -> list[list[Node]]:
-    """Neighbours of one label together."""
-    out: list[list[Node]] = []
+def merged(nodes: list[Node]) -> dict[str, list[Node]]:
+    """The blocks below some nodes by label, in the order in which labels first appear."""
+    out: dict[str, list[Node]] = {}
     for n in nodes:
-        if out and out[-1][0].label == n.label:
-            out[-1].append(n)
-        else:
-            out.append([n])
+        for c in n.blocks():
+            out.setdefault(c.label, []).append(c)
     return out
 
 
-def matching(left: list, right: list, label, children) -> tuple[int, list[tuple[int, int]]]:
-    """Simple tree matching of two ordered lists of trees: its size, and the pairs of places on this level."""
-    a, b = [label(0, x) for x in left], [label(1, x) for x in right]
-    if a == b and len(set(a)) == len(a):  # equal labels in one order: all pairs match
-        return len(a) + sum(matching(children(0, x), children(1, y), label, children)[0] for x, y in zip(left, right, strict=True)), [(i, i) for i in range(len(a))]
-    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    take = {}
-    for i in range(len(a) - 1, -1, -1):
-        for j in range(len(b) - 1, -1, -1):
-            most = max(best[i + 1][j], best[i][j + 1])
-            if a[i] == b[j]:
-                w = 1 + matching(children(0, left[i]), children(1, right[j]), label, children)[0] + best[i + 1][j + 1]
-                if w >= most:
-                    most = take[i, j] = w
-            best[i][j] = most
-    pairs, i, j = [], 0, 0
-    while i < len(a) and j < len(b):
-        if take.get((i, j)) == best[i][j]:
-            pairs.append((i, j))
-            i, j = i + 1, j + 1
-        elif best[i + 1][j] >= best[i][j + 1]:
-            i += 1
-        else:
-            j += 1
-    return best[0][0], pairs
-
-
-def _page_children(group: list[Node]) -> list[list[Node]]:
-    return grouped([c for n in group for c in n.blocks()])
-
-
-def _pairs(groups: list[list[Node]], slots: list[Slot]) -> list[tuple[int, int]]:
-    return matching(groups, slots, lambda side, x: x.label if side else x[0].label, lambda side, x: x.slots if side else _page_children(x))[1]
-
-
-def induce(groups: list[list[Node]], slots: list[Slot], page: bytes) -> None:
-    """Takes a page's blocks into the wrapper: matched ones into their slots, others into new slots beside them."""
-    found = {i: slots[j] for i, j in _pairs(groups, slots)}
-    last = -1
-    for i, group in enumerate(groups):
-        slot = found.get(i)
-        if slot is None:
-            slot = Slot(group[0].label)
-            slots.insert(last + 1, slot)
-            last += 1
-        else:
-            last = slots.index(slot)
-        slot.pages += 1
-        texts = {}
-        for node in group:
-            for line, links in own_texts(node):
-                slot.chars += len(line)
-                slot.links += min(links, len(line))
-                if len(line) <= TEMPLATE_CHARS:
-                    texts[key(line)] = (1, frozenset((page,)))
-        slot.count(texts)
-        induce(_page_children(group), slot.slots, page)
-
-
-def merge(slots: list[Slot], more: list[Slot]) -> None:
-    """Takes the slots of another wrapper in."""
-    found = {i: slots[j] for i, j in matching(more, slots, lambda _, x: x.label, lambda _, x: x.slots)[1]}
-    last = -1
-    for i, new in enumerate(more):
-        slot = found.get(i)
-        if slot is None:
-            slots.insert(last + 1, new)
-            last += 1
-            continue
-        last = slots.index(slot)
-        slot.pages += new.pages
-        slot.chars += new.chars
-        slot.links += new.links
-        slot.count(new.texts)
-        merge(slot.slots, new.slots)
-
-
-def prune(slots: list[Slot]) -> None:
-    """Leaves the ``SLOTS`` slots on most pages."""
-    counts: list[int] = []
-
-    def walk(level):
-        for s in level:
-            counts.append(s.pages)
-            walk(s.slots)
-
-    walk(slots)
-    if len(counts) > SLOTS:
-        least = sorted(counts, reverse=True)[SLOTS]
-
-        def cut(level):
-            level[:] = [s for s in level if s.pages > least]
-            for s in level:
-                cut(s.slots)
-
-        cut(slots)
-
-
-def match_page(groups: list[list[Node]], slots: list[Slot]) -> None:
-    """Notes each matched node's slot."""
-    for i, j in _pairs(groups, slots):
-        for node in groups[i]:
-            node.slot = slots[j]
-        match_page(_page_children(groups[i]), slots[j].slots)
-
-
-def content_slot(slots: list[Slot]) -> Slot | None:
-    """The deepest slot with over half of the varying text outside links and parts that are named."""
-
-    def mass(s: Slot) -> float:
-        tag, *rest = s.label.split(" ")
-        probe = Node(tag)
-        named = probe.named or any(not NAMES.isdisjoint(r.partition("=")[2].split("-")) for r in rest if tag not in ("html", "body", "article", "main"))
-        if named:
-            return 0.0
-        return (s.chars - s.links if s.links * 2 < s.chars else 0) + sum(map(mass, s.slots))
-
-    best, level = None, slots
-    total = sum(map(mass, slots))
-    while total:
-        masses = [mass(s) for s in level]
-        top = max(range(len(level)), key=masses.__getitem__, default=None)
-        if top is None or masses[top] * 2 <= total or level[top].label.split(" ")[0] in ("p", "h1", "h2", "li", "td"):
-            break
-        best, level = level[top], level[top].slots
-    return best
-
-
-def main_text(root: Node, wrapper: list[Slot] | None, pages: int = 0) -> str:
+# A wrapper's slot: its label, whether it is named, and the slots below it by label, in order.
+Wrapper = tuple[str, bool, dict]
+
+
+def wrapper_of(label: str, nodes: list[Node]) -> Wrapper:
+    return label, any(n.named for n in nodes), {k: wrapper_of(k, group) for k, group in merged(nodes).items()}
+
+
+def heaviest(places: list[int], weights: list[int]) -> list[int]:
+    """Which of the numbered things make the heaviest sequence of rising places (all different)."""
+    tops: list[int] = []  # places at which the best weight so far rises, with that weight and thing
+    best: list[tuple[int, int]] = []
+    before: list[int] = []
+    for i, (place, weight) in enumerate(zip(places, weights, strict=True)):
+        at = bisect_left(tops, place)
+        before.append(best[at - 1][1] if at else -1)
+        total = weight + (best[at - 1][0] if at else 0)
+        end = at
+        while end < len(tops) and best[end][0] <= total:
+            end += 1
+        tops[at:end], best[at:end] = [place], [(total, i)]
+    out, i = [], best[-1][1] if best else -1
+    while i >= 0:
+        out.append(i)
+        i = before[i]
+    return out[::-1]
+
+
+def align(groups: dict[str, list[Node]], slots: dict[str, Wrapper]) -> tuple[int, list[tuple[str, list]]]:
+    """Simple tree matching of a page's blocks with a wrapper's slots: its size, and the labels that
+    match with the matching below each.  Labels differ on either side, so any two blocks meet once."""
+    order = {label: i for i, label in enumerate(slots)}
+    common = [label for label in groups if label in order]
+    below = [align(merged(groups[label]), slots[label][2]) for label in common]
+    kept = heaviest([order[label] for label in common], [1 + size for size, _ in below])
+    return sum(1 + below[i][0] for i in kept), [(common[i], below[i][1]) for i in kept]
+
+
+def key(line: str) -> int:
+    return int.from_bytes(hashlib.blake2b(line.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
+def _slot(parent: int, label: str, matched: bool) -> int:
+    return key(f"{parent} {'=' if matched else '~'} {label}")
+
+
+ROOT = 0
+
+
+class Page:
+    """A page's tree with each node's slot and the wrapper's slot (anchor) it hangs at."""
+
+    def __init__(self, page: str, wrapper: Wrapper | None):
+        self.root = parse(page)
+        self.slot: dict[int, int] = {id(self.root): ROOT}
+        self.anchor: dict[int, int] = {id(self.root): ROOT}
+        if wrapper is not None:
+            groups = merged([self.root])
+            self._place(groups, align(groups, wrapper[2])[1], ROOT, ROOT)
+
+    def _place(self, groups: dict[str, list[Node]], pairs: list[tuple[str, list]], parent: int, anchor: int) -> None:
+        found = dict(pairs)
+        for label, nodes in groups.items():
+            slot = _slot(parent, label, label in found)
+            here = slot if label in found else anchor
+            for n in nodes:
+                self.slot[id(n)], self.anchor[id(n)] = slot, here
+            self._place(merged(nodes), found.get(label, []), slot, here)
+
+    def lines(self) -> Iterator[tuple[Node, str, int]]:
+        """All lines of text in page order, with their block and their characters in links."""
+        stack = [iter([self.root])]
+        owners = [self.root]
+        while stack:
+            item = next(stack[-1], None)
+            if item is None:
+                stack.pop()
+                owners.pop()
+            elif type(item) is list:
+                if line := text_of(item):
+                    yield owners[-1], line, min(item[1], len(line))
+            else:
+                stack.append(iter(item.items))
+                owners.append(item)
+
+
+def plain(chars: int, links: int) -> int:
+    """Characters of a line that count as text: none if half of them are links."""
+    return chars - links if 2 * links < chars else 0
+
+
+class Content:
+    """Where a host's pages, or one page, have their content, by the varying text at the slots."""
+
+    def __init__(self, wrapper: Wrapper, mass: dict[int, int]):
+        self.parent: dict[int, int] = {}
+        self.label: dict[int, str] = {}
+        self.named: set[int] = set()
+        self.total: dict[int, int] = {}
+
+        def walk(slot: int, node: Wrapper) -> int:
+            self.label[slot] = node[0]
+            if node[1]:
+                self.named.add(slot)
+            total = mass.get(slot, 0)
+            for label, child in node[2].items():
+                below = _slot(slot, label, True)
+                self.parent[below] = slot
+                total += walk(below, child)
+            self.total[slot] = total
+            return total
+
+        walk(ROOT, wrapper)
+        self._forget_names()
+        self.slot = self._choose()
+
+    def _outer(self) -> list[int]:
+        """Named slots that lie in no other named slot."""
+
+        def inside(slot: int) -> bool:
+            while (slot := self.parent.get(slot, -1)) != -1:
+                if slot in self.named:
+                    return True
+            return False
+
+        return [s for s in self.named if not inside(s)]
+
+    def _forget_names(self) -> None:
+        """While nearly all text lies in parts that are named, the name of the largest says nothing."""
+        while (outer := self._outer()) and 10 * (self.total[ROOT] - sum(self.total[s] for s in outer)) < self.total[ROOT]:
+            self.named.discard(max(outer, key=lambda s: (self.total[s], s)))
+
+    def mass(self, slot: int) -> int:
+        """Text below a slot but for named parts."""
+        if not hasattr(self, "_less"):
+            self._less = defaultdict(int)
+            for s in self._outer():
+                at = s
+                while at != -1:
+                    self._less[at] += self.total[s]
+                    at = self.parent.get(at, -1)
+        return self.total[slot] - self._less[slot]
+
+    def _choose(self) -> int | None:
+        whole = self.mass(ROOT)
+        if not whole:
+            return None
+        children = defaultdict(list)
+        for s, p in self.parent.items():
+            children[p].append(s)
+        chain, at = [], ROOT
+        while True:
+            top = max(children[at], key=lambda s: (self.mass(s), s), default=None)
+            if top is None or 2 * self.mass(top) <= whole or self.label[top].split(" ")[0] in ("p", "h1", "h2", "h3", "li", "td", "tr", "blockquote", "pre"):
+                break
+            chain.append(top)
+            at = top
+        for wanted in (lambda n: n.startswith("article"), lambda n: n.startswith("main") or "role=main" in n):
+            for s in chain:
+                if wanted(self.label[s]):
+                    return s
+        # a block around the content whose other text is little (a title, a date) belongs to it
+        while len(chain) > 1 and self.label[chain[-2]].split(" ")[0] not in ("html", "body") and 3 * self.mass(chain[-2]) <= 4 * self.mass(chain[-1]):
+            chain.pop()
+        return chain[-1] if chain else None
+
+
+def main_text(page: Page, content: Content | None, template: frozenset[tuple[int, int]] | set) -> str:
     """The page's article: its blocks' texts in page order, one to a line."""
-    content = None
-    if wrapper:
-        match_page(grouped(root.blocks()), wrapper)
-        content = content_slot(wrapper)
+
+    def is_named(node: Node) -> bool:
+        return node.named and (content is None or page.anchor[id(node)] != page.slot[id(node)] or page.slot[id(node)] in content.named)
 
     def tops(node: Node, wanted) -> list[Node]:
         out = []
         for c in node.blocks():
-            if not c.named and (c.tag != "header"):
-                out += [c] if wanted(c) else tops(c, wanted)
+            if wanted(c):
+                out.append(c)
+            elif not is_named(c) and c.tag != "header":
+                out += tops(c, wanted)
         return out
 
-    regions = tops(root, lambda n: n.tag == "article")
-    regions = regions or tops(root, lambda n: n.tag == "main" or "role=main" in n.label)
-    regions = regions or (tops(root, lambda n: n.slot is content) if content else [])
+    regions = [] if content is None or content.slot is None else tops(page.root, lambda n: page.slot[id(n)] == content.slot)
     lines: list[str] = []
 
     def walk(node: Node, inside: bool) -> None:
-        texts = node.slot.texts if node.slot and pages > TEMPLATE_PAGES else {}
         for item in node.items:
             if type(item) is list:
-                line = " ".join("".join(item[0]).split())
-                if line:
-                    n, seen = texts.get(key(line), (0, ())) if texts and len(line) <= TEMPLATE_CHARS else (0, ())
-                    if n < TEMPLATE_PART * max(pages, 1) or len(seen) < TEMPLATE_PAGES:
-                        lines.append(line)
-            elif not item.named and (inside or item.tag != "header"):
+                line = text_of(item)
+                if line and (page.slot[id(node)], key(line)) not in template:
+                    lines.append(line)
+            elif not is_named(item) and (inside or item.tag != "header"):
                 walk(item, inside)
 
-    for region in regions or [root]:
+    for region in regions or [page.root]:
         walk(region, bool(regions))
     return "\n".join(lines)
 
 
+def alone(page: str) -> str:
+    """The main text of a page by its own markup: the page is its own wrapper."""
+    return _read_alone(Page(page, wrapper_of("html", [parse(page)])), set())
+
+
+def _read_alone(own: Page, template: set[tuple[int, int]]) -> str:
+    mass: dict[int, int] = defaultdict(int)
+    for node, line, links in own.lines():
+        if (own.slot[id(node)], key(line)) not in template:
+            mass[own.anchor[id(node)]] += plain(len(line), links)
+    return main_text(own, Content(wrapper_of("html", [own.root]), mass), template)
+
+
 def host_of(url: str | None) -> str:
     try:
         return (urlsplit(url or "").hostname or "").lower()
@@ -387,95 +411,144 @@ def host_of(url: str | None) -> str:
         return ""
 
 
-def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    salt, wrappers = TaskContext.get().partitionId() % SALTS, {}
+def _with_host(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.record_batch([*b.columns, pa.array([host_of(u) for u in b.column("url").to_pylist()], pa.string())], names=[*b.schema.names, "__host"])
+
 
-    def emit():
-        return pa.record_batch(
-            {
-                "host": list(wrappers),
-                "salt": pa.array([salt] * len(wrappers), pa.int32()),
-                "pages": pa.array([n for n, _ in wrappers.values()], pa.int64()),
-                "wrapper": pa.array([zlib.compress(pickle.dumps(w)) for _, w in wrappers.values()], pa.binary()),
-            }
-        )
+def _pack(value) -> bytes:
+    return zlib.compress(pickle.dumps(value))
+
+
+class _Unpacked(dict):
+    """Packed values by their bytes; a task's pages have few hosts at a time."""
+
+    def __missing__(self, raw: bytes):
+        if len(self) >= HOSTS:
+            self.clear()
+        value = self[raw] = pickle.loads(zlib.decompress(raw))
+        return value
+
+
+def _pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each host the page of this part that is nearest to the median length: ``host, far, hash, wrapper``."""
+    best: dict[str, tuple[int, int, str]] = {}
+
+    def emit() -> pa.RecordBatch:
+        found = [_pack(wrapper_of("html", [parse(page)])) for _, _, page in best.values()]
+        far, hashes = [b[0] for b in best.values()], [b[1] for b in best.values()]
+        return pa.record_batch({"__host": list(best), "far": pa.array(far, pa.int64()), "hash": pa.array(hashes, pa.int64()), "wrapper": pa.array(found, pa.binary())})
 
     for whole in batches:
         for batch in slices(whole, "html"):
-            for url, page in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True):
-                host = host_of(url)
-                if not host or not page:
-                    continue
-                n, wrapper = wrappers.get(host, (0, []))
-                induce(grouped(parse(page).blocks()), wrapper, key(page))
-                if n % 64 == 63:
-                    prune(wrapper)
-                wrappers[host] = (n + 1, wrapper)
-                if len(wrappers) >= HOSTS:
+            for host, page, median in zip(*(batch.column(c).to_pylist() for c in ("__host", "html", "median")), strict=True):
+                far = abs(len(page) - median)
+                if host not in best or far <= best[host][0]:
+                    own = far, key(page), page
+                    if host not in best or own < best[host]:
+                        best[host] = own
+                if len(best) >= HOSTS:
                     yield emit()
-                    wrappers = {}
-    if wrappers:
+                    best.clear()
+    if best:
         yield emit()
 
 
-def _merged(level: str):
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, wrapper, host = 0, None, None
-        for batch in rows:
-            for host, n, raw in zip(*(batch.column(c).to_pylist() for c in ("host", "pages", "wrapper")), strict=True):
-                more = pickle.loads(zlib.decompress(raw))
-                total += n
-                if wrapper is None:
-                    wrapper = more
-                else:
-                    merge(wrapper, more)
-                    prune(wrapper)
-        out = {"host": [host], "pages": [total], "wrapper": pa.array([zlib.compress(pickle.dumps(wrapper))], pa.binary())}
-        yield pa.record_batch(out | ({"salt": pa.array([0], pa.int32())} if level == "salt" else {}))
-
-    return run
+def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every different line of a page's slots: ``__host, slot, line, page, anchor, text`` (characters outside links, all such lines)."""
+    known = _Unpacked()
+    for whole in batches:
+        for batch in slices(whole, "html"):
+            out: dict[str, list] = {n: [] for n in ("__host", "slot", "line", "page", "anchor", "text")}
+            for host, page, raw in zip(*(batch.column(c).to_pylist() for c in ("__host", "html", "wrapper")), strict=True):
+                tree, digest = Page(page, known[raw]), key(page)
+                found: dict[tuple[int, int], list[int]] = {}
+                for node, line, links in tree.lines():
+                    text = plain(len(line), links)
+                    have = found.setdefault((tree.slot[id(node)], key(line)), [tree.anchor[id(node)], 0])
+                    have[1] += text
+                for (slot, line), (anchor, text) in found.items():
+                    for name, value in zip(out, (host, slot, line, digest, anchor, text), strict=True):
+                        out[name].append(value)
+            yield pa.record_batch([pa.array(v, pa.string() if n == "__host" else pa.int64()) for n, v in out.items()], names=list(out))
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        out = []
+        for raw, anchors in zip(b.column("wrapper").to_pylist(), b.column("anchors").to_pylist(), strict=True):
+            wrapper = pickle.loads(zlib.decompress(raw))
+            mass = {a["anchor"]: a["mass"] for a in anchors or ()}
+            template = frozenset((t["slot"], t["line"]) for a in anchors or () for t in a["template"])
+            out.append(_pack((wrapper, mass, template)))
+        yield pa.record_batch([b.column("__host"), pa.array(out, pa.binary())], names=["__host", "host"])
+
+
+def wrappers(keyed: DataFrame) -> DataFrame:
+    """``__host, host``: each host's wrapper, varying text by slot and template lines, from all its pages (``__host, html``)."""
+    pages = keyed.where("__host <> '' AND html <> ''").select("__host", "html")
+    sizes = stage(pages.groupBy("__host").agg(F.percentile_approx(F.length("html"), 0.5, 1000).cast("long").alias("median"), F.count("*").alias("pages")), "wrapper-hosts")
+    near = pages.join(sizes.select("__host", "median"), "__host").mapInArrow(_pivots, "__host string, far long, hash long, wrapper binary")
+    pivots = stage(near.groupBy("__host").agg(F.min(F.struct("far", "hash", "wrapper")).alias("p")).select("__host", "p.wrapper"), "wrapper-pivots")
+    lines = pages.join(pivots, "__host").mapInArrow(_lines, "__host string, slot long, line long, page long, anchor long, text long")
+    where = ["__host", "anchor", "slot", "line"]
+    # copies of a page first, so that a hot host's lines are combined before they meet
+    kinds = lines.groupBy(*where, "page").agg(F.count("*").alias("n"), F.sum("text").alias("text"))
+    counts = kinds.groupBy(*where).agg(F.sum("n").alias("n"), F.count("*").alias("kinds"), F.sum("text").alias("text"))
+    told = counts.join(sizes.select("__host", "pages"), "__host")
+    template = (F.col("n") >= TEMPLATE_PART * F.col("pages")) & (F.col("kinds") >= TEMPLATE_PAGES) & (F.col("pages") > TEMPLATE_PAGES)
+    # no more template lines than a page has lines, over TEMPLATE_PART; no more anchors than a page has blocks
+    anchors = told.groupBy("__host", "anchor").agg(
+        F.sum(F.when(template, 0).otherwise(F.col("text"))).alias("mass"), F.collect_list(F.when(template, F.struct("slot", "line"))).alias("template")
+    )
+    hosts = anchors.groupBy("__host").agg(F.collect_list(F.struct("anchor", "mass", "template")).alias("anchors"))
+    return pivots.join(hosts, "__host", "left").mapInArrow(_packed, "__host string, host binary")
 
 
-def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``host, pages, wrapper`` from all pages that have a host and markup."""
-    named = pages.select(F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    partial = named.mapInArrow(_partial, "host string, salt int, pages long, wrapper binary")
-    salted = partial.groupBy("host", "salt").applyInArrow(_over(_merged("salt")), "host string, pages long, wrapper binary, salt int")
-    return salted.groupBy("host").applyInArrow(_over(_merged("host")), "host string, pages long, wrapper binary")
+def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known, contents = _Unpacked(), {}
+    for whole in batches:
+        for batch in slices(whole, "html"):
+            out = []
+            for page, raw in zip(*(batch.column(c).to_pylist() for c in ("html", "host")), strict=True):
+                if not page:
+                    out.append("")
+                    continue
+                if raw is None:
+                    out.append(alone(page))
+                    continue
+                wrapper, mass, template = known[raw]
+                if raw not in contents:
+                    if len(contents) >= HOSTS:
+                        contents.clear()
+                    contents[raw] = Content(wrapper, mass)
+                tree, content = Page(page, wrapper), contents[raw]
+                if content.slot is None or content.slot not in tree.slot.values():
+                    out.append(_beside(page, tree, template))
+                else:
+                    out.append(main_text(tree, content, template))
+            yield pa.record_batch([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string())], names=["page_id", "url", "text"])
 
 
-def _over(run):
-    return lambda table: pa.Table.from_batches(list(run(iter(table.to_batches()))))
+def _beside(page: str, tree: Page, template: frozenset) -> str:
+    """A page that has nothing at its host's content, by its own markup, without the host's template lines."""
+    own = Page(page, wrapper_of("html", [tree.root]))
+    gone = set()
+    for (node, line, _), (there, _, _) in zip(own.lines(), tree.lines(), strict=True):
+        if (tree.slot[id(there)], key(line)) in template:
+            gone.add((own.slot[id(node)], key(line)))
+    return _read_alone(own, gone)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per page: ``page_id, url, text``.
 
-    A null or empty page has the empty text.  A page without a host, or whose host's wrapper
-    knows nothing of it, is read by its own markup.  Texts are template only where they recur on
+    A null or empty page has the empty text.  A page without a host, or that has nothing where its
+    host's pages have their content, is read by its own markup.  Lines are template only where they recur on
     most of a host's pages, and on pages that differ, so copies of a page keep their text.
     Repeated rows give repeated rows; only the three named columns are read.
     """
-    found = stage(wrappers(pages, url_col, html_col), "wrappers").select(F.col("host").alias("__host"), "pages", "wrapper")
     named = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     keyed = named.mapInArrow(_with_host, "page_id long, url string, html string, __host string")
+    found = stage(wrappers(keyed), "wrappers")
     return keyed.join(found, "__host", "left").mapInArrow(_extract, "page_id long, url string, text string")
-
-
-def _with_host(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        yield pa.record_batch([*b.columns, pa.array([host_of(u) for u in b.column("url").to_pylist()], pa.string())], names=[*b.schema.names, "__host"])
-
-
-def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known: dict[bytes, list[Slot]] = {}
-    for whole in batches:
-        for batch in slices(whole, "html"):
-            out = []
-            for page, n, raw in zip(*(batch.column(c).to_pylist() for c in ("html", "pages", "wrapper")), strict=True):
-                if raw is not None and raw not in known:
-                    if len(known) >= HOSTS:
-                        known.clear()
-                    known[raw] = pickle.loads(zlib.decompress(raw))
-                out.append(main_text(parse(page), known[raw] if raw is not None else None, n or 0) if page else "")
-            yield pa.record_batch([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string())], names=["page_id", "url", "text"])
