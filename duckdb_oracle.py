@@ -172,8 +172,8 @@ ORDER_COLS = "order_id, customer_id, order_date, amount, status, is_deleted, upd
 def customers_clean(where: str = "TRUE", drop: bool = True) -> str:
     cond = f"({where})" + (" AND coalesce(customer_id IS NOT NULL, false)" if drop else "")
     return (
-        f"SELECT _snapshot_id, _ingested_at, customer_id, {CLEAN('name')} AS name, {EMAIL('email')} AS email, "
-        f"{CLEAN('city')} AS city, {CLEAN('segment')} AS segment, updated_at FROM customers_raw WHERE {cond}"
+        f"SELECT * REPLACE ({CLEAN('name')} AS name, {EMAIL('email')} AS email, "
+        f"{CLEAN('city')} AS city, {CLEAN('segment')} AS segment) FROM customers_raw WHERE {cond}"
     )
 
 
@@ -194,12 +194,12 @@ OR = ("orders_raw", ORDERS_RAW)
 PR = ("products_raw", PRODUCTS_RAW)
 
 
-def scd2_snapshots_sql(tracked: list[str]) -> str:
+def scd2_snapshots_sql(tracked: list[str], raw: tuple[str, str] = CR, cols: str = CUST_COLS) -> str:
     """Set form of SCD2 over the three cleaned customer snapshots."""
     diff = " OR ".join(f"{c} IS DISTINCT FROM lag({c}) OVER w" for c in tracked)
     ends = " ".join(f"WHEN {k - 1} THEN {TS(LD[k])}" for k in (2, 3))
     return with_(
-        CR,
+        raw,
         ("cs", customers_clean()),
         (
             "f",
@@ -218,7 +218,7 @@ def scd2_snapshots_sql(tracked: list[str]) -> str:
         ),
         (
             "scd",
-            f"SELECT {CUST_COLS}, start_at AS __START_AT, CASE last_id {ends} END AS __END_AT FROM r WHERE rn = 1",
+            f"SELECT {cols}, start_at AS __START_AT, CASE last_id {ends} END AS __END_AT FROM r WHERE rn = 1",
         ),
     )
 
@@ -517,6 +517,19 @@ ORACLE["table_profile"] = with_(
 # The pipelines publish exactly what the set forms describe
 ORACLE["silver_customers"] = ORACLE["scd2_tracked_columns"]
 ORACLE["silver_orders"] = ORACLE["scd1_from_snapshots"]
+ORACLE["change_feed_stored"] = ORACLE["change_feed"]
+ORACLE["profile_from_log"] = ORACLE["table_profile"]
+ORACLE["rebucketed_load"] = ORACLE["silver_customers"]
+_WITH_POINTS = (
+    "SELECT * REPLACE (CASE WHEN _snapshot_id = 2 THEN updated_at END AS updated_at), CASE _snapshot_id WHEN 2 THEN customer_id % 1000 "
+    f"WHEN 3 THEN customer_id % 1000 + 3000000000 END AS points FROM ({CUSTOMERS_RAW})"
+)
+ORACLE["schema_added_column"] = (
+    scd2_snapshots_sql(["email", "city", "segment"], ("customers_raw", _WITH_POINTS), f"{CUST_COLS}, points") + " SELECT * FROM scd"
+)
+ORACLE["schema_widened_json"] = (
+    products_scd2_sql() + f" SELECT *, CASE WHEN _file_modification_time = {TS(model.FILE_MODIFIED_AT[3])} THEN 'true' END AS badge FROM scd"
+)
 ORACLE["silver_products"] = ORACLE["scd2_from_changes"]
 ORACLE["dq_fail"] = with_(OR, ("o", orders_clean("_snapshot_id = 1", drop=False))) + " UNION ALL ".join(
     [

@@ -87,12 +87,14 @@ def scd1_from_changes(
     except_columns: Sequence[str] = (),
     apply_as_deletes: str | Column | None = None,
     cluster_by: str | None = None,
+    keep_deleted: bool = False,
 ) -> DataFrame:
     """Latest row per key by sequence (SCD type 1).
 
     ``max(struct(sequence, ...))`` is one map-side-combinable aggregate: ties on the
     sequence are broken by the row values, so the result does not depend on arrival order.
-    With ``apply_as_deletes`` a key whose latest change matches the predicate is removed.
+    With ``apply_as_deletes`` a key whose latest change matches the predicate is removed, or,
+    with ``keep_deleted``, told by a column ``_deleted``.
     """
     keys = [*keys, cluster_by] if cluster_by else list(keys)
     cols = _cols(changes, except_columns)
@@ -107,9 +109,11 @@ def scd1_from_changes(
         latest = changes.groupBy(*keys).agg(F.max_by(F.struct(*fields), order).alias("_r"))
     else:
         latest = changes.groupBy(*keys).agg(F.max(F.struct(*fields)).alias("_r"))
-    if apply_as_deletes is not None:
+    if apply_as_deletes is not None and not keep_deleted:
         latest = latest.where(~F.col("_r._del"))
     out = [F.col(c) if c in keys else (F.col("_r._seq") if c == sequence_by else F.col("_r")[c]).alias(c) for c in cols]
+    if keep_deleted:
+        out.append((F.col("_r._del") if apply_as_deletes is not None else F.lit(False)).alias(DELETED))
     return latest.select(*out)
 
 
@@ -133,9 +137,10 @@ def _order(c: str) -> Column:
     return F.struct(F.col(c))
 
 
-def _version_aggs(sequence_by: str, payload: list[str], nseq: Column, nchg: Column) -> list[Column]:
+def _version_aggs(sequence_by: str, payload: list[str], nseq: Column, nchg: Column, starts: str | None = None) -> list[Column]:
+    first = F.col(sequence_by) if starts is None else F.coalesce(starts, sequence_by)
     return [
-        F.min_by(F.col(sequence_by), _order(sequence_by)).alias(START),
+        F.min_by(first, _order(sequence_by)).alias(START),
         F.max(F.when(nchg == 1, nseq)).alias(END),
         F.max_by(F.struct(*payload), _order(sequence_by)).alias("_last"),
         F.max(sequence_by).alias("_mseq"),
@@ -143,7 +148,7 @@ def _version_aggs(sequence_by: str, payload: list[str], nseq: Column, nchg: Colu
 
 
 def _plain_versions(
-    rows: DataFrame, keys: list[str], seq: str, payload: list[str], tracked: list[str], part: list[str] | None, clustered: bool
+    rows: DataFrame, keys: list[str], seq: str, payload: list[str], tracked: list[str], part: list[str] | None, clustered: bool, starts: str | None
 ) -> DataFrame:
     # One hash shuffle serves the dedupe, the ordered scan and the version aggregate: all
     # three only need the rows of a key together (keys here are not hot).  ``part`` may be a
@@ -152,11 +157,11 @@ def _plain_versions(
     by_key = dedupe_key_seq(rows if clustered else rows.repartition(*(part or keys)), keys, seq)
     scanned = _scan_flags(by_key, keys, seq, tracked)
     return scanned.groupBy(*keys, F.col("_lver").alias("_ver")).agg(
-        *_version_aggs(seq, payload, F.col("_nseq"), F.col("_nchg"))
+        *_version_aggs(seq, payload, F.col("_nseq"), F.col("_nchg"), starts)
     )
 
 
-def _hot_versions(tagged: DataFrame, keys: list[str], seq: str, payload: list[str], tracked: list[str]) -> DataFrame:
+def _hot_versions(tagged: DataFrame, keys: list[str], seq: str, payload: list[str], tracked: list[str], starts: str | None) -> DataFrame:
     rows = dedupe_key_seq(tagged, keys, seq, extra_group=["_seqb"])
     part = [*keys, "_seqb"]
     scanned = _scan_flags(rows, part, seq, tracked)
@@ -170,7 +175,7 @@ def _hot_versions(tagged: DataFrame, keys: list[str], seq: str, payload: list[st
     parts = (
         scanned.groupBy(*part, "_lver")
         .agg(
-            *_version_aggs(seq, payload, F.col("_nseq"), F.col("_nchg")),
+            *_version_aggs(seq, payload, F.col("_nseq"), F.col("_nchg"), starts),
             F.max_by("_trk", _order(seq)).alias("_trk"),
             F.max(F.col("_nseq").isNull()).alias("_blast"),
         )
@@ -221,6 +226,8 @@ def scd2_from_changes(
     bucket_rows: int = BUCKET_ROWS,
     cluster_by: str | None = None,
     clustered: bool = False,
+    starts: str | None = None,
+    keep_deleted: bool = False,
 ) -> DataFrame:
     """SCD type 2 from an ordered change stream.
 
@@ -235,23 +242,29 @@ def scd2_from_changes(
     ``cluster_by`` names a column that is a function of the keys (the Silver bucket): it is
     carried through, and the single shuffle partitions on it (``clustered``: the input
     already is), so the result can be written bucketed without another shuffle.
+
+    ``starts`` names a column (no result column) that, where it is not NULL, holds the start of
+    the version that the row is the last known one of: so open versions can be given as rows
+    and history goes on from them.  ``keep_deleted`` keeps versions of deleted keys and tells
+    them by a column ``_deleted``.
     """
     keys = [*keys, cluster_by] if cluster_by else list(keys)
-    cols = _cols(changes, except_columns)
+    cols = [c for c in _cols(changes, except_columns) if c != starts]
+    more = [starts] if starts else []
     attrs = [c for c in cols if c not in keys and c != sequence_by]
     tracked = list(track_history_columns) if track_history_columns else attrs
     payload = [*attrs, sequence_by]
-    base = changes.select(*cols)
+    base = changes.select(*cols, *more)
     if apply_as_deletes is not None:
         # being deleted is one more tracked state; versions in that state are left out at the end
         pred = F.expr(apply_as_deletes) if isinstance(apply_as_deletes, str) else apply_as_deletes
-        base = changes.select(*cols, F.coalesce(pred, F.lit(False)).alias(DELETED))
+        base = changes.select(*cols, *more, F.coalesce(pred, F.lit(False)).alias(DELETED))
         tracked, payload = [*tracked, DELETED], [*payload, DELETED]
 
     part = [cluster_by] if cluster_by else None
     hot = None if hot_key_rows is None else _hot_keys(base, keys, sequence_by, hot_key_rows, bucket_rows)
     if hot is None:
-        versions = _plain_versions(base, keys, sequence_by, payload, tracked, part, clustered)
+        versions = _plain_versions(base, keys, sequence_by, payload, tracked, part, clustered, starts)
     else:
         cond = null_safe_eq([F.col(k) for k in keys], [F.col(f"_hk{i}") for i in range(len(keys))])
         tagged = base.join(hot, cond, "left")
@@ -261,13 +274,14 @@ def scd2_from_changes(
         bucket = F.coalesce(F.size(F.filter("_cuts", lambda c: c <= seq)), F.lit(0)).cast("long")
         plain_in = tagged.where(~is_hot).select(*base.columns)
         hot_in = tagged.where(is_hot).withColumn("_seqb", F.when(seq.isNull(), F.lit(0)).otherwise(bucket)).select(*base.columns, "_seqb")
-        versions = _plain_versions(plain_in, keys, sequence_by, payload, tracked, part, clustered).unionByName(
-            _hot_versions(hot_in, keys, sequence_by, payload, tracked)
+        versions = _plain_versions(plain_in, keys, sequence_by, payload, tracked, part, clustered, starts).unionByName(
+            _hot_versions(hot_in, keys, sequence_by, payload, tracked, starts)
         )
-    if apply_as_deletes is not None:
-        versions = versions.where(~F.col(f"_last.{DELETED}"))
+    gone = F.col(f"_last.{DELETED}") if apply_as_deletes is not None else F.lit(False)
+    if apply_as_deletes is not None and not keep_deleted:
+        versions = versions.where(~gone)
     out = [F.col(c) if c in keys else F.col("_last")[c].alias(c) for c in cols]
-    return versions.select(*out, START, END)
+    return versions.select(*out, START, END, *([gone.alias(DELETED)] if keep_deleted else []))
 
 
 def _hot_keys(base: DataFrame, keys: list[str], seq: str, hot_key_rows: int, bucket_rows: int) -> DataFrame | None:

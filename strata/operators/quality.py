@@ -53,6 +53,17 @@ def apply_drop(df: DataFrame, spec: Rules) -> DataFrame:
     return df.where(reduce(lambda a, b: a & b, drop)) if drop else df
 
 
+def observed(observation: Observation) -> dict | None:
+    """What was observed; None if the plan turned out empty at run time (every row dropped, or
+    none there) and the observed node went with it."""
+    try:
+        return observation.get
+    except (AssertionError, Py4JJavaError) as e:
+        if "assert" not in f"{type(e).__name__} {e}".lower():
+            raise
+        return None
+
+
 @dataclass
 class CheckedFrame:
     """A frame with expectations attached.  ``df`` is lazy; counters fill in after an action."""
@@ -67,13 +78,8 @@ class CheckedFrame:
         """``{rule: {action, failed, passed}}``, available once ``df`` has been acted on."""
         if self.observation is None:
             return {}
-        try:
-            got = self.observation.get
-        except (AssertionError, Py4JJavaError) as e:
-            if "assert" not in f"{type(e).__name__} {e}".lower():
-                raise
-            # the plan turned out empty at run time (every row dropped, or none there), and the
-            # observed node went with it: count the input itself
+        got = observed(self.observation)
+        if got is None:  # nothing was seen: count the input itself
             got = self.source.agg(*violation_counters(self.rules)).first().asDict()
         rows = int(got.get("_rows", 0))
         failed = {r.name: int(got.get(f"_failed:{r.name}", 0)) for r in self.rules}

@@ -12,8 +12,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strata.operators.keys import END, START, as_ts, comparable, null_safe_eq
+from strata.sources.schemas import aligned, merged
+from strata.sources.tables import BUCKET
 
 
 def _attrs(df: DataFrame, keys: Sequence[str]) -> list[str]:
@@ -183,6 +186,40 @@ def scd2_from_snapshots(
     return ended.select(*keys, *[F.col("_last")[c].alias(c) for c in attrs], START, F.col("_t").alias(END))
 
 
+def bucket_digests(rows: DataFrame, bucket: str = BUCKET) -> dict[str, list[int]]:
+    """For each bucket its rows' count and two hashes over all their values that do not depend on their order.
+
+    One aggregate, combined within tasks; a row for each bucket comes to the driver.  Equal
+    digests mean equal rows but for a chance of some 2^-128.
+    """
+    cols = sorted(c for c in rows.columns if c != bucket)
+    values = [comparable(rows.schema[c].dataType, F.col(c)) for c in cols]
+    # a name beside each value: NULL leaves a hash as it is, so columns must not change places
+    named = [x for c, v in zip(cols, values, strict=True) for x in (F.lit(c), v, v.isNull())]
+    hashes = [F.bit_xor(F.xxhash64(F.lit(i), *named)).alias(f"h{i}") for i in range(2)]
+    found = rows.groupBy(bucket).agg(F.count(F.lit(1)).alias("n"), *hashes).collect()
+    return {str(r[bucket]): [r["n"], r["h0"], r["h1"]] for r in found}
+
+
+def as_table(snapshot: DataFrame, table: T.StructType, keys: Sequence[str]) -> DataFrame:
+    """A snapshot under the columns of the table that it is compared with.
+
+    A column that the snapshot does not have any more is NULL from now on, a new one is added at
+    the end, and one of another type takes the least type that holds both.  Key columns keep
+    their type, since buckets go by it: a snapshot whose keys can't be cast to it fails.
+    """
+    have = {f.name: f.dataType for f in snapshot.schema.fields}
+    for k in keys:
+        want = table[k].dataType
+        if have[k] != want:
+            told = F.concat(F.lit(f"key {k} is not of the table's type {want.simpleString()}: "), F.col(k).cast("string"))
+            cast = F.col(k).try_cast(want)
+            # back again, so that no two keys become one
+            same = cast.cast(have[k]).eqNullSafe(F.col(k))
+            snapshot = snapshot.withColumn(k, F.when(same, cast).otherwise(F.raise_error(told).cast(want)))
+    return aligned(snapshot, merged([table, snapshot.schema]))
+
+
 def latest_snapshot(snapshots: DataFrame, snapshot_col: str = "_snapshot_id") -> DataFrame:
     """Rows of the newest snapshot (scalar subquery; prunes partitions when ``snapshot_col`` is one)."""
     newest = snapshots.agg(F.max(snapshot_col).alias("m"))

@@ -12,19 +12,21 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strata.config import SourceConfig, TableConfig
 from strata.operators.changes import assert_unique
-from strata.operators.keys import END
+from strata.operators.keys import END, START
 from strata.operators.quality import ExpectationFailed, expectation_metrics
-from strata.operators.snapshots import scd2_apply_snapshot, scd2_start
+from strata.operators.snapshots import as_table, bucket_digests, scd2_apply_snapshot, scd2_start
 from strata.operators.transforms import apply_transforms, cleaned_key
 from strata.plans import gold
-from strata.plans.silver import changes_view, scd_from_changes, snapshot_view
+from strata.plans.silver import snapshot_view
 from strata.session import sql_conf
 from strata.sources import bronze as bz
+from strata.sources.schemas import aligned
 from strata.sources.tables import BUCKET, DEFAULT_BUCKETS, VersionedTable, bucket_of
-from strata.streaming.ingest import apply_changes_stream, ingest_files
+from strata.streaming.ingest import apply_changes_stream, apply_loads, ingest_files
 
 
 @dataclass
@@ -54,36 +56,60 @@ def run_snapshot_table(lake: Lake, source: SourceConfig, cfg: TableConfig, snaps
     """Bring Silver up to one Bronze snapshot (default: the newest) and publish it.
 
     The load's time comes from the load log, so an empty snapshot ends all open versions like
-    any other.  A key that the cleaned snapshot holds twice is refused.  Rule counters are
-    observed during the Silver write; a violated ``fail`` rule raises before the commit, so
-    readers keep seeing the previous version.  Snapshots apply in id order; re-running an id at
-    or below the published version is a no-op.
+    any other.  One pass over the snapshot counts the rules and digests its rows by bucket; a
+    violated ``fail`` rule raises before anything is written.  Buckets whose digest is that of the
+    load before hold the same rows and are neither joined nor written; in the others a key that
+    the cleaned snapshot holds twice is refused.  Columns may come, go and widen between
+    snapshots: see :func:`strata.operators.snapshots.as_table`.  Snapshots apply in id order; re-running an id at
+    or below the last one applied is a no-op.
     """
-    path = lake.bronze_path(source.name, cfg.name)
-    sid = snapshot_id if snapshot_id is not None else bz.newest(lake.spark, path)
+    spark, path = lake.spark, lake.bronze_path(source.name, cfg.name)
+    log = bz.loads(spark, path)
+    sid = snapshot_id if snapshot_id is not None else max(log, default=0)
+    if sid not in log:
+        raise FileNotFoundError(f"{path}: no finished load" + (f" {snapshot_id}" if snapshot_id is not None else ""))
     silver = lake.silver(source.name, cfg)
-    current = silver.current_version()
-    if current is not None and sid <= current:
+    before = silver.manifest()
+    if before and sid <= before["load"]:
         # already applied (a retried run): published versions are immutable, nothing to do
-        return {"table": cfg.name, "version": current, "skipped": True, "rules": {}}
-    snap, at = bz.read_as_of(lake.spark, path, sid), bz.loads(lake.spark, path)[sid]["at"]
-    assert_unique(snapshot_view(snap, cfg).df, cfg.keys, table=cfg.name)
-    checked = snapshot_view(snap, cfg, observe=True)
+        return {"table": cfg.name, "version": before["version"], "skipped": True, "rules": {}}
+    snap, at = bz.read_loads(spark, path, [sid]), log[sid]["at"]
+    known = None if before is None else silver.schema()
+    known = None if known is None else T.StructType([f for f in known.fields if f.name not in (START, END)])
+
+    def view(observe: bool):
+        checked = snapshot_view(snap, cfg, observe=observe)
+        df = checked.df if known is None else as_table(checked.df, known, cfg.keys)
+        return checked, silver.with_bucket(df)
+
+    # one pass over the snapshot: rule counters, and what each bucket amounts to
+    checked, counted = view(observe=True)
+    digests = bucket_digests(counted)
+    checked.raise_on_fail()
+    old = (before or {}).get("digests") or {}
+    # without digests to compare (a table dealt anew) every bucket counts as changed
+    comparable = before is not None and (old or not before["rows"])
+    changed = sorted(int(b) for b in {*old, *digests} if old.get(b) != digests.get(b)) if comparable else list(range(lake.buckets))
+    version = silver.next_version()
+    rows = view(observe=False)[1]
+    rows = rows.where(F.col(BUCKET).isin(changed)) if len(changed) < lake.buckets else rows
+    assert_unique(rows, [BUCKET, *cfg.keys], table=cfg.name)
     if cfg.scd_type == 1:
-        silver.write(checked.df, sid)
-    elif current is None:
-        silver.write(scd2_start(checked.df, at), sid, touched=(), closed=F.col(END).isNotNull())
+        silver.write(rows, version, touched=changed)
+    elif before is None:
+        silver.write(scd2_start(rows, at), version, touched=(), closed=F.col(END).isNotNull())
     else:
         # open versions and the snapshot meet co-partitioned on the Silver bucket: the join's
         # shuffle is also the write's clustering.  Closed history is neither read nor written.
         # The bucket alone (a function of the unique keys, so evenly filled) is enough to
         # co-partition the join; let Spark use it instead of re-shuffling on all join keys
-        with sql_conf(lake.spark, spark__sql__requireAllClusterKeysForCoPartition="false"):
-            rows = scd2_apply_snapshot(silver.read(closed=False), silver.with_bucket(checked.df), cfg.keys, at, cfg.history, co_partition=BUCKET)
-            silver.write(rows, sid, touched=range(lake.buckets), clustered=True, closed=F.col(END).isNotNull())
-    checked.raise_on_fail()
-    manifest = silver.commit(sid)
-    return {"table": cfg.name, "version": sid, "buckets": len(manifest["rows"]), "rules": checked.metrics()}
+        state = silver.read(buckets=changed, closed=False)
+        whole = T.StructType([*rows.schema.fields, *[f for f in state.schema.fields if f.name in (START, END)]])
+        with sql_conf(spark, spark__sql__requireAllClusterKeysForCoPartition="false"):
+            applied = scd2_apply_snapshot(aligned(state, whole), rows, cfg.keys, at, cfg.history, co_partition=BUCKET)
+            silver.write(applied, version, touched=changed, clustered=True, closed=F.col(END).isNotNull())
+    manifest = silver.commit(version, load=sid, digests=digests, at=at)
+    return {"table": cfg.name, "version": version, "buckets": len(manifest["rows"]), "changed": len(changed), "rules": checked.metrics()}
 
 
 def run_files_table(lake: Lake, source: SourceConfig, cfg: TableConfig, location: str | None = None) -> dict:
@@ -148,12 +174,12 @@ def refresh_sales_gold(lake: Lake, salesdb: SourceConfig, crm: SourceConfig, gol
 
 
 def run_cursor_table(lake: Lake, source: SourceConfig, cfg: TableConfig, data: DataFrame, ingested_at=None) -> dict:
-    """Incremental load by cursor column: take what Bronze does not hold yet, then rebuild the
-    Silver buckets it touches (the cursor is the change sequence).
+    """Incremental load by cursor column: take what Bronze does not hold yet, then merge it into
+    Silver (the cursor is the change sequence).
 
     The increment is written, its rules are checked, and only then is it entered in the load
     log: what a ``fail`` rule rejects was never loaded, and the next run looks at it afresh.
-    Silver takes in every finished load above its version, so a run that ended between the two
+    Silver takes in every finished load above the last it has, so a run that ended between the two
     is made up for by the next one.
     """
     if not cfg.cursor:
@@ -163,7 +189,8 @@ def run_cursor_table(lake: Lake, source: SourceConfig, cfg: TableConfig, data: D
     bucket = bucket_of([cleaned_key(cfg, k) for k in cfg.keys], lake.buckets)
     log = bz.loads(spark, path)
     load = max(log, default=0) + 1
-    entry = bz.stage_load(spark, bz.cursor_increment(data, bz.read_loads(spark, path) if log else None, cfg.cursor), path, load, ingested_at, bucket)
+    held, mark = bz.cursor_edge(spark, path, cfg.cursor) or (None, None)
+    entry = bz.stage_load(spark, bz.cursor_increment(data, held, cfg.cursor, mark), path, load, ingested_at, bucket, lake.buckets, cursor=cfg.cursor)
     rules = {}
     if cfg.rules:
         staged = bz.read_staged(spark, path, load, entry)
@@ -173,12 +200,6 @@ def run_cursor_table(lake: Lake, source: SourceConfig, cfg: TableConfig, data: D
             raise ExpectationFailed(cfg.name, bad)
     bz.finish_load(spark, path, load, entry)
     silver = lake.silver(source.name, cfg)
-    pending = [i for i in [*log, load] if i > (silver.current_version() or 0)]
-    touched = [r[0] for r in bz.read_loads(spark, path, pending).select(BUCKET).distinct().collect()]  # at most `buckets` values
-    if touched:
-        # Bronze has a folder for each bucket too: only the touched ones are read
-        history = bz.read_loads(spark, path).where(F.col(BUCKET).isin(touched)).drop(bz.SNAPSHOT_ID)
-        view = changes_view(history, scfg, cluster_by=BUCKET).df
-        silver.write(scd_from_changes(view, scfg, cluster_by=BUCKET), load, touched)
-        silver.commit(load)
+    taken = silver.last_load()
+    apply_loads(spark, path, silver, scfg, [i for i in [*log, load] if i > taken])
     return {"table": cfg.name, "version": silver.current_version(), "rows": entry["rows"], "rules": rules}

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import datetime as dt
 import uuid
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,7 +31,7 @@ from strata.sources.files import read_files
 SNAPSHOT_AS_OF = "2026-01-02 12:00:00"
 
 
-def _lake(spark: SparkSession, name: str, buckets: int = 16) -> Lake:
+def _lake(spark: SparkSession, name: str, buckets: int = 4) -> Lake:
     return Lake(spark, scratch_path(spark, "queries", f"{name}-{uuid.uuid4().hex[:10]}"), buckets)
 
 
@@ -55,6 +56,68 @@ def q_silver_orders(spark, sf):
     return _snapshot_pipeline(spark, sf, "orders")
 
 
+def q_change_feed_stored(spark, sf):
+    """The feed between two published versions, from the rows that the second one opened and closed."""
+    src, lake = read_source(SALESDB), _lake(spark, "feed")
+    cfg = replace(src.table("customers"), history=None)
+    for k in (1, 2, 3):
+        raw = model.customers_snapshots(spark, sf, snapshots=(k,)).drop("_snapshot_id", "_ingested_at")
+        load_source_table(lake, src, cfg, raw, model.SNAPSHOT_LOADED_AT[k])
+        run_snapshot_table(lake, src, cfg)
+    return lake.silver(src.name, cfg).change_feed(2, 3)
+
+
+def q_profile_from_log(spark, sf):
+    """Completeness and freshness of three loads, merged from their log entries."""
+    lake, src = _bronze(spark, sf, "profile")
+    columns = ["name", "email", "city", "segment"]
+    return bz.load_profile(spark, lake.bronze_path(src.name, "customers"), columns, "updated_at").drop("distinct_about", "median_about")
+
+
+def q_rebucketed_load(spark, sf):
+    """The table is dealt to another number of buckets between two loads; nothing is lost or doubled."""
+    src, lake = read_source(SALESDB), _lake(spark, "rebucketed")
+    cfg = src.table("customers")
+    for k in (1, 2, 3):
+        raw = model.customers_snapshots(spark, sf, snapshots=(k,)).drop("_snapshot_id", "_ingested_at")
+        load_source_table(lake, src, cfg, raw, model.SNAPSHOT_LOADED_AT[k])
+        run_snapshot_table(lake, src, cfg)
+        if k == 2:
+            lake.silver(src.name, cfg).rebucket(7)
+            lake = Lake(spark, lake.root, 7)
+    return read_silver(lake, src.name, cfg)
+
+
+def q_schema_added_column(spark, sf):
+    """Columns come, go and widen between snapshots: the first has no ``updated_at``, ``points`` comes
+    with the second as int and is a bigint in the third, which has no ``updated_at`` any more."""
+    src, lake = read_source(SALESDB), _lake(spark, "added_column")
+    cfg = src.table("customers")
+    points = {2: (F.col("customer_id") % 1000).cast("int"), 3: F.col("customer_id") % 1000 + 3_000_000_000}
+    for k in (1, 2, 3):
+        raw = model.customers_snapshots(spark, sf, snapshots=(k,)).drop("_snapshot_id", "_ingested_at")
+        raw = raw if k == 2 else raw.drop("updated_at")
+        load_source_table(lake, src, cfg, raw.withColumn("points", points[k]) if k > 1 else raw, model.SNAPSHOT_LOADED_AT[k])
+        run_snapshot_table(lake, src, cfg)
+    return read_silver(lake, src.name, cfg)
+
+
+def q_schema_widened_json(spark, sf):
+    """Exports as JSON whose price is a number in some and text in others, and one with a new field;
+    values arrive as their text, and the table's history is that of all changes."""
+    base = read_source(CRM_FILES)
+    cfg = replace(base.table("products"), pattern="products_*.json")
+    src = replace(base, format="json", options={}, tables=(cfg,))
+    lake = _lake(spark, "widened_json")
+    landing = f"{lake.root}/landing"
+    for f in sorted(model.FILE_ARRIVED_AT, key=lambda k: model.FILE_ARRIVED_AT[k]):
+        rows = model.products_changes(spark, sf, files=(f,)).select("product_code", "product_name", "category", "price", "valid_from")
+        rows = rows.withColumn("price", F.col("price").cast("decimal(12,2)")) if f % 2 else rows
+        _export(spark, rows.withColumn("badge", F.lit(True)) if f == 3 else rows, landing, f, "json", {})
+        run_files_table(lake, src, cfg, landing)
+    return _wall_clock(read_silver(lake, src.name, cfg))
+
+
 CSV_OUT = {"header": "true", "delimiter": ";", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 
 
@@ -68,20 +131,23 @@ def _write_landing(spark: SparkSession, sf: str, landing: str, files=None) -> No
     """
     rows = model.products_changes(spark, sf)
     cols = ["product_code", "product_name", "category", "price", "valid_from"]
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
     for f in files or sorted(model.FILE_ARRIVED_AT, key=lambda k: model.FILE_ARRIVED_AT[k]):
-        staging = f"{landing}/_staging/{f}"
         # columns in another order in every other export: they are bound by name
         part = rows.where(F.col("_file_path") == f"products_f{f}.csv").select(*(cols if f % 2 else reversed(cols)))
-        part.write.options(**CSV_OUT).csv(staging)
-        src = jvm.org.apache.hadoop.fs.Path(staging)
-        fs = src.getFileSystem(conf)
-        mtime = int(dt.datetime.fromisoformat(model.FILE_MODIFIED_AT[f]).replace(tzinfo=dt.timezone.utc).timestamp() * 1000)
-        for i, st in enumerate(s for s in fs.listStatus(src) if s.getPath().getName().endswith(".csv")):
-            target = jvm.org.apache.hadoop.fs.Path(f"{landing}/products_{f}_{i:05d}.csv")
-            fs.rename(st.getPath(), target)
-            fs.setTimes(target, mtime, -1)
+        _export(spark, part, landing, f, "csv", CSV_OUT)
+
+
+def _export(spark: SparkSession, part: DataFrame, landing: str, f: int, fmt: str, options: dict[str, str]) -> None:
+    jvm = spark.sparkContext._jvm
+    staging = f"{landing}/_staging/{f}"
+    part.write.format(fmt).options(**options).save(staging)
+    src = jvm.org.apache.hadoop.fs.Path(staging)
+    fs = src.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    mtime = int(dt.datetime.fromisoformat(model.FILE_MODIFIED_AT[f]).replace(tzinfo=dt.timezone.utc).timestamp() * 1000)
+    for i, st in enumerate(s for s in fs.listStatus(src) if s.getPath().getName().endswith(f".{fmt}")):
+        target = jvm.org.apache.hadoop.fs.Path(f"{landing}/products_{f}_{i:05d}.{fmt}")
+        fs.rename(st.getPath(), target)
+        fs.setTimes(target, mtime, -1)
 
 
 def q_file_stream_ingest(spark, sf):
@@ -340,6 +406,11 @@ def q_incremental_cursor_pipeline(spark, sf):
 QUERIES_IO = {
     "silver_customers": q_silver_customers,
     "silver_orders": q_silver_orders,
+    "change_feed_stored": q_change_feed_stored,
+    "profile_from_log": q_profile_from_log,
+    "rebucketed_load": q_rebucketed_load,
+    "schema_added_column": q_schema_added_column,
+    "schema_widened_json": q_schema_widened_json,
     "bronze_snapshot_load": q_bronze_snapshot_load,
     "bronze_current_snapshot": q_bronze_current_snapshot,
     "snapshot_as_of": q_snapshot_as_of,

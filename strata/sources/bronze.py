@@ -11,17 +11,19 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import uuid
 from collections.abc import Callable, Iterable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strata.operators.keys import comparable, null_safe_eq
+from strata.operators.keys import comparable, has_map, null_safe_eq
+from strata.operators.quality import observed
 from strata.sources import files_store as store
+from strata.sources.schemas import union_aligned
 from strata.sources.tables import BUCKET
 
 SNAPSHOT_ID = "_snapshot_id"
@@ -41,9 +43,13 @@ def with_load_columns(df: DataFrame, ingested_at) -> DataFrame:
     return df.select(F.col("*"), F.lit(str(ingested_at)).cast("timestamp_ntz").alias(INGESTED_AT))
 
 
+def log_path(path: str) -> str:
+    return f"{path}/_loads"
+
+
 def loads(spark: SparkSession, path: str) -> dict[int, dict]:
     """The log: finished loads by id (``at``, ``rows``, ``schema``)."""
-    return store.entries(spark, f"{path}/_loads")
+    return store.entries(spark, log_path(path))
 
 
 def next_snapshot_id(spark: SparkSession, path: str) -> int:
@@ -51,22 +57,79 @@ def next_snapshot_id(spark: SparkSession, path: str) -> int:
     return max(loads(spark, path), default=0) + 1
 
 
-def stage_load(spark: SparkSession, source: DataFrame, path: str, snapshot_id: int, ingested_at=None, bucket: Column | None = None) -> dict:
+def _states(df: DataFrame, sketches: bool) -> dict[str, Column]:
+    """Aggregates that add up over loads: NULLs by column, the latest of times, and sketches if asked for."""
+    out = {"rows": F.count(F.lit(1))}
+    for i, f in enumerate(df.schema.fields):
+        c = F.col("`" + f.name.replace("`", "``") + "`")
+        out[f"nulls{i}"] = F.count_if(c.isNull())
+        if isinstance(f.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+            out[f"latest{i}"] = F.max(c).cast("string")
+        if sketches and not has_map(f.dataType):
+            text = c.cast("string") if isinstance(f.dataType, T.AtomicType) else F.to_json(F.struct(c))
+            out[f"kinds{i}"] = F.base64(F.hll_sketch_agg(text))
+        if sketches and isinstance(f.dataType, T.NumericType):
+            out[f"spread{i}"] = F.base64(F.kll_sketch_agg_double(c.cast("double")))
+    return out
+
+
+def stage_load(
+    spark: SparkSession, source: DataFrame, path: str, snapshot_id: int, ingested_at=None, bucket: Column | None = None, buckets: int | None = None, sketches: bool = False, cursor: str | None = None
+) -> dict:
     """Writes a load's rows without finishing it; gives the log entry for :func:`finish_load`.
 
     Rows without a load time get one.  With ``bucket`` the rows are dealt to bucket folders;
-    the dealing may split a bucket that is too large for one task.
+    the dealing may split a bucket that is too large for one task.  The entry has the load's
+    profile (:func:`load_profile`) and, for an incremental load, its newest ``cursor``, observed while the rows are written.
     """
     at = str(ingested_at) if ingested_at is not None else dt.datetime.now(dt.timezone.utc).replace(tzinfo=None).isoformat(sep=" ")
     out = source if INGESTED_AT in source.columns else with_load_columns(source, at)
     folder, schema = f"{path}/{SNAPSHOT_ID}={snapshot_id}", out.schema
+    seen, states = Observation(f"load_{uuid.uuid4().hex[:8]}"), _states(out, sketches)
+    if cursor:
+        states["mark"] = F.max(cursor).cast("string")
+    watched = out.observe(seen, *[c.alias(n) for n, c in states.items()])
     if bucket is None:
-        out.write.mode("overwrite").parquet(folder)
+        watched.write.mode("overwrite").parquet(folder)
     else:
-        out.withColumn(BUCKET, bucket).hint("rebalance", BUCKET).write.mode("overwrite").partitionBy(BUCKET).parquet(folder)
-    # the files' footers have the count: no second pass over the rows
-    rows = spark.read.schema(schema).parquet(folder).count()
-    return {"at": at, "rows": rows, "schema": schema.jsonValue(), "bucketed": bucket is not None}
+        watched.withColumn(BUCKET, bucket).hint("rebalance", BUCKET).write.mode("overwrite").partitionBy(BUCKET).parquet(folder)
+    told = observed(seen)
+    if told is None:  # the plan turned out empty, and the observed node went with it
+        told = spark.read.schema(schema).parquet(folder).agg(*[c.alias(n) for n, c in states.items()]).first().asDict()
+    profile = {}
+    for i, f in enumerate(schema.fields):
+        profile[f.name] = {k: told[f"{k}{i}"] for k in ("nulls", "latest", "kinds", "spread") if told.get(f"{k}{i}") is not None}
+    return {"at": at, "rows": told["rows"], "schema": schema.jsonValue(), "bucketed": bucket is not None, "buckets": buckets, "profile": profile, "mark": told.get("mark")}
+
+
+def load_profile(spark: SparkSession, path: str, columns: Sequence[str], ts_col: str, ids: Iterable[int] | None = None) -> DataFrame:
+    """Completeness and freshness of some loads (default all) from their log entries: no row is read.
+
+    One row for each column: rows, nulls, null rate, the latest ``ts_col``, and, where the loads keep
+    sketches, about how many different values there are and the median.  States add up: loads are
+    merged, not looked at again.  A column that a load does not have is NULL there.
+    """
+    log = loads(spark, path)
+    entries = [log[i] for i in (sorted(log) if ids is None else ids)]
+    rows = sum(e["rows"] for e in entries)
+    latest = [e["profile"].get(ts_col, {}).get("latest") for e in entries]
+    out = []
+    for c in columns:
+        states = [(e["profile"].get(c), e["rows"]) for e in entries]
+        nulls = sum(n if s is None else s["nulls"] for s, n in states)
+        out.append((c, rows, nulls, max(filter(None, latest), default=None), [s["kinds"] for s, _ in states if s and "kinds" in s], [s["spread"] for s, _ in states if s and "spread" in s]))
+    frame = spark.createDataFrame(out, "column_name string, rows bigint, nulls bigint, latest string, kinds array<string>, spread array<string>")
+    kinds = F.aggregate("kinds", F.lit(None).cast("binary"), lambda a, x: F.coalesce(F.hll_union(a, F.unbase64(x)), F.unbase64(x)), F.hll_sketch_estimate)
+    spread = F.aggregate("spread", F.lit(None).cast("binary"), lambda a, x: F.coalesce(F.kll_sketch_merge_double(a, F.unbase64(x)), F.unbase64(x)))
+    return frame.select(
+        "column_name",
+        "rows",
+        "nulls",
+        F.try_divide(F.col("nulls").cast("double"), "rows").alias("null_rate"),
+        F.col("latest").cast("timestamp_ntz").alias("max_ts"),
+        F.when(F.size("kinds") > 0, kinds).alias("distinct_about"),
+        F.when(F.size("spread") > 0, F.kll_sketch_get_quantile_double(spread, F.lit(0.5))).alias("median_about"),
+    )
 
 
 def read_staged(spark: SparkSession, path: str, snapshot_id: int, entry: dict) -> DataFrame:
@@ -80,16 +143,16 @@ def read_staged(spark: SparkSession, path: str, snapshot_id: int, entry: dict) -
 
 
 def finish_load(spark: SparkSession, path: str, snapshot_id: int, entry: dict) -> None:
-    store.write_entry(spark, f"{path}/_loads/{snapshot_id}.json", entry)
+    store.write_entry(spark, f"{log_path(path)}/{snapshot_id}.json", entry)
 
 
 def load_snapshot(
-    spark: SparkSession, source: DataFrame, path: str, table: str, ingested_at=None, snapshot_id: int | None = None
+    spark: SparkSession, source: DataFrame, path: str, table: str, ingested_at=None, snapshot_id: int | None = None, sketches: bool = False
 ) -> LoadResult:
     """Write ``source`` as the next load of a Bronze table; naming a finished load's id replaces that load."""
     sid = snapshot_id if snapshot_id is not None else next_snapshot_id(spark, path)
-    store.remove_entry(spark, f"{path}/_loads/{sid}.json")  # while it is written, the load is not there
-    entry = stage_load(spark, source, path, sid, ingested_at)
+    store.remove_entry(spark, f"{log_path(path)}/{sid}.json")  # while it is written, the load is not there
+    entry = stage_load(spark, source, path, sid, ingested_at, sketches=sketches)
     finish_load(spark, path, sid, entry)
     return LoadResult(table, sid, int(entry["rows"]), path)
 
@@ -112,7 +175,7 @@ def read_loads(spark: SparkSession, path: str, ids: Iterable[int] | None = None)
         parts.append(first)
     if not parts:
         raise FileNotFoundError(f"{path}: no finished load")
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return union_aligned(parts)
 
 
 def newest(spark: SparkSession, path: str, timestamp=None) -> int:
@@ -168,16 +231,34 @@ def load_many(
         return [f.result() for f in futures]
 
 
-def cursor_increment(source: DataFrame, target: DataFrame | None, cursor: str) -> DataFrame:
+def cursor_edge(spark: SparkSession, path: str, cursor: str) -> tuple[DataFrame, Column] | None:
+    """The loads that hold rows at the high-water mark or without a cursor, and the mark, both by the log; None without loads.
+
+    Only these loads' rows are compared with an increment; the others are not read.
+    """
+    log = loads(spark, path)
+    if not log:
+        return None
+    kind = next(f.dataType for e in reversed(log.values()) for f in T.StructType.fromJson(e["schema"]).fields if f.name == cursor)
+    marks = {i: e.get("mark") for i, e in log.items()}
+    told = [m for m in marks.values() if m is not None]
+    if not told:  # no load has a cursor yet
+        return read_loads(spark, path), F.lit(None).cast(kind)
+    top = spark.createDataFrame([(m,) for m in told], "m string").agg(F.max(F.col("m").cast(kind)).cast("string")).first()[0]
+    edge = [i for i, m in marks.items() if m == top or log[i]["profile"].get(cursor, {}).get("nulls")]
+    return read_loads(spark, path, edge), F.lit(top).cast(kind)
+
+
+def cursor_increment(source: DataFrame, target: DataFrame | None, cursor: str, mark: Column | None = None) -> DataFrame:
     """Rows of ``source`` that ``target`` does not hold yet, from the newest cursor on.
 
-    The high-water mark is a scalar subquery over the target's cursor column.  Rows at the
+    The high-water mark (unless given) is a scalar subquery over the target's cursor column.  Rows at the
     mark itself, and rows without a cursor, may have come after the last load: they are
     taken unless the target holds the very same row.  Only such rows are compared.
     """
     if target is None:
         return source
-    mark = target.agg(F.max(cursor)).scalar()
+    mark = target.agg(F.max(cursor)).scalar() if mark is None else mark
     later = source.where(F.col(cursor).isNotNull() & (mark.isNull() | (F.col(cursor) > mark)))
     edge = lambda df: df.where((F.col(cursor) == mark) | F.col(cursor).isNull())
     ours, theirs = edge(source), edge(target.select(*source.columns))
@@ -215,4 +296,8 @@ def register_table(
     if any(c.isPartition for c in spark.catalog.listColumns(name)):
         # partitioned tables list their partitions in the catalog: pick up the loaded snapshots
         spark.sql(f"ALTER TABLE {name} RECOVER PARTITIONS")
+        if log := loads(spark, path):  # folders of loads that are not entered (rejected, or being written) are not there
+            held = {int(r[0].split("/")[0].split("=")[1]) for r in spark.sql(f"SHOW PARTITIONS {name}").collect() if r[0].startswith(f"{SNAPSHOT_ID}=")}
+            for i in sorted(held - log.keys()):
+                spark.sql(f"ALTER TABLE {name} DROP IF EXISTS PARTITION ({SNAPSHOT_ID}={i})")
     return name

@@ -88,8 +88,8 @@ def read_files(
 ) -> DataFrame:
     """Batch read of every matching file (or of ``paths``), with lineage columns.
 
-    CSV columns are text (no inference), JSON and Parquet take the files' schema; the
-    option ``schemaHints`` overrides single columns.
+    CSV columns and JSON values are text (no inference; JSON objects and arrays stay such),
+    Parquet takes the files' schema; the option ``schemaHints`` overrides single columns.
     """
     if fmt not in FORMATS:
         raise ValueError(f"unsupported format {fmt!r} (one of {FORMATS})")
@@ -97,6 +97,8 @@ def read_files(
     hints = opts.pop("schemaHints", None)
     if schema is None and fmt == "csv" and str(opts.get("header", "false")).lower() == "true":
         return _read_csv(spark, list(paths) if paths is not None else matching_files(spark, location, pattern), opts, hints, with_lineage)
+    if fmt == "json" and schema is None:
+        opts.setdefault("primitivesAsString", "true")
     reader = spark.read.format(fmt).options(**opts)
     if fmt == "parquet":
         reader = reader.option("mergeSchema", "true")

@@ -8,8 +8,10 @@ JSON), so a writer that dies halfway leaves nothing that a reader would take for
 from __future__ import annotations
 
 import json
+import uuid
 from typing import Any
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -48,24 +50,53 @@ def read_entry(spark: SparkSession, path: str) -> dict[str, Any] | None:
 
 
 def write_entry(spark: SparkSession, path: str, entry: dict[str, Any]) -> None:
-    """Creates the entry; raises :class:`EntryExists` if there is a whole one already."""
+    """Creates the entry; raises :class:`EntryExists` if there is a whole one already.
+
+    What is there and not whole (a writer's that died) is named aside first, so an entry is only
+    ever created where none is, and of two writers one fails.
+    """
     if read_entry(spark, path) is not None:
         raise EntryExists(path)
     fs, p = _fs(spark, path)
-    stream = fs.create(p, bool(fs.exists(p)))  # what is there is not whole: a writer's that died
+    if fs.exists(p):
+        fs.rename(p, p.suffix(f".broken-{uuid.uuid4().hex[:8]}"))
+    try:
+        stream = fs.create(p, False)
+    except Py4JJavaError as e:
+        if "AlreadyExists" in str(e):
+            raise EntryExists(path) from e
+        raise
     try:
         stream.write((json.dumps(entry) + "\n").encode())
     finally:
         stream.close()
 
 
+#: Whole entries by path, with the file's time and length: entries do not change, so each is read once.
+_READ: dict[str, tuple[int, int, dict[str, Any]]] = {}
+
+
 def entries(spark: SparkSession, folder: str) -> dict[int, dict[str, Any]]:
     """All whole entries ``<number>.json`` of a folder, by number."""
-    found = {int(n[:-5]): read_entry(spark, f"{folder}/{n}") for n in names(spark, folder) if n.endswith(".json") and n[:-5].isdigit()}
-    return {k: found[k] for k in sorted(found) if found[k] is not None}
+    fs, p = _fs(spark, folder)
+    found: dict[int, dict[str, Any]] = {}
+    for status in fs.listStatus(p) if fs.exists(p) else []:
+        name, stamp = status.getPath().getName(), (status.getModificationTime(), status.getLen())
+        if not name.endswith(".json") or not name[:-5].isdigit():
+            continue
+        path = f"{folder}/{name}"
+        known = _READ.get(path)
+        if known is None or known[:2] != stamp:
+            entry = read_entry(spark, path)
+            if entry is None:
+                continue
+            known = _READ[path] = (*stamp, entry)
+        found[int(name[:-5])] = known[2]
+    return {k: found[k] for k in sorted(found)}
 
 
 def remove_entry(spark: SparkSession, path: str) -> None:
+    _READ.pop(path, None)
     fs, p = _fs(spark, path)
     if fs.exists(p) and not fs.delete(p, False):
         raise OSError(f"{path} could not be removed")
