@@ -2,19 +2,28 @@
 
 from __future__ import annotations
 
+import ctypes
+import pickle
 import re
 import uuid
+import zlib
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
+from pyspark import SparkContext
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.session import scratch_path
 
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+except OSError:  # another C library: its memory stays with the worker
+    _LIBC = None
 #: Bytes of text a Python task handles at once; a longer single text is handled alone, whole.
 SLICE_BYTES = 8 << 20
 
@@ -36,6 +45,46 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Broadcast values that the session's executors may hold, to be given back by :func:`give_back`.
+_LENT: list[tuple[SparkContext, Broadcast]] = []
+
+
+class _Packed:
+    """A value that travels compressed: what is broadcast lies on the disk of every executor."""
+
+    def __init__(self, value: object):
+        self.value = value
+
+    def __reduce__(self):
+        return _unpacked, (zlib.compress(pickle.dumps(self.value, 5), 1),)
+
+
+def _unpacked(raw: bytes) -> object:
+    return pickle.loads(zlib.decompress(raw))
+
+
+def lent(spark: SparkSession, value: object) -> Broadcast:
+    """A broadcast that :func:`give_back` takes off the executors; its ``value`` is to be read there."""
+    shared = spark.sparkContext.broadcast(_Packed(value))
+    _LENT.append((spark.sparkContext, shared))
+    return shared
+
+
+def give_back() -> None:
+    """Frees what executors hold of lent values; one that is needed after all is sent again."""
+    while _LENT:
+        context, value = _LENT.pop()
+        if context._jsc is not None:  # else it went with its session
+            value.unpersist()
+
+
+def trim() -> None:
+    """Gives memory that a worker has freed back to the system: workers live on and serve other steps."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: str, budget: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """``batch`` cut into runs of rows with about ``budget`` bytes in ``column`` (one row at least)."""
     n = batch.num_rows
@@ -49,6 +98,7 @@ def slices(batch: pa.RecordBatch, column: str, budget: int = SLICE_BYTES) -> Ite
         end = max(start + 1, int(np.searchsorted(ends, before + budget, "right")))
         yield batch.slice(start, end - start)
         start = end
+    trim()
 
 
 def column(name: str) -> Column:

@@ -18,12 +18,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import code_points, column, letter_words, map_beside, slices, vocabulary_path, word_groups
+from strata.llm.common import code_points, column, lent, letter_words, map_beside, slices, vocabulary_path, word_groups
 
 VOCABULARY = "piece_bpe_32k.model"
 UNKNOWN = "und"
-#: Longer words are cut (all parts count), so that learning's uniform probabilities stay in range.
+#: Longer words' expected counts are worked out in logarithms, since uniform probabilities leave the range of doubles.
 LONGEST = 48
+#: Distinct words that a task works on together: their lattices lie in memory.
+WORDS = 20_000
 #: Words whose probability is below this in a language are summed in logarithms.
 LEAST = 1e-290
 #: Weight, in pieces, of all languages' shared distribution in each language's.
@@ -156,11 +158,21 @@ def expected(prior: np.ndarray, lattice: tuple, weights: np.ndarray, count: int)
     return out
 
 
-def split_words(text: str | None) -> list[str]:
-    words = letter_words(text)
-    if all(len(w) <= LONGEST for w in words):
-        return words
-    return [w[i : i + LONGEST] for w in words for i in range(0, len(w), LONGEST)]
+def log_expected(prior: np.ndarray, lattice: tuple, weights: np.ndarray, count: int) -> np.ndarray:
+    """``expected`` for words of any length."""
+    starts, ends, parts = lattice
+    ahead, logs = log_forward(prior[:, None], lattice)[:, 0], np.log(prior)
+    behind, word_of = np.full(len(ahead), -np.inf), np.zeros(len(ahead), np.int64)
+    behind[ends], word_of[starts] = 0.0, 1
+    word_of = np.cumsum(word_of) - 1
+    for a, b, p in reversed(parts):
+        np.logaddexp.at(behind, a, logs[p] + behind[b])
+    out = np.zeros((count, weights.shape[1]))
+    for a, b, p in parts:
+        share = np.exp(ahead[a] + logs[p] + behind[b] - ahead[ends[word_of[a]]])
+        for k in range(weights.shape[1]):
+            out[:, k] += np.bincount(p, share * weights[word_of[a], k], count)
+    return out
 
 
 def learn(rows: DataFrame, vocabulary: str = VOCABULARY, shared_weight: float = SHARED_WEIGHT) -> tuple[list[str], np.ndarray]:
@@ -177,13 +189,15 @@ def learn(rows: DataFrame, vocabulary: str = VOCABULARY, shared_weight: float =
         for whole in batches:
             for batch in slices(whole, "text"):
                 of, at = [number[x] for x in batch.column("lang").to_pylist()], 0
-                for words, group in word_groups(batch.column("text").to_pylist(), split_words):
+                for words, group in word_groups(batch.column("text").to_pylist(), words=WORDS):
                     weights = np.zeros((len(words), len(number)))
                     for k, text in zip(of[at : at + len(group)], group, strict=True):
                         weights[:, k] += np.bincount(text, minlength=len(words))
                     at += len(group)
-                    if words:
-                        total += expected(prior, trie.lattice(words), weights, trie.count)
+                    long = np.fromiter((len(w) > LONGEST for w in words), bool, len(words))
+                    for some, count in ((~long, expected), (long, log_expected)):
+                        if some.any():
+                            total += count(prior, trie.lattice([w for w, x in zip(words, some, strict=True) if x]), weights[some], trie.count)
         p, k = np.nonzero(total)
         yield pa.record_batch({"piece": p.astype(np.int32), "lang": k.astype(np.int32), "n": total[p, k]})
 
@@ -203,14 +217,14 @@ def predict(rows: DataFrame, languages: list[str], model: np.ndarray, text_col:
     A null text, or one without a letter, is ``und`` with confidence 0, and so are all texts if
     no language was learned.  A tie goes to the language whose name comes first.
     """
-    shared = rows.sparkSession.sparkContext.broadcast(model)
+    shared = lent(rows.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie, model = pieces(vocabulary_path(vocabulary)), shared.value
         for whole in batches:
             for batch in slices(whole, "__text"):
                 names, scores = [], []
-                for words, group in word_groups(batch.column("__text").to_pylist(), split_words):
+                for words, group in word_groups(batch.column("__text").to_pylist(), words=WORDS):
                     if words and languages:
                         logs = word_logs(trie, model, words)
                     for text in group:

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import slices, stage, word_groups
+from strata.llm.common import lent, slices, stage, word_groups
 from strata.llm.components import _stars, components
 
 SHINGLE = 5
@@ -342,7 +342,7 @@ def _sets_of(docs: DataFrame, vertices: DataFrame, wanted: DataFrame, size: int)
     bits = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
     for part, packed in parts.mapInArrow(pack, "part long, bits binary").collect():  # 1024 rows of 512 bytes at most
         bits[part * 512 : part * 512 + 512] = np.frombuffer(packed, np.uint8)
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
+    shared = lent(docs.sparkSession, bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

@@ -10,32 +10,36 @@ adding up.  A logistic curve, fitted on labelled rows kept out of the counts, tu
 evidence (on a log scale) into a score.
 
 For a six-gram seen in neither class the difference is that of the back-off weights of its
-context, whatever the letter, and 0 if the context is new too.  So the model is two tables of
-differences, for six-grams and for contexts, keyed by the whole gram at any corpus size.  For
-scoring, the grams of the texts' distinct words meet them by shuffle, each word once; texts then meet
-the words whose gap is above the margin.  Two broadcasts of fixed size, upper bounds of gaps by
-``2**BOUND_BITS`` slots and excesses of words by ``2**FILTER_BITS``, keep most other words from being shuffled; they never
+context, whatever the letter, and 0 if the context is new too.  So the model is a table of
+differences by context, with those of its six-grams, whole grams at any corpus size.  For
+scoring, the grams of the texts' distinct words meet it by one shuffle, each word once; texts then meet
+the words whose gap is above the margin.  Two broadcasts of fixed size, gaps or bounds on them by
+``2**BOUND_BITS`` slots (:class:`Bounds`) and excesses of words by ``2**FILTER_BITS``, keep most other words from being shuffled; they never
 lose a word that counts.  Words that share a slot of the second are told apart by a join.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.core.broadcast import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strata.llm.common import code_points, column, map_beside, slices, stage, word_groups
+from strata.llm.common import code_points, column, lent, map_beside, slices, stage, word_groups
 
 ORDER = 6
 SYMBOL_BITS = 10
 DISCOUNT = 0.75
-TABLE_BITS = 22
 BOUND_BITS = 21
+SECOND_BITS = 19
+#: In place of a key: a slot without one, and one with several.
+NONE, SEVERAL = -1, -2
 FILTER_BITS = 21
 THRESHOLD = 0.3
 #: A word's gap counts above this.
@@ -92,7 +96,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def gaps(rows: DataFrame, discount: float = DISCOUNT) -> DataFrame:
-    """``kind, key, gap, n``: differences of log-likelihoods of all six-grams (kind 0) and contexts (1), from all rows of ``text, toxic`` (0 or 1)."""
+    """``context, back, own``: the difference of log-likelihoods of each context, and of its six-grams by last symbol, from all rows of ``text, toxic`` (0 or 1)."""
     counted = rows.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(_count, "gram long, toxic long, ordinary long")
     top = stage(counted.groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")), "grams")
     mask = lambda k: F.lit((1 << (SYMBOL_BITS * k)) - 1)
@@ -108,85 +112,92 @@ def gaps(rows: DataFrame, discount: float = DISCOUNT) -> DataFrame:
         back = lower.select(F.col("gram").alias("suffix"), F.col("p").alias("back"))
         p = (F.col("n") - discount + discount * F.col("kinds") * F.col("back")) / F.col("sum")
         lower = totals.join(back, "suffix").select("gram", p.alias("p"))
-    of = Window.partitionBy("context")
-    parts = top.withColumns({"context": F.shiftright("gram", SYMBOL_BITS), "suffix": F.col("gram").bitwiseAND(mask(ORDER - 1))})
-    sums = {f"{c}_sum": F.sum(c).over(of) for c in ("toxic", "ordinary")} | {f"{c}_kinds": F.sum((F.col(c) > 0).cast("int")).over(of) for c in ("toxic", "ordinary")}
-    parts = parts.withColumns(sums).join(lower.select(F.col("gram").alias("suffix"), "p"), "suffix")
+    parts = top.withColumn("suffix", F.col("gram").bitwiseAND(mask(ORDER - 1))).join(lower.select(F.col("gram").alias("suffix"), "p"), "suffix")
+    entry = F.struct(F.col("gram").bitwiseAND(mask(1)).cast("int").alias("symbol"), "toxic", "ordinary", "p")
+    of = lambda c: [F.sum(c).alias(f"{c}_sum"), F.count_if(F.col(c) > 0).alias(f"{c}_kinds")]
+    # a context has no more entries than there are symbols
+    met = parts.groupBy(F.shiftright("gram", SYMBOL_BITS).alias("context")).agg(F.collect_list(entry).alias("entries"), *of("toxic"), *of("ordinary"))
 
-    def weight(c: str):
+    def weight(c: str) -> Column:
         return F.when(F.col(f"{c}_sum") > 0, discount * F.col(f"{c}_kinds") / F.col(f"{c}_sum")).otherwise(1.0)
 
-    def likely(c: str):
-        own = F.when(F.col(f"{c}_sum") > 0, F.greatest(F.col(c) - discount, F.lit(0.0)) / F.col(f"{c}_sum")).otherwise(0.0)
-        return own + weight(c) * F.col("p")
+    def likely(c: str, x: Column) -> Column:
+        own = F.when(F.col(f"{c}_sum") > 0, F.greatest(x[c] - discount, F.lit(0.0)) / F.col(f"{c}_sum")).otherwise(0.0)
+        return own + weight(c) * x["p"]
 
-    seen = F.col("toxic") + F.col("ordinary")
-    found = parts.select(
-        F.explode(
-            F.array(
-                F.struct(F.lit(0).alias("kind"), F.col("gram").alias("key"), (F.log(likely("toxic")) - F.log(likely("ordinary"))).alias("gap"), seen.alias("n")),
-                F.struct(F.lit(1).alias("kind"), F.col("context").alias("key"), (F.log(weight("toxic")) - F.log(weight("ordinary"))).alias("gap"), seen.alias("n")),
-            )
-        ).alias("x")
-    ).select("x.*")
-    return found.groupBy("kind", "key").agg(F.first("gap").alias("gap"), F.sum("n").alias("n"))
+    own = F.transform("entries", lambda x: F.struct(x["symbol"].alias("symbol"), (F.log(likely("toxic", x)) - F.log(likely("ordinary", x))).alias("gap")))
+    return met.select("context", (F.log(weight("toxic")) - F.log(weight("ordinary"))).alias("back"), F.map_from_entries(own).alias("own"))
 
 
-def learn(rows: DataFrame, discount: float = DISCOUNT, bits: int = TABLE_BITS) -> np.ndarray:
-    """The gaps of small tables as an array, by slots, to look at; scoring does not use it."""
-    hashed = gaps(rows, discount).mapInArrow(_to_slots(bits), "kind int, slot int, gap double, n double")
-    table = hashed.groupBy("kind", "slot").agg((F.sum(F.col("gap") * F.col("n")) / F.sum("n")).cast("float").alias("gap")).toArrow()
-    out = np.full((2, 1 << bits), np.nan, np.float16)
-    out[table["kind"].to_numpy(), table["slot"].to_numpy()] = table["gap"].to_numpy()
-    return out
-
-
-def _to_slots(bits: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            slot = slots(b.column("key").to_numpy(), bits).astype(np.int32)
-            yield pa.record_batch({"kind": b.column("kind"), "slot": slot, "gap": b.column("gap"), "n": b.column("n").cast(pa.float64())})
-
-    return run
+def both_slots(keys: np.ndarray, bits: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    return slots(keys, bits[0]), slots(keys ^ (keys >> 23), bits[1])
 
 
 def _word(word: str) -> bytes:
     return xxhash.xxh3_128_digest(word.encode("utf-8", "surrogatepass"))
 
 
-def bounds(model: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """By slot, for six-grams and for contexts: the one key there (-1: none, -2: several), and the largest gap (rounded up)."""
+class Bounds:
+    """Gaps by key for six-grams (kind 0) and contexts (1), in two tables of slots of fixed size.
+
+    A slot of the first holds its least key; the others of that slot go to the second.  A slot of the
+    second that several keys share holds the largest gap among them, as a bound.
+    """
+
+    def __init__(self, tables: tuple[pa.Table, pa.Table], bits: tuple[int, int]):
+        self.bits, self.only, self.most = bits, [], []
+        for n, table in zip(bits, tables, strict=True):
+            only, most = np.full((2, 1 << n), NONE, np.int64), np.zeros((2, 1 << n), np.float16)
+            at = table["kind"].to_numpy(), table["slot"].to_numpy()
+            only[at] = table["key"].to_numpy()
+            most[at] = np.nextafter(table["gap"].to_numpy().astype(np.float16), np.float16(np.inf))  # rounded up
+            self.only.append(only)
+            self.most.append(most)
+
+    def of(self, kind: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The gap of each key or a bound on it, whether the key is known for sure, and whether it may be."""
+        one, two = both_slots(keys, self.bits)
+        here, there = self.only[0][kind][one] == keys, self.only[1][kind][two]
+        sure, may = here | (there == keys), here | (there == keys) | (there == SEVERAL)
+        gap = np.where(here, self.most[0][kind][one], self.most[1][kind][two]).astype(np.float64)
+        return gap, sure, may
+
+
+def bounds(model: DataFrame) -> Bounds:
+    """The model's gaps, or bounds on them where two keys share a slot twice."""
+    bits = BOUND_BITS, SECOND_BITS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.record_batch({"kind": b.column("kind"), "slot": slots(b.column("key").to_numpy(), bits).astype(np.int32), "key": b.column("key"), "gap": b.column("gap")})
+            one, two = both_slots(b.column("key").to_numpy(), bits)
+            yield pa.record_batch({"kind": b.column("kind"), "slot": one.astype(np.int32), "second": two.astype(np.int32), "key": b.column("key"), "gap": b.column("gap")})
 
-    hashed = model.select("kind", "key", "gap").mapInArrow(run, "kind int, slot int, key long, gap double")
-    one = F.when(F.min("key") == F.max("key"), F.min("key")).otherwise(-2).alias("key")
-    table = hashed.groupBy("kind", "slot").agg(one, F.max("gap").cast("float").alias("gap")).toArrow()
-    only, most = np.full((2, 1 << bits), -1, np.int64), np.zeros((2, 1 << bits), np.float16)
-    at = table["kind"].to_numpy(), table["slot"].to_numpy()
-    only[at] = table["key"].to_numpy()
-    most[at] = np.nextafter(table["gap"].to_numpy().astype(np.float16), np.float16(np.inf))
-    return only, most
+    whole = model.select(F.lit(0).alias("kind"), "context", F.explode("own").alias("symbol", "gap"))
+    whole = whole.select("kind", (F.shiftleft("context", SYMBOL_BITS) + F.col("symbol")).alias("key"), "gap")
+    keyed = whole.unionByName(model.select(F.lit(1).alias("kind"), F.col("context").alias("key"), F.col("back").alias("gap")))
+    hashed = keyed.mapInArrow(run, "kind int, slot int, second int, key long, gap double")
+    first = hashed.groupBy("kind", "slot").agg(F.min(F.struct("key", F.col("gap").cast("float").alias("gap"))).alias("x"))
+    first = stage(first.select("kind", "slot", "x.*"), "bounds")
+    rest = hashed.join(first.select("kind", "slot", F.col("key").alias("least")).hint("merge"), ["kind", "slot"]).where("key <> least")
+    one = F.when(F.min("key") == F.max("key"), F.min("key")).otherwise(SEVERAL).alias("key")
+    second = rest.groupBy("kind", F.col("second").alias("slot")).agg(one, F.max("gap").cast("float").alias("gap"))
+    return Bounds((first.toArrow(), second.toArrow()), bits)
 
 
-def _words(shared, bits: int):
-    """Words whose gap may be above the margin; where a slot has several keys, the largest that may hold counts."""
+def _words(shared):
+    """Words whose gap may be above the margin; where several keys share a slot twice, the largest that may hold counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        only, most = shared.value
         for whole in batches:
             for batch in slices(whole, "text"):
                 for words, _ in word_groups(batch.column("text").to_pylist()):
                     if words:
                         keys, owner = grams(words)
-                        contexts = keys >> SYMBOL_BITS
-                        g, c = slots(keys, bits), slots(contexts, bits)
-                        own, back = most[0][g], most[1][c]
-                        back = np.where(only[1][c] == contexts, back, np.where(only[1][c] == -2, np.maximum(back, 0), 0))  # unknown contexts: 0
-                        gap = np.where(only[0][g] == keys, own, np.where(only[0][g] == -2, np.maximum(own, back), back))
-                        may = np.bincount(owner, gap.astype(np.float64), len(words)) > MARGIN - 0.01
+                        own, known, may_own = shared.value.of(0, keys)
+                        back, sure, may_back = shared.value.of(1, keys >> SYMBOL_BITS)
+                        back = np.where(sure, back, np.where(may_back, np.maximum(back, 0), 0))  # unknown contexts: 0
+                        gap = np.where(known, own, np.where(may_own, np.maximum(own, back), back))
+                        may = np.bincount(owner, gap, len(words)) > MARGIN - 0.01
                         yield pa.record_batch({"word": pa.array(words, pa.string()).filter(pa.array(may))})
 
     return run
@@ -195,20 +206,35 @@ def _words(shared, bits: int):
 def _grams_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in slices(whole, "word"):
-            words = batch.column("word").to_pylist()
-            keys, owner = grams(words)
-            yield pa.record_batch({"word": pa.array([_word(w) for w in words], pa.binary()).take(pa.array(owner)), "gram": keys, "context": keys >> SYMBOL_BITS})
+            keys, owner = grams(batch.column("word").to_pylist())
+            symbols = (keys & ((1 << SYMBOL_BITS) - 1)).astype(np.int32)
+            yield pa.record_batch({"no": batch.column("no").take(pa.array(owner)), "context": keys >> SYMBOL_BITS, "symbol": symbols})
+
+
+#: Each model's bounds, for as long as the model is used.
+_BOUNDS: WeakKeyDictionary[DataFrame, Broadcast] = WeakKeyDictionary()
 
 
 def excesses(rows: DataFrame, model: DataFrame) -> DataFrame:
-    """``word, excess`` of the distinct words of ``text`` whose gap is above the margin."""
-    shared = rows.sparkSession.sparkContext.broadcast(bounds(model, BOUND_BITS))
-    words = rows.mapInArrow(_words(shared, BOUND_BITS), "word string").distinct()
-    own = words.mapInArrow(_grams_of, "word binary, gram long, context long")
-    of = lambda kind, key, gap: model.where(F.col("kind") == kind).select(F.col("key").alias(key), F.col("gap").alias(gap)).hint("merge")
-    met = own.join(of(0, "gram", "own"), "gram", "left").join(of(1, "context", "back"), "context", "left")
-    summed = met.groupBy("word").agg((F.sum(F.coalesce("own", "back", F.lit(0.0))) - MARGIN).alias("excess"))
-    return stage(summed.where("excess > 0"), "excesses")
+    """``word, excess`` of the distinct words of ``text`` whose gap is above the margin.
+
+    Words are numbered; their grams go to the contexts once, which know both a gram's gap and
+    its context's, and only gaps that are not 0 go back to the words.
+    """
+    if model not in _BOUNDS:
+        _BOUNDS[model] = lent(rows.sparkSession, bounds(model))
+    words = rows.mapInArrow(_words(_BOUNDS[model]), "word string").distinct()
+    words = stage(words.select(F.monotonically_increasing_id().alias("no"), "word"), "words")
+    own = words.mapInArrow(_grams_of, "no long, context long, symbol int")
+    met = own.join(model.hint("merge"), "context").select("no", F.coalesce(F.try_element_at("own", F.col("symbol")), "back").alias("gap")).where("gap <> 0")
+    summed = met.groupBy("no").agg((F.sum("gap") - MARGIN).alias("excess")).where("excess > 0")
+    named = words.join(summed, "no").mapInArrow(_digests, "word binary, excess double")
+    return stage(named, "excesses")
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.record_batch({"word": pa.array([_word(w) for w in b.column("word").to_pylist()], pa.binary()), "excess": b.column("excess")})
 
 
 def evidence(rows: DataFrame, model: DataFrame, text_col: str = "text") -> DataFrame:
@@ -223,7 +249,7 @@ def evidence(rows: DataFrame, model: DataFrame, text_col: str = "text") -> DataF
     held = found.groupBy(slot.alias("slot")).agg(F.count("*").alias("n"), F.first("word").alias("word"), F.first("excess").alias("excess")).orderBy("slot").toArrow()
     several = held["n"].to_numpy() > 1
     table = (held["slot"].to_numpy(), several, np.frombuffer(b"".join(held["word"].to_pylist()), "V16"), held["excess"].to_numpy())
-    shared = rows.sparkSession.sparkContext.broadcast(table)
+    shared = lent(rows.sparkSession, table)
 
     def known(words: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
         """Digests, excesses of words that are alone in their slots, and which words share one."""
@@ -293,8 +319,8 @@ def train(labelled: DataFrame) -> tuple[DataFrame, tuple[float, float]]:
     """The model, a written table, and the curve from all rows of ``doc_id, text, toxic``: an eighth of them, by hash of the id, fits the curve."""
     rows = labelled.where("text IS NOT NULL AND toxic IN (0, 1)")
     apart = F.pmod(F.xxhash64("doc_id"), F.lit(8)) == 0
-    model = stage(gaps(rows.where(~apart)).drop("n"), "gaps")
-    scored = evidence(rows.where(apart).select("text", "toxic"), model)
+    model = stage(gaps(rows.where(~apart)), "gaps")
+    scored = evidence(stage(rows.where(apart).select("text", "toxic"), "curve"), model)
     binned = F.least(F.greatest(F.floor(F.col("__evidence") * (BINS / 8)), F.lit(0)), F.lit(BINS - 1)).cast("int")
     found = scored.groupBy(binned.alias("bin")).agg(F.avg("__evidence").alias("x"), F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("ordinary")).orderBy("bin").toArrow()
     return model, fit_curve(*(found[c].to_numpy().astype(float) for c in ("x", "toxic", "ordinary")))

@@ -91,7 +91,7 @@ def test_grams():
 def test_kneser_ney_by_hand(spark):
     """The six-gram differences are those of interpolated Kneser-Ney with shared lower orders."""
     rows = [("bad worse worst", 1), ("worse badly", 1), ("good better best", 0), ("better goodly bad", 0), ("best", 0)]
-    model = toxicity.learn(spark.createDataFrame(rows, "text string, toxic int"))
+    own = {(r.context << 10) + k: gap for r in toxicity.gaps(spark.createDataFrame(rows, "text string, toxic int")).collect() for k, gap in r.own.items()}
     count = {0: {}, 1: {}}
     for text, c in rows:
         for w in set(text.split()):
@@ -122,9 +122,8 @@ def test_kneser_ney_by_hand(spark):
 
     symbols = {"^": 0, "$": 10}
     for g in level[6]:
-        k = np.array([sum(symbols.get(s, ord(s)) << (10 * i) for i, s in enumerate(reversed(g)))])
-        got = model[0][toxicity.slots(k, toxicity.TABLE_BITS)][0]
-        assert got == pytest.approx(math.log(likely(1, g) / likely(0, g)), abs=1e-4), g
+        k = sum(symbols.get(s, ord(s)) << (10 * i) for i, s in enumerate(reversed(g)))
+        assert own[k] == pytest.approx(math.log(likely(1, g) / likely(0, g))), g
 
 
 def test_toxicity_held_out(spark):
@@ -155,12 +154,16 @@ def test_toxicity_words_keep_their_own_gaps(spark, monkeypatch, bits):
     """Ordinary grams, however many, take no toxic gram's gap."""
     monkeypatch.setattr(toxicity, "FILTER_BITS", bits)
     monkeypatch.setattr(toxicity, "BOUND_BITS", 8)
+    monkeypatch.setattr(toxicity, "SECOND_BITS", 6)
     r = np.random.default_rng(8)
     letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
     ordinary = [("".join(r.choice(letters, 12)), 0) for _ in range(3000)]
     rows = spark.createDataFrame([*ordinary, *[("zzidiotzz", 1)] * 5, *[("zzidiomzz", 0)] * 5], "text string, toxic int")
     model = toxicity.gaps(rows).cache()
-    by_key = {(x.kind, x.key): x.gap for x in model.collect()}
+    by_key = {}
+    for x in model.collect():
+        by_key[1, x.context] = x.back
+        by_key |= {(0, (x.context << toxicity.SYMBOL_BITS) + k): gap for k, gap in x.own.items()}
     texts = ["zzidiotzz and a zzidiotzz", "zzidiomzz", ordinary[0][0], "qqidiotqq", "", None]
 
     def excess(word):
@@ -194,3 +197,15 @@ def test_langid_runs_of_unknown_letters(spark):
     first, second = langid.predict(rows, languages, model).collect()
     assert first["__lang"] == "en" and 0.5 < first["__confidence"] <= 1
     assert second["__confidence"] == pytest.approx(0.5)
+
+
+def test_expected_counts_of_long_words():
+    """Words of any length are counted whole, as short ones are."""
+    trie = langid.pieces(vocabulary_path(langid.VOCABULARY))
+    prior = np.full(trie.count, 1 / trie.count)
+    words = ["there", "zuq", "thethe"]
+    lattice = trie.lattice(words)
+    assert langid.log_expected(prior, lattice, np.ones((3, 2)), trie.count) == pytest.approx(langid.expected(prior, lattice, np.ones((3, 2)), trie.count))
+    long = "ภาษาไทย" * 200 + "there" * 300
+    counts = langid.log_expected(prior, trie.lattice([long]), np.ones((1, 1)), trie.count)
+    assert np.isfinite(counts).all() and 200 * 4 < counts.sum() <= len(long)
