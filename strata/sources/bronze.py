@@ -1,7 +1,8 @@
 """Bronze: loads of a source table kept side by side, read back newest or as of a time.
 
 Layout: ``<root>/<source>/<table>/_snapshot_id=<n>/part-*.parquet``, and a log entry for each
-finished load, ``_loads/<n>.json`` (id, load time, rows, schema).  What has no entry is not
+finished load, ``_loads/<n>.json`` (id, load time, rows, schema, profile).  A load is written below
+``_staged``, which no reader of the folder sees, and moved when it is finished.  What has no entry is not
 there: a load that dies or is rejected is written over by the next one.  An empty load has an
 entry and no files.  Reads go by the log to the one folder they need; no data is scanned to
 find an id.
@@ -26,7 +27,7 @@ from strata.sources import files_store as store
 from strata.sources.schemas import union_aligned
 from strata.sources.tables import BUCKET
 
-SNAPSHOT_ID = "_snapshot_id"
+SNAPSHOT_ID, STAGED = "_snapshot_id", "_staged"
 INGESTED_AT = "_ingested_at"
 
 
@@ -84,7 +85,7 @@ def stage_load(
     """
     at = str(ingested_at) if ingested_at is not None else dt.datetime.now(dt.timezone.utc).replace(tzinfo=None).isoformat(sep=" ")
     out = source if INGESTED_AT in source.columns else with_load_columns(source, at)
-    folder, schema = f"{path}/{SNAPSHOT_ID}={snapshot_id}", out.schema
+    folder, schema = f"{path}/{STAGED}/{SNAPSHOT_ID}={snapshot_id}", out.schema
     seen, states = Observation(f"load_{uuid.uuid4().hex[:8]}"), _states(out, sketches)
     if cursor:
         states["mark"] = F.max(cursor).cast("string")
@@ -132,17 +133,22 @@ def load_profile(spark: SparkSession, path: str, columns: Sequence[str], ts_col:
     )
 
 
-def read_staged(spark: SparkSession, path: str, snapshot_id: int, entry: dict) -> DataFrame:
-    """The rows of a load that may not be finished yet."""
+def read_staged(spark: SparkSession, path: str, snapshot_id: int, entry: dict, finished: bool = False) -> DataFrame:
+    """The rows of a load that is not finished yet."""
     fields = [*T.StructType.fromJson(entry["schema"]).fields, T.StructField(SNAPSHOT_ID, T.IntegerType())]
     if entry.get("bucketed"):
         fields.append(T.StructField(BUCKET, T.IntegerType()))
     if not entry["rows"]:
         return spark.createDataFrame([], T.StructType(fields))
-    return spark.read.schema(T.StructType(fields)).option("basePath", path).parquet(f"{path}/{SNAPSHOT_ID}={snapshot_id}")
+    base = path if finished else f"{path}/{STAGED}"
+    return spark.read.schema(T.StructType(fields)).option("basePath", base).parquet(f"{base}/{SNAPSHOT_ID}={snapshot_id}")
 
 
 def finish_load(spark: SparkSession, path: str, snapshot_id: int, entry: dict) -> None:
+    """Moves a staged load into its place, over what a run that ended here may have left, and enters it in the log."""
+    if snapshot_id in loads(spark, path):
+        raise store.EntryExists(f"{path}: load {snapshot_id}")
+    store.move(spark, f"{path}/{STAGED}/{SNAPSHOT_ID}={snapshot_id}", f"{path}/{SNAPSHOT_ID}={snapshot_id}")
     store.write_entry(spark, f"{log_path(path)}/{snapshot_id}.json", entry)
 
 
@@ -169,7 +175,7 @@ def read_loads(spark: SparkSession, path: str, ids: Iterable[int] | None = None)
         by_schema.setdefault(json.dumps([log[i]["schema"], bool(log[i]["rows"])]), []).append(i)
     parts = []
     for same in by_schema.values():
-        first = read_staged(spark, path, same[0], log[same[0]])
+        first = read_staged(spark, path, same[0], log[same[0]], finished=True)
         if len(same) > 1 and log[same[0]]["rows"]:
             first = spark.read.schema(first.schema).option("basePath", path).parquet(*[f"{path}/{SNAPSHOT_ID}={i}" for i in same])
         parts.append(first)
@@ -296,8 +302,4 @@ def register_table(
     if any(c.isPartition for c in spark.catalog.listColumns(name)):
         # partitioned tables list their partitions in the catalog: pick up the loaded snapshots
         spark.sql(f"ALTER TABLE {name} RECOVER PARTITIONS")
-        if log := loads(spark, path):  # folders of loads that are not entered (rejected, or being written) are not there
-            held = {int(r[0].split("/")[0].split("=")[1]) for r in spark.sql(f"SHOW PARTITIONS {name}").collect() if r[0].startswith(f"{SNAPSHOT_ID}=")}
-            for i in sorted(held - log.keys()):
-                spark.sql(f"ALTER TABLE {name} DROP IF EXISTS PARTITION ({SNAPSHOT_ID}={i})")
     return name

@@ -100,3 +100,12 @@ def remove_entry(spark: SparkSession, path: str) -> None:
     fs, p = _fs(spark, path)
     if fs.exists(p) and not fs.delete(p, False):
         raise OSError(f"{path} could not be removed")
+
+
+def move(spark: SparkSession, source: str, target: str) -> None:
+    """A folder moved in place of another."""
+    fs, p = _fs(spark, target)
+    if fs.exists(p) and not fs.delete(p, True):
+        raise OSError(f"{target} could not be removed")
+    if not fs.rename(_fs(spark, source)[1], p):
+        raise OSError(f"{source} could not be moved to {target}")
