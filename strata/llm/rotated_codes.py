@@ -35,7 +35,7 @@ from strata.llm.common import column, stage
 from strata.llm.components import components
 
 #: Classes that a cell should hold on average, and at most in a meeting's block.
-CELL, BLOCK = 4096, 2048
+CELL, BLOCK = 4096, 1024
 #: The probability that a pair at the threshold shares no cell, and the bounds' width in standard deviations.
 MISS, EPSILON = 1e-6, 6.0
 #: Components of a turned vector, at least: shorter ones are filled up with zeros.
