@@ -46,7 +46,7 @@ def shown(df, cols):
 def batches(seed, deletes):
     r = random.Random(seed)
     out, high = [], 0
-    for _ in range(4):
+    for _ in range(3):
         rows = []
         for _ in range(r.randint(1, 25)):
             s = None if r.random() < 0.05 else r.randint(high, high + 6) if r.random() < 0.7 else r.randint(0, max(1, high))
@@ -56,7 +56,7 @@ def batches(seed, deletes):
     return out
 
 
-@pytest.mark.parametrize(("scd_type", "deletes", "seed"), [(2, False, 1), (2, True, 3), (1, True, 5)])
+@pytest.mark.parametrize(("scd_type", "deletes", "seed"), [(2, True, 3), (1, True, 5)])
 def test_batches_give_what_all_changes_give(spark, tmp_root, scd_type, deletes, seed):
     cfg = TableConfig("t", ("k",), scd_type, history=("v",) if scd_type == 2 else None, sequence_by="s", deletes="gone" if deletes else None)
     everything = []
@@ -87,7 +87,7 @@ def test_compaction_keeps_the_table_and_bounds_scans(spark, tmp_root, monkeypatc
     monkeypatch.setattr(VersionedTable.compact, "__defaults__", (3,))
     cfg = TableConfig("t", ("k",), 2, history=("v",), sequence_by="s", deletes="gone")
     everything = []
-    for load in range(1, 9):
+    for load in range(1, 7):
         rows = [("a", load, "xy"[load % 2], "m", load % 4 == 0), (f"b{load % 3}", load, "x", "m", False)] + ([("a", load - 3, "z", "m", False)] if load % 5 == 0 else [])
         everything += rows
         take(spark, tmp_root, cfg, rows, load, buckets=2)
@@ -96,8 +96,8 @@ def test_compaction_keeps_the_table_and_bounds_scans(spark, tmp_root, monkeypatc
     assert shown(silver.read(), [*ALL, START, END]) == shown(whole, [*ALL, START, END])
     assert max(len(v) for v in silver.manifest()["rows"].values()) < 3
     assert silver.read()._jdf.queryExecution().optimizedPlan().toString().count("Relation [") <= 4
-    assert silver.current_version() > 8  # compactions are versions of their own
-    assert silver.last_load() == 8
+    assert silver.current_version() > 6  # compactions are versions of their own
+    assert silver.last_load() == 6
 
 
 def test_changes_after_another_number_of_buckets(spark, tmp_root):
