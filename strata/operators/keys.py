@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,6 +18,12 @@ def null_safe_eq(left: Sequence[Column], right: Sequence[Column]) -> Column:
     return reduce(lambda a, b: a & b, [lc.eqNullSafe(rc) for lc, rc in zip(left, right, strict=True)])
 
 
+def on_keys(df: DataFrame, other: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """``df`` joined by key (NULL is a key) with the keys of ``other``, which are distinct."""
+    named = other.select(*[F.col(k).alias(f"_mk{i}") for i, k in enumerate(keys)])
+    return df.join(named, null_safe_eq([df[k] for k in keys], [named[f"_mk{i}"] for i in range(len(keys))]), how)
+
+
 def has_map(dtype: T.DataType) -> bool:
     """Whether values of the type hold maps, which Spark neither compares nor orders."""
     if isinstance(dtype, T.ArrayType):

@@ -13,23 +13,24 @@ again.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strata.config import TableConfig
 from strata.operators.changes import DELETED, HOT_KEY_ROWS, scd1_from_changes, scd2_from_changes
-from strata.operators.keys import END, START, null_safe_eq
+from strata.operators.keys import END, START, null_safe_eq, on_keys
 from strata.sources.schemas import aligned, merged
 from strata.sources.tables import AREA, BUCKET, CLOSED, GONE, OPEN, VOID
 
 _FROM, _GONE = "__from", "__gone"
 
 
-def _on(df: DataFrame, other: DataFrame, keys: list[str], how: str) -> DataFrame:
-    """``df`` joined by key (NULL is a key) with the keys of ``other``, which are distinct."""
-    named = other.select(*[F.col(k).alias(f"_mk{i}") for i, k in enumerate(keys)])
-    return df.join(named, null_safe_eq([df[k] for k in keys], [named[f"_mk{i}"] for i in range(len(keys))]), how)
+def maybe_late(batch: DataFrame, seq: str, latest: Column) -> DataFrame:
+    """Changes that may come at or before their key's last row: all but those after ``latest``, which no last row exceeds."""
+    return batch.where(F.col(seq).isNull() | (F.col(seq) <= latest))
 
 
 def late_keys(batch: DataFrame, state: DataFrame, keys: list[str], seq: str, ties_only: bool = False) -> DataFrame:
@@ -77,7 +78,9 @@ def _build(rows: DataFrame, cfg: TableConfig, seq: str, drop: tuple[str, ...], f
 
 def merge_changes(
     batch: DataFrame,
-    state: DataFrame | None,
+    early: DataFrame | None,
+    known: T.StructType | None,
+    last_rows: Callable[[DataFrame], DataFrame],
     late: DataFrame | None,
     history: DataFrame | None,
     cfg: TableConfig,
@@ -88,20 +91,27 @@ def merge_changes(
 ) -> DataFrame:
     """The layer that a batch of cleaned changes (with their bucket) adds to a table.
 
-    ``state``: each key's last row, with ``_area`` (None: a new table).  ``late``: the batch's late keys (None: there
+    ``early``: the changes that may not come after their key's last row (None: there are none).
+    ``known``: the table's columns (None: a new table).  ``last_rows``: gives the last rows, with
+    ``_area``, of the keys in a frame.  A table of the newest rows only looks at them for the keys of early
+    changes; any other key's changes stand in its last row's place.  ``late``: the batch's late keys (None: there
     are none), with bucket; ``history``: their cleaned changes, the batch's included, with bucket.  ``few``: the
     batch, or the history (``few_before``), has too few rows for a hot key, so none is looked for.
     """
-    if state is None:
+    if known is None:
         return _build(batch, cfg, seq, drop, few)
     keys = [BUCKET, *cfg.keys]
-    in_order = batch.drop(*drop) if late is None else _on(batch.drop(*drop), late, keys, "left_anti")
-    seeds = _on(state, in_order.select(*keys).distinct(), keys, "left_semi")
-    start = F.col(START) if cfg.scd_type == 2 else F.lit(None)
-    seeds = seeds.withColumns({_FROM: start, _GONE: F.col(AREA) == GONE}).drop(START, END, AREA)
-    data = merged([seeds.drop(_FROM, _GONE).schema, in_order.schema])
+    not_late = lambda df: df if late is None else on_keys(df, late, keys, "left_anti")
+    in_order = not_late(batch.drop(*drop))
+    seeded = in_order if cfg.scd_type == 2 else None if early is None else not_late(early)
+    data = merged([T.StructType([f for f in known.fields if f.name not in (START, END)]), in_order.schema])
     whole = T.StructType([*data.fields, T.StructField(_FROM, data[seq].dataType), T.StructField(_GONE, T.BooleanType())])
-    out = _build(aligned(in_order, whole).unionByName(aligned(seeds, whole)), cfg, seq, (), few, seeded=True)
+    rows = aligned(in_order, whole)
+    if seeded is not None:
+        seeds = last_rows(seeded.select(*keys).distinct())
+        start = F.col(START) if cfg.scd_type == 2 else F.lit(None)
+        rows = rows.unionByName(aligned(seeds.withColumns({_FROM: start, _GONE: F.col(AREA) == GONE}).drop(START, END, AREA), whole))
+    out = _build(rows, cfg, seq, (), few, seeded=True)
     if late is None:
         return out
     anew = _build(history, cfg, seq, drop, few_before)

@@ -23,11 +23,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strata.operators.keys import END, START, null_safe_eq
+from strata.operators.keys import END, START, null_safe_eq, on_keys
 from strata.sources import files_store as store
 from strata.sources.schemas import aligned, merged
 
@@ -121,19 +121,23 @@ class VersionedTable:
             out = part if out is None else out.unionByName(part)
         return self.spark.createDataFrame([], whole) if out is None else out
 
-    def _newest(self, man: dict, buckets: set[int] | None) -> DataFrame:
-        """Open and gone rows, with area: each key's row of the newest layer that has it."""
+    def _newest(self, man: dict, buckets: set[int] | None, named: DataFrame | None = None) -> DataFrame:
+        """Open and gone rows, with area: each key's row of the newest layer that has it.
+
+        ``named``: only keys that it holds (bucket and keys, each once).  They are picked before layers are compared.
+        """
+        only = (lambda df: df) if named is None else (lambda df: on_keys(df, named, [BUCKET, *self.keys], "left_semi"))
         split: dict[bool, dict[str, list[int]]] = {False: {}, True: {}}
         for b, versions in man["rows"].items():
             split[len(versions) > 1][b] = versions
-        plain = self._scan(man, split[False], (OPEN, GONE), buckets).drop(VERSION)
+        plain = only(self._scan(man, split[False], (OPEN, GONE), buckets).drop(VERSION))
         if not split[True] or not (buckets is None or any(int(b) in buckets for b in split[True])):
             return plain
-        layered = self._scan(man, split[True], (OPEN, GONE), buckets)
-        rest = [c for c in layered.columns if c not in (*self.keys, BUCKET)]
-        newest = layered.groupBy(BUCKET, *self.keys).agg(F.max_by(F.struct(*rest), F.col(VERSION)).alias("_r"))
-        newest = newest.select(*[c if c in (*self.keys, BUCKET) else F.col("_r")[c].alias(c) for c in plain.columns])
-        return plain.unionByName(newest)
+        layered = only(self._scan(man, split[True], (OPEN, GONE), buckets))
+        # a key has at most one row a layer, so its rows are few; whole rows are sorted once, after the shuffle
+        by_layer = Window.partitionBy(BUCKET, *self.keys).orderBy(VERSION)
+        newest = layered.withColumn("_newer", F.lead(VERSION).over(by_layer)).where(F.col("_newer").isNull()).select(*plain.columns)
+        return plain.unionByName(newest) if split[False] else newest
 
     def _history(self, man: dict, buckets: set[int] | None) -> DataFrame:
         """Closed rows but those that a later layer has made void."""
@@ -152,9 +156,14 @@ class VersionedTable:
         rows = self._newest(man, wanted).where(F.col(AREA) == OPEN).drop(AREA)
         return rows.unionByName(self._history(man, wanted)) if closed and man["closed"] else rows
 
-    def read_state(self, buckets: Iterable[int] | None = None) -> DataFrame:
-        """Each key's last row: the open one, or the one with which it went (``_area`` tells)."""
-        return self._newest(self._need(None), set(buckets) if buckets is not None else None)
+    def read_state(self, buckets: Iterable[int] | None = None, named: DataFrame | None = None) -> DataFrame:
+        """Each key's last row: the open one, or the one with which it went (``_area`` tells); of the ``named`` keys only, if given."""
+        return self._newest(self._need(None), set(buckets) if buckets is not None else None, named)
+
+    def latest(self, column: str, buckets: Iterable[int] | None = None) -> Column:
+        """A value of a column that no key's last row exceeds, as a scalar subquery: the largest in all layers, read from that column alone."""
+        man = self._need(None)
+        return self._scan(man, man["rows"], (OPEN, GONE), set(buckets) if buckets is not None else None).agg(F.max(column)).scalar()
 
     def change_feed(self, after: int, upto: int | None = None) -> DataFrame:
         """Row changes that the snapshot versions in ``(after, upto]`` made, from the rows they opened and closed.

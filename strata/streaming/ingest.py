@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Mapping
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from strata.config import TableConfig
 from strata.operators.changes import HOT_KEY_ROWS
 from strata.operators.keys import null_safe_eq
-from strata.operators.merge import late_keys, merge_changes
+from strata.operators.merge import late_keys, maybe_late, merge_changes
 from strata.operators.quality import ExpectationFailed, expectation_metrics
 from strata.operators.transforms import apply_transforms, cleaned_key
 from strata.plans.silver import DEFAULT_SEQUENCE, STREAM_EXCEPT, changes_view
@@ -116,8 +117,9 @@ def changes_of(spark: SparkSession, bronze_path: str, cfg: TableConfig, silver:
 def apply_loads(spark: SparkSession, bronze_path: str, silver: VersionedTable, cfg: TableConfig, ids: list[int], stream: str | None = None, batch: int | None = None) -> dict | None:
     """Merges the change rows of finished loads into Silver and publishes it; the new manifest, or None if there are no rows.
 
-    Reads the loads, the last rows of the keys' buckets, and, for keys with late changes, their
-    earlier changes; writes a layer of the keys that change.
+    Reads the loads, the last rows of their keys, and, for keys with late changes, their earlier
+    changes; writes a layer of the keys that change.  Changes after all that is stored make no key
+    late, and in a table without history they need no last rows.
     """
     log = bz.loads(spark, bronze_path)
     ids = [i for i in sorted(ids) if log[i]["rows"]]
@@ -128,17 +130,21 @@ def apply_loads(spark: SparkSession, bronze_path: str, silver: VersionedTable, c
     # the log says how many rows a key can have at most
     few = lambda loads: 2 * sum(log[i]["rows"] for i in loads) <= HOT_KEY_ROWS
     checkpoint_dir(spark)
-    changes = changes_of(spark, bronze_path, cfg, silver, ids).checkpoint()  # read several times below; cleaned once
-    late = None
+    changes, known, touched = changes_of(spark, bronze_path, cfg, silver, ids), silver.exists(), []
+    if known or (cfg.scd_type == 2 and not few(ids)):
+        changes = changes.checkpoint()  # read several times below; cleaned once
+    late = early = None
     try:
-        touched = [r[0] for r in changes.select(BUCKET).distinct().collect()]  # at most `buckets` values
-        state = silver.read_state(touched) if silver.exists() else None
-        if state is not None:
-            keys = [BUCKET, *cfg.keys]
-            late = late_keys(changes, state, keys, seq, ties_only=cfg.scd_type == 1).distinct().persist()
-            late = None if late.isEmpty() else late
+        if known:
+            keys, touched = [BUCKET, *cfg.keys], [r[0] for r in changes.select(BUCKET).distinct().collect()]  # at most `buckets` values
+            alike = silver.schema()[seq].dataType == changes.schema[seq].dataType
+            early = maybe_late(changes, seq, silver.latest(seq, touched)) if alike else changes
+            early = None if early.isEmpty() else early
+            if early is not None:
+                late = late_keys(early, silver.read_state(touched), keys, seq, ties_only=cfg.scd_type == 1).distinct().persist()
+                late = None if late.isEmpty() else late
         history = None if late is None else changes_of(spark, bronze_path, cfg, silver, earlier, late).checkpoint()
-        layer = merge_changes(changes, state, late, history, cfg, seq, STREAM_EXCEPT, few(ids), few(earlier))
+        layer = merge_changes(changes, early, silver.schema(), partial(silver.read_state, touched), late, history, cfg, seq, STREAM_EXCEPT, few(ids), few(earlier))
         version = silver.next_version()
         silver.write(layer, version, layer=True)
         manifest = silver.commit(version, stream, batch, load=max(ids[-1], silver.last_load()))
